@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .quality import ORACLE as QUALITY_SQL
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +26,20 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer())
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean_text")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, held_out, identify
+
+    docs = read(spark, sf_dir, "documents")
+    model = fit(docs.select("doc_id", "text", "lang"))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_counts
 
@@ -31,6 +48,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op4_quality": op4_quality,
+    "op8_language": op8_language,
     "op7_token_counts": op7_token_counts,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_quality": QUALITY_SQL}
