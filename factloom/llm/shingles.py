@@ -43,7 +43,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     word = np.searchsorted(at, begin)
     sizes = np.diff(np.append(word, len(at)))
     place = np.arange(len(at)) - np.repeat(word, sizes)
-    powers = np.cumprod(np.concatenate([[1], np.full(int(sizes.max()) - 1, BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+    powers = np.full(int(sizes.max()), BASE, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
     values = BYTE[low[at]] * powers[place]
     hashes = mix(np.add.reduceat(values, word) + sizes.astype(np.uint64))
     return hashes, np.searchsorted(begin, offsets)
