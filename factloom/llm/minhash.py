@@ -107,12 +107,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     prints = keep(fingerprints(docs, key, text), "minhash")
     usable = prints.where(F.col(key).isNotNull() & F.col("set_key").isNotNull())
     groups = usable.groupBy("set_key").agg(F.min(key).alias("_class"), F.count("*").alias("_rows"))
-    classed = lookup(prints, groups, "set_key", "_rows", prints.count()).withColumn("_class", F.when(F.col(key).isNotNull(), F.col("_class")))
+    rows = prints.count()
+    classed = lookup(prints, groups, "set_key", "_rows", rows).withColumn("_class", F.when(F.col(key).isNotNull(), F.col("_class")))
     # repeated keys with different texts share a row of their own: the smaller key of all their classes wins below
     same = classed.where(F.col("_class") != F.col(key)).select(F.col("_class").alias("a"), F.col(key).alias("b"))
     reps = classed.where(F.col("_class") == F.col(key)).select(F.col("_class").alias("id"), F.explode("bands").alias("band")).distinct()
     shared = reps.groupBy("band").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    members = keep(lookup(reps, shared, "band", "n", 10_000_000).where("n is not null").select("band", "id", "rep"), "buckets")
+    members = keep(lookup(reps, shared, "band", "n", rows * BANDS).where("n is not null").select("band", "id", "rep"), "buckets")
     needed = members.select(F.col("id").alias(key)).distinct()
     sets = keep(full_sets(docs.join(needed, key, "left_semi"), key, text).dropDuplicates(["id"]), "sets")
     star = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
@@ -125,7 +126,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         mine = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
         mine = keep(mine, "open")
         still = mine.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("rep"), F.min_by("root", F.xxhash64("id", F.lit(turn))).alias("rep_root"), F.count("*").alias("n")).where("_lo <> _hi")
-        open_ = lookup(mine, still, "band", "n", 10_000_000).where("rep is not null")
+        open_ = lookup(mine, still, "band", "n", rows * BANDS).where("rep is not null")
         if last:
             left = open_.select("band", F.col("id").alias("a"), F.col("root").alias("_ra"))
             right = open_.select("band", F.col("id").alias("b"), F.col("root").alias("_rb"))
