@@ -1,8 +1,9 @@
 """Removal of passages that repeat across the corpus, by content-defined chunks of lines. Column expressions alone.
 
 A chunk is a stretch of neighbouring lines that all occur more than once in the corpus. Where it ends depends on the two
-lines at the boundary alone, so a passage is cut in the same places wherever it stands: where the number of occurrences
-changes, beside a line that is a passage by itself, and where the rolling hash over the last two line hashes says so.
+lines at the boundary alone, so a passage is cut in the same places wherever it stands: where the lines, or the two of
+them together, don't occur equally often in the corpus, beside a line that is a passage by itself, and where the rolling
+hash over the last two line hashes says so.
 Chunks that occur again elsewhere are candidates; neighbouring candidates count as one passage; passages long enough go,
 except at their first place, once their bytes have been compared with those of all other places of the chunk.
 """
@@ -40,10 +41,14 @@ def chunk_table(lines: DataFrame, min_words: int, mean_lines: int) -> DataFrame:
     again = lookup(lines, counts, "lh", "n", lines.count()).where("n is not null")
     order = Window.partitionBy("_k", "_h").orderBy("seq")
     lag = lambda c: F.lag(c).over(order)
+    near = F.col("seq") == lag("seq") + 1
+    paired = keep(again.withColumn("pair", F.when(near, F.xxhash64(lag("lh"), "lh"))).withColumn("n_before", lag("n")).withColumn("words_before", lag("words")), "pairs")
+    pairs = paired.where("pair is not null").groupBy("pair").agg(F.count("*").alias("n_pair"))
+    again = lookup(paired, pairs, "pair", "n_pair", lines.count())
     edge = (
-        lag("seq").isNull() | (F.col("seq") != lag("seq") + 1) | (F.col("n") != lag("n"))
-        | (F.col("words") >= min_words) | (lag("words") >= min_words)
-        | (F.pmod(F.xxhash64(lag("lh"), "lh"), F.lit(mean_lines)) == 0)
+        F.col("pair").isNull() | (F.col("n_pair") != F.col("n")) | (F.col("n_before") != F.col("n"))
+        | (F.col("words") >= min_words) | (F.col("words_before") >= min_words)
+        | (F.pmod("pair", F.lit(mean_lines)) == 0)
     )
     cut = again.withColumn("_edge", F.when(edge, 1).otherwise(0)).withColumn("_chunk", F.sum("_edge").over(order))
     cut = cut.withColumn("_at", F.row_number().over(Window.partitionBy("_k", "_h", "_chunk").orderBy("seq")))
