@@ -32,6 +32,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, read(spark, sf_dir, "pages"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentpiece import digest, read_model
+
+    return digest(read(spark, sf_dir, "documents"), read_model(tokenizer("piece_bpe_32k.model")))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -67,6 +73,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_warc": op2_warc,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_quality": op4_quality,
     "op8_language": op8_language,
     "op6_minhash": op6_minhash,

@@ -35,21 +35,19 @@ def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes -> (byte offset, code point) of each character."""
     lead = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32 if len(data) < 2**31 else np.int64)
     point = data[lead].astype(np.int32)
-    for low, high, mask, more in ((0xC0, 0xE0, 0x1F, 1), (0xE0, 0xF0, 0x0F, 2), (0xF0, 0x100, 0x07, 3)):
-        at = np.flatnonzero((point >= low) & (point < high)) if more == 1 else at[data[lead[at]] >= low]  # noqa: F821
-        if not len(at):
-            break
-        value = data[lead[at]].astype(np.int32) & mask
-        for k in range(1, more + 1):
-            value = (value << 6) | (data[np.minimum(lead[at] + k, len(data) - 1)] & 0x3F)
-        if more < 3:
-            at_next = at[data[lead[at]] >= high]
-            point[at] = value
-            at = at_next
-        else:
-            point[at] = value
-        if more < 3 and not len(at):
-            break
+    wide = np.flatnonzero(point >= 0xC0)
+    if len(wide):
+        first, at = point[wide], lead[wide]
+        tail = lambda k: data[at + k].astype(np.int32) & 0x3F
+        value = ((first & 0x1F) << 6) | tail(1)
+        for low, mask, more in ((0xE0, 0x0F, 2), (0xF0, 0x07, 3)):
+            long = np.flatnonzero(first >= low)
+            if not len(long):
+                break
+            value[long] = first[long] & mask
+            for k in range(1, more + 1):
+                value[long] = (value[long] << 6) | (data[at[long] + k].astype(np.int32) & 0x3F)
+        point[wide] = value
     return lead, point
 
 
