@@ -52,6 +52,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import near_vectors
+
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -64,6 +70,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer())
 
 
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a document stands as a file in a folder of a hundred, below its source."""
+    from .license import scan
+
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", (F.col("doc_id") / 100).cast("long").cast("string"), F.col("doc_id").cast("string"))
+    return scan(docs.select("doc_id", "text", path.alias("path"))).select("doc_id", "license", "license_score", "license_from", "inherited_from")
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import dedup_lines
 
@@ -76,8 +91,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality": op4_quality,
     "op8_language": op8_language,
+    "op5_neighbours": op5_neighbours,
     "op6_minhash": op6_minhash,
     "op7_token_counts": op7_token_counts,
+    "op9_license": op9_license,
     "op10_lines": op10_lines,
 }
 ORACLE: dict[str, str] = {"op4_quality": QUALITY_SQL}
