@@ -89,7 +89,9 @@ def judge(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOST) ->
         F.array_join("_k", "\n").alias("clean_text"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return df.select(*own, *names[:5], failed.alias("base_failed"), (~failed & F.col("_enough")).alias("kept"), "clean_text")
+    # one generated row a document: a filter on a result would otherwise be rewritten, copy by copy, down to the text
+    result = F.struct(*names[:5], failed.alias("base_failed"), (~failed & F.col("_enough")).alias("kept"), "clean_text")
+    return df.select(*own, F.inline(F.array(result)))
 
 
 #: The same for DuckDB, by words, windows and lines as rows.
