@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +105,22 @@ def components(nodes_in_edges: DataFrame, name: str = "components") -> DataFrame
         links = after
         if same:
             return links.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def grouped(batches, keys: list[str]):
+    """Runs of equal keys in sorted batches, each as one record batch; a run may span batches."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            x = batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
+            change[1:] |= x[1:] != x[:-1]
+        edges = np.concatenate([[0], np.flatnonzero(change), [batch.num_rows]])
+        for a, b in zip(edges[:-2].tolist(), edges[1:-1].tolist(), strict=True):
+            yield batch.slice(a, b - a)
+        rest = batch.slice(int(edges[-2]))
+    if rest is not None and rest.num_rows:
+        yield rest

@@ -2,8 +2,10 @@
 
 Every permutation of the shingle hashes gives two values, its minimum and its maximum, so half as many permutations
 fill a signature. Bands of the signature are bucket keys. Within buckets only what can still join two components is
-compared: first each member with one representative, then, for buckets that still hold several components, with other
-representatives, and at the end every pair across components. No bucket is capped and none is expanded into all its pairs.
+compared: first each member with one representative, then, for buckets that still hold several components, with another
+one. What is still apart is gathered in clusters of documents that share open buckets; there every pair across components
+with common bands is compared, block by block, inside the tasks, which return the links found and no pairs. No bucket is
+capped.
 """
 
 from __future__ import annotations
@@ -14,14 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens as P
-from .common import components, forget, keep, lookup
+from .common import components, forget, grouped, keep, lookup
 from .shingles import mix, shingle_sets
 
 #: 64 permutations give 128 values; 25 bands of 5. A pair with similarity 0.85 misses all of them once in two million times.
 PERMUTATIONS, BANDS, ROWS = 64, 25, 5
 SIMILAR = 85
-#: Rounds with one representative a bucket before the remaining pairs are all compared.
-STARS = 3
+#: Bands that a pair must share to be compared: with similarity 0.85 fewer happen once in a hundred thousand times.
+SHARED = 2
+#: Documents of a block when a cluster is compared.
+BLOCK = 256
 
 _random = np.random.Generator(np.random.PCG64(977))
 _MULTIPLY = _random.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,6 +96,60 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return x.where(100 * small >= similar * large).where(100 * both >= similar * (F.size("_x") + F.size("_y") - both)).select("a", "b")
 
 
+def blocked(nodes: DataFrame, cluster: DataFrame, bands: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Links (a, b) across the components (id, root) of each cluster (node, root), enough to join what is similar.
+
+    A cluster is dealt out as pairs of blocks of about BLOCK documents, so a task holds two blocks at most, whatever the
+    size of the cluster. A task unites what it links and skips pairs that it has already united.
+    """
+    placed = nodes.withColumnRenamed("root", "comp").join(cluster.select(F.col("node").alias("id"), F.col("root").alias("cluster")), "id")
+    sizes = placed.groupBy("cluster").agg(F.count("*").alias("n"))
+    placed = lookup(placed, sizes, "cluster", "n", placed.count()).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    full = placed.join(bands, "id").join(sets, "id").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = full.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "comp", "bands", "shingles")
+
+    def run(batches):
+        for g in grouped(batches, ["cluster", "i", "j"]):
+            i, j = g.column(1)[0].as_py(), g.column(2)[0].as_py()
+            block, ids = g.column(3).to_numpy(zero_copy_only=False), g.column(4).to_pylist()
+            comp = dict(zip(ids, g.column(5).to_pylist(), strict=True))
+            parent: dict = {c: c for c in comp.values()}
+
+            def find(c, parent=parent):
+                while parent[c] != c:
+                    parent[c] = parent[parent[c]]
+                    c = parent[c]
+                return c
+
+            keys = g.column(6).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            lists = g.column(7)
+            edges, flat = np.asarray(lists.offsets), lists.values.to_numpy(zero_copy_only=False)
+            sizes = np.diff(edges)
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            a_out, b_out = [], []
+            for x in left.tolist():
+                others = right[right > x] if i == j else right
+                common = (keys[others] == keys[x]).sum(1) >= SHARED
+                small, large = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
+                mine = flat[edges[x] : edges[x + 1]].view(np.uint64)
+                for y in others[common & (100 * small >= similar * large)].tolist():
+                    one, two = find(comp[ids[x]]), find(comp[ids[y]])
+                    if one == two:
+                        continue
+                    theirs = flat[edges[y] : edges[y + 1]].view(np.uint64)
+                    at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                    both = int((mine[at] == theirs).sum())
+                    if 100 * both >= similar * (len(mine) + len(theirs) - both):
+                        parent[max(one, two)] = min(one, two)
+                        a_out.append(min(ids[x], ids[y]))
+                        b_out.append(max(ids[x], ids[y]))
+            if a_out:
+                yield pa.RecordBatch.from_arrays([pa.array(a_out, g.schema.field(4).type), pa.array(b_out, g.schema.field(4).type)], ["a", "b"])
+
+    kind = nodes.schema["id"].dataType.simpleString()
+    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
     """One row per document: key, n_shingles, component_id, kept.
 
@@ -119,28 +177,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     star = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     links = keep(confirmed(star, sets, similar), "links")
     roots = components(links)
-    for turn in range(STARS):
-        last = turn == STARS - 1
-        roots = keep(roots, "roots")
-        # buckets that still hold several components
+    def still_open(turn: int) -> tuple[DataFrame, DataFrame]:
+        """(members with their roots, those of buckets that hold several components, with a representative)."""
         mine = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
         mine = keep(mine, "open")
-        still = mine.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("rep"), F.min_by("root", F.xxhash64("id", F.lit(turn))).alias("rep_root"), F.count("*").alias("n")).where("_lo <> _hi")
-        open_ = lookup(mine, still, "band", "n", rows * BANDS).where("rep is not null")
-        if last:
-            left = open_.select("band", F.col("id").alias("a"), F.col("root").alias("_ra"))
-            right = open_.select("band", F.col("id").alias("b"), F.col("root").alias("_rb"))
-            pairs = left.join(right, "band").where("_ra < _rb").select("a", "b")
-        else:
-            pairs = open_.where("root <> rep_root").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-        more = keep(confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, similar), "links")
-        forget(mine)
-        if more.isEmpty():
-            if last:
-                break
-            continue
-        links = links.union(more)
-        roots = components(links)
+        pick = F.xxhash64("id", F.lit(turn))
+        still = mine.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min_by("id", pick).alias("rep"), F.min_by("root", pick).alias("rep_root"), F.count("*").alias("n")).where("_lo <> _hi")
+        return mine, lookup(mine, still, "band", "n", rows * BANDS).where("rep is not null")
+
+    roots = keep(roots, "roots")
+    mine, open_ = still_open(1)
+    pairs = open_.where("root <> rep_root").select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b")).distinct()
+    links = links.union(keep(confirmed(pairs, sets, similar), "links"))
+    forget(mine)
+    roots = keep(components(links), "roots")
+    mine, open_ = still_open(2)
+    apart = keep(open_, "apart")
+    cluster = keep(components(apart.select(F.col("rep").alias("a"), F.col("id").alias("b"))), "clusters")
+    found = blocked(apart.select("id", "root").distinct(), cluster, classed.where(F.col("_class") == F.col(key)).select(F.col(key).alias("id"), "bands").dropDuplicates(["id"]), sets, similar)
+    links = links.union(keep(found, "links"))
+    forget(mine)
+    roots = components(links)
     # equal sets join their class's component; a repeated key may tie several classes together
     if not same.join(classed.where(F.col("_class") == F.col(key)).select(F.col(key).alias("b")), "b", "left_semi").isEmpty():
         roots = components(links.union(same))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, forget, keep, lookup
+from .common import components, forget, grouped, keep, lookup
 
 K, REVERSE = 10, 10
 TABLES, BLOCK = 8, 512
@@ -63,25 +63,6 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
-def grouped(batches, keys: list[str]):
-    """Runs of equal keys in sorted batches, each as one record batch; a run may span batches."""
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        batch = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-        change = np.zeros(batch.num_rows, bool)
-        for k in keys:
-            x = batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
-            change[1:] |= x[1:] != x[:-1]
-        edges = np.concatenate([[0], np.flatnonzero(change), [batch.num_rows]])
-        for a, b in zip(edges[:-2].tolist(), edges[1:-1].tolist(), strict=True):
-            yield batch.slice(a, b - a)
-        rest = batch.slice(int(edges[-2]))
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
 def forest(similar: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of a boolean symmetric matrix: enough links for its components, no more than rows."""
     left = similar.any(1)
