@@ -68,8 +68,10 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int)
     rest = [c for c in right.columns if c != key]
     # a row with a hot key goes anywhere: its shuffle key is replaced by nothing that matches
     both = both.withColumn("_cold_key", F.when(F.col("_hot_key").isNull(), F.col(key)))
-    both = both.withColumn("_spread", F.when(F.col("_cold_key").isNull(), F.floor(F.rand(7) * 4096)).otherwise(F.lit(0)).cast("int"))
-    cold = light.select(F.col(key).alias("_cold_key"), F.lit(0).alias("_spread"), F.struct(*rest).alias("_cold"))
+    both = both.withColumn("_spread", F.when(F.col("_cold_key").isNull(), 1 + F.floor(F.rand(7) * 4096)).otherwise(F.lit(0)).cast("int"))
+    # always 0, but no literal, which the optimizer would take out of the join's keys
+    zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
+    cold = light.select(F.col(key).alias("_cold_key"), zero.alias("_spread"), F.struct(*rest).alias("_cold"))
     both = both.join(cold, ["_cold_key", "_spread"], "left")
     return both.select(*left.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in rest])
 
