@@ -1,14 +1,339 @@
-"""Queries over the driver's tables, one for each operator family, and their SQL."""
+"""Queries over the driver's tables, one or more for each operator family, and their SQL.
+
+The tables hold no parsed sentences. Foreign keys serve as labelled edges (lineitem -of_order-> orders -by_customer->
+customer -in_nation-> nation -in_region-> region), the words of documents as tokens, documents with labels as scored
+extractions. The engine itself runs over parsed fixture sentences in ``extract_*``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import extraction as X
+from ..functions.patterns import parse_pattern
+from ..operators import collections as C
+from ..operators import evaluate as V
+from ..operators import extract as E
+from ..operators import learn as L
+from ..operators import match as M
+from ..sources import readers as R
+from ..sources import writers as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+#: Parsed sentences for the engine's own queries.
+SENTENCES = (
+    (1, "(._._5_0), nsubj(finds_VBZ_1_0, Ada_NNP_0_0); dobj(finds_VBZ_1_0, extraction_NN_4_0); det(extraction_NN_4_0, an_DT_2_0); nn(extraction_NN_4_0, example_NN_3_0)"),
+    (2, "(on_IN_4_0), (._._6_0), nsubj(has_VBZ_1_0, Juliette_NNP_0_0); dobj(has_VBZ_1_0, crush_NN_3_0); det(crush_NN_3_0, a_DT_2_0); prep_on(crush_NN_3_0, Romeo_NNP_5_0)"),
+    (3, "det(people_NNS_1_0, The_DT_0_0); nsubj(fled_VBD_2_0, people_NNS_1_0); advmod(fled_VBD_2_0, chaotically_RB_3_0); det(barn_NN_6_0, the_DT_5_0); prep_towards(fled_VBD_2_0, barn_NN_6_0)"),
+    (4, "(that_IN_3_0), (of_IN_8_0), amod(astronomers_NNS_1_0, Early_JJ_0_0); nsubj(believe_VBP_2_0, astronomers_NNS_1_0); ccomp(believe_VBP_2_0, center_NN_7_0); det(earth_NN_5_0, the_DT_4_0); nsubj(center_NN_7_0, earth_NN_5_0); cop(center_NN_7_0, is_VBZ_6_0); det(universe_NN_10_0, the_DT_9_0); prep_of(center_NN_7_0, universe_NN_10_0)"),
+)
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def schema_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the key graph: one sentence for each order: line items and orders, customer, nation, region."""
+    li, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
+    cust, nat = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    edge = lambda s, a, b, label: F.struct(s.alias("sent"), a.alias("src"), b.alias("dst"), F.lit(label).alias("label"))
+    name = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
+    a = li.select(edge(F.col("l_orderkey"), F.concat(F.lit("L"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string")), name("O", F.col("l_orderkey")), "of_order").alias("e"))
+    b = o.select(edge(F.col("o_orderkey"), name("O", F.col("o_orderkey")), name("C", F.col("o_custkey")), "by_customer").alias("e"))
+    oc = o.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    c = oc.select(edge(F.col("o_orderkey"), name("C", F.col("o_custkey")), name("N", F.col("c_nationkey")), "in_nation").alias("e"))
+    d = oc.join(nat, F.col("c_nationkey") == F.col("n_nationkey")).select(edge(F.col("o_orderkey"), name("N", F.col("c_nationkey")), name("R", F.col("n_regionkey")), "in_region").alias("e"))
+    return a.unionByName(b).unionByName(c).unionByName(d).select("e.*")
+
+
+EDGES_SQL = """e AS (
+SELECT l_orderkey AS sent, 'L' || l_orderkey || '.' || l_linenumber AS src, 'O' || l_orderkey AS dst, 'of_order' AS label FROM lineitem
+UNION ALL SELECT o_orderkey, 'O' || o_orderkey, 'C' || o_custkey, 'by_customer' FROM orders
+UNION ALL SELECT o_orderkey, 'C' || o_custkey, 'N' || c_nationkey, 'in_nation' FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT o_orderkey, 'N' || c_nationkey, 'R' || n_regionkey, 'in_region' FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", "lang", "source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+"), F.lit(0))).alias("word"))
+
+
+WORDS_SQL = "w AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)"
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with labels as scored extractions."""
+    d, lab = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return d.join(lab, "doc_id").select("doc_id", (F.col("n_chars") / (F.col("n_chars") + 1000)).alias("confidence"), (F.col("quality") == 1).alias("score"), "source", "lang")
+
+
+SCORED_SQL = "s AS (SELECT doc_id, n_chars / (n_chars + 1000) AS confidence, quality = 1 AS score, source, lang FROM documents JOIN labels USING (doc_id))"
+
+
+@query("line_scan", """SELECT doc_id, i - 1 AS pos, l AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l,
+  generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE len(l) > 0""")
+def line_scan(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") > 0)
+
+
+@query("sentence_split", r"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(replace(text, chr(10), ' '),
+  '([.!?])\s+([\p{Lu}\d"''“])', '\1' || chr(10) || '\2', 'g'), chr(10))) AS s FROM documents) WHERE s <> '' GROUP BY doc_id""")
+def sentence_split(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("t"))
+    return d.select("doc_id", F.explode(R.split_sentences("t")).alias("s")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("token_histogram", f"WITH {WORDS_SQL} SELECT word, count(*) AS n FROM w GROUP BY word")
+def token_histogram(spark, sf_dir):
+    return C.histogram(words(spark, sf_dir), "word")
+
+
+@query("merge_histograms", f"WITH {WORDS_SQL} SELECT word, count(*) AS n FROM w WHERE lang IN ('en', 'fr') GROUP BY word")
+def merge_histograms(spark, sf_dir):
+    w = words(spark, sf_dir)
+    return C.merge_histograms(C.histogram(w.where("lang = 'en'"), "word"), C.histogram(w.where("lang = 'fr'"), "word"))
+
+
+@query("set_multimap", "SELECT source, list_aggregate(list_sort(list_distinct(list(lang))), 'string_agg', ',') AS langs FROM documents GROUP BY source")
+def set_multimap(spark, sf_dir):
+    return C.set_multimap(read(spark, sf_dir, "documents"), "source", "lang").select("source", F.array_join("values", ",").alias("langs"))
+
+
+@query("list_multimap", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate DESC, o_orderkey DESC) AS keys FROM orders GROUP BY o_custkey")
+def list_multimap(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").withColumn("at", F.struct("o_orderdate", "o_orderkey"))
+    return C.list_multimap(o, "o_custkey", "o_orderkey", "at").select("o_custkey", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("keys"))
+
+
+@query("bag_multimap", "SELECT o_custkey, string_agg(p || '=' || n, ',' ORDER BY p) AS bag FROM (SELECT o_custkey, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_custkey")
+def bag_multimap(spark, sf_dir):
+    bag = C.bag_multimap(read(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
+    return bag.select("o_custkey", F.array_join(F.transform(F.map_entries("values"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",").alias("bag"))
+
+
+@query("keep_common", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) >= 30)")
+def keep_common(spark, sf_dir):
+    return C.keep_common(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", 30)
+
+
+@query("keep_diverse", "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 25) GROUP BY 1")
+def keep_diverse(spark, sf_dir):
+    good, _ = C.keep_diverse(read(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", 25)
+    return good.groupBy("l_partkey").agg(F.count("*").alias("n"))
+
+
+@query("analyze_patterns", "SELECT p_type, count(*) AS n, array_to_string(list_sort(list_distinct(list(p_brand)))[1:5], ',') AS examples FROM part GROUP BY p_type HAVING count(*) > 20")
+def analyze_patterns(spark, sf_dir):
+    return C.frequent_with_examples(read(spark, sf_dir, "part"), "p_type", "p_brand", 20).select("p_type", "n", F.array_join("examples", ",").alias("examples"))
+
+
+@query("component_counts", f"""WITH {EDGES_SQL}, k AS (SELECT sent, src, dst, label, left(src, 1) AS ts, left(dst, 1) AS td FROM e)
+SELECT kind, component, count(*) AS n FROM (SELECT 'edge' AS kind, label AS component FROM e
+UNION ALL SELECT 'tag', left(node, 1) FROM (SELECT DISTINCT sent, node FROM (SELECT sent, src AS node FROM e UNION ALL SELECT sent, dst FROM e))
+UNION ALL SELECT 'piece', ts || ' >' || label || '> ' || td FROM k UNION ALL SELECT 'piece', td || ' <' || label || '< ' || ts FROM k) GROUP BY ALL""")
+def component_counts(spark, sf_dir):
+    e = schema_edges(spark, sf_dir)
+    return C.sentence_components(e, key_tokens(e))
+
+
+def key_tokens(e: DataFrame) -> DataFrame:
+    nodes = e.select("sent", F.col("src").alias("node")).unionByName(e.select("sent", F.col("dst").alias("node"))).distinct()
+    return nodes.select("sent", "node", F.substring("node", 1, 1).alias("postag"), F.lower("node").alias("lemma"))
+
+
+UD = "{arg1} >of_order> {rel} <of_order< {arg2}"
+UU = "{arg1:postag=O} >by_customer> {rel} >in_nation> {arg2}"
+RX = "{arg1} >{link:regex=in_(.*)}> {rel} >{to:regex=in_(.*)}> {arg2}"
+
+
+@query("pattern_match_ud", f"WITH {EDGES_SQL} SELECT a.sent, a.src || '>' || a.dst || '>' || b.src AS path FROM e a JOIN e b ON a.sent = b.sent AND a.dst = b.dst AND a.src <> b.src WHERE a.label = 'of_order' AND b.label = 'of_order'")
+def pattern_match_ud(spark, sf_dir):
+    return M.match(schema_edges(spark, sf_dir), [parse_pattern(UD)]).select("sent", F.array_join("nodes", ">").alias("path"))
+
+
+@query("pattern_match_model", f"""WITH {EDGES_SQL} SELECT CASE WHEN a.label = 'by_customer' THEN '{UU}' ELSE '{RX}' END AS pattern, a.sent, a.src || '>' || a.dst || '>' || b.dst AS path
+FROM e a JOIN e b ON a.sent = b.sent AND a.dst = b.src WHERE (a.label = 'by_customer' AND b.label = 'in_nation' AND a.src LIKE 'O%') OR (a.label LIKE 'in\\_%' ESCAPE '\\' AND b.label LIKE 'in\\_%' ESCAPE '\\')""")
+def pattern_match_model(spark, sf_dir):
+    e = schema_edges(spark, sf_dir)
+    return M.match(e, [parse_pattern(UU), parse_pattern(RX)], key_tokens(e)).select("pattern", "sent", F.array_join("nodes", ">").alias("path"))
+
+
+@query("possible_extraction", f"WITH {EDGES_SQL} SELECT sent, '{UU}' AS pattern FROM e GROUP BY sent HAVING bool_or(label = 'by_customer') AND bool_or(label = 'in_nation')")
+def possible_extraction(spark, sf_dir):
+    return M.possible(schema_edges(spark, sf_dir), [parse_pattern(UU)])
+
+
+@query("closure_inferiors", f"""WITH RECURSIVE {EDGES_SQL}, c AS (SELECT o_orderkey AS sent, 'O' || o_orderkey AS start, 'O' || o_orderkey AS node, 0 AS depth FROM orders
+UNION SELECT c.sent, c.start, e.dst, c.depth + 1 FROM c JOIN e ON e.sent = c.sent AND e.src = c.node) SELECT sent, start, node, depth FROM c""")
+def closure_inferiors(spark, sf_dir):
+    starts = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sent"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("start"))
+    return M.inferiors(schema_edges(spark, sf_dir), starts)
+
+
+@query("extraction_dedup", """WITH q AS (SELECT DISTINCT l_orderkey, l_returnflag AS rel, l_partkey::VARCHAR AS a1, l_suppkey::VARCHAR AS a2, l_discount AS conf FROM lineitem)
+SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM q o WHERE o.l_orderkey = q.l_orderkey AND o.rel = q.rel AND q.conf < o.conf AND (contains(o.a1, q.a1) OR contains(o.a2, q.a2)))""")
+def extraction_dedup(spark, sf_dir):
+    q = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("rel"), F.col("l_partkey").cast("string").alias("a1"), F.col("l_suppkey").cast("string").alias("a2"), F.col("l_discount").alias("conf"))
+    return E.drop_subsumed(q, ["l_orderkey"], "rel", "a1", "a2", "conf")
+
+
+@query("template_of_relation", r"SELECT rel, CASE WHEN rel LIKE 'be %' THEN 'be ' ELSE '' END || '{rel}' || CASE WHEN regexp_matches(rel, ' (in|of|by|with|from|on|for|to|at)$') THEN ' ' || regexp_extract(rel, ' (\w+)$', 1) ELSE '' END AS template FROM (SELECT DISTINCT 'be ' || p_type || ' of' AS rel FROM part UNION SELECT DISTINCT p_brand FROM part)")
+def template_of_relation(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    rels = p.select(F.concat(F.lit("be "), "p_type", F.lit(" of")).alias("rel")).union(p.select("p_brand")).distinct()
+    return rels.select("rel", L.template_of(F.col("rel")).alias("template"))
+
+
+@query("nary_group", """WITH r AS (SELECT l_orderkey AS g, l_returnflag AS a1, l_linenumber AS s, l_linestatus || CASE WHEN l_linenumber % 2 = 0 THEN ' in' ELSE ' of' END AS rel, l_suppkey::VARCHAR AS a2, l_discount AS c FROM lineitem),
+b AS (SELECT g, a1, s, left(rel, len(rel) - 3) AS rel, right(rel, 2) || ' ' || a2 AS x FROM r)
+SELECT g, a1, rel, string_agg(x, ';' ORDER BY s) AS suffixes, count(*) AS n FROM (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY g, a1, rel, s ORDER BY x DESC) = 1) GROUP BY g, a1, rel HAVING count(*) > 1""")
+def nary_group(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    rel = F.concat("l_linestatus", F.when(F.col("l_linenumber") % 2 == 0, " in").otherwise(" of"))
+    r = li.select(F.col("l_orderkey").alias("g"), F.col("l_returnflag").alias("a1"), F.col("l_linenumber").alias("s"), rel.alias("rel"), F.col("l_suppkey").cast("string").alias("a2"), F.col("l_discount").alias("c"))
+    return E.nary(r, ["g"], "a1", "rel", "a2", "s", "c").select("g", "a1", "rel", F.array_join(F.transform("suffixes", lambda x: x["text"]), ";").alias("suffixes"), "n")
+
+
+@query("target_arguments", "SELECT lower(replace(n_name, '_', ' ')) AS lemma, count(*) AS count FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE len(n_name) > 2 GROUP BY 1 HAVING count(*) > 50")
+def target_arguments(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return L.target_arguments(c.select(F.col("n_name").alias("string"), F.lower(F.replace("n_name", F.lit("_"), F.lit(" "))).alias("lemma"), F.lit("NNP").alias("postag"), F.lit(1).alias("count")), 50)
+
+
+@query("target_extractions", """WITH t AS (SELECT 's' || l_suppkey AS a1, l_returnflag || ' ships in' AS rel, 'p' || l_partkey AS a2, count(*) AS n FROM lineitem GROUP BY ALL),
+ok AS (SELECT 's' || s_suppkey AS lemma FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_partkey % 3 = 0)
+SELECT rel, a1 AS arg1, a2 AS arg2, a1 || ' ' || left(rel, len(rel) - 3) || ' ' || a2 AS lemmas FROM t, range(n) WHERE a1 IN (SELECT lemma FROM ok) AND a2 IN (SELECT lemma FROM ok)""")
+def target_extractions(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    t = li.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("arg1"), F.concat("l_returnflag", F.lit(" ships in")).alias("rel"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("arg2")).agg(F.count("*").alias("count"))
+    known = read(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("lemma"))
+    known = known.union(read(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"))))
+    return L.target_extractions(t, known)
+
+
+@query("filter_targets", """WITH t AS (SELECT l_returnflag || ' ships' AS rel, 's' || l_suppkey AS arg1, l_linestatus AS arg2, l_returnflag || ' x' AS lemmas FROM lineitem),
+o AS (SELECT rel, arg1, arg2, lemmas, count(*) AS n FROM t GROUP BY ALL HAVING count(*) > 1)
+SELECT rel, arg1, arg2, lemmas FROM o WHERE rel IN (SELECT rel FROM o GROUP BY rel HAVING sum(n) > 15)""")
+def filter_targets(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    return L.seeds(li.select(F.concat("l_returnflag", F.lit(" ships")).alias("rel"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("arg1"), F.col("l_linestatus").alias("arg2"), F.concat("l_returnflag", F.lit(" x")).alias("lemmas")))
+
+
+@query("counts_to_confidence", "SELECT p_brand, n, n / max(n) OVER () AS confidence FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1)")
+def counts_to_confidence(spark, sf_dir):
+    return L.counts_to_confidence(read(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n")), "n")
+
+
+@query("gold_score", """SELECT d.doc_id, d.n_chars / (d.n_chars + 1000) AS confidence, l.quality = 1 AS score FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.n_chars / (d.n_chars + 1000) >= 0.5""")
+def gold_score(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") / (F.col("n_chars") + 1000)).alias("confidence"), F.col("doc_id").alias("extraction"))
+    gold = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("extraction"), (F.col("quality") == 1).alias("correct"))
+    return V.score(d, gold, 0.5).select("doc_id", "confidence", "score")
+
+
+@query("gold_suggest", "SELECT DISTINCT a.s_name AS extraction, b.c_name AS suggestion, levenshtein(a.s_name, b.c_name) AS distance FROM supplier a, customer b WHERE levenshtein(a.s_name, b.c_name) < len(a.s_name) // 2")
+def gold_suggest(spark, sf_dir):
+    return V.suggest(read(spark, sf_dir, "supplier").select(F.col("s_name").alias("extraction")), read(spark, sf_dir, "customer").select(F.col("c_name").alias("extraction")))
+
+
+PY_SQL = f"""WITH {SCORED_SQL}, r AS (SELECT *, row_number() OVER o AS seen, sum(score::INT) OVER (ORDER BY confidence DESC, doc_id ROWS UNBOUNDED PRECEDING) AS y FROM s WINDOW o AS (ORDER BY confidence DESC, doc_id)),
+p AS (SELECT confidence, y::BIGINT AS yield, y / seen AS precision FROM r WHERE score)"""
+
+
+@query("precision_yield", f"{PY_SQL} SELECT confidence, yield, precision FROM p")
+def precision_yield(spark, sf_dir):
+    return V.precision_yield(scored(spark, sf_dir), "confidence", F.col("score"), ["doc_id"])
+
+
+@query("auc", f"{PY_SQL} SELECT round(sum((a.precision + b.precision) / 2), 6) AS auc FROM p a JOIN p b ON b.yield = a.yield + 1")
+def auc(spark, sf_dir):
+    return V.area(precision_yield(spark, sf_dir)).select(F.round("auc", 6).alias("auc"))
+
+
+@query("group_scored", f"WITH {SCORED_SQL} SELECT source, avg(score::INT) AS precision, count(*) AS n FROM s GROUP BY source")
+def group_scored(spark, sf_dir):
+    return V.rank(scored(spark, sf_dir), "source", F.col("score"))
+
+
+@query("rank_patterns", f"WITH {SCORED_SQL} SELECT lang, avg(score::INT) AS precision, count(*) AS n FROM s GROUP BY lang")
+def rank_patterns(spark, sf_dir):
+    return V.rank(scored(spark, sf_dir), "lang", F.col("score"))
+
+
+@query("merge_curves", f"""WITH {SCORED_SQL}, r AS (SELECT lang, score, row_number() OVER (PARTITION BY lang ORDER BY confidence DESC, doc_id) AS seen, sum(score::INT) OVER (PARTITION BY lang ORDER BY confidence DESC, doc_id ROWS UNBOUNDED PRECEDING) AS y FROM s),
+p AS (SELECT lang, y::BIGINT AS yield, y / seen AS precision FROM r WHERE score)
+SELECT yield, max(precision) FILTER (lang = 'en') AS precision_0, max(precision) FILTER (lang = 'fr') AS precision_1 FROM p WHERE lang IN ('en', 'fr') GROUP BY yield""")
+def merge_curves(spark, sf_dir):
+    p = V.precision_yield(scored(spark, sf_dir), "confidence", F.col("score"), ["doc_id"], ["lang"])
+    return V.merge_curves([p.where("lang = 'en'"), p.where("lang = 'fr'")])
+
+
+@query("significance")
+def significance(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    both = s.select(F.col("doc_id").alias("sentence"), F.explode(F.array(F.struct(F.lit("a").alias("system"), F.col("score").alias("correct")), F.struct(F.lit("b").alias("system"), (F.col("confidence") > 0.6).alias("correct")))).alias("x")).select("sentence", "x.*")
+    return V.resampled(both, 100)
+
+
+@query("confidence_training")
+def confidence_training(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    rows = d.select("doc_id", (F.col("quality") == 1).cast("int").alias("label"), (F.length(F.regexp_replace("text", "[^#|!$%&]", "")) / F.length("text")).alias("noise"), F.log("n_chars").alias("size"))
+    return spark.createDataFrame(V.cross_validate(rows, ["noise", "size"], "doc_id", n=3), "fold int, accuracy double")
+
+
+@query("top_extractions", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+def top_extractions(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50)
+
+
+@query("set_operations", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def set_operations(spark, sf_dir):
+    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
+    return c.select(F.col("c_custkey").alias("k")).distinct().join(o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).distinct(), "k", "left_anti")
+
+
+@query("soft_match", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND (contains(a.s_name, right(b.s_name, 2)) OR contains(b.s_name, right(a.s_name, 2)))")
+def soft_match(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    a, b = (s.select(F.col("s_suppkey").alias(x), F.col("s_name").alias(f"n{x}"), "s_nationkey") for x in "ab")
+    near = (F.col("na").contains(F.right("nb", F.lit(2)))) | (F.col("nb").contains(F.right("na", F.lit(2))))
+    return a.join(b, "s_nationkey").where((F.col("a") < F.col("b")) & near).select("a", "b")
+
+
+@query("standoff_ids", """WITH r AS (SELECT l_orderkey AS doc, l_linenumber AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS n FROM lineitem)
+SELECT doc, n * 5 + k AS number, CASE k WHEN 0 THEN 'T' || (n * 3 + 3) || chr(9) || 'Relation ' || s || ' ' || (s + 1) || chr(9) || 'r' WHEN 1 THEN 'T' || (n * 3 + 1) || chr(9) || 'Argument ' || s || ' ' || (s + 1) || chr(9) || 'a'
+WHEN 2 THEN 'T' || (n * 3 + 2) || chr(9) || 'Argument ' || s || ' ' || (s + 1) || chr(9) || 'b' WHEN 3 THEN 'R' || (n * 2 + 1) || chr(9) || 'Arg1 Arg1:T' || (n * 3 + 3) || ' Arg2:T' || (n * 3 + 1) ELSE 'R' || (n * 2 + 2) || chr(9) || 'Arg2 Arg1:T' || (n * 3 + 3) || ' Arg2:T' || (n * 3 + 2) END AS line FROM r, range(5) x(k)""")
+def standoff_ids(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("s"))
+    parts = [c for p, t in (("arg1", "a"), ("rel", "r"), ("arg2", "b")) for c in (F.col("s").alias(f"{p}_start"), (F.col("s") + 1).alias(f"{p}_end"), F.lit(t).alias(f"{p}_text"))]
+    return W.standoff(li.select("doc", "s", *parts), "doc", ["s"])
+
+
+@query("extract_sentences")
+def extract_sentences(spark, sf_dir):
+    """The engine, end to end, on parsed sentences repeated for each document of the table."""
+    some = spark.createDataFrame(SENTENCES, "sent long, graph string")
+    docs = read(spark, sf_dir, "documents").select("doc_id", (F.pmod("doc_id", F.lit(4)) + 1).alias("sent"))
+    found = E.with_confidence(E.extract(docs.join(F.broadcast(some), "sent"), X.SEED_MODEL))
+    return found.select("doc_id", E.fact_text().alias("fact"), F.round("confidence", 6).alias("confidence"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return extract_sentences(spark, sf_dir)
