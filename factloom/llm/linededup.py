@@ -90,7 +90,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     dropped first.
     """
     docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
-    lines = keep(line_table(docs, key, text), "lines")
+    # rows that repeat key and text count once
+    lines = keep(line_table(docs, key, text).repartition("_k", "_h").dropDuplicates(["_k", "_h", "seq"]), "lines")
     marks = decisions(lines, min_words, mean_lines)
     own = docs.columns
     whole = docs.withColumn("_h", F.xxhash64(text))

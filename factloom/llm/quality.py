@@ -85,7 +85,7 @@ def judge(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOST) ->
         F.coalesce(symbol_count(t), F.lit(0)).cast("long").alias("n_symbols"),
         F.coalesce(F.size(full) - F.size(F.array_distinct(full)), F.lit(0)).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.coalesce(left / F.length(F.array_join(lines, "")) >= 1 - most_lost, F.lit(False)).alias("_enough"),
+        F.coalesce(F.try_divide(left, F.length(F.array_join(lines, ""))) >= 1 - most_lost, F.lit(False)).alias("_enough"),
         F.array_join("_k", "\n").alias("clean_text"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
