@@ -16,8 +16,17 @@ VACUOUS = (("ha", "effect"), ("ha", "problem"), ("mak", "sense"), ("mak", "way")
 
 
 def tags(at: Column) -> Column:
-    """Tags of the tokens of a part (all tokens inside its span for arguments)."""
-    return F.transform(F.slice("tokens", at["s"] + 1, at["e"] - at["s"]), lambda t: t["postag"])
+    """Tags of the tokens inside a part's span. Places may be missing among the tokens, so they are compared, not counted."""
+    return F.transform(F.filter("tokens", lambda t: (t["idx"] >= at["s"]) & (t["idx"] < at["e"])), lambda t: t["postag"])
+
+
+def _before(at: Column) -> Column:
+    """The last token left of a part; null if there is none."""
+    return F.try_element_at(F.filter("tokens", lambda t: t["idx"] < at["s"]), F.lit(-1))
+
+
+def _behind(at: Column) -> Column:
+    return F.filter("tokens", lambda t: t["idx"] >= at["e"])
 
 
 def _any(at: Column, test: Callable[[Column], Column]) -> Column:
@@ -28,10 +37,6 @@ def _rel_tags() -> Column:
     return F.transform(F.filter("tokens", lambda t: F.array_contains("rel.idx", t["idx"])), lambda t: t["postag"])
 
 
-def _tag(i: Column) -> Column:
-    return F.get(F.col("tokens"), i)["postag"]
-
-
 def _bad(text: Column) -> Column:
     return (F.length(F.regexp_replace(text, "[^A-Z]", "")) > 5) | (F.length(F.regexp_replace(F.lower(text), "[^aeiouy0-9]", "")) < 2)
 
@@ -56,24 +61,25 @@ def features() -> dict[str, Column]:
     idx = F.array_sort(F.array_distinct(F.concat(a1["idx"], r["idx"], a2["idx"])))
     bare = F.regexp_replace(F.regexp_replace(r["text"], "^be ", ""), r" \w+$", "")
     verb = lambda t: t.startswith("VB")
+    first, final = lambda p: F.get(tags(p), F.lit(0)), lambda p: F.try_element_at(tags(p), F.lit(-1))
     out = {
         "sentence has question mark": F.concat_ws(" ", a1["text"], r["text"], a2["text"]).contains("?"),
         "sentence is imperative": F.exists(F.zip_with(tag_list, F.concat(F.array(F.lit(",")), F.slice(tag_list, 1, F.greatest(F.size(tag_list) - 1, F.lit(0)))), lambda t, p: verb(t) & (p == ",")), lambda x: x),
         "arg2 contains infinitive": F.exists(F.zip_with(tags(a2), F.slice(tags(a2), 2, F.size(tags(a2))), lambda p, t: (p == "TO") & verb(t)), lambda x: F.coalesce(x, F.lit(False))),
         "rel is contiguous": sentence.contains(r["text"]),
-        "prep right before arg1": F.coalesce(_tag(a1["s"] - 1).isin(*PREP_TAGS), F.lit(False)),
-        "rel starts with be": F.coalesce(F.get("tokens", F.get(r["idx"], 0))["text"].startswith("be "), F.lit(False)),
-        "prep right after arg2": F.coalesce(_tag(a2["e"]).isin(*PREP_TAGS), F.lit(False)),
+        "prep right before arg1": F.coalesce(_before(a1)["postag"].isin(*PREP_TAGS), F.lit(False)),
+        "rel starts with be": F.coalesce(F.get(F.filter("tokens", lambda t: t["idx"] == F.get(r["idx"], F.lit(0))), F.lit(0))["text"].startswith("be "), F.lit(False)),
+        "prep right after arg2": F.coalesce(F.get(_behind(a2), F.lit(0))["postag"].isin(*PREP_TAGS), F.lit(False)),
         "arg1 is proper": F.forall(tags(a1), lambda t: t.startswith("NNP")),
         "arg2 is proper": F.forall(tags(a2), lambda t: t.startswith("NNP")),
         "sentence starts with extraction": F.least(a1["s"], r["s"], a2["s"]) == 0,
         "sentence begins with arg1": a1["s"] == 0,
-        "sentence ends with arg2": F.forall(F.slice(tag_list, a2["e"] + 1, F.size(tag_list)), lambda t: t.isin(".", "?")),
+        "sentence ends with arg2": F.forall(_behind(a2), lambda t: t["postag"].isin(".", "?")),
         "pattern confidence": F.least(F.lit(1.0), F.col("pattern_confidence")),
         "arg2 before arg1": a2["e"] <= a1["s"],
         "arg2 before rel": a2["e"] <= r["s"],
-        "args start and end with noun": _tag(a1["s"]).isin(*OPEN_TAGS) & _tag(a2["s"]).isin(*OPEN_TAGS) & _tag(a1["e"] - 1).isin(*CLOSE_TAGS) & _tag(a2["e"] - 1).isin(*CLOSE_TAGS),
-        "if right before arg1": F.coalesce(F.get(words, a1["s"] - 1) == "if", F.lit(False)),
+        "args start and end with noun": F.coalesce(first(a1).isin(*OPEN_TAGS) & first(a2).isin(*OPEN_TAGS) & final(a1).isin(*CLOSE_TAGS) & final(a2).isin(*CLOSE_TAGS), F.lit(False)),
+        "if right before arg1": F.coalesce(F.lower(_before(a1)["text"]) == "if", F.lit(False)),
         "arg1 contains pronoun": _any(a1, lambda t: t.startswith("PRP")),
         "arg2 contains pronoun": _any(a2, lambda t: t.startswith("PRP")),
         "rel ends with of": last == "of",

@@ -81,9 +81,8 @@ def generalize_prepositions(histogram: DataFrame) -> DataFrame:
     edge = F.concat(F.lit(">prep_"), prep, F.lit(">"))
     at = F.col("pattern").contains(edge) & (prep != "")
     new_t = F.when(at, F.regexp_replace("template", r" \w+$", " {prep}")).otherwise(F.col("template"))
-    tail = F.substring_index("pattern", edge, -1)
     head = F.expr("substring(pattern, 1, length(pattern) - length(_tail) - length(_edge))")
-    rows = histogram.withColumn("_edge", edge).withColumn("_tail", tail)
+    rows = histogram.withColumn("_edge", edge).withColumn("_tail", F.expr("substring_index(pattern, _edge, -1)"))
     new_p = F.when(at, F.concat(head, F.lit(">{prep:regex=prep_(.*)}>"), F.col("_tail"))).otherwise(F.col("pattern"))
     return rows.select(new_t.alias("template"), new_p.alias("pattern"), "count").groupBy("template", "pattern").agg(F.sum("count").alias("count"))
 

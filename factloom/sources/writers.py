@@ -18,7 +18,7 @@ def optional(c: Column) -> Column:
 
 def interactive(df: DataFrame) -> DataFrame:
     """line: confidence and fact. A sentence without extractions (arg1 null) says so."""
-    return df.select(F.when(F.col("arg1").isNull(), F.lit("No extractions found.")).otherwise(F.concat_ws(": ", F.format_number("confidence", "#.###"), fact_text())).alias("line"))
+    return df.select(F.when(F.col("arg1").isNull(), F.lit("No extractions found.")).otherwise(F.concat_ws(": ", F.call_function("format_number", F.col("confidence"), F.lit("#.###")), fact_text())).alias("line"))
 
 
 def tabbed(df: DataFrame) -> DataFrame:
