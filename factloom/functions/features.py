@@ -122,5 +122,7 @@ def confidence(weights: dict[str, float] | None = None) -> Column:
     total = F.lit(float(weights.get("Intercept", 0.0)))
     for name, w in weights.items():
         if name != "Intercept" and w:
-            total = total + known[name] * float(w)
+            # files of other origin name the extractor's confidence after their extractor
+            feature = known["pattern confidence"] if name not in known and name.endswith(" confidence") else known[name]
+            total = total + feature * float(w)
     return 1 / (1 + F.exp(-total))

@@ -163,3 +163,27 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("facts").count() == E.extract(spark.createDataFrame(SENTENCES, "sent long, graph string")).count() > 0
+
+
+def test_command_line(spark, tmp_path):
+    from factloom.__main__ import parser, run, validate
+
+    (tmp_path / "in.txt").write_text("\n".join(f"{s}\t{raw}" for s, raw in SENTENCES) + "\nno graph\n")
+    said = run(spark, parser().parse_args(["extract", str(tmp_path / "in.txt"), "--output", str(tmp_path / "out")]))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert said.startswith(f"{len(lines) - 1} extractions from 4 sentences") and W.TABBED_HEADER in lines
+    (tmp_path / "scored.txt").write_text("1\t0.9\t(a; b; c)\tp\ts1\n0\t0.8\t(d; e; f)\tp\ts2\n1\t0.7\t(g; h; i)\tq\ts3\n")
+    run(spark, parser().parse_args(["curve", str(tmp_path / "scored.txt"), "--output", str(tmp_path / "curve")]))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "curve")).collect()) == ["0.7\t2\t0.6666666666666666", "0.9\t1\t1.0"]
+    run(spark, parser().parse_args(["rank", str(tmp_path / "scored.txt"), "--output", str(tmp_path / "rank")]))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "rank")).collect()) == ["p\t0.5\t2", "q\t1.0\t1"]
+    assert validate(["{arg1} <nsubj< {rel} >dobj> {arg2}", "nonsense"]) == ["valid: {arg1} <nsubj< {rel} >dobj> {arg2}", "invalid: nonsense"]
+
+
+def test_columns(spark):
+    from factloom.functions import columns as K
+
+    row = spark.sql("select named_struct('s', 1, 'e', 3) a, named_struct('s', 3, 'e', 5) b, array('the', 'Bible') w, array('DT', 'NNP') t")
+    a, b = F.col("a"), F.col("b")
+    got = row.select(K.borders(a, b).alias("x"), K.intersects(a, b).alias("y"), K.superset(K.union(a, b), b).alias("z"), K.distance(a, b).alias("d"), K.clean_argument(F.col("w"), F.col("t")).alias("c"), K.proper(F.col("t")).alias("p")).first()
+    assert tuple(got) == (True, False, True, 0, "Bible", True)
