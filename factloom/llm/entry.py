@@ -97,4 +97,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license": op9_license,
     "op10_lines": op10_lines,
 }
-ORACLE: dict[str, str] = {"op4_quality": QUALITY_SQL}
+#: All pairs, then components by reachability: fit for the small tables of a comparison.
+VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+c AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.node)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, root AS component_id, vec_id = root AS kept
+FROM (SELECT node AS vec_id, min(root) AS root FROM c GROUP BY node)
+"""
+SHINGLES_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * k >= 85 * (x.n + y.n - k)),
+c AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.node)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, root AS component_id, doc_id = root AS kept
+FROM (SELECT node AS doc_id, min(root) AS root FROM c GROUP BY node) LEFT JOIN n USING (doc_id)
+"""
+ORACLE: dict[str, str] = {"op4_quality": QUALITY_SQL, "op5_neighbours": VECTORS_SQL, "op6_minhash": SHINGLES_SQL}
