@@ -38,7 +38,8 @@ def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
 def chunk_table(lines: DataFrame, min_words: int, mean_lines: int) -> DataFrame:
     """_k, _h, first, last (seq), begin, end (pos), words, ck: chunks of lines that occur more than once."""
     counts = lines.groupBy("lh").agg(F.count("*").alias("n")).where("n > 1")
-    again = lookup(lines, counts, "lh", "n", lines.count()).where("n is not null")
+    # rows that repeat key and text count once; the windows below use the same partitioning
+    again = lookup(lines, counts, "lh", "n", lines.count()).where("n is not null").repartition("_k", "_h").dropDuplicates(["_k", "_h", "seq"])
     order = Window.partitionBy("_k", "_h").orderBy("seq")
     lag = lambda c: F.lag(c).over(order)
     near = F.col("seq") == lag("seq") + 1
@@ -90,8 +91,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     dropped first.
     """
     docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
-    # rows that repeat key and text count once
-    lines = keep(line_table(docs, key, text).repartition("_k", "_h").dropDuplicates(["_k", "_h", "seq"]), "lines")
+    lines = keep(line_table(docs, key, text), "lines")
     marks = decisions(lines, min_words, mean_lines)
     own = docs.columns
     whole = docs.withColumn("_h", F.xxhash64(text))
