@@ -129,3 +129,31 @@ def nary(df: DataFrame, group: list[str], arg1: str, rel: str, arg2: str, start:
     suffix = F.struct(F.col(start).alias("start"), F.concat_ws(" ", "_p", arg2).alias("text"), F.col(conf).alias("conf"))
     one = rows.groupBy(*group, arg1, "_b", start).agg(F.max(suffix).alias("x"))
     return one.groupBy(*group, arg1, F.col("_b").alias(rel)).agg(F.array_sort(F.collect_list("x")).alias("suffixes"), F.count("*").alias("n")).where("n > 1")
+
+
+def switch_voices(sentences: DataFrame, graph: str = "graph") -> DataFrame:
+    """All columns, with the graph in the other voice: a row for each clause that can be turned, none for others."""
+    names = sentences.columns
+
+    def run(batches):
+        for batch in batches:
+            at, new = [], []
+            for i, raw in enumerate(batch.column(names.index(graph)).to_pylist()):
+                try:
+                    turned = [str(g) for g in G.switch_voice(G.parse(raw))] if raw is not None else []
+                except ValueError:  # no graph, or spans that can't be swapped
+                    continue
+                at += [i] * len(turned)
+                new += turned
+            own = batch.take(pa.array(at, pa.int64()))
+            yield own.set_column(names.index(graph), graph, pa.array(new, pa.string()))
+
+    return sentences.mapInArrow(run, sentences.schema)
+
+
+def feature_matrix(extractions: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """confidence, fact and a column for each weighted feature, in order of name; the weights are those of ``with_confidence``."""
+    from ..functions.features import DEFAULT_WEIGHTS, features
+
+    known, used = features(), DEFAULT_WEIGHTS if weights is None else weights
+    return extractions.select("confidence", fact_text().alias("fact"), *[known[n].alias(n) for n in sorted(used) if n in known])

@@ -187,3 +187,11 @@ def test_columns(spark):
     a, b = F.col("a"), F.col("b")
     got = row.select(K.borders(a, b).alias("x"), K.intersects(a, b).alias("y"), K.superset(K.union(a, b), b).alias("z"), K.distance(a, b).alias("d"), K.clean_argument(F.col("w"), F.col("t")).alias("c"), K.proper(F.col("t")).alias("p")).first()
     assert tuple(got) == (True, False, True, 0, "Bible", True)
+
+
+def test_voices_and_feature_matrix(spark):
+    df = spark.createDataFrame([(1, HIT), (2, WAS_HIT), (3, "no graph"), (4, None), (5, TEAM)], "sent long, graph string")
+    assert {(r.sent, r.graph) for r in E.switch_voices(df).collect()} == {(1, HIT_PASSIVE), (2, HIT_ACTIVE)}
+    facts = E.with_confidence(E.extract(spark.createDataFrame(SENTENCES, "sent long, graph string")))
+    matrix = E.feature_matrix(facts)
+    assert matrix.count() == facts.count() and {"arg1 is proper", "confidence", "fact"} <= set(matrix.columns)
