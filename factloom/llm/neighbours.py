@@ -25,7 +25,7 @@ ROUNDS, CHANGED = 4, 0.01
 #: Vectors compared with all others to audit recall, the bar, and how often the search may start again below it.
 AUDIT, RECALL, AGAIN = 512, 0.98, 2
 #: Vectors of a block when a dense component is compared as a whole.
-DENSE = 1024
+DENSE = 256
 
 
 def unit_rows(column: pa.Array) -> list[bytes | None]:
