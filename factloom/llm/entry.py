@@ -70,13 +70,28 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer())
 
 
+def license_paths(docs: DataFrame) -> DataFrame:
+    """doc_id, text, path. The table has no paths: a document stands as a file in a folder of a hundred below its source.
+
+    Of the documents that speak of a license (``TRIGGER``) a quarter, by crc32 of doc_id, are licence files of their
+    folder and a quarter licence files of their source, above the folders.
+    """
+    from .license import TRIGGER
+
+    folder = F.concat_ws("/", "source", (F.col("doc_id") / 100).cast("long").cast("string"))
+    name = F.col("doc_id").cast("string")
+    turn = F.when(F.col("text").rlike(TRIGGER), F.crc32(name) % 4)
+    path = F.when(turn == 0, F.concat_ws("/LICENSE.", "source", name)).when(turn == 1, F.concat_ws("/LICENSE.", folder, name)).otherwise(F.concat_ws("/", folder, name))
+    return docs.select("doc_id", "text", path.alias("path"))
+
+
 def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has no paths: a document stands as a file in a folder of a hundred, below its source."""
-    from .license import scan
+    """What documents state is stored without their text, so that inheritance doesn't score them again."""
+    from .common import keep
+    from .license import inherit, stated
 
-    docs = read(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", (F.col("doc_id") / 100).cast("long").cast("string"), F.col("doc_id").cast("string"))
-    return scan(docs.select("doc_id", "text", path.alias("path"))).select("doc_id", "license", "license_score", "license_from", "inherited_from")
+    marked = keep(stated(license_paths(read(spark, sf_dir, "documents"))).drop("text"), "stated")
+    return inherit(marked, marked.count()).select("doc_id", "license", "license_score", "license_from", "inherited_from")
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,20 +114,8 @@ def best_template(line: Column, idf: dict[str, float], templates: list[tuple[str
     return F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, of(w))), 0)
 
 
-def scan(docs: DataFrame, path: str = "path", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """All columns of docs and license, license_score, license_from (header, file, inherited or null), inherited_from.
-
-    Every line of the whole text that has a trigger word, each together with the next line too, is compared with the
-    templates; the document's license is the one of its most similar line, if the cosine reaches ``similar``. A file
-    named like a licence file gives its license to its directory. Documents without a license of their own take that of
-    the nearest directory above, by equi-joins of directories: one row for each distinct directory, not for each document.
-
-    Null text: no license of its own. Null path: nothing inherited. Ties: the license first in order of name, and for
-    two licence files of one directory likewise. Long texts are scanned whole; repeated rows alike. Empty tables stay
-    empty. Columns of docs named like a result are dropped first.
-    """
-    names = ("license", "license_score", "license_from", "inherited_from")
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in names])
+def stated(docs: DataFrame, path: str = "path", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """All columns of docs and _top, _own: score and license of the most similar line, the license null below ``similar``."""
     total, found = term_frequencies(docs, text)
     idf, templates = vectors(total, found)
     lines = F.filter(F.transform(F.split(F.col(text), "\n", -1), lambda x: F.trim(x)), lambda x: x.rlike(TRIGGER))
@@ -135,7 +123,12 @@ def scan(docs: DataFrame, path: str = "path", text: str = "text", similar: float
     marked = docs.withColumn("_scores", F.filter(scores, lambda s: s["score"] >= similar))
     top = F.array_max(F.transform("_scores", lambda s: s["score"]))
     marked = marked.withColumn("_top", top)
-    marked = marked.withColumn("_own", F.array_min(F.transform(F.filter("_scores", lambda s: s["score"] == F.col("_top")), lambda s: s["license"])))
+    return marked.withColumn("_own", F.array_min(F.transform(F.filter("_scores", lambda s: s["score"] == F.col("_top")), lambda s: s["license"]))).drop("_scores")
+
+
+def inherit(marked: DataFrame, total: int, path: str = "path") -> DataFrame:
+    """Columns of docs and the result, from what ``stated`` returns; ``marked`` is read several times, its text not."""
+    columns = [c for c in marked.columns if c not in ("_own", "_top")]
     parent = F.when(F.col(path).contains("/"), F.regexp_replace(F.col(path), r"/[^/]*$", "")).otherwise(F.when(F.col(path).isNotNull(), ""))
     marked = marked.withColumn("_dir", parent)
     is_file = F.coalesce(F.col(path).rlike(FILE_NAME), F.lit(False))
@@ -149,4 +142,21 @@ def scan(docs: DataFrame, path: str = "path", text: str = "text", similar: float
     nearest = nearest.select(F.col("_dir").alias("_need"), "files", "r.rule", "r.rule_dir")
     out = lookup(marked.withColumn("_need", F.when(F.col("_own").isNull(), F.col("_dir"))), nearest, "_need", "files", total)
     kind = F.when(F.col("_own").isNotNull(), F.when(is_file, "file").otherwise("header")).when(F.col("rule").isNotNull(), "inherited")
-    return out.select(*docs.columns, F.coalesce("_own", "rule").alias("license"), F.col("_top").alias("license_score"), kind.alias("license_from"), F.col("rule_dir").alias("inherited_from"))
+    return out.select(*columns, F.coalesce("_own", "rule").alias("license"), F.col("_top").alias("license_score"), kind.alias("license_from"), F.col("rule_dir").alias("inherited_from"))
+
+
+def scan(docs: DataFrame, path: str = "path", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """All columns of docs and license, license_score, license_from (header, file, inherited or null), inherited_from.
+
+    Every line of the whole text that has a trigger word, each together with the next line too, is compared with the
+    templates; the document's license is the one of its most similar line, if the cosine reaches ``similar``. A file
+    named like a licence file gives its license to its directory. Documents without a license of their own take that of
+    the nearest directory above, by equi-joins of directories: one row for each distinct directory, not for each document.
+
+    Null text: no license of its own. Null path: nothing inherited. Ties: the license first in order of name, and for
+    two licence files of one directory likewise. Long texts are scanned whole; repeated rows alike. Empty tables stay
+    empty. Columns of docs named like a result are dropped first.
+    """
+    names = ("license", "license_score", "license_from", "inherited_from")
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in names])
+    return inherit(stated(docs, path, text, similar), docs.count(), path)

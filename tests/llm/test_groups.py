@@ -135,3 +135,31 @@ def test_licenses(spark):
         ("q.py", "None", "None", "None"), ("a/b/g.py", "MIT", "header", "None"),
     ])
     assert lic.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_registered_license_query_inherits(spark, tmp_path):
+    """Full rows of op9_license against plain Python: files of folders and of sources, the nearest first."""
+    import zlib
+
+    from factloom.llm import entry
+
+    states = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0."]
+    rng = random.Random(5)
+    rows = [(i, f"plain words {i}" + (f"\n{rng.choice(states)}\nend" if rng.random() < 0.15 else ""), f"src{i % 3}") for i in range(600)] + [(900, None, "src0"), (901, "alone", "src9")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = {states[0]: "MIT", states[1]: "Apache-2.0", states[2]: "CC-BY-NC-4.0"}
+    own = {i: next((n for s, n in names.items() if s in (t or "")), None) for i, t, _ in rows}
+    files, rules = {}, {}
+    for i, _, source in rows:
+        turn = zlib.crc32(str(i).encode()) % 4 if own[i] else 9
+        if turn < 2:
+            files[i] = source if turn == 0 else f"{source}/{i // 100}"
+            rules[files[i]] = min(rules.get(files[i], "Z"), own[i])
+    want = {}
+    for i, _, source in rows:
+        folder = f"{source}/{i // 100}"
+        place = None if own[i] else folder if folder in rules else source if source in rules else None
+        want[i] = (own[i] or rules.get(place), "file" if i in files else "header" if own[i] else "inherited" if place else None, place)
+    out = entry.op9_license(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.license, r.license_from, r.inherited_from) for r in out} == want and len(out) == len(rows)
+    assert {"src0", "src1/2"} & {p for _, _, p in want.values()} and {f for _, f, _ in want.values()} == {"file", "header", "inherited", None}
