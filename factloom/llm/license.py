@@ -50,8 +50,10 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     "Proprietary": ("All rights reserved", "Copyright. All rights reserved. Unauthorized copying of this file is prohibited"),
 }
-#: A line is scored if one of these words stands in it.
-TRIGGER = r"(?i)licen[sc]e|copyright|rights reserved|spdx|permission is hereby granted|redistribution and use|public domain"
+#: Lines are scored if one of these words stands in them, alone or taken together; words may stand on different lines.
+TRIGGER = "(?i)" + "licen[sc]e|copyright|rights reserved|spdx|permission is hereby granted|redistribution and use|public domain".replace(" ", "[^a-z0-9]+")
+#: Lines that a statement may be wrapped over.
+WRAPPED = 6
 #: Names of files whose license holds for their directory.
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([-._][^/]*)?$"
 SIMILAR = 0.7
@@ -94,16 +96,20 @@ def best_template(line: Column, idf: dict[str, float], templates: list[tuple[str
     """
     rare = math.log(1 + total) + 1
     weights = F.create_map(*[x for t, v in idf.items() for x in (F.lit(t), F.lit(v))])
+    known = F.array(*[F.lit(t) for t in idf])
     words = F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
 
     def of(words: Column) -> Column:
-        kinds = F.array_distinct(words)
-        many = lambda t: F.size(F.filter(words, lambda w: w == t)).cast("double")
-        pairs = F.transform(kinds, lambda t: F.struct(t.alias("t"), (many(t) * F.coalesce(F.element_at(weights, t), F.lit(rare))).alias("x")))
-        return F.get(F.transform(F.array(pairs), scored), 0)
-
-    def scored(pairs: Column) -> Column:
-        norm = F.sqrt(F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"] * p["x"]))
+        many = lambda t: (F.size(words) - F.size(F.array_remove(words, t))).cast("double")
+        pairs = F.transform(F.array_intersect(words, known), lambda t: F.struct(t.alias("t"), (many(t) * F.element_at(weights, t)).alias("x")))
+        # the square of a count is the sum of the odd numbers up to it: one pass over the sorted words, however many
+        first = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(0.0).alias("all"))
+        step = lambda a, t, n: F.struct(t.alias("t"), n.alias("n"), (a["all"] + 2 * n - 1).alias("all"))
+        others = F.aggregate(F.array_sort(F.filter(words, lambda w: ~F.array_contains(known, w))), first, lambda a, t: step(a, t, F.when(a["t"] == t, a["n"] + 1).otherwise(F.lit(1))), lambda a: a["all"])
+        return F.get(F.transform(F.array(F.struct(pairs.alias("pairs"), (others * rare * rare).alias("others"))), lambda p: scored(p["pairs"], p["others"])), 0)
+
+    def scored(pairs: Column, others: Column) -> Column:
+        norm = F.sqrt(F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"] * p["x"]) + others)
         table = F.array(*[F.struct(F.lit(name).alias("license"), F.create_map(*[x for t, v in own.items() for x in (F.lit(t), F.lit(v))]).alias("v")) for name, own in sorted(templates, key=lambda x: x[0], reverse=True)])
         dot = lambda own: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"] * F.coalesce(F.element_at(own["v"], p["t"]), F.lit(0.0)))
         ranked = F.transform(table, lambda own: F.struct((F.round(dot(own) / norm, 9)).alias("score"), own["license"].alias("license")))
@@ -115,11 +121,19 @@ def best_template(line: Column, idf: dict[str, float], templates: list[tuple[str
 
 
 def stated(docs: DataFrame, path: str = "path", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """All columns of docs and _top, _own: score and license of the most similar line, the license null below ``similar``."""
+    """All columns of docs and _top, _own: score and license of the most similar lines or text, null below ``similar``."""
     total, found = term_frequencies(docs, text)
     idf, templates = vectors(total, found)
-    lines = F.filter(F.transform(F.split(F.col(text), "\n", -1), lambda x: F.trim(x)), lambda x: x.rlike(TRIGGER))
-    scores = F.when(F.col(text).rlike(TRIGGER), F.transform(lines, lambda x: best_template(x, idf, templates, total)))
+    lines = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.trim(x))
+    is_file = F.coalesce(F.col(path).rlike(FILE_NAME), F.lit(False))
+
+    def places(lines: Column) -> Column:
+        runs = F.flatten(F.transform(lines, lambda _, i: F.transform(F.sequence(F.lit(1), F.lit(WRAPPED)), lambda n: F.array_join(F.slice(lines, i + 1, n), " "))))
+        return F.array_distinct(F.filter(runs, lambda x: x.rlike(TRIGGER)))
+
+    runs = F.when(F.col(text).rlike(TRIGGER), F.get(F.transform(F.array(lines), places), 0)).otherwise(F.array().cast("array<string>"))
+    runs = F.array_distinct(F.concat(runs, F.when(is_file & F.col(text).isNotNull(), F.array(text)).otherwise(F.array().cast("array<string>"))))
+    scores = F.when(F.col(text).rlike(TRIGGER) | is_file, F.transform(runs, lambda x: best_template(x, idf, templates, total)))
     marked = docs.withColumn("_scores", F.filter(scores, lambda s: s["score"] >= similar))
     top = F.array_max(F.transform("_scores", lambda s: s["score"]))
     marked = marked.withColumn("_top", top)
@@ -148,9 +162,9 @@ def inherit(marked: DataFrame, total: int, path: str = "path") -> DataFrame:
 def scan(docs: DataFrame, path: str = "path", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """All columns of docs and license, license_score, license_from (header, file, inherited or null), inherited_from.
 
-    Every line of the whole text that has a trigger word, each together with the next line too, is compared with the
-    templates; the document's license is the one of its most similar line, if the cosine reaches ``similar``. A file
-    named like a licence file gives its license to its directory. Documents without a license of their own take that of
+    Every run of up to ``WRAPPED`` lines of the whole text that has a trigger word is compared with the templates, and so
+    is the whole text of a file named like a licence file; the document's license is the one of its most similar run, if
+    the cosine reaches ``similar``. A licence file gives its license to its directory. Documents without a license of their own take that of
     the nearest directory above, by equi-joins of directories: one row for each distinct directory, not for each document.
 
     Null text: no license of its own. Null path: nothing inherited. Ties: the license first in order of name, and for

@@ -163,3 +163,18 @@ def test_registered_license_query_inherits(spark, tmp_path):
     out = entry.op9_license(spark, str(tmp_path)).collect()
     assert {r.doc_id: (r.license, r.license_from, r.inherited_from) for r in out} == want and len(out) == len(rows)
     assert {"src0", "src1/2"} & {p for _, _, p in want.values()} and {f for _, f, _ in want.values()} == {"file", "header", "inherited", None}
+
+
+def test_wrapped_licenses(spark):
+    """Statements over several lines, and licence files as whole texts, whose long template lines no run holds."""
+    apache = lic.TEMPLATES["Apache-2.0"][1].split()
+    rows = [
+        ("a/f.py", "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files, to deal in the\n# Software without restriction\ncode"),
+        ("b/f.py", "x\nGNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"), ("c/f.py", "This Source Code Form is subject to the\nterms of the Mozilla Public License, v. 2.0"),
+        ("d/f.py", "all\nrights\nreserved"), ("e/LICENSE", "\n".join(apache)), ("e/f.py", "code"), ("g/f.py", "license plates\nof no kind\nhere"),
+    ]
+    other = [("x", f"plain text {i}") for i in range(300)]  # words of the templates are rare, as in a corpus
+    out = lic.scan(spark.createDataFrame(rows + other, "path string, text string")).where("path <> 'x'").collect()
+    got = {r.path: (r.license, r.license_from) for r in out}
+    assert got == {"a/f.py": ("MIT", "header"), "b/f.py": ("GPL-3.0", "header"), "c/f.py": ("MPL-2.0", "header"), "d/f.py": ("Proprietary", "header"), "e/LICENSE": ("Apache-2.0", "file"), "e/f.py": ("Apache-2.0", "inherited"), "g/f.py": (None, None)}
+    assert [round(r.license_score, 6) for r in out if r.path == "e/LICENSE"] == [1.0]
