@@ -19,6 +19,8 @@ from factloom.llm.quality import judge
 
 #: A document stays if its language is told with at least this share; by chance the best of four languages has a quarter.
 LEAST_SCORE = 0.3
+#: Percent of common word shingles from which on two documents are near copies.
+SIMILAR = 80
 
 
 def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -49,7 +51,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near copies."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, similar=SIMILAR).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -21,6 +21,8 @@ from .shingles import mix, shingle_sets
 
 #: 64 permutations give 128 values; 25 bands of 5. A pair with similarity 0.85 misses all of them once in two million times.
 PERMUTATIONS, BANDS, ROWS = 64, 25, 5
+#: Below 0.85: 32 bands of 4. A pair with similarity 0.8 shares fewer than SHARED of them about once in a million times.
+WIDE_BANDS, WIDE_ROWS = 32, 4
 SIMILAR = 85
 #: Bands that a pair must share to be compared: with similarity 0.85 fewer happen once in a hundred thousand times.
 SHARED = 2
@@ -31,6 +33,7 @@ _random = np.random.Generator(np.random.PCG64(977))
 _MULTIPLY = _random.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _random.integers(0, 1 << 64, PERMUTATIONS, np.uint64)
 _BAND = _random.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_WIDE_BAND = _random.integers(0, 1 << 63, (WIDE_BANDS, WIDE_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signatures(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -44,14 +47,20 @@ def signatures(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    values = signature[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
-    return mix((mix(values) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+def factors(similar: int) -> np.ndarray:
+    """(bands, rows): odd factors of the band keys that a search from ``similar`` on needs."""
+    return _BAND if similar >= SIMILAR else _WIDE_BAND
 
 
-def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
+def band_keys(signature: np.ndarray, band: np.ndarray = _BAND) -> np.ndarray:
+    values = signature[:, : band.size].reshape(-1, *band.shape)
+    return mix((mix(values) * band).sum(axis=2, dtype=np.uint64) + np.arange(len(band), dtype=np.uint64))
+
+
+def fingerprints(docs: DataFrame, key: str, text: str, similar: int = SIMILAR) -> DataFrame:
     """key, n_shingles, set_key (128 bits of the set, null if empty), bands."""
     kind = docs.schema[key].dataType.simpleString()
+    band = factors(similar)
 
     def hashed(batches):
         for batch in batches:
@@ -60,14 +69,14 @@ def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
                 n = np.diff(offsets)
                 full = np.flatnonzero(n > 0)
                 one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-                bands = np.zeros((len(n), BANDS), np.uint64)
+                bands = np.zeros((len(n), len(band)), np.uint64)
                 if len(full):
                     edges = np.append(offsets[:-1][full], len(flat))
                     one[full] = np.add.reduceat(mix(flat), edges[:-1])
                     two[full] = np.add.reduceat(mix(flat ^ np.uint64(0x9E3779B97F4A7C15)), edges[:-1])
-                    bands[full] = band_keys(signatures(flat, edges))
+                    bands[full] = band_keys(signatures(flat, edges), band)
                 keys = pa.array([f"{a:016x}{b:016x}" if c else None for a, b, c in zip(one.tolist(), two.tolist(), n.tolist(), strict=True)], pa.string())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * len(band) + 1, len(band)), pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n), keys, lists], [key, "n_shingles", "set_key", "bands"])
 
     return docs.select(key, text).mapInArrow(hashed, f"`{key}` {kind}, n_shingles long, set_key string, bands array<long>")
@@ -162,7 +171,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     ignored.
     """
     docs = docs.select(F.col(key), F.col(text))
-    prints = keep(fingerprints(docs, key, text), "minhash")
+    prints = keep(fingerprints(docs, key, text, similar), "minhash")
     usable = prints.where(F.col(key).isNotNull() & F.col("set_key").isNotNull())
     groups = usable.groupBy("set_key").agg(F.min(key).alias("_class"), F.count("*").alias("_rows"))
     rows = prints.count()
@@ -171,7 +180,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     same = classed.where(F.col("_class") != F.col(key)).select(F.col("_class").alias("a"), F.col(key).alias("b"))
     reps = classed.where(F.col("_class") == F.col(key)).select(F.col("_class").alias("id"), F.explode("bands").alias("band")).distinct()
     shared = reps.groupBy("band").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    members = keep(lookup(reps, shared, "band", "n", rows * BANDS).where("n is not null").select("band", "id", "rep"), "buckets")
+    members = keep(lookup(reps, shared, "band", "n", rows * len(factors(similar))).where("n is not null").select("band", "id", "rep"), "buckets")
     needed = members.select(F.col("id").alias(key)).distinct()
     sets = keep(full_sets(docs.join(needed, key, "left_semi"), key, text).dropDuplicates(["id"]), "sets")
     star = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
@@ -183,7 +192,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         mine = keep(mine, "open")
         pick = F.xxhash64("id", F.lit(turn))
         still = mine.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min_by("id", pick).alias("rep"), F.min_by("root", pick).alias("rep_root"), F.count("*").alias("n")).where("_lo <> _hi")
-        return mine, lookup(mine, still, "band", "n", rows * BANDS).where("rep is not null")
+        return mine, lookup(mine, still, "band", "n", rows * len(factors(similar))).where("rep is not null")
 
     roots = keep(roots, "roots")
     mine, open_ = still_open(1)

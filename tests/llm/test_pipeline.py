@@ -26,3 +26,20 @@ def test_stages(spark, tmp_path):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
     assert empty.count() == 0
+
+
+def test_near_copies_from_80_percent(spark, tmp_path):
+    """A pair in [0.80, 0.85) is one group for the stage; a pair below 0.80 isn't."""
+    import corpus_pipeline as pipeline
+
+    rows = []
+    for i in range(40):
+        words = [f"w{i}x{k}" for k in range(104)]
+        rows.append((2 * i, " ".join(words)))
+        # 100 shingles; 10 of them lost on each side: 90 / 110 = 0.818, or 14: 86 / 114 = 0.754
+        for at in (20, 60) if i < 30 else (20, 60, 100):
+            words[at] += "y"
+        rows.append((2 * i + 1, " ".join(words)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in pipeline.near_copies(spark, docs, str(tmp_path)).collect()}
+    assert kept == {2 * i for i in range(40)} | {2 * i + 1 for i in range(30, 40)}
