@@ -178,13 +178,18 @@ def refine(lists: DataFrame, nodes: DataFrame, threshold: float, k: int) -> Data
     return full.repartition("c").sortWithinPartitions("c", "x").mapInArrow(run, EDGE)
 
 
-def dense_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """(id, links): weighted links of every member of the given components (root, id, weight, unit), compared in blocks."""
+def dealt_blocks(members: DataFrame) -> DataFrame:
+    """Members (root, id, weight, unit) of each root, dealt out sorted as pairs (i, j) of blocks of about DENSE vectors."""
     sizes = members.groupBy("root").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / DENSE).cast("int")
     placed = lookup(members, sizes, "root", "n", members.count()).withColumn("blocks", blocks)
     placed = placed.withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "weight", "unit")
+    return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
+
+
+def dense_counts(members: DataFrame, threshold: float) -> DataFrame:
+    """(id, links): weighted links of every member of the given components (root, id, weight, unit), compared in blocks."""
 
     def run(batches):
         for g in grouped(batches, ["root", "i", "j"]):
@@ -202,17 +207,19 @@ def dense_counts(members: DataFrame, threshold: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[right]), pa.array((s * w[some][:, None]).sum(0))], ["id", "links"])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array((s * w[right][None, :]).sum(1))], ["id", "links"])
 
-    parts = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "id").mapInArrow(run, "id long, links long")
+    parts = dealt_blocks(members).mapInArrow(run, "id long, links long")
     return parts.groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, links: DataFrame, n: int, threshold: float, seed: int) -> tuple[int, int]:
-    """(links found, links there) of at most about AUDIT vectors chosen by hash, against all vectors by brute force."""
+def audit(nodes: DataFrame, links: DataFrame, roots: DataFrame, dense: DataFrame, n: int, threshold: float, seed: int) -> tuple[float, int]:
+    """(sum of the shares of links found, vectors) over at most about AUDIT vectors chosen by hash, against all vectors
+    by brute force. A vector counts once, however many links it has. Links inside the components of ``dense``, which are
+    compared as a whole, don't count; all others are found only if ``links`` (a < b) has them."""
     rate = min(1.0, AUDIT / max(1, n))
     chosen = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < rate * (1 << 30)
     rows = nodes.where(chosen).select("id", "unit").limit(4 * AUDIT).collect()
     if not rows:
-        return 0, 0
+        return 0.0, 0
     shared = nodes.sparkSession.sparkContext.broadcast([(r["id"], bytes(r["unit"])) for r in rows])
 
     def run(batches):
@@ -231,11 +238,14 @@ def audit(nodes: DataFrame, links: DataFrame, n: int, threshold: float, seed: in
                     yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["u", "v"])
 
     true = nodes.select("id", "unit").mapInArrow(run, "u long, v long")
-    # a pair counts as found if a list has it or if both stand in one component, which is compared as a whole if saturated
-    roots = links
-    found = true.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
-    got = found.agg(F.sum(F.when(F.col("ru") == F.col("rv"), 1).otherwise(0)).alias("f"), F.count("*").alias("t")).first()
-    return int(got["f"] or 0), int(got["t"])
+    rooted = true.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
+    inner = rooted.join(dense.select(F.col("root").alias("ru"), F.lit(True).alias("whole")), "ru", "left")
+    pairs = inner.where(~(F.coalesce("whole", F.lit(False)) & F.coalesce(F.col("ru") == F.col("rv"), F.lit(False))))
+    pairs = pairs.select("u", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    marks = pairs.join(links.select("a", "b").distinct().withColumn("found", F.lit(1.0)), ["a", "b"], "left")
+    own = marks.groupBy("u").agg(F.avg(F.coalesce("found", F.lit(0.0))).alias("share"))
+    got = own.agg(F.sum("share").alias("f"), F.count("*").alias("t")).first()
+    return float(got["f"] or 0), int(got["t"])
 
 
 def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, k: int = K) -> DataFrame:
@@ -274,12 +284,12 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
                 break
         links = keep(links.distinct(), "vector-links")
         roots = keep(components(links), "vector-roots")
-        got, there = audit(nodes, roots, n, threshold, turn)
+        # saturated lists: the whole component is compared
+        full = lists.where(F.col("s") >= threshold).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("u").alias("node"))
+        dense = keep(roots.join(full, "node", "left_semi").select("root").distinct(), "dense")
+        got, there = audit(nodes, links, roots, dense, n, threshold, turn)
         if got >= RECALL * there:
             break
-    # saturated lists: the whole component is compared
-    full = lists.where(F.col("s") >= threshold).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("u").alias("node"))
-    dense = keep(roots.join(full, "node", "left_semi").select("root").distinct(), "dense")
     inside = keep(roots.join(dense, "root", "left_semi").join(nodes.withColumnRenamed("id", "node"), "node").select("root", F.col("node").alias("id"), "weight", "unit"), "inside")
     counted = dense_counts(inside, threshold)
     weight = nodes.select(F.col("id").alias("v"), "weight")

@@ -178,3 +178,27 @@ def test_wrapped_licenses(spark):
     got = {r.path: (r.license, r.license_from) for r in out}
     assert got == {"a/f.py": ("MIT", "header"), "b/f.py": ("GPL-3.0", "header"), "c/f.py": ("MPL-2.0", "header"), "d/f.py": ("Proprietary", "header"), "e/LICENSE": ("Apache-2.0", "file"), "e/f.py": ("Apache-2.0", "inherited"), "g/f.py": (None, None)}
     assert [round(r.license_score, 6) for r in out if r.path == "e/LICENSE"] == [1.0]
+
+
+def vectors_with_hot_group(pairs=40, hot=60, size=32):
+    rng = np.random.default_rng(8)
+    center, base = rng.standard_normal((1, size)), rng.standard_normal((pairs, size))
+    return np.concatenate([center + 0.1 * rng.standard_normal((hot, size)), base, base + 0.1 * rng.standard_normal((pairs, size))])
+
+
+def test_audit_sees_lost_links_beside_a_hot_group(spark):
+    x = vectors_with_hot_group()
+    nodes = neighbours.prepared(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "id", "v")
+    hot = [(0, i) for i in range(1, 60)]
+    pairs = [(60 + i, 100 + i) for i in range(40)]
+    dense = spark.createDataFrame([(0,)], "root long")
+
+    def audited(links, dense):
+        df = spark.createDataFrame(links, "a long, b long")
+        return neighbours.audit(nodes, df, components(df), dense, len(x), 0.9, 0)
+
+    assert audited(hot + pairs, dense) == (80.0, 80)
+    assert audited(hot + pairs[:10], dense) == (20.0, 80)
+    # a component that isn't compared as a whole has only the links that were found
+    got, there = audited(hot + pairs, dense.where("false"))
+    assert there == 140 and got < 85
