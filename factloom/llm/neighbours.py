@@ -3,7 +3,8 @@
 The neighbour graph starts from blocks of vectors that agree in the signs of a few random projections and is refined by
 joining neighbours of neighbours until few lists change. Lists have K entries. A vector whose list is full of links is
 saturated: its list is enlarged to its whole component, compared in blocks that only return counts. Recall is audited
-against brute force on a bounded sample of vectors; below the bar, more blocks and rounds follow.
+against brute force on a bounded sample of vectors; below the bar, more blocks and rounds follow, and in the end all
+vectors are compared in blocks.
 """
 
 from __future__ import annotations
@@ -88,11 +89,18 @@ def edge_batch(u, v, s) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["u", "v", "s"])
 
 
+def tables_for(bits: int, threshold: float) -> int:
+    """Sign tables of a turn: a pair at the threshold shares a block of one of them with a chance of RECALL at least."""
+    meet = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return TABLES if meet >= 1 else max(TABLES, math.ceil(math.log(1 - RECALL) / math.log(1 - meet)))
+
+
 def start(nodes: DataFrame, n: int, threshold: float, seed: int, k: int) -> DataFrame:
     """(u, v, s): each vector's k best within its blocks, and the links of the blocks' components."""
     bits = max(0, math.ceil(math.log2(max(1, n / (BLOCK / 2)))))
     random = np.random.Generator(np.random.PCG64(seed))
-    seeds = [int(x) for x in random.integers(0, 1 << 31, TABLES)]
+    tables = tables_for(bits, threshold)
+    seeds = [int(x) for x in random.integers(0, 1 << 31, tables)]
 
     def place(batches):
         planes: dict[int, np.ndarray] = {}
@@ -109,7 +117,7 @@ def start(nodes: DataFrame, n: int, threshold: float, seed: int, k: int) -> Data
                         planes[size, t] = np.random.Generator(np.random.PCG64(s)).standard_normal((size // 8, max(bits, 1)))
                     sign = (x @ planes[size, t]) > 0
                     cell = (sign[:, :bits] @ (1 << np.arange(bits, dtype=np.int64))) if bits else np.zeros(len(rows), np.int64)
-                    cell = (cell * TABLES + t) * 4096 + size // 8 % 4096
+                    cell = (cell * tables + t) * 4096 + size // 8 % 4096
                     yield pa.RecordBatch.from_arrays([ids, pa.array(cell.astype(np.int64))], ["id", "cell"])
 
     def best(batches):
@@ -135,7 +143,7 @@ def start(nodes: DataFrame, n: int, threshold: float, seed: int, k: int) -> Data
 
     cells = keep(nodes.select("id", "unit").mapInArrow(place, "id long, cell long"), "cells")
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
-    parts = lookup(cells, sizes, "cell", "n", TABLES * n).withColumn("part", F.pmod(F.xxhash64("id", "cell"), F.ceil(F.col("n") / BLOCK)).cast("int"))
+    parts = lookup(cells, sizes, "cell", "n", tables * n).withColumn("part", F.pmod(F.xxhash64("id", "cell"), F.ceil(F.col("n") / BLOCK)).cast("int"))
     full = parts.select("id", "cell", "part").join(nodes.select("id", "unit"), "id").select("id", "unit", "cell", "part")
     return full.repartition("cell", "part").sortWithinPartitions("cell", "part", "id").mapInArrow(best, EDGE)
 
@@ -188,6 +196,27 @@ def dealt_blocks(members: DataFrame) -> DataFrame:
     return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
 
 
+def dense_links(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links enough for the components of all members, every pair of a root compared."""
+
+    def run(batches):
+        for g in grouped(batches, ["root", "i", "j"]):
+            b, i = g.column(3).to_numpy(zero_copy_only=False), g.column(1)[0].as_py()
+            ids, x = g.column(4).to_numpy(zero_copy_only=False), matrix(g.column(6))
+            left, right = np.flatnonzero(b == i), np.flatnonzero(b == g.column(2)[0].as_py())
+            for at in range(0, len(left), DENSE):
+                for to in range(0, len(right), DENSE):
+                    own = np.unique(np.concatenate([left[at : at + DENSE], right[to : to + DENSE]]))
+                    s = x[own] @ x[own].T >= threshold
+                    np.fill_diagonal(s, False)
+                    tree = np.array(forest(s | s.T), np.int64).reshape(-1, 2)
+                    if len(tree):
+                        one, two = ids[own[tree[:, 0]]], ids[own[tree[:, 1]]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
+
+    return dealt_blocks(members).mapInArrow(run, "a long, b long").distinct()
+
+
 def dense_counts(members: DataFrame, threshold: float) -> DataFrame:
     """(id, links): weighted links of every member of the given components (root, id, weight, unit), compared in blocks."""
 
@@ -289,8 +318,13 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
         dense = keep(roots.join(full, "node", "left_semi").select("root").distinct(), "dense")
         got, there = audit(nodes, links, roots, dense, n, threshold, turn)
         if got >= RECALL * there:
+            inside = keep(roots.join(dense, "root", "left_semi").join(nodes.withColumnRenamed("id", "node"), "node").select("root", F.col("node").alias("id"), "weight", "unit"), "inside")
             break
-    inside = keep(roots.join(dense, "root", "left_semi").join(nodes.withColumnRenamed("id", "node"), "node").select("root", F.col("node").alias("id"), "weight", "unit"), "inside")
+    else:
+        # still below the bar: all vectors of a length are compared in blocks, which is exact
+        inside = keep(nodes.select(F.octet_length("unit").cast("long").alias("root"), "id", "weight", "unit"), "inside")
+        links = keep(dense_links(inside, threshold), "vector-links")
+        roots = keep(components(links), "vector-roots")
     counted = dense_counts(inside, threshold)
     weight = nodes.select(F.col("id").alias("v"), "weight")
     thin = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))

@@ -202,3 +202,23 @@ def test_audit_sees_lost_links_beside_a_hot_group(spark):
     # a component that isn't compared as a whole has only the links that were found
     got, there = audited(hot + pairs, dense.where("false"))
     assert there == 140 and got < 85
+
+
+def test_vectors_fall_back_to_exact(spark, monkeypatch):
+    x = vectors_with_hot_group()
+    monkeypatch.setattr(neighbours, "AGAIN", 0)
+    monkeypatch.setattr(neighbours, "DENSE", 32)
+    monkeypatch.setattr(neighbours, "start", lambda nodes, *_: nodes.sparkSession.createDataFrame([], neighbours.EDGE))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, [1.0, 0.0]), (501, [1.0, 0.01])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T >= 0.9
+    np.fill_diagonal(s, False)
+    roots = brute.roots(list(range(len(x))), [(int(a), int(b)) for a, b in zip(*np.nonzero(s), strict=True)])
+    assert got == {i: (int(s[i].sum()), roots[i]) for i in range(len(x))} | {500: (1, 500), 501: (1, 500)}
+
+
+def test_tables_grow_with_the_bits():
+    assert neighbours.tables_for(0, 0.9) == neighbours.TABLES
+    for bits in (6, 12, 17):
+        assert 1 - (1 - 0.8564**bits) ** neighbours.tables_for(bits, 0.9) >= 0.979
