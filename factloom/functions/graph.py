@@ -11,6 +11,8 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+
 
 @dataclass(frozen=True, order=True)
 class Node:
@@ -39,19 +41,6 @@ class Edge:
     label: str
 
 
-def span(nodes: Iterable[Node]) -> tuple[int, int]:
-    nodes = list(nodes)
-    return min(n.start for n in nodes), max(n.end for n in nodes)
-
-
-def intersects(a: tuple[int, int], b: tuple[int, int]) -> bool:
-    return a[0] < b[1] and b[0] < a[1]
-
-
-def text_of(nodes: Iterable[Node]) -> str:
-    return " ".join(n.text for n in sorted(nodes))
-
-
 class Graph:
     """``nodes`` are all tokens, also those that edges have absorbed; ``edges`` connect the vertices."""
 
@@ -71,10 +60,6 @@ class Graph:
     def up(self, n: Node) -> list[Edge]:
         return self._up.get(n, [])
 
-    def neighbours(self, n: Node, keep: Callable[[Edge], bool]) -> list[Node]:
-        """Next to n by an edge either way, in order of edges."""
-        return [e.dst for e in self.down(n) if keep(e)] + [e.src for e in self.up(n) if keep(e)]
-
     def inferiors(self, n: Node, keep: Callable[[Edge], bool] = lambda e: True) -> set[Node]:
         """n and all below it by kept edges. Graphs may have cycles."""
         seen, todo = {n}, [n]
@@ -85,20 +70,6 @@ class Graph:
                     todo.append(e.dst)
         return seen
 
-    def connected(self, n: Node, keep: Callable[[Edge, Node], bool]) -> set[Node]:
-        """n and all that is reached over kept edges in either direction; keep sees the edge and the node it leads to."""
-        seen, todo = {n}, [n]
-        while todo:
-            at = todo.pop()
-            for e, to in [(e, e.dst) for e in self.down(at)] + [(e, e.src) for e in self.up(at)]:
-                if to not in seen and keep(e, to):
-                    seen.add(to)
-                    todo.append(to)
-        return seen
-
-    def within(self, bounds: tuple[int, int]) -> list[Node]:
-        return [n for n in self.nodes if bounds[0] <= n.start and n.end <= bounds[1]]
-
     def map(self, change: Callable[[Node], Node]) -> Graph:
         new = {n: change(n) for n in self.nodes}
         return Graph(new.values(), (Edge(new[e.src], new[e.dst], e.label) for e in self.edges))
@@ -235,167 +206,80 @@ def merge_nouns(g: Graph) -> Graph:
     return g
 
 
-def neighbours_until(g: Graph, node: Node, ordered: list[Node], until: set[Node]) -> list[Node]:
-    """From node outward over ``ordered`` until a blocked node on either side; then all tokens in between."""
-    at = ordered.index(node)
-    reach = [node]
-    for side in (reversed(ordered[:at]), ordered[at + 1 :]):
-        for n in side:
-            if n in until:
-                break
-            reach.append(n)
-    lo, hi = span(reach)
-    return [n for n in g.nodes if lo < n.end <= hi]
-
-
-def expand(g: Graph, node: Node, until: set[Node], labels: set[str]) -> list[Node]:
-    below = g.inferiors(node, lambda e: e.label in labels) | g.connected(node, lambda e, _: e.label == "nn")
-    return neighbours_until(g, node, sorted(below), until)
-
-
-def expand_adjacent(g: Graph, node: Node, until: set[Node], labels: set[str]) -> list[Node]:
-    """Below node, as far as the nodes touch without a gap; the right side starts at node itself."""
-    ordered = sorted(g.inferiors(node, lambda e: e.label in labels))
-    at, out = ordered.index(node), [node]
-    for side, touches in ((ordered[:at][::-1], lambda n, a: n.end == a[0]), (ordered[at + 1 :], lambda n, a: n.start == a[1])):
-        around = (node.start, node.end)
-        for n in side:
-            if n in until or not touches(n, around):
-                break
-            out.append(n)
-            around = (min(around[0], n.start), max(around[1], n.end))
-    return sorted(out)
-
-
-def augment(g: Graph, node: Node, keep: Callable[[Edge], bool]) -> list[list[Node]]:
-    return [sorted(g.inferiors(e.dst)) for e in g.down(node) if keep(e)]
+def character_offsets(words: list[str]) -> list[int]:
+    """Where each word begins when they are joined by blanks."""
+    sizes = np.array([len(w) + 1 for w in words], np.int64)
+    return (np.cumsum(sizes) - sizes).tolist()
 
 
-def components(g: Graph, node: Node, labels: set[str], without: set[Node], nested: bool) -> list[list[Node]]:
-    """Token spans below node across the labels; a span that touches ``without`` is left out."""
-    across = [e.dst for e in g.down(node) if e.label in labels]
-    out = []
-    for first in across:
-        below = g.inferiors(first, lambda e: not (e.label.startswith("conj") and e.dst in across) and e.dst != node and (nested or e.label not in labels))
-        if not below & without:
-            out.append(g.within(span(below)))
-    return out
-
-
-NOUN_LABELS = {"det", "prep_of", "amod", "num", "number", "nn", "poss", "quantmod", "neg"}
-CLAUSE_LABELS = {"rcmod", "infmod", "partmod", "ref", "prepc_of"}
-VERB_PARTS = {"aux", "cop", "auxpass", "prt", "acomp"}
-
+def _rebuilt(tokens: list[Node], places: np.ndarray, edges: list[tuple[int, int, str]]) -> Graph:
+    """The tokens at their new places, with offsets in the new text; those without an edge go."""
+    used = sorted({i for a, b, _ in edges for i in (a, b)}, key=lambda i: (places[i], tokens[i].text))
+    at = dict(zip(used, character_offsets([tokens[i].text for i in used]), strict=True))
+    new = {i: replace(tokens[i], start=int(places[i]), end=int(places[i]) + 1, offset=at[i]) for i in used}
+    return Graph([], [Edge(new[a], new[b], label) for a, b, label in edges])
 
-def expand_argument(g: Graph, node: Node, until: set[Node]) -> list[Node]:
-    def one(n: Node) -> list[Node]:
-        own = expand(g, n, until, NOUN_LABELS)
-        if any(x.proper for x in own):
-            return own
-        return sorted({*own, *(x for c in components(g, n, CLAUSE_LABELS, until, False) for x in c)})
-
-    joined = g.connected(node, lambda e, to: e.label in ("conj_and", "conj_or") and not to.postag.startswith("VB"))
-    return one(node) if len(joined) == 1 else g.within(span(x for n in joined for x in one(n)))
-
-
-@dataclass(frozen=True)
-class Part:
-    nodes: tuple[Node, ...]
-    text: str
 
-    @property
-    def span(self) -> tuple[int, int]:
-        return span(self.nodes)
-
-
-def part(nodes: Iterable[Node]) -> Part:
-    nodes = tuple(sorted(nodes))
-    return Part(nodes, text_of(nodes))
-
-
-def expand_relation(g: Graph, node: Node, until: set[Node]) -> list[Part]:
-    """One part for each pair of direct and indirect object, pieces in order of place, without a lone WP."""
-    attach = lambda e: e.dst != node and (e.label in VERB_PARTS or e.label == "advmod" and e.dst.postag == "RB")
-    own = expand(g, node, until, NOUN_LABELS if node.postag.startswith("NN") else NOUN_LABELS - {"prep_of"})
-    over = next((e.src for e in g.up(node) if e.label == "cop"), None)
-    pieces = augment(g, over, attach) if over is not None else []
-    below = [[n for n in group if n not in own] for group in augment(g, node, attach)]
-    out: dict[Part, None] = {}
-    for direct in components(g, node, {"dobj"}, until, True) or [[]]:
-        for other in components(g, node, {"iobj"}, until, True) or [[]]:
-            more = [x for x in (own, *below, direct, other) if x and not (len(x) == 1 and x[0].postag == "WP")]
-            groups = sorted([*pieces, *more], key=span)
-            if groups:
-                out[Part(tuple(sorted({n for x in groups for n in x})), " ".join(text_of(x) for x in groups))] = None
-    return list(out)
-
-
-def offsets(words: list[str], text: str) -> list[int]:
-    out, at = [], 0
-    for w in words:
-        at = text.index(w, at)
-        out.append(at)
-        at += len(w)
-    return out
-
-
-def _renewed(nodes: Iterable[Node], edges: Iterable[Edge]) -> Graph:
-    g = Graph(nodes, edges)
-    places = dict(zip(g.nodes, offsets([n.text for n in g.nodes], g.text), strict=True))
-    return g.map(lambda n: replace(n, offset=places[n]))
-
-
-def _swap(edges: Iterable[Edge], left: set[Node], right: set[Node]) -> list[Edge]:
-    """Tokens of the left span move behind where the right span starts, and the right span takes its place."""
-    l, r = span(left), span(right)
-    if l[1] > r[0]:
+def _exchanged(places: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Two stretches change sides, each moved as a whole: the last place of the left one and the first of the right one
+    are exchanged. Fixed rule of the graphs that trained models were made from."""
+    last, first = places[left].max(), places[right].min()
+    if last >= first:
         raise ValueError("the spans to swap overlap or stand the other way round")
-    by = r[0] - l[1] + 1
+    moved = places.copy()
+    moved[left] += first - last
+    moved[right] += last - first
+    return moved
 
-    def moved(n: Node) -> Node:
-        shift = by if n in left else -by if n in right else 0
-        return replace(n, start=n.start + shift, end=n.end + shift)
 
-    return [Edge(moved(e.src), moved(e.dst), e.label) for e in edges]
+def _clause(g: Graph, verb: Node, *labels: str) -> list[Edge] | None:
+    """The first edge of each label below a verb; None if one is missing."""
+    first = {e.label: e for e in reversed(g.down(verb))}
+    return [first[x] for x in labels] if all(x in first for x in labels) else None
 
 
 def passive_voice(g: Graph) -> list[Graph]:
-    """A graph for each verb with subject and direct object. The new indices may overlap, as the shifts are independent."""
+    """A graph for each verb with subject and direct object.
+
+    ``was`` is put in before the verb and ``by`` before the object; tokens from there on move up by one for each. Then
+    subject and object change sides.
+    """
     out = []
-    for v in g.vertices:
-        subject = next((e for e in g.down(v) if e.label == "nsubj"), None)
-        thing = next((e for e in g.down(v) if e.label == "dobj"), None)
-        if not v.postag.startswith("VB") or subject is None or thing is None:
+    for verb in g.vertices:
+        clause = _clause(g, verb, "nsubj", "dobj") if verb.postag.startswith("VB") else None
+        if clause is None:
             continue
-        left, right = g.inferiors(subject.dst), g.inferiors(thing.dst)
-        by, was = Node(span(right)[0], span(right)[0] + 1, "by", "IN"), Node(v.start, v.end, "was", "VBD")
-        edges = [e for e in g.edges if e not in (subject, thing)]
-        edges += [Edge(v, by, "prep"), Edge(by, subject.dst, "pobj"), Edge(v, was, "auxpass"), Edge(v, thing.dst, "nsubjpass")]
-
-        def moved(n: Node, by: Node = by, was: Node = was) -> Node:
-            shift = (n.start >= by.start and n != by) + (n.start >= was.start and n != was)
-            return replace(n, start=n.start + shift, end=n.end + shift)
-
-        edges = [Edge(moved(e.src), moved(e.dst), e.label) for e in edges]
-        out.append(_renewed([], _swap(edges, {moved(n) for n in left}, {moved(n) for n in right})))
+        subject, thing = (e.dst for e in clause)
+        number = {n: i for i, n in enumerate(g.vertices)}
+        sides = [np.array([number[n] for n in g.inferiors(x)]) for x in (subject, thing)]
+        places = np.array([n.start for n in g.vertices])
+        put = np.array([verb.start, places[sides[1]].min()])  # before the verb: was; before the object: by
+        places = np.concatenate([places + (places[:, None] >= put).sum(1), put + [int(put[1] <= put[0]), int(put[0] <= put[1])]])
+        was, by = len(number), len(number) + 1
+        edges = [(number[e.src], number[e.dst], e.label) for e in g.edges if e not in clause]
+        edges += [(number[verb], by, "prep"), (by, number[subject], "pobj"), (number[verb], was, "auxpass"), (number[verb], number[thing], "nsubjpass")]
+        out.append(_rebuilt([*g.vertices, Node(0, 1, "was", "VBD"), Node(0, 1, "by", "IN")], _exchanged(places, *sides), edges))
     return out
 
 
 def active_voice(g: Graph) -> list[Graph]:
-    """A graph for each verb with passive subject, auxiliary and agent by ``by``; tokens are numbered anew without gaps."""
+    """A graph for each verb with passive subject, auxiliary and an agent behind ``by``; places are numbered anew without gaps."""
     out = []
-    for v in g.vertices:
-        own = {label: next((e for e in g.down(v) if e.label == label), None) for label in ("nsubjpass", "auxpass")}
-        agent = next((e for e in g.down(v) if e.label == "prep" and e.dst.text == "by" and any(x.label == "pobj" for x in g.down(e.dst))), None)
-        if agent is None or None in own.values():
+    for verb in g.vertices:
+        clause = _clause(g, verb, "nsubjpass", "auxpass")
+        by = [(e, x) for e in g.down(verb) if e.label == "prep" and e.dst.text == "by" for x in g.down(e.dst) if x.label == "pobj"]
+        if clause is None or not by:
             continue
-        thing = next(e for e in g.down(agent.dst) if e.label == "pobj")
-        edges = [e for e in g.edges if e not in (own["nsubjpass"], own["auxpass"], agent, thing)]
-        edges += [Edge(v, thing.dst, "nsubj"), Edge(v, own["nsubjpass"].dst, "dobj")]
-        edges = _swap(edges, g.inferiors(own["nsubjpass"].dst), g.inferiors(thing.dst))
-        order = {n: i for i, n in enumerate(sorted({n for e in edges for n in (e.src, e.dst)}))}
-        renumbered = {n: replace(n, start=i, end=i + 1, offset=-1) for n, i in order.items()}
-        out.append(_renewed([], [Edge(renumbered[e.src], renumbered[e.dst], e.label) for e in edges]))
+        gone = {*clause, *by[0]}
+        subject, agent = clause[0].dst, by[0][1].dst
+        number = {n: i for i, n in enumerate(g.vertices)}
+        sides = [np.array([number[n] for n in g.inferiors(x)]) for x in (subject, agent)]
+        places = _exchanged(np.array([n.start for n in g.vertices]), *sides)
+        edges = [(number[e.src], number[e.dst], e.label) for e in g.edges if e not in gone]
+        edges += [(number[verb], number[agent], "nsubj"), (number[verb], number[subject], "dobj")]
+        used = np.array(sorted({i for a, b, _ in edges for i in (a, b)}, key=lambda i: (places[i], g.vertices[i])))
+        places[used] = np.arange(len(used))
+        out.append(_rebuilt(g.vertices, places, edges))
     return out
 
 

@@ -13,9 +13,23 @@ from .patterns import EdgeMatcher, NodeMatcher, Pattern
 VALID_TAGS = ("NN", "NNS", "NNP", "NNPS", "PRP", "CD", "JJ")
 
 
+def merge_names(g: Graph) -> Graph:
+    """A proper noun with ``of`` and a proper noun below it becomes one node, texts and all tokens between them."""
+    for e in g.edges:
+        if e.label == "prep_of" and e.src.proper and e.dst.proper and e.src.start < e.dst.start:
+            inside = [n for n in g.nodes if e.src.start <= n.start and n.end <= e.dst.end]
+            if any(x.dst in inside and x.src not in inside and x.dst not in (e.src, e.dst) for x in g.edges):
+                continue
+            new = Node(e.src.start, e.dst.end, " ".join(n.text for n in inside), e.src.postag, e.src.offset, " ".join(n.lemma or lemma(n.text) for n in inside))
+            of = lambda n: new if n in inside else n  # noqa: E731, B023
+            edges = {Edge(of(x.src), of(x.dst), x.label) for x in g.edges}
+            return merge_names(Graph([of(n) for n in g.nodes], [x for x in edges if x.src != x.dst]))
+    return g
+
+
 def prepare(g: Graph) -> Graph:
-    """Lemmas as texts, merged noun groups, simple noun tags."""
-    return simplify(merge_nouns(g.map(lambda n: replace(n, text=lemma(n.text), lemma=lemma(n.text)))), edges=True, tags=True)
+    """Lemmas as texts, merged noun groups and names joined by ``of``, simple noun tags."""
+    return simplify(merge_names(merge_nouns(g.map(lambda n: replace(n, text=lemma(n.text), lemma=lemma(n.text))))), edges=True, tags=True)
 
 
 def paths_through(g: Graph, wanted: set[Node], longest: int) -> list[list[tuple[Edge, bool]]]:
@@ -83,7 +97,7 @@ def induce(g: Graph, rel: str, arg1: str, arg2: str, lemmas: str, longest: int |
         wanted = set(combo)
         if len({n.text for n in wanted}) != len(wanted):
             continue
-        for path in paths_through(g, wanted, 4 if longest is None else max(1, longest)):
+        for path in paths_through(g, wanted, len(g.vertices) if longest is None else longest - 1):
             turned = [(e, not up) for e, up in reversed(path)]
             for way in (path, turned):
                 if not well_formed(way):
@@ -103,7 +117,7 @@ def induce(g: Graph, rel: str, arg1: str, arg2: str, lemmas: str, longest: int |
                 if not rels:
                     continue
                 p = Pattern(tuple(names[n] for n in nodes), tuple(EdgeMatcher(up, e.label) for e, up in way))
-                if longest is None or len(p.nodes) <= longest + 1:
+                if longest is None or len(p.nodes) <= longest:
                     out[str(p)] = p
                 break
     return list(out.values())

@@ -24,8 +24,11 @@ class NodeMatcher:
             raise ValueError(f"unknown alias in a pattern: {self.alias}")
         return kinds[self.alias[:3]]
 
+    def matches_lemma(self, lemma: str) -> bool:
+        return self.regex is None or re.fullmatch(self.regex, lemma) is not None
+
     def matches(self, n: Node) -> bool:
-        return (self.postag is None or n.postag == self.postag) and (self.regex is None or re.fullmatch(self.regex, n.lemma) is not None)
+        return (self.postag is None or n.postag == self.postag) and self.matches_lemma(n.lemma)
 
     def __str__(self) -> str:
         return "{" + self.alias + (f":postag={self.postag}" if self.postag else "") + (f":regex={self.regex}" if self.regex else "") + "}"

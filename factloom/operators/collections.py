@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,10 +44,55 @@ def keep_diverse(df: DataFrame, key: str, other: str, least: int = 5) -> tuple[D
     return df.join(good, key, "left_semi"), df.join(good, key, "left_anti")
 
 
+def merge_keys(df: DataFrame, key: str, merges: dict[str, str]) -> DataFrame:
+    """Rows of equal key merged column by column: sum, min, max, list (in order), set, any or every."""
+    how = {"sum": F.sum, "min": F.min, "max": F.max, "list": lambda c: F.array_sort(F.collect_list(c)), "set": lambda c: F.array_sort(F.collect_set(c)), "any": F.bool_or, "every": F.bool_and}
+    unknown = set(merges.values()) - set(how)
+    if unknown:
+        raise ValueError(f"unknown ways to merge: {sorted(unknown)}")
+    return df.groupBy(key).agg(*[how[m](c).alias(c) for c, m in merges.items()])
+
+
 def frequent_with_examples(df: DataFrame, key: str, example: str, above: int = 100, show: int = 5) -> DataFrame:
-    """key, n, examples: keys that occur more than ``above`` times with their first examples in order."""
+    """key, n, examples: keys that occur more than ``above`` times with their first examples in order.
+
+    The first ones are picked by ranks within the key, so no group is gathered as a whole; a rank limit cuts every
+    partition's share before the shuffle.
+    """
     counts = df.groupBy(key, example).agg(F.count("*").alias("m"))
-    return counts.groupBy(key).agg(F.sum("m").alias("n"), F.slice(F.array_sort(F.collect_set(example)), 1, show).alias("examples")).where(F.col("n") > above)
+    totals = counts.groupBy(key).agg(F.sum("m").alias("n")).where(F.col("n") > above)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(example))
+    first = counts.where(F.col(example).isNotNull()).select(key, example).withColumn("rank", rank).where(F.col("rank") <= show)
+    lists = first.groupBy(key).agg(F.array_sort(F.collect_list(example)).alias("examples"))
+    return totals.join(lists, key, "left").select(key, "n", F.coalesce("examples", F.array().cast(lists.schema["examples"].dataType)).alias("examples"))
+
+
+def top(df: DataFrame, n: int, *order) -> DataFrame:
+    """The first n rows in an order; Spark keeps n rows of each partition."""
+    return df.orderBy(*order).limit(n)
+
+
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of a that b doesn't have; nulls are equal."""
+    return a.subtract(b)
+
+
+def union_all(*tables: DataFrame) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def search(df: DataFrame, column: str, words: str) -> DataFrame:
+    """Rows whose text contains the words."""
+    return df.where(F.col(column).contains(words))
+
+
+def with_extraction(sentences: DataFrame, extractions: DataFrame, key: str, after=None) -> DataFrame:
+    """Sentences that have an extraction, and stand behind ``after`` if it is given."""
+    rows = sentences if after is None else sentences.where(F.col(key) > F.lit(after))
+    return rows.join(extractions.select(key).distinct(), key, "left_semi")
 
 
 def pattern_components(patterns: DataFrame, column: str = "pattern") -> DataFrame:

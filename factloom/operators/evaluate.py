@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.features import features
+from ..functions.store import free, keep
 
-def score(extractions: DataFrame, gold: DataFrame, threshold: float = 0.0, keep_unscored: bool = True) -> DataFrame:
-    """Adds score from gold (extraction, correct); of repeated gold rows any is taken if they agree, else the true one."""
-    once = gold.groupBy("extraction").agg(F.max("correct").alias("score"))
+
+def score(extractions: DataFrame, gold: DataFrame, threshold: float = 0.0, keep_unscored: bool = True, order: str | None = None) -> DataFrame:
+    """Adds score from gold (extraction, correct). Of repeated gold rows the last by ``order`` counts; without an order any
+    if they agree, else the true one."""
+    once = gold.groupBy("extraction").agg((F.max("correct") if order is None else F.max_by("correct", order)).alias("score"))
     out = extractions.where(F.col("confidence") >= threshold).join(once, "extraction", "left")
     return out if keep_unscored else out.where(F.col("score").isNotNull())
 
@@ -31,32 +35,30 @@ def suggest(extractions: DataFrame, gold: DataFrame) -> DataFrame:
     return near.where(F.col("distance") < F.floor(F.col("la") / 2)).select("extraction", "suggestion", "distance")
 
 
-def precision_yield(scored: DataFrame, conf: str, correct: Column, ties: list[str], by: list[str] | None = None) -> DataFrame:
+def precision_yield(scored: DataFrame, conf: str, correct: Column, ties: list[str], by: list[str] | None = None, whole: bool = False) -> DataFrame:
     """One point for each correct row in order of confidence: yield (correct so far) and precision (correct / seen).
 
-    The running sums are taken in two levels: within ranges of confidence (a shuffle by range keeps them balanced), and over the
-    sums of the ranges, so that no task sorts the whole table.
+    The running sums are taken in two levels: within ranges of (group, confidence, ties), which a shuffle by range keeps
+    balanced even where one group or one confidence holds most rows, and over the sums of the ranges, of which there are
+    as many as shuffle partitions. ``whole``: with all columns of the rows.
     """
     by = by or []
+    [flag, cell, n, y, n0, y0, seen] = free([*scored.columns, "confidence", "yield", "precision"], "flag", "cell", "n", "y", "n0", "y0", "seen")
     order = [F.desc(conf), *[F.asc(t) for t in ties]]
-    rows = scored.where(correct.isNotNull()).withColumn("_c", F.when(correct, 1).otherwise(0))
-    if by:
-        w = Window.partitionBy(*by).orderBy(*order)
-        out = rows.withColumn("seen", F.row_number().over(w)).withColumn("yield", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    else:
-        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        bounds = rows.approxQuantile(conf, [i / n for i in range(1, n)], 0.01)
-        cell = F.lit(0)
-        for b in sorted(set(bounds)):
-            cell = cell + F.when(F.col(conf) < b, 1).otherwise(0)
-        rows = rows.withColumn("_cell", cell)
-        w = Window.partitionBy("_cell").orderBy(*order)
-        sums = rows.groupBy("_cell").agg(F.count("*").alias("_n"), F.sum("_c").alias("_y"))
-        before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-        sums = sums.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_y").over(before), F.lit(0)).alias("_y0"))
-        rows = rows.withColumn("_r", F.row_number().over(w)).withColumn("_s", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        out = rows.join(F.broadcast(sums), "_cell").withColumn("seen", F.col("_r") + F.col("_n0")).withColumn("yield", F.col("_s") + F.col("_y0"))
-    return out.where("_c = 1").select(*by, F.col(conf).alias("confidence"), F.col("yield").cast("long").alias("yield"), (F.col("yield") / F.col("seen")).alias("precision"))
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = scored.where(correct.isNotNull()).withColumn(flag, F.when(correct, 1).otherwise(0))
+    # stored, as another sampling of the ranges would give other cells
+    rows = keep(rows.repartitionByRange(parts, *by, *order).withColumn(cell, F.spark_partition_id()), "ranges")
+    sums = rows.groupBy(*by, cell).agg(F.count("*").alias(n), F.sum(flag).alias(y))
+    before = Window.partitionBy(*by).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(c).alias(f"{c}_of_sum") for c in by], F.col(cell).alias(f"{cell}_of_sum"), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n0), F.coalesce(F.sum(y).over(before), F.lit(0)).alias(y0))
+    w = Window.partitionBy(*by, cell).orderBy(*order)
+    rows = rows.withColumn(seen, F.row_number().over(w)).withColumn(y, F.sum(flag).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    on = [F.col(c).eqNullSafe(F.col(f"{c}_of_sum")) for c in (*by, cell)]
+    out = rows.join(sums, on).where(F.col(flag) == 1)
+    count = (F.col(y) + F.col(y0)).cast("long")
+    own = [F.col(c) for c in scored.columns if c not in ("yield", "precision")] if whole else [*map(F.col, by), F.col(conf).alias("confidence")]
+    return out.select(*own, count.alias("yield"), (count / (F.col(seen) + F.col(n0))).alias("precision"))
 
 
 def area(points: DataFrame) -> DataFrame:
@@ -82,17 +84,51 @@ def rank(scored: DataFrame, by: str, correct: Column) -> DataFrame:
     return scored.where(correct.isNotNull()).groupBy(by).agg(F.avg(correct.cast("int")).alias("precision"), F.count("*").alias("n"))
 
 
-def resampled(systems: DataFrame, iterations: int = 1000, seed: int = 1) -> DataFrame:
+def group_scored(scored: DataFrame, by: str, correct: Column, conf: str = "confidence") -> DataFrame:
+    """Every scored row with the precision and size of its group; reports order by precision, then confidence, descending."""
+    return scored.where(correct.isNotNull()).join(rank(scored, by, correct), by)
+
+
+def _copies(key: Column, iteration: Column, seed: int) -> Column:
+    """How often a sentence is drawn in an iteration: Poisson with mean 1, from a hash in plain integer arithmetic."""
+    prime = 2147483647
+    mixed = F.pmod((F.pmod(key, F.lit(prime)) + 1) * 48271 + F.pmod((iteration + 1) * 69621 + seed * 16807, F.lit(prime)), F.lit(prime))
+    u = F.pmod(F.pmod(mixed * 40692, F.lit(prime)) * 16807, F.lit(prime)) / float(prime)
+    return sum((F.when(u >= s, 1).otherwise(0) for s in POISSON), F.lit(0))
+
+
+#: Chances that Poisson(1) is at most 0, 1, 2 ...
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+
+
+def resampled(systems: DataFrame, iterations: int = 1000, seed: int = 1, value: str = "correct") -> DataFrame:
     """systems (sentence, system, correct) -> (iteration, system, precision): sentences drawn with replacement.
 
-    Each sentence gets a Poisson(1) number of copies per iteration from a hash, the distributed form of the bootstrap; the
-    same copies for all systems, so differences are paired.
+    Each sentence (a number) gets a Poisson(1) number of copies per iteration from a hash, the distributed form of the
+    bootstrap; the same copies for all systems, so differences are paired. Rows are first summed by sentence, and the
+    iterations are unfolded from those sums. ``value`` may hold any score, of which the mean is taken.
     """
-    u = F.pmod(F.xxhash64("sentence", "iteration", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
-    copies = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    drawn = systems.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("copies", copies)
-    return drawn.groupBy("iteration", "system").agg((F.sum(F.col("copies") * F.col("correct").cast("int")) / F.sum("copies")).alias("precision"))
+    own = systems.groupBy("sentence", "system").agg(F.sum(F.col(value).cast("double")).alias("hits"), F.count(value).alias("n"))
+    drawn = own.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("copies", _copies(F.col("sentence").cast("long"), F.col("iteration").cast("long"), seed))
+    return drawn.groupBy("iteration", "system").agg((F.sum(F.col("copies") * F.col("hits")) / F.sum(F.col("copies") * F.col("n"))).alias("precision"))
+
+
+def significance(systems: DataFrame, better: str, worse: str, iterations: int = 1000, seed: int = 1, value: str = "correct") -> DataFrame:
+    """One row: iterations, those in which ``better`` isn't above ``worse`` in the resampled mean, and their share (the p-value)."""
+    both = resampled(systems, iterations, seed, value).groupBy("iteration").agg(F.max(F.when(F.col("system") == better, F.col("precision"))).alias("b"), F.max(F.when(F.col("system") == worse, F.col("precision"))).alias("w"))
+    lost = F.sum(F.when(F.col("b") > F.col("w"), 0).otherwise(1))
+    return both.agg(F.count("*").alias("iterations"), lost.alias("lost"), (lost / F.count("*")).alias("p_value"))
+
+
+def resampled_auc(systems: DataFrame, conf: str, ties: list[str], iterations: int = 1000, seed: int = 1) -> DataFrame:
+    """The metric version: (iteration, system, auc), the area under each resampled precision-yield curve. A row drawn k
+    times stands k times in a row in order of confidence."""
+    drawn = systems.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("copies", _copies(F.col("sentence").cast("long"), F.col("iteration").cast("long"), seed))
+    rows = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).where("copies > 0")
+    points = precision_yield(rows, conf, F.col("correct"), [*ties, "copy"], ["iteration", "system"])
+    after = points.select("iteration", "system", (F.col("yield") - 1).alias("yield"), F.col("precision").alias("next"))
+    areas = points.join(after, ["iteration", "system", "yield"]).groupBy("iteration", "system").agg(F.sum((F.col("precision") + F.col("next")) / 2).alias("auc"))
+    return drawn.select("iteration", "system").distinct().join(areas, ["iteration", "system"], "left").fillna(0.0, ["auc"])
 
 
 def folds(rows: DataFrame, key: str, n: int = 10) -> DataFrame:
@@ -111,14 +147,29 @@ def train(rows: DataFrame, names: list[str], label: str = "label") -> dict[str,
     return {"Intercept": float(model.intercept)} | dict(zip(names, map(float, model.coefficients), strict=True))
 
 
+def logistic(weights: dict[str, float]) -> Column:
+    total = F.lit(float(weights["Intercept"]))
+    for c, w in weights.items():
+        if c != "Intercept":
+            total = total + F.col(f"`{c}`").cast("double") * w
+    return 1 / (1 + F.exp(-total))
+
+
 def cross_validate(rows: DataFrame, names: list[str], key: str, label: str = "label", n: int = 10) -> list[dict[str, float]]:
-    """Accuracy at 0.5 of each fold, trained on the others."""
+    """Of each fold, trained on the others: accuracy at 0.5 and the area under precision over yield; a last row has the means."""
     out, all_rows = [], folds(rows, key, n)
     for k in range(n):
-        weights = train(all_rows.where(F.col("fold") != k), names, label)
-        total = F.lit(weights["Intercept"])
-        for c in names:
-            total = total + F.col(f"`{c}`").cast("double") * weights[c]
-        hit = ((1 / (1 + F.exp(-total)) >= 0.5) == (F.col(label).cast("int") == 1)).cast("int")
-        out.append({"fold": k, "accuracy": all_rows.where(F.col("fold") == k).agg(F.avg(hit).alias("a")).first()["a"]})
-    return out
+        tested = all_rows.where(F.col("fold") == k).withColumn("confidence", logistic(train(all_rows.where(F.col("fold") != k), names, label)))
+        hit = ((F.col("confidence") >= 0.5) == (F.col(label).cast("int") == 1)).cast("int")
+        curve = precision_yield(tested.select("confidence", F.col(label).cast("int").alias("hit"), F.col(key).alias("key")), "confidence", F.col("hit") == 1, ["key"])
+        out.append({"fold": k, "accuracy": tested.agg(F.avg(hit).alias("a")).first()["a"], "auc": area(curve).first()["auc"]})
+    known = [x for x in out if x["accuracy"] is not None]
+    mean = lambda c: sum(x[c] for x in known) / max(1, len(known))
+    return [*out, {"fold": -1, "accuracy": mean("accuracy"), "auc": mean("auc")}]
+
+
+def train_from_instances(labelled: DataFrame, names: list[str] | None = None) -> dict[str, float]:
+    """Weights from labelled instances (sources.readers.instances): every feature, or those named."""
+    known = features()
+    names = sorted(known) if names is None else names
+    return train(labelled.select(F.col("score").cast("int").alias("label"), *[known[n].alias(n) for n in names]), names)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,15 +13,21 @@ from pyspark.sql import types as T
 
 from ..functions import extraction as X
 from ..functions import graph as G
-from ..functions.features import confidence
+from ..functions.batch import Batch
+from ..functions.features import DEFAULT_WEIGHTS, confidence, features
+from ..functions.native import collapse, fill_template, parse_graph, simplify_tags
+from ..functions.store import free
 
 _PART = "struct<text:string,s:int,e:int,idx:array<int>>"
 TOKENS = "array<struct<idx:int,text:string,postag:string,lemma:string,offset:int>>"
 DEPS = "array<struct<label:string,src:int,dst:int>>"
+#: Sentences that are matched and expanded together.
+CHUNK = 2000
 #: One row per extraction; a sentence without any gives none.
 SCHEMA = (
     f"arg1 {_PART}, rel {_PART}, arg2 {_PART}, pattern_confidence double, pattern string, template string, pattern_labels array<string>,"
-    "semantic boolean, prep_mismatch boolean, enabler string, enabler_prefix string, attrib_arg string, attrib_rel string,"
+    "semantic boolean, prep_mismatch boolean, enabler string, enabler_prefix string, enabler_s int, enabler_e int,"
+    "attrib_arg string, attrib_rel string, attrib_s int, attrib_e int, attrib_rel_s int, attrib_rel_e int,"
     f"passive boolean, active boolean, tokens {TOKENS}, deps {DEPS}"
 )
 
@@ -39,53 +46,130 @@ class Configuration:
     ignore_errors: bool = True
 
 
-def _row(f: X.Found, g: G.Graph) -> dict:
-    as_part = lambda p: {"text": p.text, "s": p.span[0], "e": p.span[1], "idx": [n.start for n in p.nodes]}
-    raw = str(f.extractor.pattern)
-    return {
-        "arg1": as_part(f.arg1), "rel": as_part(f.rel), "arg2": as_part(f.arg2), "pattern_confidence": f.confidence, "pattern": raw,
-        "template": None if f.extractor.template is None else str(f.extractor.template), "pattern_labels": [e.label for e in f.extractor.pattern.edges],
-        "semantic": f.extractor.pattern.semantic, "prep_mismatch": f.extractor.prep_mismatch, "enabler": f.enabler, "enabler_prefix": f.enabler_prefix,
-        "attrib_arg": f.attribution_arg, "attrib_rel": f.attribution_rel, "passive": "nsubjpass" in raw or f.rel.text.endswith(" by"), "active": "nsubj<" in raw or ">nsubj" in raw and "nsubjpass" not in raw,
-        "tokens": [{"idx": n.start, "text": n.text, "postag": n.postag, "lemma": n.lemma, "offset": n.offset} for n in g.nodes],
-        "deps": [{"label": e.label, "src": e.src.start, "dst": e.dst.start} for e in g.edges],
-    }
+#: What a batch gives for a fact: SCHEMA without what columns add, and what templates need.
+_FACT = (
+    f"struct<arg1:{_PART},rel:{_PART},arg2:{_PART},pattern_confidence:double,pattern:string,template:string,pattern_labels:array<string>,semantic:boolean,prep_mismatch:boolean,"
+    "enabler:string,enabler_prefix:string,enabler_s:int,enabler_e:int,attrib_arg:string,attrib_rel:string,attrib_s:int,attrib_e:int,attrib_rel_s:int,attrib_rel_e:int,center:int,caught:map<string,string>>"
+)
+
+
+def _read(batch: pa.RecordBatch, names: list[str], at: int, parser) -> tuple[list, list]:
+    """(tokens, deps) as lists of rows, by a parser given as a function."""
+    tokens, deps = [], []
+    for raw in batch.column(at).to_pylist():
+        g = None if raw is None else parser(raw)
+        tokens.append([] if g is None else [{"idx": n.start, "text": n.text, "postag": n.postag, "offset": n.offset} for n in g.nodes])
+        deps.append([] if g is None else [{"label": e.label, "src": e.src.start, "dst": e.dst.start} for e in g.edges])
+    return tokens, deps
+
+
+_TOKENS_IN = "array<struct<idx:int,text:string,postag:string,offset:int>>"
+
+
+def parsed(sentences: DataFrame, graph: str, tokens: str, deps: str, parser: Callable[[str], G.Graph] | None, ignore_errors: bool) -> DataFrame:
+    """Adds the tokens and edges of each sentence. Graph strings are read by column expressions; a ``parser`` (a function
+    from a string to a graph) runs in Arrow batches. What can't be read has neither, or raises without ignore_errors."""
+    if parser is None:
+        [whole] = free([*sentences.columns, tokens, deps], "whole")
+        both = sentences.withColumn(whole, parse_graph(graph))
+        if not ignore_errors:
+            bad = F.raise_error(F.concat(F.lit("not a dependency graph: "), F.substring(graph, 1, 80))).cast(both.schema[whole].dataType)
+            both = both.withColumn(whole, F.when(F.col(graph).isNotNull() & F.col(whole).isNull(), bad).otherwise(F.col(whole)))
+        return both.select(*sentences.columns, F.col(whole)["tokens"].alias(tokens), F.col(whole)["deps"].alias(deps))
+    names, at = sentences.columns, sentences.columns.index(graph)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    extra = T.StructType.fromDDL(f"{tokens} {_TOKENS_IN}, {deps} {DEPS}")
+    arrow = to_arrow_schema(extra)
+
+    def tolerant(raw: str) -> G.Graph | None:
+        try:
+            return parser(raw)
+        except Exception:
+            if ignore_errors:
+                return None
+            raise
+
+    def run(batches):
+        for batch in batches:
+            columns = _read(batch, names, at, tolerant)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]], [*names, tokens, deps])
+
+    return sentences.mapInArrow(run, T.StructType([*sentences.schema.fields, *extra.fields]))
 
 
-def extract(sentences: DataFrame, model: list[str] | None = None, config: Configuration | None = None, graph: str = "graph", parser: Callable[[str], G.Graph] = G.parse) -> DataFrame:
-    """All columns of sentences and SCHEMA. The model (small) goes to every worker with the function; no shuffle.
+def extract(sentences: DataFrame, model: list[str] | None = None, config: Configuration | None = None, graph: str = "graph", parser: Callable[[str], G.Graph] | None = None, keep_empty: bool = False) -> DataFrame:
+    """All columns of sentences and SCHEMA, a row for each extraction. The model (small) goes to every worker with the function; no shuffle.
 
-    ``parser`` turns the column into a graph. Null rows give nothing; what can't be parsed is skipped, or raises without ignore_errors.
+    Reading, normal forms, templates, duplicates and order are column expressions; matching and expansion run over all
+    sentences of an Arrow batch together. ``keep_empty``: sentences without extractions give a row of nulls.
+    Null rows and what can't be read give nothing; without ignore_errors the latter raises. Columns of ``sentences`` that
+    are called like one of SCHEMA are dropped first.
     """
     config, lines = config or Configuration(), X.SEED_MODEL if model is None else model
     X.read_model(lines)  # a bad model fails here, not in a task
-    names = sentences.columns
-    schema = T.StructType([*sentences.schema.fields, *T.StructType.fromDDL(SCHEMA).fields])
+    result = T.StructType.fromDDL(SCHEMA)
+    taken = {c.lower() for c in result.names}
+    names = [c for c in sentences.columns if c.lower() not in taken or c == graph]
+    tokens, deps, found = free([*names, *result.names], "tokens_read", "deps_read", "facts_read")
+    df = parsed(sentences.select(*names), graph, tokens, deps, parser, config.ignore_errors)
+    if config.collapse:
+        df = df.withColumn(deps, collapse(F.col(tokens), F.col(deps)))
+    if config.simplify_tags or config.collapse_verbs:
+        df = df.withColumn(tokens, simplify_tags(F.col(tokens), config.collapse_verbs))
+    out = T.StructType([*df.select(*names).schema.fields, T.StructField(tokens, T._parse_datatype_string(TOKENS)), T.StructField(deps, T._parse_datatype_string(DEPS)), T.StructField(found, T._parse_datatype_string(f"array<{_FACT}>"))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(T.StructType.fromDDL(SCHEMA))
+    arrow = to_arrow_schema(out)
+    n = len(names)
 
     def run(batches):
         extractors = X.read_model(lines)
-        for batch in batches:
-            at, rows = [], []
-            for i, raw in enumerate(batch.column(names.index(graph)).to_pylist()):
-                if raw is None:
-                    continue
-                try:
-                    g = G.simplify(parser(raw), config.collapse, config.simplify_tags, config.collapse_verbs)
-                    found = X.run(g, extractors, config.threshold, config.expand, not config.all_arguments, config.duplicates)
-                except Exception:
-                    if config.ignore_errors:
-                        continue
-                    raise
-                at += [i] * len(found)
-                rows += [_row(f, g) for f in found]
-            own = batch.take(pa.array(at, pa.int64()))
-            new = pa.RecordBatch.from_pylist(rows, arrow)
-            yield pa.RecordBatch.from_arrays([*own.columns, *new.columns], [*names, *arrow.names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(at, CHUNK)
+                b = Batch.of_arrow(batch.column(n), batch.column(n + 1))
+                facts = X.facts(b, extractors, config.threshold, config.expand, not config.all_arguments)
+                ints = lambda x: pa.array(x, pa.int32())
+                t = pa.StructArray.from_arrays([ints(b.place), pa.array(b.text, pa.string()), pa.array(b.tag, pa.string()), pa.array(b.lemma, pa.string()), ints(b.offset)], names=["idx", "text", "postag", "lemma", "offset"])
+                d = pa.StructArray.from_arrays([pa.array(b.names, pa.string()).take(pa.array(b.code)), ints(b.place[b.src]), ints(b.place[b.dst])], names=["label", "src", "dst"])
+                edges = np.searchsorted(b.sentence[b.src], np.arange(b.sentences + 1))
+                new = [pa.ListArray.from_arrays(ints(b.begin), t).cast(arrow.field(n).type), pa.ListArray.from_arrays(ints(edges), d).cast(arrow.field(n + 1).type), pa.array(facts, arrow.field(n + 2).type)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *new], arrow.names)
+
+    df = df.select(*names, tokens, deps).mapInArrow(run, out)
+    if not keep_empty:
+        df = df.where(F.size(found) > 0)
+    fixed = lambda f: F.when(f["template"].isNotNull(), fill_template(f["template"], f["caught"], f["center"], f["rel"], F.col(tokens), F.col(deps))).otherwise(f["rel"]["text"])
+    df = df.withColumn(found, F.transform(found, lambda f: f.withField("rel.text", fixed(f)).dropFields("center", "caught")))
+    if not config.duplicates:
+        df = df.withColumn(found, unique_facts(F.col(found)))
+    order = lambda x, y: F.when(x["pattern_confidence"] != y["pattern_confidence"], F.when(x["pattern_confidence"] > y["pattern_confidence"], -1).otherwise(1)).otherwise(F.when(_bare(x) < _bare(y), -1).when(_bare(x) > _bare(y), 1).otherwise(0))
+    df = df.withColumn(found, F.array_sort(found, order))
+    explode = F.explode_outer if keep_empty else F.explode
+    fact = free([*names, tokens, deps, found], "fact_read")[0]
+    df = df.select(*names, tokens, deps, explode(found).alias(fact))
+    f = F.col(fact)
+    own = {
+        "passive": f["pattern"].contains("nsubjpass") | f["rel"]["text"].endswith(" by"),
+        "active": (f["pattern"].contains("nsubj<") | f["pattern"].contains(">nsubj")) & (f["pattern"].contains("nsubj<") | ~f["pattern"].contains("nsubjpass")),
+        "tokens": F.col(tokens), "deps": F.col(deps),
+    }
+    return df.select(*names, *[own.get(c, f[c] if c not in own else None).alias(c) for c in result.names])
+
 
-    return sentences.mapInArrow(run, schema)
+def _bare(f: Column) -> Column:
+    return F.concat(F.lit("("), f["arg1"]["text"], F.lit("; "), f["rel"]["text"], F.lit("; "), f["arg2"]["text"], F.lit(")"))
+
+
+def unique_facts(facts: Column) -> Column:
+    """An array of facts without repeats (of equal confidence and texts the first pattern in order stays) and without
+    those that a surer one of the same relation contains: one argument within its argument."""
+    same = lambda x, y: (x["pattern_confidence"] == y["pattern_confidence"]) & (_bare(x) == _bare(y))
+    first = lambda f, g: F.when(f["pattern"] != g["pattern"], g["pattern"] < f["pattern"]).otherwise(g["rel"]["idx"] < f["rel"]["idx"])
+    once = F.array_distinct(F.filter(facts, lambda f: ~F.exists(facts, lambda g: same(f, g) & first(f, g))))
+    inside = lambda f, g: (f["rel"]["text"] == g["rel"]["text"]) & (f["rel"]["idx"] == g["rel"]["idx"]) & (f["pattern_confidence"] < g["pattern_confidence"]) & (g["arg1"]["text"].contains(f["arg1"]["text"]) | g["arg2"]["text"].contains(f["arg2"]["text"]))
+    return F.filter(once, lambda f: ~F.exists(facts, lambda g: inside(f, g)))
 
 
 def with_confidence(extractions: DataFrame, weights: dict[str, float] | None = None, threshold: float = 0.0) -> DataFrame:
@@ -153,7 +237,5 @@ def switch_voices(sentences: DataFrame, graph: str = "graph") -> DataFrame:
 
 def feature_matrix(extractions: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """confidence, fact and a column for each weighted feature, in order of name; the weights are those of ``with_confidence``."""
-    from ..functions.features import DEFAULT_WEIGHTS, features
-
     known, used = features(), DEFAULT_WEIGHTS if weights is None else weights
     return extractions.select("confidence", fact_text().alias("fact"), *[known[n].alias(n) for n in sorted(used) if n in known])

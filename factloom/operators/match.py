@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import Pattern
+from ..functions.store import keep
+
+#: Patterns of a model are broadcast; more than this many are no model.
+MOST_PATTERNS = 1_000_000
 
 
 def match(edges: DataFrame, patterns: list[Pattern], tokens: DataFrame | None = None, distinct: bool = True) -> DataFrame:
@@ -18,6 +23,8 @@ def match(edges: DataFrame, patterns: list[Pattern], tokens: DataFrame | None =
     Tags and lemma expressions are checked on the path's tokens where ``tokens`` is given.
     """
     spark = edges.sparkSession
+    if len(patterns) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns can't be broadcast")
     shapes: dict[str, list[Pattern]] = defaultdict(list)
     for p in dict.fromkeys(patterns):
         shapes[p.shape].append(p)
@@ -69,18 +76,22 @@ def possible(edges: DataFrame, patterns: list[Pattern]) -> DataFrame:
     return have.join(F.broadcast(need), F.expr("label rlike concat('^(?:', want, ')$')")).groupBy("sent", "pattern", "wants").agg(F.count_distinct("want").alias("n")).where("n = wants").select("sent", "pattern")
 
 
-def inferiors(edges: DataFrame, starts: DataFrame, longest: int = 32) -> DataFrame:
+def inferiors(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """starts (sent, start), edges (sent, src, dst) -> (sent, start, node, depth): all below, each once at its least depth.
 
-    One join a level, until a level adds nothing; cycles end because known nodes aren't followed again.
+    Sentences are partitioned once. Each level joins the last frontier alone, which is stored with its number of rows, so
+    the cost is that of the rows found, not of the levels before; it ends with a level that adds nothing, however deep.
+    Cycles end because known nodes aren't followed again.
     """
-    known = starts.select("sent", "start", F.col("start").alias("node"), F.lit(0).alias("depth"))
-    front, level = known, 0
-    while level < longest:
-        level += 1
-        step = front.join(edges.select("sent", F.col("src").alias("node"), F.col("dst").alias("to")), ["sent", "node"]).select("sent", "start", F.col("to").alias("node"), F.lit(level).alias("depth")).distinct()
-        front = step.join(known, ["sent", "start", "node"], "left_anti")
-        if front.isEmpty():
-            break
-        known = known.unionByName(front)
+    links = keep(edges.select("sent", F.col("src").alias("node"), F.col("dst").alias("to")).distinct(), "links")
+    front = keep(starts.select("sent", "start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct(), "front")
+    levels = [front]
+    known = front
+    while front.rows:
+        step = front.join(links, ["sent", "node"]).select("sent", "start", F.col("to").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        front = keep(step.join(known, ["sent", "start", "node"], "left_anti"), "front")
+        levels.append(front)
+        if len(levels) % 16 == 0:  # one table instead of many, for short plans
+            levels = [keep(reduce(DataFrame.unionByName, levels), "levels")]
+        known = reduce(DataFrame.unionByName, levels)
     return known

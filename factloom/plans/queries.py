@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import extraction as X
+from ..functions import columns as K
 from ..functions.patterns import parse_pattern
+from ..functions.store import scratch_path
 from ..operators import collections as C
 from ..operators import evaluate as V
 from ..operators import extract as E
@@ -25,12 +26,13 @@ from ..sources import writers as W
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-#: Parsed sentences for the engine's own queries.
+#: Parsed sentences for tests and examples.
 SENTENCES = (
-    (1, "(._._5_0), nsubj(finds_VBZ_1_0, Ada_NNP_0_0); dobj(finds_VBZ_1_0, extraction_NN_4_0); det(extraction_NN_4_0, an_DT_2_0); nn(extraction_NN_4_0, example_NN_3_0)"),
-    (2, "(on_IN_4_0), (._._6_0), nsubj(has_VBZ_1_0, Juliette_NNP_0_0); dobj(has_VBZ_1_0, crush_NN_3_0); det(crush_NN_3_0, a_DT_2_0); prep_on(crush_NN_3_0, Romeo_NNP_5_0)"),
-    (3, "det(people_NNS_1_0, The_DT_0_0); nsubj(fled_VBD_2_0, people_NNS_1_0); advmod(fled_VBD_2_0, chaotically_RB_3_0); det(barn_NN_6_0, the_DT_5_0); prep_towards(fled_VBD_2_0, barn_NN_6_0)"),
-    (4, "(that_IN_3_0), (of_IN_9_0), amod(astronomers_NNS_1_0, Early_JJ_0_0); nsubj(believe_VBP_2_0, astronomers_NNS_1_0); ccomp(believe_VBP_2_0, center_NN_8_0); det(earth_NN_5_0, the_DT_4_0); nsubj(center_NN_8_0, earth_NN_5_0); cop(center_NN_8_0, is_VBZ_6_0); det(center_NN_8_0, the_DT_7_0); det(universe_NN_11_0, the_DT_10_0); prep_of(center_NN_8_0, universe_NN_11_0)"),
+    (1, "(._._5_0), nsubj(repairs_VBZ_1_0, Marta_NNP_0_0); dobj(repairs_VBZ_1_0, printer_NN_4_0); det(printer_NN_4_0, an_DT_2_0); amod(printer_NN_4_0, old_JJ_3_0)"),
+    (2, "(for_IN_4_0), (._._6_0), nsubj(keeps_VBZ_1_0, Pavel_NNP_0_0); dobj(keeps_VBZ_1_0, key_NN_3_0); det(key_NN_3_0, a_DT_2_0); prep_for(key_NN_3_0, Irene_NNP_5_0)"),
+    (3, "(into_IN_4_0), det(rivers_NNS_1_0, Some_DT_0_0); nsubj(flowed_VBD_2_0, rivers_NNS_1_0); advmod(flowed_VBD_2_0, quietly_RB_3_0); det(lake_NN_6_0, the_DT_5_0); prep_into(flowed_VBD_2_0, lake_NN_6_0)"),
+    (4, "(that_IN_3_0), (of_IN_9_0), amod(guides_NNS_1_0, Local_JJ_0_0); nsubj(claim_VBP_2_0, guides_NNS_1_0); ccomp(claim_VBP_2_0, symbol_NN_8_0); det(tower_NN_5_0, the_DT_4_0); nsubj(symbol_NN_8_0, tower_NN_5_0); cop(symbol_NN_8_0, is_VBZ_6_0); det(symbol_NN_8_0, the_DT_7_0); det(town_NN_11_0, the_DT_10_0); prep_of(symbol_NN_8_0, town_NN_11_0)"),
+    (5, "nsubj(paints_VBZ_1_0, Peter_NNP_0_0); dobj(paints_VBZ_1_0, fence_NN_3_0); det(fence_NN_3_0, the_DT_2_0); advcl(paints_VBZ_1_0, holds_VBZ_7_0); mark(holds_VBZ_7_0, if_IN_4_0); nsubj(holds_VBZ_7_0, weather_NN_6_0); det(weather_NN_6_0, the_DT_5_0)"),
 )
 
 
@@ -86,10 +88,25 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORED_SQL = "s AS (SELECT doc_id, n_chars / (n_chars + 1000) AS confidence, quality = 1 AS score, source, lang FROM documents JOIN labels USING (doc_id))"
 
 
-@query("line_scan", """SELECT doc_id, i - 1 AS pos, l AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l,
-  generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE len(l) > 0""")
+@query("line_scan", """SELECT CAST(doc_id AS VARCHAR) || ' ' || (i - 1) || ' ' || l AS sentence FROM (SELECT doc_id, unnest(string_split(replace(coalesce(text, ''), chr(13), ''), chr(10))) AS l,
+  generate_subscripts(string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)), 1) AS i FROM documents)""")
 def line_scan(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") > 0)
+    """Lines of all documents written as text files and read back by the line reader."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")), "\n", -1)).alias("pos", "line"))
+    path = scratch_path(spark, "lines")
+    d.select(F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("pos").cast("string"), "line")).write.text(path)
+    return R.lines(spark, path).select("sentence")
+
+
+@query("paragraph_scan", r"""WITH p AS (SELECT doc_id, unnest(string_split_regex(text, '\n[ ]*\n')) AS p FROM documents WHERE text IS NOT NULL),
+ s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(trim(p), '[ ]*\n[ ]*', ' ', 'g'), '([.!?])\s+([\p{Lu}\d"''“])', '\1' || chr(10) || '\2', 'g'), chr(10))) AS s FROM p)
+ SELECT s AS sentence, count(*) AS n FROM s WHERE trim(s) <> '' GROUP BY s""")
+def paragraph_scan(spark, sf_dir):
+    """Paragraphs of all documents, written as text files with blank lines between them, split into sentences."""
+    path = scratch_path(spark, "paragraphs")
+    d = read(spark, sf_dir, "documents").where("text is not null")
+    d.select(F.concat("text", F.lit("\n\n"))).write.text(path)
+    return R.paragraphs(spark, path).groupBy("sentence").agg(F.count("*").alias("n"))
 
 
 @query("sentence_split", r"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(replace(text, chr(10), ' '),
@@ -104,10 +121,11 @@ def token_histogram(spark, sf_dir):
     return C.histogram(words(spark, sf_dir), "word")
 
 
-@query("merge_histograms", f"WITH {WORDS_SQL} SELECT word, count(*) AS n FROM w WHERE lang IN ('en', 'fr') GROUP BY word")
+@query("merge_histograms", f"WITH {WORDS_SQL} SELECT word, count(*) AS n FROM w GROUP BY word")
 def merge_histograms(spark, sf_dir):
+    """The histograms of two halves of all documents, merged."""
     w = words(spark, sf_dir)
-    return C.merge_histograms(C.histogram(w.where("lang = 'en'"), "word"), C.histogram(w.where("lang = 'fr'"), "word"))
+    return C.merge_histograms(C.histogram(w.where("doc_id % 2 = 0"), "word"), C.histogram(w.where("doc_id % 2 <> 0"), "word"))
 
 
 @query("set_multimap", "SELECT source, list_aggregate(list_sort(list_distinct(list(lang))), 'string_agg', ',') AS langs FROM documents GROUP BY source")
@@ -276,45 +294,68 @@ def rank_patterns(spark, sf_dir):
     return V.rank(scored(spark, sf_dir), "lang", F.col("score"))
 
 
+_LANGS = ("de", "en", "es", "fr")
+
+
 @query("merge_curves", f"""WITH {SCORED_SQL}, r AS (SELECT lang, score, row_number() OVER (PARTITION BY lang ORDER BY confidence DESC, doc_id) AS seen, sum(score::INT) OVER (PARTITION BY lang ORDER BY confidence DESC, doc_id ROWS UNBOUNDED PRECEDING) AS y FROM s),
 p AS (SELECT lang, y::BIGINT AS yield, y / seen AS precision FROM r WHERE score)
-SELECT yield, max(precision) FILTER (lang = 'en') AS precision_0, max(precision) FILTER (lang = 'fr') AS precision_1 FROM p WHERE lang IN ('en', 'fr') GROUP BY yield""")
+SELECT yield, {", ".join(f"max(precision) FILTER (lang = '{x}') AS precision_{i}" for i, x in enumerate(_LANGS))} FROM p WHERE lang IN {_LANGS} GROUP BY yield""")
 def merge_curves(spark, sf_dir):
+    """The curves of the languages, side by side."""
     p = V.precision_yield(scored(spark, sf_dir), "confidence", F.col("score"), ["doc_id"], ["lang"])
-    return V.merge_curves([p.where("lang = 'en'"), p.where("lang = 'fr'")])
+    return V.merge_curves([p.where(F.col("lang") == x) for x in _LANGS])
 
 
-@query("significance")
-def significance(spark, sf_dir):
+_PRIME = 2147483647
+RESAMPLED_SQL = f"""WITH {SCORED_SQL}, y AS (SELECT doc_id, 'a' AS system, score::INT AS hit FROM s UNION ALL SELECT doc_id, 'b', (confidence > 0.6)::INT FROM s),
+m AS (SELECT y.*, i, ((doc_id % {_PRIME} + 1) * 48271 + ((i + 1) * 69621 + 16807) % {_PRIME}) % {_PRIME} AS h FROM y, range(1000) r(i)),
+u AS (SELECT *, ((h * 40692) % {_PRIME} * 16807) % {_PRIME} / {_PRIME}::DOUBLE AS u FROM m),
+d AS (SELECT *, {" + ".join(f"(u >= {p!r})::INT" for p in V.POISSON)} AS copies FROM u),
+p AS (SELECT i AS iteration, system, sum(copies * hit) / sum(copies) AS precision FROM d GROUP BY ALL)"""
+
+
+def two_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
-    both = s.select(F.col("doc_id").alias("sentence"), F.explode(F.array(F.struct(F.lit("a").alias("system"), F.col("score").alias("correct")), F.struct(F.lit("b").alias("system"), (F.col("confidence") > 0.6).alias("correct")))).alias("x")).select("sentence", "x.*")
-    return V.resampled(both, 100)
+    return s.select(F.col("doc_id").alias("sentence"), F.explode(F.array(F.struct(F.lit("a").alias("system"), F.col("score").alias("correct")), F.struct(F.lit("b").alias("system"), (F.col("confidence") > 0.6).alias("correct")))).alias("x")).select("sentence", "x.*")
+
+
+@query("resampling", f"{RESAMPLED_SQL} SELECT CAST(iteration AS INTEGER) AS iteration, system, round(precision, 9) AS precision FROM p")
+def resampling(spark, sf_dir):
+    return V.resampled(two_systems(spark, sf_dir)).select("iteration", "system", F.round("precision", 9).alias("precision"))
+
+
+@query("significance", f"""{RESAMPLED_SQL}, q AS (SELECT iteration, max(precision) FILTER (system = 'a') AS a, max(precision) FILTER (system = 'b') AS b FROM p GROUP BY iteration)
+ SELECT count(*) AS iterations, CAST(count(*) FILTER (NOT a > b) AS BIGINT) AS lost, count(*) FILTER (NOT a > b) / count(*) AS p_value FROM q""")
+def significance(spark, sf_dir):
+    return V.significance(two_systems(spark, sf_dir), "a", "b")
 
 
 @query("confidence_training")
 def confidence_training(spark, sf_dir):
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
     rows = d.select("doc_id", (F.col("quality") == 1).cast("int").alias("label"), (F.length(F.regexp_replace("text", "[^#|!$%&]", "")) / F.length("text")).alias("noise"), F.log("n_chars").alias("size"))
-    return spark.createDataFrame(V.cross_validate(rows, ["noise", "size"], "doc_id", n=3), "fold int, accuracy double")
+    return spark.createDataFrame(V.cross_validate(rows, ["noise", "size"], "doc_id"), "fold int, accuracy double, auc double")
 
 
 @query("top_extractions", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
 def top_extractions(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50)
+    return C.top(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 50, F.desc("o_totalprice"), "o_orderkey")
 
 
 @query("set_operations", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def set_operations(spark, sf_dir):
     c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
-    return c.select(F.col("c_custkey").alias("k")).distinct().join(o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).distinct(), "k", "left_anti")
+    return C.difference(c.select(F.col("c_custkey").alias("k")), o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")))
 
 
-@query("soft_match", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND (contains(a.s_name, right(b.s_name, 2)) OR contains(b.s_name, right(a.s_name, 2)))")
+@query("soft_match", """SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND (contains(a.s_name, right(b.s_name, 2)) OR contains(right(b.s_name, 2), a.s_name))
+ AND (contains(b.s_name, right(a.s_name, 2)) OR contains(right(a.s_name, 2), b.s_name))""")
 def soft_match(spark, sf_dir):
     s = read(spark, sf_dir, "supplier")
-    a, b = (s.select(F.col("s_suppkey").alias(x), F.col("s_name").alias(f"n{x}"), "s_nationkey") for x in "ab")
-    near = (F.col("na").contains(F.right("nb", F.lit(2)))) | (F.col("nb").contains(F.right("na", F.lit(2))))
-    return a.join(b, "s_nationkey").where((F.col("a") < F.col("b")) & near).select("a", "b")
+    a, b = (s.select(F.col("s_suppkey").alias(x), F.col("s_name").alias(f"n{x}"), F.right("s_name", F.lit(2)).alias(f"t{x}"), F.array(F.lit("supply"), F.lit(x)).alias(f"l{x}"), "s_nationkey") for x in "ab")
+    rows = a.join(b, "s_nationkey").where("a < b")
+    same = F.array(F.lit("supply"))
+    return rows.where(K.soft_match((F.col("na"), F.col("tb")), (F.col("nb"), F.col("ta")), (same, same))).select("a", "b")
 
 
 @query("standoff_ids", """WITH r AS (SELECT l_orderkey AS doc, l_linenumber AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS n FROM lineitem)
@@ -326,14 +367,134 @@ def standoff_ids(spark, sf_dir):
     return W.standoff(li.select("doc", "s", *parts), "doc", ["s"])
 
 
-@query("extract_sentences")
-def extract_sentences(spark, sf_dir):
-    """The engine, end to end, on parsed sentences repeated for each document of the table."""
-    some = spark.createDataFrame(SENTENCES, "sent long, graph string")
-    docs = read(spark, sf_dir, "documents").select("doc_id", (F.pmod("doc_id", F.lit(4)) + 1).alias("sent"))
-    found = E.with_confidence(E.extract(docs.join(F.broadcast(some), "sent"), X.SEED_MODEL))
-    return found.select("doc_id", E.fact_text().alias("fact"), F.round("confidence", 6).alias("confidence"))
+# Learning -------------------------------------------------------------------------------------------------------------
+
+
+def patterned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rel, pattern, slots) rows from parts: relations with and without be and a preposition, patterns with nn and prep edges."""
+    p = read(spark, sf_dir, "part")
+    rel = F.concat(F.when(F.col("p_partkey") % 2 == 0, "be ").otherwise(""), F.lower(F.element_at(F.split("p_type", " "), -1)), F.when(F.col("p_partkey") % 3 == 0, " of").otherwise(" in"))
+    pattern = F.when(F.col("p_partkey") % 5 == 0, "{arg1} >nn> {rel:postag=NN} >prep_of> {arg2}").when(F.col("p_partkey") % 5 == 1, "{arg1} <nsubj< {slot0:postag=NN} >dobj> {rel:postag=NN} >prep_in> {arg2}").otherwise("{arg1} <nsubj< {rel:postag=VBD} >prep_of> {arg2}")
+    return p.select(rel.alias("rel"), pattern.alias("pattern"), F.array(F.lower(F.element_at(F.split("p_type", " "), 1))).alias("slots"))
+
+
+PATTERNED_SQL = """r AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'be ' ELSE '' END AS be, lower(split_part(p_type, ' ', -1)) AS word, CASE WHEN p_partkey % 3 = 0 THEN ' of' ELSE ' in' END AS prep,
+  p_partkey % 5 AS m, lower(split_part(p_type, ' ', 1)) AS slot FROM part)"""
+
+
+@query("template_histogram", f"""WITH {PATTERNED_SQL}, c AS (SELECT be || word || prep AS rel, CASE m WHEN 0 THEN '{{arg1}} >nn> {{rel:postag=NN}} >prep_of> {{arg2}}' WHEN 1 THEN '{{arg1}} <nsubj< {{slot0:postag=NN}} >dobj> {{rel:postag=NN}} >prep_in> {{arg2}}' ELSE '{{arg1}} <nsubj< {{rel:postag=VBD}} >prep_of> {{arg2}}' END AS pattern, slot FROM r),
+ b AS (SELECT rel, pattern, slot, count(*) AS n FROM c GROUP BY ALL) SELECT rel, pattern, CAST(sum(n) AS BIGINT) AS count, string_agg(slot || '=' || n, ',' ORDER BY slot) AS slots FROM b GROUP BY rel, pattern""")
+def template_histogram(spark, sf_dir):
+    h = L.template_histogram(patterned(spark, sf_dir))
+    return h.select("rel", "pattern", "count", F.array_join(F.transform(F.map_entries("slots"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",").alias("slots"))
+
+
+@query("generalize_relations", f"""WITH {PATTERNED_SQL}, c AS (SELECT be, word, prep, m, count(*) AS n FROM (SELECT be, word, prep, CASE WHEN m > 1 THEN 2 ELSE m END AS m FROM r) GROUP BY ALL),
+ g AS (SELECT be || '{{rel}}' || prep AS template, m, word, n, m = 0 OR (m = 2 AND prep = ' in') OR (m = 1 AND prep = ' of') AS narrow FROM c),
+ k AS (SELECT template, m, string_agg(DISTINCT word, '|' ORDER BY word) AS words, sum(n) AS n FROM g WHERE narrow AND n > 5 GROUP BY ALL)
+ SELECT template, CASE m WHEN 0 THEN '{{arg1:postag=NNP}} >nn> {{rel:postag=NN:regex=' || words || '}} >prep_of> {{arg2:postag=NNP}}' WHEN 1 THEN '{{arg1}} <nsubj< {{slot0:postag=NN}} >dobj> {{rel:postag=NN:regex=' || words || '}} >prep_in> {{arg2}}'
+  ELSE '{{arg1}} <nsubj< {{rel:postag=VBD:regex=' || words || '}} >prep_of> {{arg2}}' END AS pattern, CAST(n AS BIGINT) AS count FROM k
+ UNION ALL SELECT template, CASE m WHEN 1 THEN '{{arg1}} <nsubj< {{slot0:postag=NN}} >dobj> {{rel:postag=NN}} >prep_in> {{arg2}}' ELSE '{{arg1}} <nsubj< {{rel:postag=VBD}} >prep_of> {{arg2}}' END, CAST(sum(n) AS BIGINT) FROM g WHERE NOT narrow GROUP BY template, m""")
+def generalize_relations(spark, sf_dir):
+    return L.generalize_relations(L.template_histogram(patterned(spark, sf_dir)).drop("slots"), semantics=True)
+
+
+@query("slot_semantics", f"""WITH {PATTERNED_SQL}, b AS (SELECT be || word || prep AS rel, slot, count(*) AS n FROM r WHERE m = 1 GROUP BY ALL),
+ k AS (SELECT rel, string_agg(slot, '|' ORDER BY slot) AS words FROM b WHERE n >= 2 GROUP BY rel), t AS (SELECT rel, sum(n) AS n FROM b GROUP BY rel)
+ SELECT rel, '{{arg1}} <nsubj< {{slot0:postag=NN:regex=' || words || '}} >dobj> {{rel:postag=NN}} >prep_in> {{arg2}}' AS pattern, CAST(n AS BIGINT) AS count FROM k JOIN t USING (rel)""")
+def slot_semantics(spark, sf_dir):
+    h = L.template_histogram(patterned(spark, sf_dir).where(F.col("pattern").contains("slot0")))
+    return L.add_slot_words(h, 2).select("rel", "pattern", "count")
+
+
+@query("build_templates", f"""WITH {PATTERNED_SQL}, c AS (SELECT be || '{{rel}}' || prep AS t, prep, CASE WHEN m > 1 THEN 2 ELSE m END AS m FROM r WHERE m <> 0),
+ g AS (SELECT CASE WHEN (m = 1 AND prep = ' in') OR (m = 2 AND prep = ' of') THEN replace(t, prep, ' {{prep}}') ELSE t END AS template,
+  CASE m WHEN 1 THEN '{{arg1}} <nsubj< {{slot0:postag=NN}} >dobj> {{rel:postag=NN}} >' || CASE WHEN prep = ' in' THEN '{{prep:regex=prep_(.*)}}' ELSE 'prep_in' END || '> {{arg2}}'
+   ELSE '{{arg1}} <nsubj< {{rel:postag=VBD}} >' || CASE WHEN prep = ' of' THEN '{{prep:regex=prep_(.*)}}' ELSE 'prep_of' END || '> {{arg2}}' END AS pattern FROM c)
+ SELECT template, pattern, count(*) AS count FROM g GROUP BY ALL HAVING count(*) >= 5""")
+def build_templates(spark, sf_dir):
+    return L.build_templates(patterned(spark, sf_dir), no_nn=True)
+
+
+@query("voice_mirrors", """WITH m AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'be ' ELSE '' END || '{rel} ' || lower(p_brand) AS t, CASE p_partkey % 3 WHEN 0 THEN 'nsubj' WHEN 1 THEN 'nsubjpass' ELSE 'appos' END AS l, p_partkey AS k FROM part)
+ SELECT k, t AS template, '{arg1} <' || l || '< {rel} >prep_in> {arg2}' AS pattern FROM m
+ UNION ALL SELECT k, 'be ' || t, '{arg2} <nsubj< {rel} >prep_in> {arg1}' FROM m WHERE l = 'nsubj' AND t NOT LIKE 'be %'
+ UNION ALL SELECT k, t[4:], '{arg2} <nsubjpass< {rel} >prep_in> {arg1}' FROM m WHERE l = 'nsubjpass' AND t LIKE 'be %'""")
+def voice_mirrors(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    t = F.concat(F.when(F.col("p_partkey") % 2 == 0, "be ").otherwise(""), F.lit("{rel} "), F.lower("p_brand"))
+    label = F.when(F.col("p_partkey") % 3 == 0, "nsubj").when(F.col("p_partkey") % 3 == 1, "nsubjpass").otherwise("appos")
+    return L.voice_mirrors(p.select(F.col("p_partkey").alias("k"), t.alias("template"), F.concat(F.lit("{arg1} <"), label, F.lit("< {rel} >prep_in> {arg2}")).alias("pattern")))
+
+
+@query("mirror_dedup", """WITH m AS (SELECT p_brand AS t, p_size % 4 AS k, count(*) AS n FROM part GROUP BY ALL),
+ p AS (SELECT t, n, k // 2 AS g, CASE k WHEN 0 THEN '{arg1} <nsubj< {rel} >dobj> {arg2}' WHEN 1 THEN '{arg2} <dobj< {rel} >nsubj> {arg1}' WHEN 2 THEN '{arg1} <prep_of< {rel} >prep_in> {arg2}' ELSE '{arg1} <prep_in< {rel} >prep_of> {arg2}' END AS pattern FROM m)
+ SELECT t AS template, pattern, n AS count FROM p QUALIFY row_number() OVER (PARTITION BY t, g ORDER BY n DESC, pattern) = 1""")
+def mirror_dedup(spark, sf_dir):
+    p = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("template"), (F.col("p_size") % 4).alias("k")).agg(F.count("*").alias("count"))
+    forms = F.array(*map(F.lit, ("{arg1} <nsubj< {rel} >dobj> {arg2}", "{arg2} <dobj< {rel} >nsubj> {arg1}", "{arg1} <prep_of< {rel} >prep_in> {arg2}", "{arg1} <prep_in< {rel} >prep_of> {arg2}")))
+    return L.dedup_templates(p.select("template", F.get(forms, F.col("k").cast("int")).alias("pattern"), "count"))
+
+
+@query("merge_keys", "SELECT l_returnflag, sum(l_quantity) AS l_quantity, min(l_shipdate) AS l_shipdate, max(l_extendedprice) AS l_extendedprice, list_aggregate(list_sort(list_distinct(list(l_linestatus))), 'string_agg', ',') AS l_linestatus FROM lineitem GROUP BY 1")
+def merge_keys(spark, sf_dir):
+    out = C.merge_keys(read(spark, sf_dir, "lineitem"), "l_returnflag", {"l_quantity": "sum", "l_shipdate": "min", "l_extendedprice": "max", "l_linestatus": "set"})
+    return out.withColumn("l_linestatus", F.array_join("l_linestatus", ","))
+
+
+@query("generalize_templates", """WITH w AS (SELECT DISTINCT p_brand AS b, lower(p_type) || p_size % 12 AS lemma FROM part), c AS (SELECT DISTINCT lower(p_type) AS category, lower(p_type) || (p_size % 15) AS lemma FROM part),
+ n AS (SELECT b, count(*) AS n FROM w GROUP BY b HAVING count(*) >= 10), f AS (SELECT b, category, count(*) AS k FROM w JOIN c USING (lemma) GROUP BY ALL HAVING count(*) >= 5),
+ s AS (SELECT b, category, k / n AS share FROM f JOIN n USING (b)), g AS (SELECT b FROM s GROUP BY b HAVING sum(share) > 0.75),
+ x AS (SELECT b, lemma FROM w UNION SELECT s.b, c.lemma FROM s JOIN g USING (b) JOIN c ON c.category = s.category WHERE share > 0.10)
+ SELECT b AS template, '{arg1} <nsubj< {rel:postag=NN:regex=' || string_agg(lemma, '|' ORDER BY lemma) || '} >prep_of> {arg2}' AS pattern FROM (SELECT b, lemma FROM x WHERE b IN (SELECT b FROM g) UNION SELECT b, lemma FROM w WHERE b NOT IN (SELECT b FROM g)) GROUP BY b""")
+def generalize_templates(spark, sf_dir):
+    p, kind = read(spark, sf_dir, "part"), F.lower("p_type")
+    lists = p.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set(F.concat(kind, (F.col("p_size") % 12).cast("string")))), "|").alias("r"))
+    model = lists.select(F.col("p_brand").alias("template"), F.concat(F.lit("{arg1} <nsubj< {rel:postag=NN:regex="), "r", F.lit("} >prep_of> {arg2}")).alias("pattern"), F.lit(1).alias("count"))
+    groups = p.select(kind.alias("category"), F.concat(kind, (F.col("p_size") % 15).cast("string")).alias("lemma"))
+    return L.generalize_templates(model, groups).select("template", "pattern")
+
+
+@query("group_rows", f"WITH {SCORED_SQL} SELECT doc_id, source, confidence, avg(score::INT) OVER (PARTITION BY source) AS precision, count(*) OVER (PARTITION BY source) AS n FROM s")
+def group_rows(spark, sf_dir):
+    return V.group_scored(scored(spark, sf_dir), "source", F.col("score")).select("doc_id", "source", "confidence", "precision", "n")
+
+
+@query("text_search", "SELECT doc_id FROM documents WHERE contains(text, 'the')")
+def text_search(spark, sf_dir):
+    return C.search(read(spark, sf_dir, "documents"), "text", "the").select("doc_id")
+
+
+@query("next_with_extraction", "SELECT o_orderkey FROM orders WHERE o_orderkey > 100 AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def next_with_extraction(spark, sf_dir):
+    found = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return C.with_extraction(read(spark, sf_dir, "orders"), found, "o_orderkey", 100).select("o_orderkey")
+
+
+@query("keep_diverse_rest", "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 25) GROUP BY 1")
+def keep_diverse_rest(spark, sf_dir):
+    _, rest = C.keep_diverse(read(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", 25)
+    return rest.groupBy("l_partkey").agg(F.count("*").alias("n"))
+
+
+@query("argument_texts", "SELECT doc_id, count(*) FILTER (length(w) % 4 <> 0) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) GROUP BY doc_id")
+def argument_texts(spark, sf_dir):
+    """Words without those of a tag."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    tags = F.transform("w", lambda x: F.when(F.length(x) % 4 == 0, "DT").otherwise("NN"))
+    return d.select("doc_id", F.size(K.strip(F.col("w"), tags, F.array(F.lit("DT")))).cast("long").alias("n"))
+
+
+@query("token_ranges", """SELECT l_orderkey, l_linenumber, a.s + 3 = b.s OR b.s + 2 = a.s AS borders, a.s < b.s + 2 AND b.s < a.s + 3 AS meets, greatest(b.s - a.s - 3, a.s - b.s - 2, 0) AS gap, least(a.s, b.s) AS s, greatest(a.s + 3, b.s + 2) AS e
+ FROM (SELECT l_orderkey, l_linenumber, {'s': l_linenumber} AS a, {'s': CAST(l_quantity AS INTEGER) % 9} AS b FROM lineitem)""")
+def token_ranges(spark, sf_dir):
+    one = lambda s, n: F.struct(s.alias("s"), (s + n).alias("e"))
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", one(F.col("l_linenumber").cast("int"), 3).alias("a"), one((F.col("l_quantity").cast("int") % 9), 2).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return li.select("l_orderkey", "l_linenumber", K.borders(a, b).alias("borders"), K.intersects(a, b).alias("meets"), K.distance(a, b).alias("gap"), K.union(a, b)["s"].alias("s"), K.union(a, b)["e"].alias("e"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .engine import extract_sentences
+
     return extract_sentences(spark, sf_dir)

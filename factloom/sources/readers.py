@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import graph as G
+from ..functions.native import parse_graph
 
 #: The columns of each table, in order; ``*`` gathers all further columns in an array.
 TABLES = {
@@ -53,40 +56,46 @@ def table(spark: SparkSession, path: str | list[str], name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8") -> DataFrame:
-    """sentence, file: one sentence a line, blank lines dropped. Other encodings are decoded from whole files."""
-    if encoding.upper().replace("-", "") == "UTF8":
-        rows = spark.read.text(paths).select(F.col("value").alias("sentence"), F.col("_metadata.file_path").alias("file"))
-    else:
-        raw = spark.read.format("binaryFile").load(paths)
-        rows = raw.select(F.explode(F.split(F.decode("content", encoding), r"\r?\n")).alias("sentence"), F.col("path").alias("file"))
+    """sentence, file: one sentence a line, blank lines dropped. Files of any size are split into ranges of lines, in any
+    encoding that writes a line feed as the byte 10 (those of 8 bits and UTF-8)."""
+    if encoding.upper().replace("-", "").startswith(("UTF16", "UTF32")):
+        raise ValueError("files of 16 or 32 bits a character can't be split at line feeds; convert them first")
+    raw = spark.read.text(paths).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
+    if encoding.upper().replace("-", "") != "UTF8":
+        # a separator that can't occur in the bytes keeps each line one field
+        raw = spark.read.option("encoding", encoding).option("sep", "\x01").option("quote", "").option("escape", "").csv(paths, "value string").select("value", F.col("_metadata.file_path").alias("file"))
+    rows = raw.select(F.regexp_replace("value", "\r$", "").alias("sentence"), "file")
     return rows.where(F.length("sentence") > 0)
 
 
+def stdin_lines(spark: SparkSession, stream=None) -> DataFrame:
+    """sentence, number: the lines of a console or pipe, which one process reads anyway."""
+    stream = sys.stdin if stream is None else stream
+    return spark.createDataFrame([(x.rstrip("\r\n"), i) for i, x in enumerate(stream) if x.strip()], "sentence string, number long")
+
+
 def split_sentences(text: str) -> Column:
     """Sentences of a paragraph column: behind an end mark, before a capital, digit or quote."""
     return F.filter(F.split(F.regexp_replace(F.trim(F.col(text)), r"(?<=[.!?])\s+(?=[\p{Lu}\d\"'“])", "\n"), "\n"), lambda s: s != "")
 
 
 def paragraphs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """sentence, paragraph, position: paragraphs stand between blank lines, their lines are joined and split into sentences."""
-    whole = spark.read.text(paths, wholetext=True).select(F.posexplode(F.split("value", r"\n\s*\n")).alias("paragraph", "t"))
-    flat = whole.select("paragraph", F.regexp_replace("t", r"\s*\n\s*", " ").alias("t"))
-    return flat.select("paragraph", F.posexplode(split_sentences("t")).alias("position", "sentence")).select("sentence", "paragraph", "position")
-
-
-def parse_graph(column: str) -> Column:
-    """Native parse of a graph string: struct(tokens, deps), null if it has no edge. No Python runs."""
-    node = r"(.*?_[^_\s]+?_\d+_-?\d+)"
-    edge = F.lit(rf"([\w:]+)\({node}, {node}\)(?:; |$)")
-    g = F.col(column)
-    parts = lambda k: F.regexp_extract_all(g, edge, F.lit(k))
-    place = lambda n: F.regexp_extract(n, r"_(\d+)_-?\d+$", 1).cast("int")
-    token = lambda n: F.struct(place(n).alias("idx"), F.regexp_extract(n, r"^(.*)_[^_]+_\d+_-?\d+$", 1).alias("text"), F.regexp_extract(n, r"_([^_]+)_\d+_-?\d+$", 1).alias("postag"), F.regexp_extract(n, r"_(-?\d+)$", 1).cast("int").alias("offset"))
-    alone = F.regexp_extract_all(g, F.lit(r"(?:^|, )\((\S+_\d+_-?\d+)\)"), F.lit(1))
-    nodes = F.array_distinct(F.concat(alone, F.regexp_extract_all(F.regexp_replace(g, r"^(?:\(\S+_\d+_-?\d+\), )+", ""), edge, F.lit(2)), F.regexp_extract_all(g, edge, F.lit(3))))
-    bare = F.regexp_replace(g, r"^(?:\(\S+_\d+_-?\d+\), )+", "")
-    triple = F.zip_with(F.zip_with(F.regexp_extract_all(bare, edge, F.lit(1)), F.regexp_extract_all(bare, edge, F.lit(2)), lambda x, y: F.struct(x.alias("l"), y.alias("s"))), parts(3), lambda x, y: F.struct(x["l"].alias("label"), place(x["s"]).alias("src"), place(y).alias("dst")))
-    return F.when(F.size(parts(1)) > 0, F.struct(F.array_sort(F.transform(nodes, token)).alias("tokens"), F.array_sort(triple).alias("deps")))
+    """sentence, file, paragraph, position: paragraphs stand between blank lines, their lines are joined and split into sentences.
+
+    Lines are numbered within ranges of their file, and blank lines are counted over the ranges before: no file is held
+    in one row. A paragraph is known by the number of blank lines above it in its file.
+    """
+    rows = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blank = F.trim("value") == ""
+    cells = rows.groupBy("file", "block").agg(F.sum(blank.cast("long")).alias("n"))  # one row for each range that is read
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select("file", "block", F.coalesce(before, F.lit(0)).alias("above"))
+    within = F.sum(blank.cast("long")).over(Window.partitionBy("file", "block").orderBy("id"))
+    numbered = rows.withColumn("inner", within).join(F.broadcast(cells), ["file", "block"]).where(~blank)
+    numbered = numbered.withColumn("paragraph", F.col("inner") + F.col("above"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "id", F.trim("value").alias("v")))), lambda x: x["v"]), " ")
+    flat = numbered.groupBy("file", "paragraph").agg(text.alias("t"))
+    return flat.select("file", "paragraph", F.posexplode(split_sentences("t")).alias("position", "sentence")).select("sentence", "file", "paragraph", "position")
 
 
 def graphs(spark: SparkSession, paths: str | list[str], column: int = -1) -> DataFrame:
@@ -107,8 +116,125 @@ def sniff_column(first_line: str) -> int | None:
     return None
 
 
+def sniffed(spark: SparkSession, path: str) -> DataFrame:
+    """graph and line of a file whose first line tells which of its fields is the graph."""
+    first = spark.read.text(path).head(1)
+    column = sniff_column(first[0]["value"]) if first else None
+    if column is None:
+        raise ValueError(f"no field of the first line of {path} is a graph")
+    return graphs(spark, path, column)
+
+
+def plain_parse(text: str) -> G.Graph:
+    """A graph without a grammar: tokens in order with tags guessed from their form, and the first verb between two nouns
+    as their predicate. It stands in for a dependency parser, which callers add to PARSERS."""
+    words = re.findall(r"\w+(?:['’-]\w+)*|[^\w\s]", text)
+    nodes, at = [], 0
+    for i, w in enumerate(words):
+        at = text.index(w, at)
+        nodes.append(G.Node(i, i + 1, w, guessed_tag(w, i), at, G.lemma(w)))
+        at += len(w)
+    verb = next((i for i, n in enumerate(nodes) if n.postag.startswith("VB") and i), None)
+    left = [n for n in nodes[:verb] if n.postag.startswith("NN")] if verb else []
+    right = [n for n in nodes[verb + 1 :] if n.postag.startswith("NN")] if verb else []
+    if not left or not right:
+        raise ValueError(f"no clause in {text[:80]!r}")
+    edges = [G.Edge(nodes[verb], left[-1], "nsubj"), G.Edge(nodes[verb], right[0], "dobj")]
+    edges += [G.Edge(left[-1], n, "nn") for n in left[:-1]]
+    edges += [G.Edge(right[0], n, "det") for n in nodes[verb + 1 : right[0].start] if n.postag == "DT"]
+    return G.Graph(nodes, edges)
+
+
+def guessed_tag(word: str, place: int) -> str:
+    low = word.lower()
+    if not any(c.isalnum() for c in word):
+        return word if word in ".,:" else "SYM"
+    if low in ("a", "an", "the", "this", "that", "these", "those"):
+        return "DT"
+    if low in G.PREPOSITIONS:
+        return "IN"
+    if low in G.IRREGULAR and G.IRREGULAR[low] != low and word.islower() or low.endswith("ed") and word.islower():
+        return "VBD"
+    if low.endswith(("ates", "izes", "ifies", "akes", "ows", "ives", "ends", "ints", "irs")) and word.islower():
+        return "VBZ"
+    if word[:1].isdigit():
+        return "CD"
+    return "NNP" if word[:1].isupper() and place else "NN"
+
+
 #: Parsers by name; others (a dependency parser for raw text) are added by the caller: string -> Graph.
-PARSERS: dict[str, Callable[[str], G.Graph]] = {"deserialize": G.parse}
+PARSERS: dict[str, Callable[[str], G.Graph]] = {"deserialize": G.parse, "plain": plain_parse}
+
+
+def text_or_graph(raw: str) -> G.Graph:
+    """A line that is a graph is read as one, any other is parsed."""
+    try:
+        return G.parse(raw)
+    except ValueError:
+        return PARSERS["plain"](raw)
+
+
+PARSERS["sniff"] = text_or_graph
+
+
+def word_list(spark: SparkSession, path: str) -> list[str]:
+    """A list of words, one a line; lines that begin with # and blank ones don't count. Such lists are small."""
+    rows = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#")).select(F.lower(F.trim("value")).alias("w")).distinct()
+    return sorted(r["w"] for r in rows.collect())
+
+
+def categories(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """category, lemma: a word list for each category."""
+    out = None
+    for name, path in sorted(paths.items()):
+        one = spark.read.text(path).where(F.trim("value") != "").select(F.lit(name).alias("category"), F.lower(F.trim("value")).alias("lemma")).distinct()
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def part(column: Column) -> Column:
+    """struct(text, s, e, idx, nodes) of ``text ;;; node; node``."""
+    halves = F.split(column, r"\s*;;;\s*", 2)
+    nodes = F.split(F.get(halves, F.lit(1)), r"\s*;\s+")
+    idx = F.array_sort(F.transform(nodes, lambda n: F.regexp_extract(n, r"_(\d+)_-?\d+$", 1).cast("int")))
+    return F.struct(F.get(halves, F.lit(0)).alias("text"), F.get(idx, F.lit(0)).alias("s"), (F.element_at(idx, -1) + 1).alias("e"), idx.alias("idx"))
+
+
+def extractor(fields: Column, at: int) -> Column:
+    """struct(kind, template, pattern, confidence) from four fields; only template extractors can be read back."""
+    kind = F.get(fields, F.lit(at))
+    bad = F.raise_error(F.concat(F.lit("not a template extractor: "), kind)).cast("string")
+    return F.struct(F.when(kind == "Template", kind).otherwise(bad).alias("kind"), F.get(fields, F.lit(at + 1)).alias("template"), F.get(fields, F.lit(at + 2)).alias("pattern"), F.get(fields, F.lit(at + 3)).cast("double").alias("confidence"))
+
+
+def parse_instances(rows: DataFrame, line: str = "line") -> DataFrame:
+    """Labelled instances as writers.labelled writes them: score, fact, graph, extractor, parts, contexts, tokens and deps.
+
+    A score that is neither 1 nor 0, or a line that hasn't 13 fields, raises.
+    """
+    p = F.split(line, "\t", -1)
+    field = lambda i: F.get(F.col("p"), F.lit(i))
+    whole = F.when(F.size(p) == 13, p).otherwise(F.raise_error(F.concat(F.lit("not an instance: "), F.substring(line, 1, 80))).cast("array<string>"))
+    score = F.when(field(0) == "1", True).when(field(0) == "0", False).otherwise(F.raise_error(F.concat(F.lit("bad score: "), field(0))).cast("boolean"))
+    e = F.col("extractor")
+    words = lambda c, n: F.when(c != "None", F.slice(F.split(c, "_", -1), 1, n))
+    said = F.split(field(12), "_", -1)
+    place = lambda i: F.when(field(12) != "None", F.get(said, F.lit(i)).cast("int"))
+    made = rows.select(whole.alias("p")).withColumn("extractor", extractor(F.col("p"), 3)).withColumn("parsed", parse_graph(F.get("p", F.lit(2))))
+    lemmas = F.transform("parsed.tokens", lambda t: F.struct(t["idx"].alias("idx"), t["text"].alias("text"), t["postag"].alias("postag"), F.lower(t["text"]).alias("lemma"), t["offset"].alias("offset")))
+    return made.select(
+        score.alias("score"), field(1).alias("fact"), field(2).alias("graph"), "extractor", e["template"].alias("template"), e["pattern"].alias("pattern"),
+        F.regexp_extract_all(e["pattern"], F.lit(r"[<>](?:\{(\w+):[^{}]*\}|([\w:]+))[<>]"), F.lit(2)).alias("pattern_labels"), e["pattern"].rlike(r"\{rel\d*[^{}]*regex=").alias("semantic"),
+        (~F.regexp_extract(e["template"], r" (\w+|\{prep\})$", 1).isin(*G.PREPOSITIONS) & ~e["pattern"].rlike(r"[<>](?:prep_|\{\w+:regex=prep)")).alias("prep_mismatch"),
+        part(field(7)).alias("arg1"), part(field(8)).alias("rel"), part(field(9)).alias("arg2"), field(10).cast("double").alias("pattern_confidence"),
+        F.array_join(words(field(11), 2), " ").alias("enabler"), F.get(words(field(11), 1), F.lit(0)).alias("enabler_prefix"),
+        F.get(words(field(12), 2), F.lit(0)).alias("attrib_arg"), F.get(words(field(12), 2), F.lit(1)).alias("attrib_rel"), place(2).alias("attrib_s"), (place(3) + 1).alias("attrib_e"),
+        lemmas.alias("tokens"), F.col("parsed.deps").alias("deps"), F.array_join(F.transform("parsed.tokens", lambda t: t["text"]), " ").alias("text"),
+    )
+
+
+def instances(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return parse_instances(spark.read.text(path).select(F.col("value").alias("line")))
 
 
 def model_lines(spark: SparkSession, path: str) -> list[str]:
