@@ -2,57 +2,29 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys with more rows than this share of the table get a broadcast lookup; by counting there are fewer than 1 / HOT_SHARE of them.
-HOT_SHARE = 1e-4
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; where that is unset (tests on one machine) a temporary folder is set."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="factloom-")
-        shared_dir.own = place
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(place)
-    return place if "://" in place else "file://" + os.path.abspath(place)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
+from ..functions.store import forget, free, keep, scratch_path, shared_dir
 
-def keep(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet in the shared folder and reads it back. Lost executors don't undo it."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
+__all__ = ["components", "fan_out", "forget", "free", "grouped", "keep", "lookup", "scratch_path", "shared_dir"]
 
-
-def forget(df: DataFrame) -> None:
-    """Deletes what keep() wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "scratch_path", None)
-    if path:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+#: Keys with more rows than this share of the table get a broadcast lookup; by counting there are fewer than 1 / HOT_SHARE of them.
+HOT_SHARE = 1e-4
 
 
 def fan_out(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """Not more tasks than a table of so many narrow rows is worth; large tables keep all shuffle partitions."""
+    tasks = max(12, rows // 20_000)
+    return df.coalesce(tasks) if tasks < fan_out(df.sparkSession) else df
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Left join on key where right has one row a key. ``weight`` is right's column with the number of left rows of the key.
 
@@ -61,19 +33,21 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int)
     Rows with a null key are kept, without a match.
     """
     bar = max(1000, int(total * HOT_SHARE))
+    rest = [c for c in right.columns if c != key]
+    hot_key, hot, cold_key, spread, cold = free([*left.columns, *right.columns], "hot_key", "hot", "cold_key", "spread", "cold")
     heavy = right.where(F.col(weight) > bar)
     light = right.where(F.col(weight) <= bar)
-    marks = F.broadcast(heavy.select(F.col(key).alias("_hot_key"), F.struct(*[c for c in right.columns if c != key]).alias("_hot")))
-    both = left.join(marks, F.col(key) == F.col("_hot_key"), "left")
-    rest = [c for c in right.columns if c != key]
+    marks = F.broadcast(heavy.select(F.col(key).alias(hot_key), F.struct(*rest).alias(hot)))
+    both = left.join(marks, F.col(key) == F.col(hot_key), "left")
     # a row with a hot key goes anywhere: its shuffle key is replaced by nothing that matches
-    both = both.withColumn("_cold_key", F.when(F.col("_hot_key").isNull(), F.col(key)))
-    both = both.withColumn("_spread", F.when(F.col("_cold_key").isNull(), 1 + F.floor(F.rand(7) * 4096)).otherwise(F.lit(0)).cast("int"))
+    both = both.withColumn(cold_key, F.when(F.col(hot_key).isNull(), F.col(key)))
+    both = both.withColumn(spread, F.when(F.col(cold_key).isNull(), 1 + F.floor(F.rand(7) * 4096)).otherwise(F.lit(0)).cast("int"))
     # always 0, but no literal, which the optimizer would take out of the join's keys
     zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
-    cold = light.select(F.col(key).alias("_cold_key"), zero.alias("_spread"), F.struct(*rest).alias("_cold"))
-    both = both.join(cold, ["_cold_key", "_spread"], "left")
-    return both.select(*left.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in rest])
+    others = light.select(F.col(key).alias(cold_key), zero.alias(spread), F.struct(*rest).alias(cold))
+    both = both.join(others, [cold_key, spread], "left")
+    both = both.select(*[F.col(f"`{c}`") for c in left.columns], *[F.coalesce(F.col(f"{hot}.{c}"), F.col(f"{cold}.{c}")).alias(c) for c in rest])
+    return few(both, total)
 
 
 def components(nodes_in_edges: DataFrame, name: str = "components") -> DataFrame:
@@ -87,26 +61,30 @@ def components(nodes_in_edges: DataFrame, name: str = "components") -> DataFrame
         nodes_in_edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0"
     )
     step = 0
-    while True:
+    while links.rows:
         step += 1
         # large star: every neighbour above u points to the smallest of u's neighbourhood
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        total = 2 * links.count()
-        large = lookup(both, low, "u", "n", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = few(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), links.rows)
+        large = lookup(both, low, "u", "n", 2 * links.rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = few(large, links.rows)
         # small star: every neighbour below u, and u itself, points to the smallest of them
         down = keep(large, f"{name}-{step}l")
-        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        joined = lookup(down, low, "u", "n", total)
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = keep(small, f"{name}-{step}s")
-        # both steps keep the components; no change in the set of links means that all links go to roots
-        same = after.count() == links.count() and after.join(links, ["u", "v"], "left_anti").isEmpty()
+        low = few(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), down.rows)
+        # a node with one neighbour below keeps it; only the others are looked up
+        several = low.where("n > 1")
+        small = lookup(down, several, "u", "n", down.rows)
+        small = small.select(F.when(F.col("m").isNull(), F.col("u")).otherwise(F.col("v")).alias("u"), F.coalesce("m", "v").alias("v"))
+        small = small.union(several.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        after = keep(few(small, down.rows), f"{name}-{step}s")
+        # both steps keep the components; the same set of links as before means that all links go to roots
+        same = (after.rows, after.digest) == (links.rows, links.digest)
         forget(links)
         forget(down)
         links = after
         if same:
-            return links.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            break
+    return links.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def grouped(batches, keys: list[str]):

@@ -61,7 +61,7 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,14 +73,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_paths(docs: DataFrame) -> DataFrame:
     """doc_id, text, path. The table has no paths: a document stands as a file in a folder of a hundred below its source.
 
-    Of the documents that speak of a license (``TRIGGER``) a quarter, by crc32 of doc_id, are licence files of their
-    folder and a quarter licence files of their source, above the folders.
+    Of the documents that speak of a license a quarter, by crc32 of doc_id, are licence files of their folder and a
+    quarter licence files of their source, above the folders.
     """
-    from .license import TRIGGER
-
     folder = F.concat_ws("/", "source", (F.col("doc_id") / 100).cast("long").cast("string"))
     name = F.col("doc_id").cast("string")
-    turn = F.when(F.col("text").rlike(TRIGGER), F.crc32(name) % 4)
+    turn = F.when(F.lower("text").contains("licen"), F.crc32(name) % 4)
     path = F.when(turn == 0, F.concat_ws("/LICENSE.", "source", name)).when(turn == 1, F.concat_ws("/LICENSE.", folder, name)).otherwise(F.concat_ws("/", folder, name))
     return docs.select("doc_id", "text", path.alias("path"))
 
@@ -91,7 +89,7 @@ def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license import inherit, stated
 
     marked = keep(stated(license_paths(read(spark, sf_dir, "documents"))).drop("text"), "stated")
-    return inherit(marked, marked.count()).select("doc_id", "license", "license_score", "license_from", "inherited_from")
+    return inherit(marked, marked.rows).select("doc_id", "license", "license_score", "license_from", "inherited_from")
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

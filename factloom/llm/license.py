@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup
+from .common import free, lookup
 
 #: For each license the statements that headers use, and the opening of its text for licence files.
 TEMPLATES = {
@@ -50,122 +50,161 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     "Proprietary": ("All rights reserved", "Copyright. All rights reserved. Unauthorized copying of this file is prohibited"),
 }
-#: Lines are scored if one of these words stands in them, alone or taken together; words may stand on different lines.
-TRIGGER = "(?i)" + "licen[sc]e|copyright|rights reserved|spdx|permission is hereby granted|redistribution and use|public domain".replace(" ", "[^a-z0-9]+")
 #: Lines that a statement may be wrapped over.
 WRAPPED = 6
 #: Names of files whose license holds for their directory.
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([-._][^/]*)?$"
 SIMILAR = 0.7
-WORD = r"[a-z]+[0-9]*|[0-9]+"
 
 
 def tokens(text: str) -> list[str]:
-    return re.findall(WORD, text.lower())
+    return re.findall(r"[a-z0-9]+", text.lower())
+
+
+def words(text: Column) -> Column:
+    """The same for a column; null has none."""
+    return F.array_remove(F.split(F.coalesce(F.lower(text), F.lit("")), r"[^a-z0-9]+"), "")
 
 
 def vocabulary() -> list[str]:
     return sorted({t for group in TEMPLATES.values() for line in group for t in tokens(line)})
 
 
-def term_frequencies(docs: DataFrame, text: str) -> tuple[int, dict[str, int]]:
-    """Documents, and documents with each word of the templates, over whole texts of all of them."""
-    known = F.array(*[F.lit(t) for t in vocabulary()])
-    words = F.array_intersect(F.split(F.lower(F.col(text)), r"[^a-z0-9]+"), known)
-    rows = docs.select(F.explode(F.array_append(F.coalesce(words, F.array().cast("array<string>")), F.lit(""))).alias("w")).groupBy("w").count().collect()
-    found = {r["w"]: r["count"] for r in rows}  # at most as many rows as the templates have words
-    return found.pop("", 0), found
+def literal(terms) -> Column:
+    return F.array(*[F.lit(t) for t in terms])
 
 
-def vectors(total: int, found: dict[str, int]) -> tuple[dict[str, float], list[tuple[str, dict[str, float]]]]:
-    """(idf of the templates' words, unit vectors of the templates)."""
-    idf = {t: math.log((1 + total) / (1 + found.get(t, 0))) + 1 for t in vocabulary()}
-    out = []
-    for name, group in TEMPLATES.items():
-        for line in group:
-            own = {t: tokens(line).count(t) * idf[t] for t in tokens(line)}
-            norm = math.sqrt(sum(x * x for x in own.values()))
-            out.append((name, {t: x / norm for t, x in own.items()}))
-    return idf, out
+def term_frequencies(docs: DataFrame, text: str) -> tuple[int, dict[str, int]]:
+    """Documents, and documents with each word of the templates, over whole texts of all of them."""
+    found = F.array_intersect(words(F.col(text)), literal(vocabulary()))
+    rows = docs.select(F.explode(F.array_append(found, F.lit(""))).alias("w")).groupBy("w").count().collect()
+    counts = {r["w"]: r["count"] for r in rows}  # at most as many rows as the templates have words
+    return counts.pop("", 0), counts
 
 
-def best_template(line: Column, idf: dict[str, float], templates: list[tuple[str, dict[str, float]]], total: int) -> Column:
-    """struct(score, license) of the most similar template; ties go to the license first in order of name.
+class Vectors:
+    """idf of the templates' words, unit vectors of the templates, and what shows that a text is like none of them.
 
-    The line's words carry the templates' idf, words that no template has the idf of a word in no document.
+    By Cauchy's inequality a text is similar to a template only if the words they share carry at least similar^2 of the
+    template's squared weights. ``common`` are words that fall short of that for every template even all together, so a
+    text without any other word of the templates needs no look at all.
     """
-    rare = math.log(1 + total) + 1
-    weights = F.create_map(*[x for t, v in idf.items() for x in (F.lit(t), F.lit(v))])
-    known = F.array(*[F.lit(t) for t in idf])
-    words = F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
-
-    def of(words: Column) -> Column:
-        many = lambda t: (F.size(words) - F.size(F.array_remove(words, t))).cast("double")
-        pairs = F.transform(F.array_intersect(words, known), lambda t: F.struct(t.alias("t"), (many(t) * F.element_at(weights, t)).alias("x")))
+
+    def __init__(self, total: int, found: dict[str, int], similar: float):
+        self.total, self.similar = total, similar
+        self.idf = {t: math.log((1 + total) / (1 + found.get(t, 0))) + 1 for t in vocabulary()}
+        self.templates: list[tuple[str, dict[str, float]]] = []
+        for name, group in TEMPLATES.items():
+            for line in group:
+                own = {t: tokens(line).count(t) * self.idf[t] for t in tokens(line)}
+                norm = math.sqrt(sum(x * x for x in own.values()))
+                self.templates.append((name, {t: x / norm for t, x in own.items()}))
+        self.least = similar * similar - 1e-9
+        held, common = [0.0] * len(self.templates), []
+        for t in sorted(self.idf, key=lambda t: (-found.get(t, 0), t)):
+            more = [h + own.get(t, 0.0) ** 2 for h, (_, own) in zip(held, self.templates, strict=True)]
+            if max(more) >= self.least:
+                break
+            held, common = more, [*common, t]
+        self.common = set(common)
+
+    def rare(self) -> Column:
+        return literal(t for t in self.idf if t not in self.common)
+
+    def covered(self, present: Column) -> Column:
+        """Whether a set of words of the templates carries enough of one template."""
+        n = len(self.templates)
+        squares = F.create_map(*[x for t in self.idf for x in (F.lit(t), F.array(*[F.lit(own.get(t, 0.0) ** 2) for _, own in self.templates]))])
+        nothing = F.array(*[F.lit(0.0)] * n)
+        return F.array_max(F.aggregate(present, nothing, lambda a, t: F.zip_with(a, F.element_at(squares, t), lambda x, y: x + y))) >= self.least
+
+    def best(self, bag: Column) -> Column:
+        """struct(score, license) of the template most similar to an array of words; ties go to the license first in
+        order of name. Words that no template has carry the idf of a word in no document."""
+        rare = math.log(1 + self.total) + 1
+        weights = F.create_map(*[x for t, v in self.idf.items() for x in (F.lit(t), F.lit(v))])
+        known = literal(self.idf)
+        many = lambda w, t: (F.size(w) - F.size(F.array_remove(w, t))).cast("double")
+        table = F.array(*[F.struct(F.lit(name).alias("license"), F.create_map(*[x for t, v in own.items() for x in (F.lit(t), F.lit(v))]).alias("v")) for name, own in self.templates])
         # the square of a count is the sum of the odd numbers up to it: one pass over the sorted words, however many
         first = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(0.0).alias("all"))
         step = lambda a, t, n: F.struct(t.alias("t"), n.alias("n"), (a["all"] + 2 * n - 1).alias("all"))
-        others = F.aggregate(F.array_sort(F.filter(words, lambda w: ~F.array_contains(known, w))), first, lambda a, t: step(a, t, F.when(a["t"] == t, a["n"] + 1).otherwise(F.lit(1))), lambda a: a["all"])
-        return F.get(F.transform(F.array(F.struct(pairs.alias("pairs"), (others * rare * rare).alias("others"))), lambda p: scored(p["pairs"], p["others"])), 0)
-
-    def scored(pairs: Column, others: Column) -> Column:
-        norm = F.sqrt(F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"] * p["x"]) + others)
-        table = F.array(*[F.struct(F.lit(name).alias("license"), F.create_map(*[x for t, v in own.items() for x in (F.lit(t), F.lit(v))]).alias("v")) for name, own in sorted(templates, key=lambda x: x[0], reverse=True)])
-        dot = lambda own: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"] * F.coalesce(F.element_at(own["v"], p["t"]), F.lit(0.0)))
-        ranked = F.transform(table, lambda own: F.struct((F.round(dot(own) / norm, 9)).alias("score"), own["license"].alias("license")))
-        top = F.array_max(F.transform(ranked, lambda r: r["score"]))
-        name = F.array_min(F.transform(F.filter(ranked, lambda r: r["score"] == top), lambda r: r["license"]))
-        return F.struct(top.alias("score"), name.alias("license"))
-
-    return F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, of(w))), 0)
-
-
-def stated(docs: DataFrame, path: str = "path", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """All columns of docs and _top, _own: score and license of the most similar lines or text, null below ``similar``."""
-    total, found = term_frequencies(docs, text)
-    idf, templates = vectors(total, found)
-    lines = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.trim(x))
-    is_file = F.coalesce(F.col(path).rlike(FILE_NAME), F.lit(False))
 
-    def places(lines: Column) -> Column:
-        runs = F.flatten(F.transform(lines, lambda _, i: F.transform(F.sequence(F.lit(1), F.lit(WRAPPED)), lambda n: F.array_join(F.slice(lines, i + 1, n), " "))))
-        return F.array_distinct(F.filter(runs, lambda x: x.rlike(TRIGGER)))
+        def weighed(w: Column) -> Column:
+            pairs = F.transform(F.array_intersect(w, known), lambda t: F.struct(t.alias("t"), (many(w, t) * F.element_at(weights, t)).alias("x")))
+            others = F.aggregate(F.array_sort(F.filter(w, lambda t: ~F.array_contains(known, t))), first, lambda a, t: step(a, t, F.when(a["t"] == t, a["n"] + 1).otherwise(F.lit(1))), lambda a: a["all"])
+            return F.struct(pairs.alias("pairs"), (others * rare * rare).alias("others"))
+
+        def scored(p: Column) -> Column:
+            norm = F.sqrt(F.aggregate(p["pairs"], F.lit(0.0), lambda a, x: a + x["x"] * x["x"]) + p["others"])
+            dot = lambda own: F.aggregate(p["pairs"], F.lit(0.0), lambda a, x: a + x["x"] * F.coalesce(F.element_at(own["v"], x["t"]), F.lit(0.0)))
+            # of equal scores the larger struct is the one with the license first in order: its place counts down
+            names = sorted(TEMPLATES)
+            place = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(name), F.lit(-i))])
+            top = F.array_max(F.transform(table, lambda own: F.struct(F.round(dot(own) / norm, 9).alias("score"), F.element_at(place, own["license"]).alias("place"))))
+            return F.struct(top["score"].alias("score"), F.element_at(literal(names), 1 - top["place"]).alias("license"))
+
+        return F.get(F.transform(F.transform(F.array(bag), weighed), scored), 0)
 
-    runs = F.when(F.col(text).rlike(TRIGGER), F.get(F.transform(F.array(lines), places), 0)).otherwise(F.array().cast("array<string>"))
-    runs = F.array_distinct(F.concat(runs, F.when(is_file & F.col(text).isNotNull(), F.array(text)).otherwise(F.array().cast("array<string>"))))
-    scores = F.when(F.col(text).rlike(TRIGGER) | is_file, F.transform(runs, lambda x: best_template(x, idf, templates, total)))
-    marked = docs.withColumn("_scores", F.filter(scores, lambda s: s["score"] >= similar))
-    top = F.array_max(F.transform("_scores", lambda s: s["score"]))
-    marked = marked.withColumn("_top", top)
-    return marked.withColumn("_own", F.array_min(F.transform(F.filter("_scores", lambda s: s["score"] == F.col("_top")), lambda s: s["license"]))).drop("_scores")
 
+def stated(docs: DataFrame, path: str = "path", text: str = "text", similar: float = SIMILAR, top: str = "top", own: str = "own") -> DataFrame:
+    """All columns of docs and ``top``, ``own``: score and license of the most similar lines or text, null below ``similar``.
 
-def inherit(marked: DataFrame, total: int, path: str = "path") -> DataFrame:
+    Every run of up to WRAPPED lines is a candidate, and so is a licence file's whole text. Documents and runs that can't
+    be similar to any template by the words they share with it are left out before anything is scored.
+    """
+    v = Vectors(*term_frequencies(docs, text), similar)
+    known, rare = literal(v.idf), v.rare()
+    is_file = F.coalesce(F.col(path).rlike(FILE_NAME), F.lit(False))
+    [present, bags, best] = free([*docs.columns, top, own], "present", "bags", "best")
+    possible = lambda p: F.when(F.arrays_overlap(p, rare), v.covered(p)).otherwise(False)
+    marked = docs.withColumn(present, F.array_intersect(words(F.col(text)), known))
+
+    def runs(lines: Column) -> Column:
+        """Words of every run of lines that begins with a word of the templates and may be similar to one."""
+        starts = F.transform(lines, lambda w, i: F.when(F.arrays_overlap(w, known), i))
+        at = F.filter(starts, lambda i: i.isNotNull())
+        some = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(WRAPPED)), lambda n: F.flatten(F.slice(lines, i + 1, n)))))
+        return F.filter(F.array_distinct(some), lambda w: possible(F.array_intersect(w, known)))
+
+    lines = F.transform(F.split(F.col(text), "\n", -1), words)
+    empty = F.array().cast("array<array<string>>")
+    marked = marked.withColumn(bags, F.when(possible(F.col(present)), F.concat(F.get(F.transform(F.array(lines), runs), 0), F.when(is_file, F.array(words(F.col(text)))).otherwise(empty))))
+    marked = marked.withColumn(best, F.filter(F.transform(bags, v.best), lambda x: x["score"] >= similar))
+    score = F.array_max(F.transform(best, lambda x: x["score"]))
+    name = F.array_min(F.transform(F.filter(best, lambda x: x["score"] == score), lambda x: x["license"]))
+    return marked.select(*docs.columns, score.alias(top), name.alias(own))
+
+
+def inherit(marked: DataFrame, total: int, path: str = "path", top: str = "top", own: str = "own") -> DataFrame:
     """Columns of docs and the result, from what ``stated`` returns; ``marked`` is read several times, its text not."""
-    columns = [c for c in marked.columns if c not in ("_own", "_top")]
+    columns = [c for c in marked.columns if c not in (top, own)]
+    names = ("license", "license_score", "license_from", "inherited_from")
+    folder, need, rule, rule_dir, files, depth, best = free([*marked.columns, *names], "folder", "need", "rule", "rule_dir", "files", "depth", "best")
     parent = F.when(F.col(path).contains("/"), F.regexp_replace(F.col(path), r"/[^/]*$", "")).otherwise(F.when(F.col(path).isNotNull(), ""))
-    marked = marked.withColumn("_dir", parent)
+    marked = marked.withColumn(folder, parent)
     is_file = F.coalesce(F.col(path).rlike(FILE_NAME), F.lit(False))
-    rules = marked.where(is_file & F.col("_own").isNotNull()).groupBy(F.col("_dir").alias("rule_dir")).agg(F.min("_own").alias("rule"))
+    rules = marked.where(is_file & F.col(own).isNotNull()).groupBy(F.col(folder).alias(rule_dir)).agg(F.min(own).alias(rule))
     # distinct directories of documents, with all their ancestors, meet the rules; the longest wins
-    dirs = marked.where("_own is null and _dir is not null").groupBy("_dir").agg(F.count("*").alias("files"))
-    parts = F.split("_dir", "/")
+    dirs = marked.where(F.col(own).isNull() & F.col(folder).isNotNull()).groupBy(folder).agg(F.count("*").alias(files))
+    parts = F.split(folder, "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    steps = dirs.select("_dir", "files", F.posexplode(F.array_distinct(above)).alias("depth", "rule_dir"))
-    nearest = steps.join(rules, "rule_dir").groupBy("_dir", "files").agg(F.max(F.struct("depth", "rule_dir", "rule")).alias("r"))
-    nearest = nearest.select(F.col("_dir").alias("_need"), "files", "r.rule", "r.rule_dir")
-    out = lookup(marked.withColumn("_need", F.when(F.col("_own").isNull(), F.col("_dir"))), nearest, "_need", "files", total)
-    kind = F.when(F.col("_own").isNotNull(), F.when(is_file, "file").otherwise("header")).when(F.col("rule").isNotNull(), "inherited")
-    return out.select(*columns, F.coalesce("_own", "rule").alias("license"), F.col("_top").alias("license_score"), kind.alias("license_from"), F.col("rule_dir").alias("inherited_from"))
+    steps = dirs.select(folder, files, F.posexplode(F.array_distinct(above)).alias(depth, rule_dir))
+    nearest = steps.join(rules, rule_dir).groupBy(folder, files).agg(F.max(F.struct(depth, rule_dir, rule)).alias(best))
+    nearest = nearest.select(F.col(folder).alias(need), files, F.col(best)[rule].alias(rule), F.col(best)[rule_dir].alias(rule_dir))
+    out = lookup(marked.withColumn(need, F.when(F.col(own).isNull(), F.col(folder))), nearest, need, files, total)
+    kind = F.when(F.col(own).isNotNull(), F.when(is_file, "file").otherwise("header")).when(F.col(rule).isNotNull(), "inherited")
+    return out.select(*columns, F.coalesce(own, rule).alias("license"), F.col(top).alias("license_score"), kind.alias("license_from"), F.col(rule_dir).alias("inherited_from"))
 
 
 def scan(docs: DataFrame, path: str = "path", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """All columns of docs and license, license_score, license_from (header, file, inherited or null), inherited_from.
 
-    Every run of up to ``WRAPPED`` lines of the whole text that has a trigger word is compared with the templates, and so
-    is the whole text of a file named like a licence file; the document's license is the one of its most similar run, if
-    the cosine reaches ``similar``. A licence file gives its license to its directory. Documents without a license of their own take that of
-    the nearest directory above, by equi-joins of directories: one row for each distinct directory, not for each document.
+    Every run of up to ``WRAPPED`` lines of the whole text that begins with a word of a template is compared with the
+    templates, and so is the whole text of a file named like a licence file; the document's license is the one of its
+    most similar run, if the cosine reaches ``similar``. A licence file gives its license to its directory. Documents
+    without a license of their own take that of the nearest directory above, by equi-joins of directories: one row for
+    each distinct directory, not for each document.
 
     Null text: no license of its own. Null path: nothing inherited. Ties: the license first in order of name, and for
     two licence files of one directory likewise. Long texts are scanned whole; repeated rows alike. Empty tables stay
@@ -173,4 +212,5 @@ def scan(docs: DataFrame, path: str = "path", text: str = "text", similar: float
     """
     names = ("license", "license_score", "license_from", "inherited_from")
     docs = docs.select(*[c for c in docs.columns if c.lower() not in names])
-    return inherit(stated(docs, path, text, similar), docs.count(), path)
+    top, own = free(docs.columns, "top", "own")
+    return inherit(stated(docs, path, text, similar, top, own), docs.count(), path, top, own)

@@ -4,8 +4,8 @@ A chunk is a stretch of neighbouring lines that all occur more than once in the
 lines at the boundary alone, so a passage is cut in the same places wherever it stands: where the lines, or the two of
 them together, don't occur equally often in the corpus, beside a line that is a passage by itself, and where the rolling
 hash over the last two line hashes says so.
-Chunks that occur again elsewhere are candidates; neighbouring candidates count as one passage; passages long enough go,
-except at their first place, once their bytes have been compared with those of all other places of the chunk.
+From each chunk on, the least stretch of touching chunks with enough words is looked up in the whole corpus; where it
+occurs earlier as a whole, it goes, once the bytes of its chunks have been compared with those of all other places.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, keep, lookup
+from .common import forget, free, keep, lookup
 from .quality import BLANK_RE, BLANKS
 
 #: Words from which on a repeated passage goes, and the mean number of lines between boundaries set by the rolling hash.
@@ -39,13 +39,13 @@ def chunk_table(lines: DataFrame, min_words: int, mean_lines: int) -> DataFrame:
     """_k, _h, first, last (seq), begin, end (pos), words, ck: chunks of lines that occur more than once."""
     counts = lines.groupBy("lh").agg(F.count("*").alias("n")).where("n > 1")
     # rows that repeat key and text count once; the windows below use the same partitioning
-    again = lookup(lines, counts, "lh", "n", lines.count()).where("n is not null").repartition("_k", "_h").dropDuplicates(["_k", "_h", "seq"])
+    again = lookup(lines, counts, "lh", "n", lines.rows).where("n is not null").repartition("_k", "_h").dropDuplicates(["_k", "_h", "seq"])
     order = Window.partitionBy("_k", "_h").orderBy("seq")
     lag = lambda c: F.lag(c).over(order)
     near = F.col("seq") == lag("seq") + 1
     paired = keep(again.withColumn("pair", F.when(near, F.xxhash64(lag("lh"), "lh"))).withColumn("n_before", lag("n")).withColumn("words_before", lag("words")), "pairs")
     pairs = paired.where("pair is not null").groupBy("pair").agg(F.count("*").alias("n_pair"))
-    again = lookup(paired, pairs, "pair", "n_pair", lines.count())
+    again = lookup(paired, pairs, "pair", "n_pair", paired.rows)
     edge = (
         F.col("pair").isNull() | (F.col("n_pair") != F.col("n")) | (F.col("n_before") != F.col("n"))
         | (F.col("words") >= min_words) | (F.col("words_before") >= min_words)
@@ -60,26 +60,45 @@ def chunk_table(lines: DataFrame, min_words: int, mean_lines: int) -> DataFrame:
     return chunks.withColumn("ck", F.concat(F.hex("_one"), F.lit("-"), F.hex("_two"))).drop("_chunk", "_one", "_two")
 
 
+def windows(chunks: DataFrame, min_words: int) -> DataFrame:
+    """_k, _h, i, first, last, wk: for each chunk (number i of its document) the least stretch of touching chunks from it on
+    that has ``min_words`` words; none, if the stretch ends before."""
+    per = chunks.groupBy("_k", "_h").agg(F.array_sort(F.collect_list(F.struct("first", "last", "words", "ck"))).alias("cs"))
+    start = lambda c: F.struct(F.lit(0).cast("long").alias("words"), (c["first"] - 1).alias("last"), F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"))
+
+    def add(a: Column, x: Column) -> Column:
+        grown = F.struct((a["words"] + x["words"]).alias("words"), x["last"].alias("last"), F.xxhash64(a["one"], x["ck"]).alias("one"), F.xxhash64(x["ck"], a["two"]).alias("two"))
+        return F.when((a["words"] < min_words) & (x["first"] == a["last"] + 1), grown).otherwise(a)
+
+    # every chunk has a word, so a stretch has at most min_words chunks; one behind a gap is never reached again
+    reach = F.transform("cs", lambda c, i: F.struct(i.alias("i"), c["first"].alias("first"), F.aggregate(F.slice("cs", i + 1, min_words), start(c), add).alias("w")))
+    rows = per.select("_k", "_h", F.explode(F.filter(reach, lambda x: x["w"]["words"] >= min_words)).alias("x"))
+    return rows.select("_k", "_h", "x.i", "x.first", F.col("x.w.last").alias("last"), F.concat(F.hex("x.w.one"), F.lit("-"), F.hex("x.w.two")).alias("wk"))
+
+
 def decisions(lines: DataFrame, min_words: int = MIN_WORDS, mean_lines: int = MEAN_LINES) -> DataFrame:
-    """_k, _h, marks: for each document its chunks that go, and those that stay as first places of what goes elsewhere."""
+    """_k, _h, marks: for each document its chunks that go, and those that stay as first places of what goes elsewhere.
+
+    What goes repeats as a whole: a stretch of ``min_words`` words that stands at an earlier place too, not overlapping
+    that place. Longer passages are covered by such stretches, one from each of their chunks.
+    """
     chunks = keep(chunk_table(lines, min_words, mean_lines), "chunks")
-    place = F.struct("_k", "_h", "first")
-    groups = chunks.groupBy("ck").agg(F.count("*").alias("n"), F.min(place).alias("home")).where("n > 1")
-    rows = chunks.count()
-    found = lookup(chunks, groups, "ck", "n", rows).where("n is not null").withColumn("again", ~place.eqNullSafe(F.col("home")))
-    order = Window.partitionBy("_k", "_h").orderBy("first")
-    before = F.lag("last").over(order)
-    edge = before.isNull() | (F.col("first") != before + 1) | (F.col("again") != F.lag("again").over(order))
-    runs = found.withColumn("_run", F.sum(F.when(edge, 1).otherwise(0)).over(order))
-    runs = runs.withColumn("_words", F.sum("words").over(Window.partitionBy("_k", "_h", "_run")))
-    runs = runs.withColumn("gone", F.col("again") & (F.col("_words") >= min_words))
-    # first places are compared only where something goes
-    used = runs.groupBy("ck").agg(F.max("gone").alias("_any"), F.count("*").alias("_rows")).where("_any")
-    runs = lookup(runs.drop("n", "home"), used, "ck", "_rows", rows).where("_any")
-    # blank lines inside a run of chunks go with it: a chunk reaches to the next one of its run
-    reach = F.lead("begin").over(Window.partitionBy("_k", "_h", "_run").orderBy("first"))
-    runs = runs.withColumn("upto", F.coalesce(F.when(F.col("gone"), reach - 1), F.col("end")))
-    return runs.groupBy("_k", "_h").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "upto", "ck", "gone"))).alias("marks"))
+    spans = keep(windows(chunks, min_words), "windows")
+    place = F.struct("_k", "_h", "first", "last")
+    groups = spans.groupBy("wk").agg(F.count("*").alias("n"), F.min(place).alias("home")).where("n > 1")
+    found = lookup(spans, groups, "wk", "n", spans.rows).where("n is not null")
+    same_doc = F.col("_k").eqNullSafe(F.col("home._k")) & (F.col("_h") == F.col("home._h"))
+    found = found.withColumn("again", ~(same_doc & (F.col("first") <= F.col("home.last")))).withColumn("home", same_doc & (F.col("first") == F.col("home.first")))
+    per = found.where("again or home").groupBy("_k", "_h").agg(F.collect_set(F.struct("first", "last", "again")).alias("spans"))
+    mine = chunks.join(per.select(F.col("_k").alias("pk"), F.col("_h").alias("ph"), "spans"), F.col("_k").eqNullSafe(F.col("pk")) & (F.col("_h") == F.col("ph"))).drop("pk", "ph")
+    inside = lambda x: (x["first"] <= F.col("first")) & (F.col("last") <= x["last"])
+    mine = mine.where(F.exists("spans", inside)).withColumn("gone", F.exists("spans", lambda x: x["again"] & inside(x)))
+    rows = mine.groupBy("_k", "_h").agg(F.array_sort(F.collect_list(F.struct("first", "last", "begin", "end", "ck", "gone"))).alias("m"))
+    # blank lines between two chunks that go, go with them
+    following = lambda x, i: F.get(F.col("m"), i + 1)
+    reach = lambda x, i: F.when(x["gone"] & following(x, i)["gone"] & (following(x, i)["first"] == x["last"] + 1), following(x, i)["begin"] - 1).otherwise(x["end"])
+    marks = F.transform("m", lambda x, i: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), F.coalesce(reach(x, i), x["end"]).alias("upto"), x["ck"].alias("ck"), x["gone"].alias("gone")))
+    return rows.select("_k", "_h", marks.alias("marks"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, mean_lines: int = MEAN_LINES) -> DataFrame:
@@ -92,28 +111,32 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     """
     docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
     lines = keep(line_table(docs, key, text), "lines")
-    marks = decisions(lines, min_words, mean_lines)
+    decided = decisions(lines, min_words, mean_lines)
     own = docs.columns
-    whole = docs.withColumn("_h", F.xxhash64(text))
-    both = whole.join(marks.withColumnRenamed("_h", "_mh"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_mh")), "left").select(*own, "_h", "marks")
+    names = ("text_hash", "marks", "k", "h", "bad", "gone", "all_lines", "left", "ck", "lo", "hi", "l", "m", "body")
+    text_hash, marks, k, h, bad, gone, all_lines, left, ck, lo, hi, l, m, body = free([*own, "n_lines", "n_removed"], *names)
+    whole = docs.withColumn(text_hash, F.xxhash64(text))
+    here = F.col(key).eqNullSafe(F.col(k)) & (F.col(text_hash) == F.col(h))
+    both = whole.join(decided.select(F.col("_k").alias(k), F.col("_h").alias(h), F.col("marks").alias(marks)), here, "left").select(*own, text_hash, marks)
     both = keep(both, "marked")
     forget(lines)
     # byte comparison: the least and the greatest text of a chunk's places are the same
-    places = both.where("marks is not null").select(_lines(F.col(text)).alias("l"), F.explode("marks").alias("m"))
-    bodies = places.select(F.col("m.ck").alias("ck"), F.array_join(F.filter(F.slice("l", F.col("m.begin") + 1, F.col("m.end") - F.col("m.begin") + 1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), "\n").alias("body"))
-    differ = keep(bodies.groupBy("ck").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi").select("ck"), "differ")
-    gone = F.filter("marks", lambda m: m["gone"])
-    if not differ.isEmpty():  # hashes that collided: their places stay
-        bad = both.where("marks is not null").select(F.col(key).alias("_k"), F.col("_h").alias("_mh"), F.explode("marks.ck").alias("ck"))
-        bad = bad.join(differ, "ck").groupBy("_k", "_mh").agg(F.collect_set("ck").alias("bad"))
-        both = both.join(bad, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_mh")), "left")
-        gone = F.filter("marks", lambda m: m["gone"] & ~F.coalesce(F.array_contains("bad", m["ck"]), F.lit(False)))
-    both = both.withColumn("_gone", gone).withColumn("_lines", _lines(F.col(text)))
-    left = F.filter("_lines", lambda x, i: ~F.exists("_gone", lambda m: (m["begin"] <= i) & (i <= m["upto"])))
-    some = F.coalesce(F.size("_gone") > 0, F.lit(False))
-    both = both.withColumn("_left", F.when(some, left))
+    places = both.where(F.col(marks).isNotNull()).select(_lines(F.col(text)).alias(l), F.explode(marks).alias(m))
+    inside = F.slice(l, F.col(m)["begin"] + 1, F.col(m)["end"] - F.col(m)["begin"] + 1)
+    bodies = places.select(F.col(m)["ck"].alias(ck), F.array_join(F.filter(inside, lambda x: x.rlike(r"[^\x20\x09-\x0D]")), "\n").alias(body))
+    differ = keep(bodies.groupBy(ck).agg(F.min(body).alias(lo), F.max(body).alias(hi)).where(F.col(lo) != F.col(hi)).select(ck), "differ")
+    goes = F.filter(marks, lambda x: x["gone"])
+    if differ.rows:  # hashes that collided: their places stay
+        known = both.where(F.col(marks).isNotNull()).select(F.col(key).alias(k), F.col(text_hash).alias(h), F.explode(F.col(marks)["ck"]).alias(ck))
+        known = known.join(differ, ck).groupBy(k, h).agg(F.collect_set(ck).alias(bad))
+        both = both.join(known, here, "left")
+        goes = F.filter(marks, lambda x: x["gone"] & ~F.coalesce(F.array_contains(bad, x["ck"]), F.lit(False)))
+    both = both.withColumn(gone, goes).withColumn(all_lines, _lines(F.col(text)))
+    some = F.coalesce(F.size(gone) > 0, F.lit(False))
+    stay = F.filter(all_lines, lambda x, i: ~F.exists(gone, lambda g: (g["begin"] <= i) & (i <= g["upto"])))
+    both = both.withColumn(left, F.when(some, stay))
     return both.select(
-        *[F.when(some, F.array_join("_left", "\n")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in own],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.when(some, F.size("_lines") - F.size("_left")).otherwise(0).cast("long").alias("n_removed"),
+        *[F.when(some, F.array_join(left, "\n")).otherwise(F.col(c)).alias(c) if c == text else F.col(f"`{c}`") for c in own],
+        F.when(F.col(text).isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("n_lines"),
+        F.when(some, F.size(all_lines) - F.size(left)).otherwise(0).cast("long").alias("n_removed"),
     )

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,51 +23,83 @@ from .common import fan_out, keep
 from .tokens import encoder, vectorisable, whole_tokens
 
 CAPACITY = 2048
-#: Nodes that the search may visit for one filling, and fillings it keeps for one largest document.
-NODES, FILLINGS = 4000, 24
+#: Steps that the search may take before its best plan so far stands. The plan says whether it is proven to be the best.
+STEPS = 400_000
+#: Fillings that are looked at together and tried in order of waste; one without waste is tried at once.
+FAN = 500
 
 
-def fillings(sizes: list[int], have: dict[int, int], room: int, waste: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``: multisets of sizes (descending) that leave at most ``waste`` free.
+@dataclass
+class Trace:
+    """What a search did: steps taken, branches tried after a first one, branches cut by a bound, fillings found dominated."""
 
-    A filling is dominated if a larger available size fits in place of one of its members (or beside them): the search
-    takes sizes in descending order, so that the first filling found is the best-fit one, and drops a branch once what
-    could still be put in can't get under the waste bound. ``sizes`` ascend.
+    steps: int = 0
+    branches: int = 0
+    cut: int = 0
+    dominated: int = 0
+    proven: bool = False
+
+
+class OutOfSteps(Exception):
+    pass
+
+
+def fillings(sizes: list[int], have: dict[int, int], room: int, waste: int, trace: Trace, most: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room``: multisets of the available sizes (descending) that leave at most ``waste`` free, the best-fit one first.
+
+    A branch is dropped once even all smaller documents can't bring the free room under ``waste``. A filling is dominated
+    if a document that is left fits beside its members, or in place of a smaller member. ``sizes`` ascend.
     """
-    found: list[tuple[int, int, tuple[int, ...]]] = []
-    visited = 0
-    best = waste
-
-    def extend(left: int, upto: int, taken: list[int], used: dict[int, int]) -> None:
-        nonlocal visited, best
-        visited += 1
-        k = bisect_right(sizes, min(left, upto)) - 1
-        # the largest size that fits must be used up before a filling may stop short of it
+    below, total = {}, 0
+    for s in sizes:  # what all documents up to a size fill
+        total += s * have[s]
+        below[s] = total
+
+    def dominated(taken: list[int], used: dict[int, int], left: int) -> bool:
+        for x in [0, *dict.fromkeys(taken)]:
+            k = bisect_right(sizes, x + left) - 1
+            while k >= 0 and sizes[k] > x:
+                if used.get(sizes[k], 0) < have[sizes[k]]:
+                    return True
+                k -= 1
+        return False
+
+    # depth first without recursion: per level the index of the size to try next
+    taken: list[int] = []
+    used: dict[int, int] = {}
+    level = [bisect_right(sizes, room) - 1]
+    left, leaf = room, False
+    while level:
+        trace.steps += 1
+        if trace.steps > most:
+            raise OutOfSteps
+        if leaf:  # the last document filled up the room: a smaller one in its place leaves room for another, or is dominated
+            level[-1] = min(level[-1], bisect_right(sizes, left - sizes[0]) - 1)
+        k = level[-1]
         while k >= 0 and used.get(sizes[k], 0) >= have[sizes[k]]:
             k -= 1
-        if k < 0:
-            if left <= best:
-                best = min(best, left)
-                found.append((left, len(taken), tuple(taken)))
-            return
-        tried = 0
-        while k >= 0 and visited < NODES and tried < 12:
+        if k >= 0 and left - below[sizes[k]] <= waste:
             s = sizes[k]
-            if used.get(s, 0) < have[s]:
-                # waste bound: with sizes up to s only, each further member fills at most s
-                tried += 1
-                taken.append(s)
-                used[s] = used.get(s, 0) + 1
-                extend(left - s, s, taken, used)
-                used[s] -= 1
-                taken.pop()
-                if best == 0 and len(found) >= most:
-                    return
-            k -= 1
-
-    extend(room, room, [], {})
-    found.sort()
-    return [x[2] for x in found[:most]]
+            level[-1] = k - 1
+            taken.append(s)
+            used[s] = used.get(s, 0) + 1
+            left -= s
+            level.append(bisect_right(sizes, min(left, s)) - 1)
+            leaf = False
+            continue
+        if k >= 0:
+            trace.cut += 1
+        # nothing can be put in any more
+        leaf = level.pop() < 0 or not sizes or left < sizes[0]
+        if left <= waste:
+            if dominated(taken, used, left):
+                trace.dominated += 1
+            else:
+                yield tuple(taken)
+        if taken:
+            s = taken.pop()
+            used[s] -= 1
+            left += s
 
 
 def best_fit(have: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -94,39 +129,95 @@ def best_fit(have: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...],
     return plan
 
 
-def complete(have: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Bin completion on a histogram of lengths.
+def complete(have: dict[int, int], capacity: int, steps: int = STEPS, trace: Trace | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """Bin completion by branch and bound on a histogram of lengths: (sizes of a sequence, number of such sequences).
 
-    The largest length left opens a sequence; its undominated fillings are enumerated, the branch with the least waste
-    is followed (of equal ones, the one with the fewest, hence largest, members, which keeps the small lengths that
-    later sequences need) and is applied as often as the counts allow. The total waste so far is pruned against the
-    incumbent, the best-fit-decreasing plan: once the waste can't stay below the incumbent's, the search ends and the
-    incumbent stands. A plan that meets the bound ceil(sum / capacity) is optimal and ends the search at once.
+    The largest length left opens a sequence; its undominated fillings are branches, in order of waste, and each is
+    applied as often as the counts allow, then less often. Best-fit-decreasing is the first incumbent. A branch is cut
+    when the waste so far can't stay below the incumbent's, or when the sequences so far and a lower bound for the rest
+    (their tokens, or those longer than half a sequence) reach the incumbent. A plan with ceil(sum / capacity) sequences
+    is the best and ends the search; so does an exhausted tree. Otherwise the incumbent stands after ``steps``.
     """
+    trace = Trace() if trace is None else trace
     have = {s: n for s, n in have.items() if n > 0}
     total = sum(s * n for s, n in have.items())
-    bound = -(-total // capacity)
-    incumbent = best_fit(have, capacity)
-    if sum(n for _, n in incumbent) <= bound:
-        return incumbent
-    spare = sum(n for _, n in incumbent) * capacity - total
-    left, sizes, plan, waste = dict(have), sorted(have), [], 0
-    while sizes:
+    bound = max(-(-total // capacity), sum(n for s, n in have.items() if 2 * s > capacity))
+    best = best_fit(have, capacity)
+    fewest = sum(n for _, n in best)
+    left, sizes = dict(have), sorted(have)
+    plan: list[tuple[tuple[int, ...], int]] = []
+    bins = waste = 0
+    tokens, halves = total, sum(n for s, n in have.items() if 2 * s > capacity)
+
+    def options(after: tuple[int, ...] | None) -> Iterator[tuple[int, ...]]:
+        """Branches at the largest length left; ``after``: the filling just left off, which mustn't come again."""
         top = sizes[-1]
         left[top] -= 1
-        options = fillings(sizes, left, capacity - top, capacity - top)
+        mine, counts = [s for s in sizes if left[s] > 0], dict(left)
         left[top] += 1
-        taken = (top, *options[0]) if options else (top,)
-        used = {s: taken.count(s) for s in set(taken)}
-        times = min(left[s] // n for s, n in used.items())
-        plan.append((taken, times))
-        waste += times * (capacity - sum(taken))
-        if waste >= spare:
-            return incumbent
-        for s, n in used.items():
-            left[s] -= n * times
-        sizes = [s for s in sizes if left[s] > 0]
-    return plan if sum(n for _, n in plan) < sum(n for _, n in incumbent) else incumbent
+        most = (fewest - 1) * capacity - total - waste
+        found = ((top, *f) for f in fillings(mine, counts, capacity - top, most, trace, steps))
+        while True:
+            some = []
+            for f in islice(found, FAN):
+                if f != after:
+                    some.append(f)
+                if sum(f) == capacity:
+                    break
+            else:
+                if not some:
+                    return
+            yield from sorted(some, key=lambda f: (-sum(f), len(f)))
+
+    def turns() -> Iterator[tuple[tuple[int, ...], int]]:
+        after = plan[-1][0] if plan and plan[-1][0][0] == sizes[-1] else None
+        for f in options(after):
+            most = min(left[s] // f.count(s) for s in set(f))
+            yield from ((f, t) for t in range(most, 0, -1))
+
+    try:
+        stack: list[Iterator] = []
+        if fewest > bound:
+            stack.append(turns())
+        while stack:
+            trace.steps += 1
+            if trace.steps > steps:
+                raise OutOfSteps
+            step = next(stack[-1], None)
+            if step is None:
+                stack.pop()
+                if plan:  # undo what led here
+                    taken, times = plan.pop()
+                    bins, waste, tokens = bins - times, waste - times * (capacity - sum(taken)), tokens + times * sum(taken)
+                    halves += times * sum(2 * s > capacity for s in taken)
+                    for s in taken:
+                        left[s] += times
+                    sizes = sorted(s for s in left if left[s] > 0)
+                    trace.branches += 1
+                continue
+            taken, times = step
+            spare = waste + times * (capacity - sum(taken))
+            rest = max(-(-(tokens - times * sum(taken)) // capacity), halves - times * sum(2 * s > capacity for s in taken))
+            if bins + times + rest >= fewest or spare > (fewest - 1) * capacity - total:
+                trace.cut += 1
+                continue
+            plan.append(step)
+            bins, waste, tokens = bins + times, spare, tokens - times * sum(taken)
+            halves -= times * sum(2 * s > capacity for s in taken)
+            for s in taken:
+                left[s] -= times
+            sizes = [s for s in sizes if left[s] > 0]
+            if sizes:
+                stack.append(turns())
+                continue
+            best, fewest = list(plan), bins
+            if fewest <= bound:
+                break
+            stack.append(iter(()))
+        trace.proven = True
+    except OutOfSteps:
+        trace.proven = fewest <= bound
+    return best
 
 
 def plan_table(plan: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[str, np.ndarray]:

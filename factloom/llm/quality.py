@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 #: White space that separates words, and the characters counted as symbols.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RE = r"[\x20\x09-\x0D]+"
@@ -59,39 +61,38 @@ def judge(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOST) ->
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
     own = [c for c in docs.columns if c.lower() not in names]
-    t = F.col("_t")
-    df = docs.select(*own, F.col(text).alias("_t")).withColumn("_w", words(t))
-    df = df.withColumn("_n", F.size("_w").cast("int"))
-    w, n = F.col("_w"), F.col("_n")
-    df = df.withColumn("_h", F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)]))))
-    h = F.col("_h")
-    df = df.withColumn("_d", F.coalesce(F.size(F.array_distinct(h)) < F.size(h), F.lit(False)))
-    df = df.withColumn("_s", F.when(F.col("_d"), F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
-    s = F.col("_s")
-    twice = F.filter(F.transform(s, lambda x, i: F.when(F.get(s, i - 1)["h"].eqNullSafe(x["h"]) | F.get(s, i + 1)["h"].eqNullSafe(x["h"]), x["p"])), lambda p: p.isNotNull())
-    df = df.withColumn("_p", F.when(F.col("_d"), F.array_sort(twice)))
+    # temporary columns are called like none of the input
+    again, bag, size, hashes, twice, order, places, lines, full, left_lines, enough = free([*own, *names], "again", "bag", "size", "hashes", "twice", "order", "places", "lines", "full", "left_lines", "enough")
+    t, w, n, h = F.col(again), F.col(bag), F.col(size), F.col(hashes)
+    df = docs.select(*[F.col(f"`{c}`") for c in own], F.col(text).alias(again)).withColumn(bag, words(t))
+    df = df.withColumn(size, F.size(bag).cast("int"))
+    df = df.withColumn(hashes, F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)]))))
+    df = df.withColumn(twice, F.coalesce(F.size(F.array_distinct(h)) < F.size(h), F.lit(False)))
+    df = df.withColumn(order, F.when(F.col(twice), F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
+    s = F.col(order)
+    same = lambda x, y: y["h"].eqNullSafe(x["h"])
+    again_at = F.filter(F.transform(s, lambda x, i: F.when(same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)), x["p"])), lambda p: p.isNotNull())
+    df = df.withColumn(places, F.when(F.col(twice), F.array_sort(again_at)))
     step = lambda a, p: F.struct((a["c"] + (p + 5) - F.greatest(p, a["e"])).alias("c"), (p + 5).alias("e"))
-    covered = F.aggregate("_p", F.struct(F.lit(0).alias("c"), F.lit(0).alias("e")), step, lambda a: a["c"])
-    df = df.withColumn("_l", F.split(t, "\n", -1))
-    lines = F.col("_l")
-    df = df.withColumn("_x", F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    full = F.col("_x")
-    df = df.withColumn("_k", F.filter(lines, lambda x: ~line_fails(x)))
-    left = F.length(F.array_join("_k", ""))
+    covered = F.aggregate(places, F.struct(F.lit(0).alias("c"), F.lit(0).alias("e")), step, lambda a: a["c"])
+    df = df.withColumn(lines, F.split(t, "\n", -1))
+    df = df.withColumn(full, F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = df.withColumn(left_lines, F.filter(lines, lambda x: ~line_fails(x)))
+    left = F.length(F.array_join(left_lines, ""))
     df = df.select(
-        *own,
+        *[F.col(f"`{c}`") for c in own],
         n.cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.coalesce(symbol_count(t), F.lit(0)).cast("long").alias("n_symbols"),
         F.coalesce(F.size(full) - F.size(F.array_distinct(full)), F.lit(0)).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.coalesce(F.try_divide(left, F.length(F.array_join(lines, ""))) >= 1 - most_lost, F.lit(False)).alias("_enough"),
-        F.array_join("_k", "\n").alias("clean_text"),
+        F.coalesce(F.try_divide(left, F.length(F.array_join(lines, ""))) >= 1 - most_lost, F.lit(False)).alias(enough),
+        F.array_join(left_lines, "\n").alias("clean_text"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     # one generated row a document: a filter on a result would otherwise be rewritten, copy by copy, down to the text
-    result = F.struct(*names[:5], failed.alias("base_failed"), (~failed & F.col("_enough")).alias("kept"), "clean_text")
-    return df.select(*own, F.inline(F.array(result)))
+    result = F.struct(*names[:5], failed.alias("base_failed"), (~failed & F.col(enough)).alias("kept"), "clean_text")
+    return df.select(*[F.col(f"`{c}`") for c in own], F.inline(F.array(result)))
 
 
 #: The same for DuckDB, by words, windows and lines as rows.
