@@ -4,8 +4,8 @@ A chunk is a stretch of neighbouring lines that all occur more than once in the
 lines at the boundary alone, so a passage is cut in the same places wherever it stands: where the lines, or the two of
 them together, don't occur equally often in the corpus, beside a line that is a passage by itself, and where the rolling
 hash over the last two line hashes says so.
-From each chunk on, the least stretch of touching chunks with enough words is looked up in the whole corpus; where it
-occurs earlier as a whole, it goes, once the bytes of its chunks have been compared with those of all other places.
+From each chunk on, and up to each chunk, the least stretch of touching chunks with enough words is looked up in the
+whole corpus; where it occurs earlier as a whole, it goes, once the bytes of its chunks have been compared with those of all other places.
 """
 
 from __future__ import annotations
@@ -61,26 +61,39 @@ def chunk_table(lines: DataFrame, min_words: int, mean_lines: int) -> DataFrame:
 
 
 def windows(chunks: DataFrame, min_words: int) -> DataFrame:
-    """_k, _h, i, first, last, wk: for each chunk (number i of its document) the least stretch of touching chunks from it on
-    that has ``min_words`` words; none, if the stretch ends before."""
+    """_k, _h, first, last, wk: of every document the least stretches of touching chunks that have ``min_words`` words, one
+    from each chunk on and one up to each chunk. Together they cover every stretch that has so many words."""
     per = chunks.groupBy("_k", "_h").agg(F.array_sort(F.collect_list(F.struct("first", "last", "words", "ck"))).alias("cs"))
-    start = lambda c: F.struct(F.lit(0).cast("long").alias("words"), (c["first"] - 1).alias("last"), F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"))
+    none = lambda edge: F.struct(F.lit(0).cast("long").alias("words"), edge.alias("edge"), F.lit(0).alias("n"))
 
-    def add(a: Column, x: Column) -> Column:
-        grown = F.struct((a["words"] + x["words"]).alias("words"), x["last"].alias("last"), F.xxhash64(a["one"], x["ck"]).alias("one"), F.xxhash64(x["ck"], a["two"]).alias("two"))
-        return F.when((a["words"] < min_words) & (x["first"] == a["last"] + 1), grown).otherwise(a)
+    def grow(touches):
+        def add(a: Column, x: Column) -> Column:
+            ok, edge = touches(a["edge"], x)
+            return F.when((a["words"] < min_words) & ok, F.struct((a["words"] + x["words"]).alias("words"), edge.alias("edge"), (a["n"] + 1).alias("n"))).otherwise(a)
+
+        return add
 
     # every chunk has a word, so a stretch has at most min_words chunks; one behind a gap is never reached again
-    reach = F.transform("cs", lambda c, i: F.struct(i.alias("i"), c["first"].alias("first"), F.aggregate(F.slice("cs", i + 1, min_words), start(c), add).alias("w")))
-    rows = per.select("_k", "_h", F.explode(F.filter(reach, lambda x: x["w"]["words"] >= min_words)).alias("x"))
-    return rows.select("_k", "_h", "x.i", "x.first", F.col("x.w.last").alias("last"), F.concat(F.hex("x.w.one"), F.lit("-"), F.hex("x.w.two")).alias("wk"))
+    onward = lambda c, i: F.aggregate(F.slice("cs", i + 1, min_words), none(c["first"] - 1), grow(lambda e, x: (x["first"] == e + 1, x["last"])))
+    back = lambda c, i: F.aggregate(F.reverse(F.slice("cs", F.greatest(i + 2 - min_words, F.lit(1)), F.least(i + 1, F.lit(min_words)))), none(c["last"] + 1), grow(lambda e, x: (x["last"] == e - 1, x["first"])))
+    full = lambda w: w["words"] >= min_words
+    ahead = F.transform("cs", lambda c, i: F.struct(i.alias("i"), onward(c, i).alias("w")))
+    behind = F.transform("cs", lambda c, i: F.struct(i.alias("i"), back(c, i).alias("w")))
+    spans = F.concat(
+        F.transform(F.filter(ahead, lambda x: full(x["w"])), lambda x: F.struct(x["i"].alias("at"), x["w"]["n"].alias("n"))),
+        F.transform(F.filter(behind, lambda x: full(x["w"])), lambda x: F.struct((x["i"] - x["w"]["n"] + 1).alias("at"), x["w"]["n"].alias("n"))),
+    )
+    rows = per.withColumn("spans", F.array_distinct(spans)).where(F.size("spans") > 0).select("_k", "_h", "cs", F.explode("spans").alias("x"))
+    mine = F.transform(F.slice("cs", F.col("x.at") + 1, F.col("x.n")), lambda c: c["ck"])
+    key = F.concat_ws("-", F.hex(F.xxhash64(mine)), F.hex(F.xxhash64(F.lit("second"), mine)))
+    return rows.select("_k", "_h", F.get("cs", F.col("x.at"))["first"].alias("first"), F.get("cs", F.col("x.at") + F.col("x.n") - 1)["last"].alias("last"), key.alias("wk"))
 
 
 def decisions(lines: DataFrame, min_words: int = MIN_WORDS, mean_lines: int = MEAN_LINES) -> DataFrame:
     """_k, _h, marks: for each document its chunks that go, and those that stay as first places of what goes elsewhere.
 
     What goes repeats as a whole: a stretch of ``min_words`` words that stands at an earlier place too, not overlapping
-    that place. Longer passages are covered by such stretches, one from each of their chunks.
+    that place. Longer passages are covered by such stretches.
     """
     chunks = keep(chunk_table(lines, min_words, mean_lines), "chunks")
     spans = keep(windows(chunks, min_words), "windows")
