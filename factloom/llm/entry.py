@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license import SIMILAR, TEMPLATES, WRAPPED
 from .quality import ORACLE as QUALITY_SQL
 
 
@@ -130,4 +131,68 @@ c AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, c.r
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, root AS component_id, doc_id = root AS kept
 FROM (SELECT node AS doc_id, min(root) AS root FROM c GROUP BY node) LEFT JOIN n USING (doc_id)
 """
-ORACLE: dict[str, str] = {"op4_quality": QUALITY_SQL, "op5_neighbours": VECTORS_SQL, "op6_minhash": SHINGLES_SQL}
+#: Digests in base32, five hexadecimal digits at a time.
+ARCHIVE_SQL = """
+WITH h AS (SELECT page_id, coalesce(html, '') AS t FROM pages), d AS (SELECT page_id, octet_length(encode(t)) AS n, sha1(t) AS x FROM h),
+c AS (SELECT page_id, n, list_aggregate(list_transform(range(0, 8), lambda g: list_aggregate(list_transform([15, 10, 5, 0],
+  lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(x, 5 * g + 1, 5) AS BIGINT) >> s) & 31) + 1 AS INTEGER), 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest FROM d),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, n) AS top FROM c)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM m
+"""
+#: All runs of lines against all templates; crc32 bit by bit.
+LICENSE_SQL = rf"""
+WITH t(i, name, line) AS (VALUES {", ".join(f"({i}, '{name}', '{line}')" for i, (name, line) in enumerate((n, x) for n, group in TEMPLATES.items() for x in group))}),
+tw AS (SELECT i, name, w, count(*) AS n FROM (SELECT i, name, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS w FROM t) GROUP BY ALL),
+d AS (SELECT doc_id, text, source, lower(text) LIKE '%licen%' AS speaks, CAST(doc_id AS VARCHAR) AS name FROM documents),
+crc AS (SELECT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(name, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 4 AS turn FROM d),
+p AS (SELECT d.*, coalesce(speaks AND turn < 2, false) AS is_file, source || CASE WHEN speaks AND turn = 0 THEN '' ELSE '/' || (doc_id // 100) END AS folder FROM d JOIN crc USING (doc_id)),
+dw AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
+n AS (SELECT count(*) AS n FROM documents),
+idf AS (SELECT v.w, ln((1 + n.n) / (1 + count(dw.doc_id))) + 1 AS x FROM (SELECT DISTINCT w FROM tw) v CROSS JOIN n LEFT JOIN dw USING (w) GROUP BY v.w, n.n),
+tx AS (SELECT i, name, w, tw.n * x AS x FROM tw JOIN idf USING (w)),
+tv AS (SELECT i, name, w, x / sqrt(sum(x * x) OVER (PARTITION BY i)) AS x FROM tx),
+l AS (SELECT doc_id, k, regexp_extract_all(lower(s), '[a-z0-9]+') AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)),
+a AS (SELECT doc_id, list(ws ORDER BY k) AS lines FROM l GROUP BY doc_id),
+st AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, k, unnest(ws) AS w FROM l) WHERE w IN (SELECT w FROM idf)),
+r AS (SELECT doc_id, k * 10 + m AS run, flatten(lines[k:k + m - 1]) AS ws FROM st JOIN a USING (doc_id), range(1, {WRAPPED + 1}) x(m)
+  UNION ALL SELECT doc_id, 0, flatten(lines) FROM a JOIN p USING (doc_id) WHERE is_file),
+rw AS (SELECT doc_id, run, w, count(*) AS n FROM (SELECT doc_id, run, unnest(ws) AS w FROM r) GROUP BY ALL),
+rx AS (SELECT rw.*, rw.n * coalesce(idf.x, ln(1 + n.n) + 1) AS x FROM rw CROSS JOIN n LEFT JOIN idf USING (w)),
+no AS (SELECT doc_id, run, sqrt(sum(x * x)) AS norm FROM rx GROUP BY ALL),
+sc AS (SELECT doc_id, name, round(sum(rx.x * tv.x) / any_value(norm), 9) AS score FROM rx JOIN no USING (doc_id, run) JOIN tv USING (w) GROUP BY doc_id, run, i, name),
+be AS (SELECT doc_id, max(score) AS score FROM sc GROUP BY doc_id HAVING max(score) >= {SIMILAR}),
+own AS (SELECT doc_id, score, min(name) AS own FROM sc JOIN be USING (doc_id, score) GROUP BY ALL),
+ru AS (SELECT folder AS place, min(own) AS rule FROM own JOIN p USING (doc_id) WHERE is_file GROUP BY folder)
+SELECT p.doc_id, coalesce(own.own, near.rule, far.rule) AS license, own.score AS license_score, CASE WHEN own.own IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN coalesce(near.rule, far.rule) IS NOT NULL THEN 'inherited' END AS license_from,
+  CASE WHEN own.own IS NULL THEN coalesce(near.place, far.place) END AS inherited_from
+FROM p LEFT JOIN own USING (doc_id) LEFT JOIN ru near ON near.place = p.folder LEFT JOIN ru far ON far.place = p.source
+"""
+#: Least stretches of lines with 50 words, from each line on and up to each line, by their whole texts.
+LINES_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i AS pos, x FROM (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM d)),
+w AS (SELECT doc_id, pos, x, len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq
+  FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+p AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY seq) AS c FROM w),
+s AS (SELECT a.doc_id, a.seq AS f, min(b.seq) AS t FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.seq >= a.seq AND b.c >= a.c - a.n + 50 GROUP BY ALL
+  UNION SELECT b.doc_id, max(a.seq), b.seq FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.seq >= a.seq AND b.c >= a.c - a.n + 50 GROUP BY b.doc_id, b.seq),
+b AS (SELECT doc_id, list(x ORDER BY seq) AS xs FROM p GROUP BY doc_id),
+k AS (SELECT doc_id, f, t, array_to_string(xs[f:t], chr(10)) AS k FROM s JOIN b USING (doc_id)),
+h AS (SELECT k, min({'d': doc_id, 'f': f, 't': t}) AS h FROM k GROUP BY k HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, seq FROM (SELECT doc_id, unnest(range(f, t + 1)) AS seq FROM k JOIN h USING (k) WHERE NOT (doc_id = h.d AND f <= h.t))),
+z AS (SELECT g.doc_id, p.pos, coalesce(q.pos, p.pos + 1) AS upto FROM g JOIN p USING (doc_id, seq) LEFT JOIN g n ON n.doc_id = g.doc_id AND n.seq = g.seq + 1 LEFT JOIN p q ON q.doc_id = n.doc_id AND q.seq = n.seq),
+r AS (SELECT DISTINCT doc_id, unnest(range(pos, upto)) AS pos FROM z),
+o AS (SELECT l.doc_id, string_agg(x, chr(10) ORDER BY l.pos) AS kept FROM l ANTI JOIN r ON l.doc_id = r.doc_id AND l.pos = r.pos GROUP BY l.doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN c.n IS NULL THEN text ELSE coalesce(kept, '') END AS text, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_removed
+FROM d LEFT JOIN o USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+ORACLE: dict[str, str] = {
+    "op2_warc": ARCHIVE_SQL,
+    "op4_quality": QUALITY_SQL,
+    "op5_neighbours": VECTORS_SQL,
+    "op6_minhash": SHINGLES_SQL,
+    "op9_license": LICENSE_SQL,
+    "op10_lines": LINES_SQL,
+}
