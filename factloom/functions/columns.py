@@ -56,3 +56,9 @@ def strip_matching(words: Column, by: Column, regex: str) -> Column:
 def clean_argument(words: Column, tags: Column) -> Column:
     """Text of an argument without determiners."""
     return F.array_join(strip(words, tags, F.array(F.lit("DT"))), " ")
+
+
+def connections(deps: Column, a: Column, b: Column) -> Column:
+    """Edges (structs label, src, dst) between the tokens of two parts (arrays of places), either way."""
+    contains = F.array_contains
+    return F.filter(deps, lambda d: (contains(a, d["src"]) & contains(b, d["dst"])) | (contains(b, d["src"]) & contains(a, d["dst"])))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 HYPOTHETICAL = ("can", "would", "could", "might")
 PREP_TAGS = ("IN", "TO", "WP")
 OPEN_TAGS, CLOSE_TAGS = ("PR", "NN", "DT", "CD", "JJ"), ("NN", "CD", "JJ")
-#: Own list of light verbs with objects that say nothing together.
-VACUOUS = (("ha", "effect"), ("ha", "problem"), ("mak", "sense"), ("mak", "way"), ("tak", "place"), ("tak", "part"), ("tak", "care"), ("giv", "rise"), ("hav", "place"), ("do", "thing"), ("pay", "attention"))
+#: Beginnings of a relation's last word and second arguments that say nothing together.
+VACUOUS = (("this", "way"), ("went", "public"), ("for", "example"), ("with", "eye"), ("in", "fact"), ("for", "use"), ("for", "us"), ("were", "able"), ("in", "part"), ("be", "part"), ("is", "part"))
 
 
 def tags(at: Column) -> Column:
@@ -57,7 +57,7 @@ def features() -> dict[str, Column]:
     words = F.transform("tokens", lambda t: F.lower(t["text"]))
     sentence = F.array_join(F.transform("tokens", lambda t: t["text"]), " ")
     tag_list = F.transform("tokens", lambda t: t["postag"])
-    last = F.lower(F.substring_index(r["text"], " ", -1))
+    last = F.substring_index(r["text"], " ", -1)
     idx = F.array_sort(F.array_distinct(F.concat(a1["idx"], r["idx"], a2["idx"])))
     bare = F.regexp_replace(F.regexp_replace(r["text"], "^be ", ""), r" \w+$", "")
     verb = lambda t: t.startswith("VB")
@@ -82,7 +82,7 @@ def features() -> dict[str, Column]:
         "if right before arg1": F.coalesce(F.lower(_before(a1)["text"]) == "if", F.lit(False)),
         "arg1 contains pronoun": _any(a1, lambda t: t.startswith("PRP")),
         "arg2 contains pronoun": _any(a2, lambda t: t.startswith("PRP")),
-        "rel ends with of": last == "of",
+        "rel ends with of": F.lower(last) == "of",
         "rel contains verb": F.exists(_rel_tags(), verb),
         "rel contains gerund": F.exists(_rel_tags(), lambda t: t == "VBG"),
         "arg1 bad characters": _bad(a1["text"]),
@@ -105,14 +105,48 @@ def features() -> dict[str, Column]:
     return {name: c.cast("double") for name, c in out.items()}
 
 
-#: Own starting weights, until train() has been run on labelled rows; features that aren't listed don't count.
+#: The weights of the trained model; ``pattern confidence`` is the extractor's own.
 DEFAULT_WEIGHTS = {
-    "Intercept": -0.6, "pattern confidence": 2.2, "rel is contiguous": 0.5, "rel contains verb": 0.6, "arg1 is proper": 0.5, "arg2 is proper": 0.4,
-    "args start and end with noun": 0.4, "sentence begins with arg1": 0.5, "sentence ends with arg2": 0.3, "prep right before arg1": -0.8,
-    "prep right after arg2": -0.4, "if right before arg1": -0.9, "arg1 contains pronoun": -0.3, "arg2 contains pronoun": -0.4, "long relation": -0.8,
-    "vacuous extraction": -0.9, "hyp words in rel": -0.5, "non-contiguous rel": -0.3, "arg1 bad characters": -0.4, "rel bad characters": -0.3,
-    "arg2 bad characters": -0.4, "sentence is imperative": -0.5, "sentence has question mark": -0.6, "gap of 10 in rel": -0.5, "prep mismatch in pattern": -0.2,
-}
+    "args start and end with noun": 0.030924657084179144,
+    "rel ends with of": 0.1013506657501542,
+    "arg1 contains pronoun": 0.19630801348782667,
+    "arg2 contains pronoun": -0.13341646099789348,
+    "long relation": -0.3547145229191737,
+    "gap of 10 in rel": -0.34306426484946456,
+    "vacuous extraction": -0.6389807893982924,
+    "nn edges in pattern": 0.9130032848389,
+    "arg1 is proper": 0.07933280909554899,
+    "Intercept": 0.0,
+    "sentence begins with arg1": -0.1588407285556643,
+    "if right before arg1": -1.2206208992816086,
+    "arg2 is proper": -0.04306420146120506,
+    "arg2 borders appositive": -0.0017006187220647805,
+    "rel contains gerund": -0.26200297625650837,
+    "arg1 borders appositive": -0.13448972417475485,
+    "noun-verb-noun in arg1": 0.0,
+    "prep right after arg2": 0.19212879336967245,
+    "prep in arg2": 0.16539493294341892,
+    "arg2 contains infinitive": -0.0,
+    "prep mismatch in pattern": -0.20092201136389673,
+    "sentence is imperative": 0.11745202578145564,
+    "hyp words in rel": -0.1449927441123399,
+    "sentence ends with arg2": 0.11610654106632967,
+    "noun-verb-noun in arg2": 0.07217080739835992,
+    "rel is contiguous": 0.12562188545360878,
+    "non-contiguous rel": -0.1849662870655201,
+    "semantic constraints in pattern": -0.4343558913425681,
+    "pattern confidence": 0.43411514029724824,
+    "arg1 bad characters": -0.40339032821185783,
+    "sentence starts with extraction": 0.18854224217974247,
+    "arg2 bad characters": -0.009939551407472108,
+    "rel contains verb": 0.4757113580400253,
+    "rel starts with be": 0.0,
+    "prep right before arg1": -0.2350155331052106,
+    "sentence has question mark": 0.0,
+    "arg2 before arg1": -0.35791735399208685,
+    "arg2 before rel": -0.023882392179128745,
+    "rel bad characters": -0.11794120943690224,
+}
 
 
 def confidence(weights: dict[str, float] | None = None) -> Column:

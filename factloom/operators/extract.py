@@ -44,6 +44,8 @@ class Configuration:
     all_arguments: bool = False
     duplicates: bool = False
     ignore_errors: bool = True
+    #: verbs that attribute a statement; None: those of communication and thinking
+    attributing: tuple[str, ...] | None = None
 
 
 #: What a batch gives for a fact: SCHEMA without what columns add, and what templates need.
@@ -122,6 +124,7 @@ def extract(sentences: DataFrame, model: list[str] | None = None, config: Config
 
     arrow = to_arrow_schema(out)
     n = len(names)
+    attributing = None if config.attributing is None else frozenset(config.attributing)
 
     def run(batches):
         extractors = X.read_model(lines)
@@ -129,7 +132,7 @@ def extract(sentences: DataFrame, model: list[str] | None = None, config: Config
             for at in range(0, whole.num_rows, CHUNK):
                 batch = whole.slice(at, CHUNK)
                 b = Batch.of_arrow(batch.column(n), batch.column(n + 1))
-                facts = X.facts(b, extractors, config.threshold, config.expand, not config.all_arguments)
+                facts = X.facts(b, extractors, config.threshold, config.expand, not config.all_arguments, attributing)
                 ints = lambda x: pa.array(x, pa.int32())
                 t = pa.StructArray.from_arrays([ints(b.place), pa.array(b.text, pa.string()), pa.array(b.tag, pa.string()), pa.array(b.lemma, pa.string()), ints(b.offset)], names=["idx", "text", "postag", "lemma", "offset"])
                 d = pa.StructArray.from_arrays([pa.array(b.names, pa.string()).take(pa.array(b.code)), ints(b.place[b.src]), ints(b.place[b.dst])], names=["label", "src", "dst"])

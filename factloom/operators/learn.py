@@ -10,8 +10,8 @@ from ..functions import graph as G
 from ..functions.columns import proper
 from ..functions.induction import induce, prepare
 
-#: Own list of argument lemmas that say nothing, fixed tag set of arguments, and words that negate.
-EMPTY_ARGUMENTS = ("part", "other", "one", "some", "all", "this", "that", "he", "it")
+#: Argument lemmas that say nothing, tags of arguments, and words that negate.
+EMPTY_ARGUMENTS = ("inc", "ltd", "page", "vehicle", "turn", "site", "photo", "image", "gallery")
 ARGUMENT_TAGS = ("DT", "IN", "NNP", "NNPS")
 NEGATION = ("not", "no", "n't", "never")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import native as N
-from ..functions.features import DEFAULT_WEIGHTS, features
+from ..functions.features import DEFAULT_WEIGHTS, VACUOUS, features
 from ..operators import extract as E
 from ..operators import learn as L
 from ..sources import readers as R
@@ -77,11 +77,11 @@ CONFIDENCE_SQL = "CASE " + " ".join(
     f"WHEN o_orderkey % 4 = {form} AND r = '{r}' THEN {{{i}}}" for i, (form, _, r, *_) in enumerate(FOUND)
 ) + " END"
 TRUE_FEATURES = (
-    ("rel is contiguous", "rel contains verb", "arg1 is proper", "sentence begins with arg1", "sentence ends with arg2", "rel bad characters", "prep mismatch in pattern"),
-    ("rel is contiguous", "rel contains verb", "arg2 is proper", "sentence begins with arg1", "sentence ends with arg2"),
-    ("rel is contiguous", "rel contains verb", "arg2 is proper", "sentence ends with arg2", "prep right before arg1"),
-    ("rel is contiguous", "rel contains verb", "arg1 is proper", "arg2 is proper", "sentence begins with arg1", "prep right after arg2"),
-    ("rel contains verb", "arg1 is proper", "arg2 is proper", "sentence begins with arg1", "sentence ends with arg2"),
+    ("rel is contiguous", "rel contains verb", "arg1 is proper", "sentence starts with extraction", "sentence begins with arg1", "sentence ends with arg2", "rel bad characters", "prep mismatch in pattern"),
+    ("rel is contiguous", "rel contains verb", "arg2 is proper", "sentence starts with extraction", "sentence begins with arg1", "sentence ends with arg2"),
+    ("rel is contiguous", "rel contains verb", "arg2 is proper", "sentence ends with arg2", "prep right before arg1", "rel ends with of"),
+    ("rel is contiguous", "rel contains verb", "arg1 is proper", "arg2 is proper", "sentence starts with extraction", "sentence begins with arg1", "prep right after arg2"),
+    ("rel contains verb", "arg1 is proper", "arg2 is proper", "sentence starts with extraction", "sentence begins with arg1", "sentence ends with arg2"),
 )
 
 
@@ -247,6 +247,7 @@ FEATURE_SQL = {
     "arg1 bad characters": _BAD.format(x="a1"), "rel bad characters": _BAD.format(x="r"), "arg2 bad characters": _BAD.format(x="a2"),
     "long relation": "false",
     "hyp words in rel": "len(list_filter(['can', 'would', 'could', 'might'], lambda h: contains(' ' || lower(s) || ' ', ' ' || h || ' ') AND NOT contains(' ' || lower(r) || ' ', ' ' || h || ' '))) > 0",
+    "vacuous extraction": " OR ".join(f"(starts_with(w[k + 4], '{x}') AND (lower(w[s2 + 1]) = '{y}' OR lower(w[s2 + 2]) = '{y}'))" for x, y in VACUOUS),
     "prep in arg2": f"t2[1] IN {_PREP} OR t2[2] IN {_PREP}",
     "noun-verb-noun in arg1": _NVN.format(t="t1"), "noun-verb-noun in arg2": _NVN.format(t="t2"),
     "arg1 borders appositive": "doc_id % 4 = 0",
@@ -263,6 +264,6 @@ x AS (SELECT *, w[k + 1] || ' ' || w[k + 2] AS a1, w[k + 3] || ' ' || w[k + 4] A
 
 @query("feature_values", _FEATURES_FROM + " SELECT doc_id, " + ", ".join(f'CAST({x} AS DOUBLE) AS "{n}"' for n, x in FEATURE_SQL.items()) + " FROM x")
 def feature_values(spark, sf_dir):
-    """Confidence features over the words of every whole document. The table of vacuous pairs has a query of its own."""
+    """Confidence features over the words of every whole document."""
     known = features()
     return _tagged(spark, sf_dir).select("doc_id", *[known[n].alias(n) for n in FEATURE_SQL])
