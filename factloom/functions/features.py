@@ -105,6 +105,15 @@ def features() -> dict[str, Column]:
     return {name: c.cast("double") for name, c in out.items()}
 
 
+def further_features() -> dict[str, Column]:
+    """Features that no weight of the trained model uses; they can be trained like the others."""
+    a1, r, a2 = F.col("arg1"), F.col("rel"), F.col("arg2")
+    begin, end = F.least(a1["s"], r["s"], a2["s"]), F.greatest(a1["e"], r["e"], a2["e"])
+    closed = ~F.exists("tokens", lambda t: t["idx"] >= end)
+    out = {"extraction spans sentence": (begin == 0) & closed, "sentence ends with extraction": closed}
+    return {name: c.cast("double") for name, c in out.items()}
+
+
 #: The weights of the trained model; ``pattern confidence`` is the extractor's own.
 DEFAULT_WEIGHTS = {
     "args start and end with noun": 0.030924657084179144,

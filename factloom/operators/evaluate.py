@@ -9,6 +9,10 @@ from ..functions.features import features
 from ..functions.store import free, keep
 
 
+#: Extractions of one length that one task compares.
+DEALT = 1000
+
+
 def score(extractions: DataFrame, gold: DataFrame, threshold: float = 0.0, keep_unscored: bool = True, order: str | None = None) -> DataFrame:
     """Adds score from gold (extraction, correct). Of repeated gold rows the last by ``order`` counts; without an order any
     if they agree, else the true one."""
@@ -25,14 +29,19 @@ def grown_gold(gold: DataFrame, scored: DataFrame) -> DataFrame:
 def suggest(extractions: DataFrame, gold: DataFrame) -> DataFrame:
     """(extraction, suggestion, distance): gold strings nearer than half the extraction's length.
 
-    Candidates are of similar length: a distance below half the length bounds the other's length from both sides, so
-    lengths are joined by equality on the bands that can still qualify.
+    Candidates are of similar length, as a distance below half the length bounds the other's length from both sides:
+    lengths meet by equality. Extractions of one length are dealt out to as many tasks as their number asks for, and
+    the gold strings of that length go to each of those.
     """
     a = extractions.select("extraction").distinct().withColumn("la", F.length("extraction"))
-    a = a.withColumn("band", F.explode(F.sequence(F.floor(F.greatest(F.col("la") - F.floor(F.col("la") / 2), F.lit(0)) / 16), F.floor((F.col("la") + F.floor(F.col("la") / 2)) / 16))))
-    b = gold.select(F.col("extraction").alias("suggestion")).distinct().withColumn("band", F.floor(F.length("suggestion") / 16))
-    near = a.join(b, "band").withColumn("distance", F.levenshtein("extraction", "suggestion"))
-    return near.where(F.col("distance") < F.floor(F.col("la") / 2)).select("extraction", "suggestion", "distance")
+    few = F.floor(F.col("la") / 2) - 1  # the largest distance that counts
+    a = a.withColumn("length", F.explode(F.sequence(F.greatest(F.col("la") - few, F.lit(0)), F.col("la") + F.greatest(few, F.lit(0))))).where(few >= 0)
+    parts = a.groupBy("length").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts"))
+    a = a.join(parts, "length").withColumn("part", F.pmod(F.xxhash64("extraction"), F.col("parts")).cast("int")).drop("parts")
+    b = gold.select(F.col("extraction").alias("suggestion")).distinct().withColumn("length", F.length("suggestion")).join(parts, "length")
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    near = a.join(b, ["length", "part"]).withColumn("distance", F.levenshtein("extraction", "suggestion"))
+    return near.where(F.col("distance") <= few).select("extraction", "suggestion", "distance")
 
 
 def precision_yield(scored: DataFrame, conf: str, correct: Column, ties: list[str], by: list[str] | None = None, whole: bool = False) -> DataFrame:
@@ -136,6 +145,32 @@ def folds(rows: DataFrame, key: str, n: int = 10) -> DataFrame:
     return rows.withColumn("fold", F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n)).cast("int"))
 
 
+def fixed_windows(rows: DataFrame, order: list[str], n: int = 10) -> DataFrame:
+    """Adds fold: n stretches of floor(rows / n) rows in an order; what is left over has none (null).
+
+    Rows are numbered within ranges of the order and then over the ranges, so no task sorts the whole table. The order
+    must tell all rows apart.
+    """
+    cell, at, before, size = free(rows.columns, "cell", "at", "before", "size")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keep(rows.repartitionByRange(parts, *order).withColumn(cell, F.spark_partition_id()), "windows")
+    sums = dealt.groupBy(F.col(cell).alias(f"{cell}_of_sum")).agg(F.count("*").alias(size))  # a row for each range
+    over = Window.orderBy(f"{cell}_of_sum").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(f"{cell}_of_sum", F.coalesce(F.sum(size).over(over), F.lit(0)).alias(before))
+    numbered = dealt.withColumn(at, F.row_number().over(Window.partitionBy(cell).orderBy(*order)) - 1).join(F.broadcast(sums), F.col(cell) == F.col(f"{cell}_of_sum"))
+    fold = F.floor((F.col(at) + F.col(before)) / max(1, dealt.rows // n)).cast("int")
+    return numbered.select(*rows.columns, F.when(fold < n, fold).alias("fold"))
+
+
+def annotate(gold: DataFrame, marks: DataFrame) -> DataFrame:
+    """gold (extraction, correct) after marks (extraction, mark, at): ``=`` is true, ``-`` false, a blank takes the label away; the
+    last mark by ``at`` counts."""
+    last = marks.groupBy("extraction").agg(F.max_by("mark", "at").alias("mark"))
+    both = gold.groupBy("extraction").agg(F.max("correct").alias("correct")).join(last, "extraction", "full")
+    kept = both.where(F.col("mark").isNull() | (F.col("mark") != " "))
+    return kept.select("extraction", F.when(F.col("mark").isNull(), F.col("correct")).otherwise(F.col("mark") == "=").alias("correct"))
+
+
 def train(rows: DataFrame, names: list[str], label: str = "label") -> dict[str, float]:
     """Logistic regression on columns ``names``: weights by name, with Intercept."""
     from pyspark.ml.classification import LogisticRegression

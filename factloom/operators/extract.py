@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,11 +100,12 @@ def parsed(sentences: DataFrame, graph: str, tokens: str, deps: str, parser: Cal
     return sentences.mapInArrow(run, T.StructType([*sentences.schema.fields, *extra.fields]))
 
 
-def extract(sentences: DataFrame, model: list[str] | None = None, config: Configuration | None = None, graph: str = "graph", parser: Callable[[str], G.Graph] | None = None, keep_empty: bool = False) -> DataFrame:
+def extract(sentences: DataFrame, model: list[str] | None = None, config: Configuration | None = None, graph: str = "graph", parser: Callable[[str], G.Graph] | None = None, keep_empty: bool = False, build: Callable[[Column], Column] | None = None, valid: Callable[[Column], Column] | None = None) -> DataFrame:
     """All columns of sentences and SCHEMA, a row for each extraction. The model (small) goes to every worker with the function; no shuffle.
 
     Reading, normal forms, templates, duplicates and order are column expressions; matching and expansion run over all
     sentences of an Arrow batch together. ``keep_empty``: sentences without extractions give a row of nulls.
+    ``build`` changes a fact (a struct column of SCHEMA's first fields) before duplicates go, ``valid`` tells which ones stay.
     Null rows and what can't be read give nothing; without ignore_errors the latter raises. Columns of ``sentences`` that
     are called like one of SCHEMA are dropped first.
     """
@@ -145,6 +146,9 @@ def extract(sentences: DataFrame, model: list[str] | None = None, config: Config
         df = df.where(F.size(found) > 0)
     fixed = lambda f: F.when(f["template"].isNotNull(), fill_template(f["template"], f["caught"], f["center"], f["rel"], F.col(tokens), F.col(deps))).otherwise(f["rel"]["text"])
     df = df.withColumn(found, F.transform(found, lambda f: f.withField("rel.text", fixed(f)).dropFields("center", "caught")))
+    for hook, over in ((build, F.transform), (valid, F.filter)):
+        if hook is not None:
+            df = df.withColumn(found, over(found, hook))
     if not config.duplicates:
         df = df.withColumn(found, unique_facts(F.col(found)))
     order = lambda x, y: F.when(x["pattern_confidence"] != y["pattern_confidence"], F.when(x["pattern_confidence"] > y["pattern_confidence"], -1).otherwise(1)).otherwise(F.when(_bare(x) < _bare(y), -1).when(_bare(x) > _bare(y), 1).otherwise(0))
@@ -186,6 +190,12 @@ def fact_text() -> Column:
     return F.concat(F.format_string("(%s; %s; %s)", "arg1.text", "rel.text", "arg2.text"), F.when(notes != "", F.concat(F.lit("["), notes, F.lit("]"))).otherwise(""))
 
 
+def in_order(facts: DataFrame, sentence: list[str], place: str = "place") -> DataFrame:
+    """Adds the place of each fact within its sentence: by confidence, descending, then by text."""
+    w = Window.partitionBy(*sentence).orderBy(F.desc("confidence"), fact_text())
+    return facts.withColumn(place, F.row_number().over(w))
+
+
 def drop_subsumed(df: DataFrame, group: list[str], rel: str, arg1: str, arg2: str, conf: str) -> DataFrame:
     """Duplicates of a group (a sentence): equal rows once, then the ones that a surer row of equal relation contains.
 

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import native as N
-from ..functions.features import DEFAULT_WEIGHTS, VACUOUS, features
+from ..functions.columns import connections
+from ..functions.features import DEFAULT_WEIGHTS, VACUOUS, features, further_features
 from ..operators import extract as E
 from ..operators import learn as L
 from ..sources import readers as R
@@ -150,6 +151,25 @@ def output_interactive(spark, sf_dir):
     return W.dialogue(extracted(spark, sf_dir), "text", ["o_orderkey"])
 
 
+@query("fact_order", f"WITH {FACTS_SQL} SELECT o_orderkey, r AS rel, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY {_ODDS_SQL} DESC, {_FACT_SQL}) AS INTEGER) AS place FROM f")
+def fact_order(spark, sf_dir):
+    return E.in_order(extracted(spark, sf_dir), ["o_orderkey"]).select("o_orderkey", F.col("rel.text").alias("rel"), "place")
+
+
+@query("fact_hooks", f"WITH {FACTS_SQL} SELECT o_orderkey, upper(r) AS rel FROM f WHERE a1 LIKE 'Cust%'")
+def fact_hooks(spark, sf_dir):
+    """A function that changes facts and one that tells which stay."""
+    found = E.extract(sentences(spark, sf_dir), build=lambda f: f.withField("rel.text", F.upper(f["rel"]["text"])), valid=lambda f: f["arg1"]["text"].startswith("Cust"))
+    return found.select("o_orderkey", F.col("rel.text").alias("rel"))
+
+
+@query("part_connections", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'dobj' WHEN 1 THEN 'agent' WHEN 2 THEN 'prep_of' END AS label FROM orders WHERE o_orderkey % 4 < 3")
+def part_connections(spark, sf_dir):
+    """The edges between the relation and the second argument."""
+    found = E.extract(sentences(spark, sf_dir).where("form < 3"))
+    return found.select("o_orderkey", F.explode(connections(F.col("deps"), F.col("rel.idx"), F.col("arg2.idx"))).alias("d")).select("o_orderkey", "d.label")
+
+
 def _lines(df: DataFrame, form) -> DataFrame:
     """The lines of a format beside the order they come from: the key rides through as a field of its own line."""
     marked = form(df.withColumn("graph", F.concat("graph", F.lit("\x02"), F.col("o_orderkey").cast("string"))))
@@ -254,6 +274,8 @@ FEATURE_SQL = {
     "arg2 borders appositive": "doc_id % 4 = 0 AND (k IN (s2, e2 - 1) OR k + 5 IN (s2, e2 - 1))",
     "gap of 10 in rel": "s2 - (k + 3) > 10",
     "non-contiguous rel": r"NOT contains(s, regexp_replace(regexp_replace(r, '^be ', ''), ' \w+$', ''))",
+    "extraction spans sentence": "k = 0 AND greatest(k + 4, e2) = n",
+    "sentence ends with extraction": "greatest(k + 4, e2) = n",
     "nn edges in pattern": "doc_id % 6 = 0", "semantic constraints in pattern": "doc_id % 7 = 0", "prep mismatch in pattern": "doc_id % 8 = 0",
 }
 _FEATURES_FROM = f"""WITH a AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9?]+') AS w FROM documents),
@@ -265,5 +287,5 @@ x AS (SELECT *, w[k + 1] || ' ' || w[k + 2] AS a1, w[k + 3] || ' ' || w[k + 4] A
 @query("feature_values", _FEATURES_FROM + " SELECT doc_id, " + ", ".join(f'CAST({x} AS DOUBLE) AS "{n}"' for n, x in FEATURE_SQL.items()) + " FROM x")
 def feature_values(spark, sf_dir):
     """Confidence features over the words of every whole document."""
-    known = features()
+    known = features() | further_features()
     return _tagged(spark, sf_dir).select("doc_id", *[known[n].alias(n) for n in FEATURE_SQL])

@@ -494,6 +494,26 @@ def token_ranges(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", K.borders(a, b).alias("borders"), K.intersects(a, b).alias("meets"), K.distance(a, b).alias("gap"), K.union(a, b)["s"].alias("s"), K.union(a, b)["e"].alias("e"))
 
 
+@query("fixed_windows", "SELECT doc_id, CASE WHEN (row_number() OVER (ORDER BY doc_id) - 1) // (SELECT count(*) // 10 FROM documents) < 10 THEN CAST((row_number() OVER (ORDER BY doc_id) - 1) // (SELECT count(*) // 10 FROM documents) AS INTEGER) END AS fold FROM documents")
+def fixed_windows(spark, sf_dir):
+    return V.fixed_windows(read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
+
+
+@query("annotations", """WITH m AS (SELECT doc_id AS extraction, CASE doc_id % 3 WHEN 0 THEN '=' WHEN 1 THEN '-' ELSE ' ' END AS mark FROM documents WHERE doc_id % 2 = 0)
+ SELECT coalesce(l.doc_id, m.extraction) AS extraction, CASE WHEN mark IS NULL THEN quality = 1 ELSE mark = '=' END AS correct FROM labels l FULL JOIN m ON l.doc_id = m.extraction WHERE mark IS NULL OR mark <> ' '""")
+def annotations(spark, sf_dir):
+    gold = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("extraction"), (F.col("quality") == 1).alias("correct"))
+    mark = F.when(F.col("doc_id") % 3 == 0, "=").when(F.col("doc_id") % 3 == 1, "-").otherwise(" ")
+    return V.annotate(gold, read(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("extraction"), mark.alias("mark"), F.lit(1).alias("at")))
+
+
+@query("gold_growth", "SELECT doc_id AS extraction, bool_or(c) AS correct FROM (SELECT doc_id, quality = 1 AS c FROM labels UNION ALL SELECT d.doc_id, l.quality = 1 FROM documents d JOIN labels l USING (doc_id)) GROUP BY doc_id")
+def gold_growth(spark, sf_dir):
+    gold = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("extraction"), (F.col("quality") == 1).alias("correct"))
+    facts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("extraction"), F.lit(1.0).alias("confidence"))
+    return V.grown_gold(gold, V.score(facts, gold))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .engine import extract_sentences
 

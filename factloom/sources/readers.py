@@ -79,11 +79,12 @@ def split_sentences(text: str) -> Column:
     return F.filter(F.split(F.regexp_replace(F.trim(F.col(text)), r"(?<=[.!?])\s+(?=[\p{Lu}\d\"'“])", "\n"), "\n"), lambda s: s != "")
 
 
-def paragraphs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def paragraphs(spark: SparkSession, paths: str | list[str], segment: Callable[[str], Column] = split_sentences) -> DataFrame:
     """sentence, file, paragraph, position: paragraphs stand between blank lines, their lines are joined and split into sentences.
 
     Lines are numbered within ranges of their file, and blank lines are counted over the ranges before: no file is held
-    in one row. A paragraph is known by the number of blank lines above it in its file.
+    in one row. A paragraph is known by the number of blank lines above it in its file. ``segment`` makes an
+    array of sentences from the name of a text column.
     """
     rows = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
     blank = F.trim("value") == ""
@@ -95,7 +96,7 @@ def paragraphs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     numbered = numbered.withColumn("paragraph", F.col("inner") + F.col("above"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "id", F.trim("value").alias("v")))), lambda x: x["v"]), " ")
     flat = numbered.groupBy("file", "paragraph").agg(text.alias("t"))
-    return flat.select("file", "paragraph", F.posexplode(split_sentences("t")).alias("position", "sentence")).select("sentence", "file", "paragraph", "position")
+    return flat.select("file", "paragraph", F.posexplode(segment("t")).alias("position", "sentence")).select("sentence", "file", "paragraph", "position")
 
 
 def graphs(spark: SparkSession, paths: str | list[str], column: int = -1) -> DataFrame:
