@@ -86,24 +86,29 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     rows = rows.select(F.col("k").cast("string").alias("k"), "u", F.when(~revisit, F.coalesce("h", F.lit(""))).cast("binary").alias("h"), F.length(F.coalesce("h", F.lit("")).cast("binary")).cast("long").alias("n"), F.unhex("_sha1").alias("s"), F.when(revisit, F.col("_first").cast("string")).alias("f"))
 
     def archive(batches):
-        name, files, out, offset = f"part-{uuid.uuid4().hex}.warc.gz", None, None, 0
-        for batch in batches:
-            found = []
-            for r in (r for at in range(0, batch.num_rows, 256) for r in batch.slice(at, 256).to_pylist()):
-                kind, sha1 = "response" if r["f"] is None else "revisit", base64.b32encode(r["s"]).decode("ascii")
-                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                raw = packer.compress(record(kind, r["k"] if r["k"] is not None else "none", r["u"], sha1, r["h"], r["n"], r["f"])) + packer.flush()
-                if out is None:
-                    files, top = file_system(path)
-                    files.create_dir(top, recursive=True)
-                    out = files.open_output_stream(f"{top}/{name}", compression=None)
-                out.write(raw)
-                found.append((f"{path}/{name}", offset, len(raw), r["u"], sha1, r["n"], kind, r["k"], r["f"]))
-                offset += len(raw)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], [x.split()[0] for x in INDEX.split(", ")])
-        if out is not None:
-            out.close()
+        name, files, out, offset, done = f"part-{uuid.uuid4().hex}.warc.gz", None, None, 0, False
+        try:
+            for batch in batches:
+                found = []
+                for r in (r for at in range(0, batch.num_rows, 256) for r in batch.slice(at, 256).to_pylist()):
+                    kind, sha1 = "response" if r["f"] is None else "revisit", base64.b32encode(r["s"]).decode("ascii")
+                    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    raw = packer.compress(record(kind, r["k"] if r["k"] is not None else "none", r["u"], sha1, r["h"], r["n"], r["f"])) + packer.flush()
+                    if out is None:
+                        files, top = file_system(path)
+                        files.create_dir(top, recursive=True)
+                        out = files.open_output_stream(f"{top}/{name}", compression=None)
+                    out.write(raw)
+                    found.append((f"{path}/{name}", offset, len(raw), r["u"], sha1, r["n"], kind, r["k"], r["f"]))
+                    offset += len(raw)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], [x.split()[0] for x in INDEX.split(", ")])
+            done = True
+        finally:  # a task that fails or is stopped leaves no part of an archive
+            if out is not None:
+                out.close()
+                if not done:
+                    files.delete_file(f"{top}/{name}")
 
     return keep(rows.mapInArrow(archive, INDEX), "warc-index")
 
