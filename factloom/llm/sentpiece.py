@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens as P
+from .common import free
 from .shingles import mix
 
 BLANK = 0x2581
@@ -315,7 +316,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids")
     def run(batches):
         m = model_of(shared.value)
         for batch in batches:
-            at_text = batch.schema.get_field_index("_text")
+            at_text = len(others)
             for at, to in P.pieces_of(batch.column(at_text)):
                 part = batch.slice(at, to - at)
                 column = part.column(at_text)
@@ -325,7 +326,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids")
                 lists = pa.ListArray.from_arrays(edges, pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:at_text], lists if not column.null_count else pc.if_else(valid, lists, pa.scalar(None, lists.type))], [*others, out])
 
-    return docs.select(*others, F.col(text).alias("_text")).mapInArrow(run, _ids_schema(docs, others, f"`{out}` array<int>"))
+    return docs.select(*others, F.col(text).alias(free(others, "text_again")[0])).mapInArrow(run, _ids_schema(docs, others, f"`{out}` array<int>"))
 
 
 def decode(docs: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -336,12 +337,12 @@ def decode(docs: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded"
     def run(batches):
         m = model_of(shared.value)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("_ids"))
+            column = batch.column(len(others))
             counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             texts = m.decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts if not column.null_count else pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))], [*others, out])
 
-    return docs.select(*others, F.col(ids).alias("_ids")).mapInArrow(run, _ids_schema(docs, others, f"`{out}` string"))
+    return docs.select(*others, F.col(ids).alias(free(others, "ids_again")[0])).mapInArrow(run, _ids_schema(docs, others, f"`{out}` string"))
 
 
 def digest(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,7 +9,9 @@ def test_stages(spark, tmp_path):
     good = "This is a plain sentence number {i} with quite enough different words in it to be kept by all rules.\nIt has a second line {i} that ends well, too, as lines of prose should do."
     rows = [(i, good.format(i=f"x{i} y{i * 7} z{i * 13}"), "en", "s", 0) for i in range(20)]
     rows += [(30, "123 456", "en", "s", 0), (31, None, None, None, None), (32, "Home | About | Help | Login | More | Next | Last | Top | Up | On", "en", "s", 0), (33, rows[3][1], "en", "s", 0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    rows += [rows[5], (40, "A long line of words that goes on and on, number after number. " + " ".join(f"w{k}." for k in range(9000)), "en", "s", 0), (None, good.format(i="q1 q2 q3"), "en", "s", 0)]
+    extra = ("kept", "score", "row", "n_removed", "text_hash", "gone_id", "clean_text")
+    df = spark.createDataFrame([(*r, *[f"own {c}" for c in extra]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
     df.write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in pipeline.STAGES[:-1]:
@@ -17,7 +19,9 @@ def test_stages(spark, tmp_path):
         assert out.columns == docs.columns, name
         out.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
-    kept = {r.doc_id for r in docs.collect()}
+    out = docs.collect()
+    kept = {r.doc_id for r in out}
+    assert all(r[c] == f"own {c}" for r in out for c in extra) and sum(r.doc_id == 5 for r in out) == 2 and {40, None} <= kept
     assert set(range(20)) <= kept and not kept & {30, 31, 32, 33}
     assert docs.where(F.length("text") != F.col("n_chars")).count() == 0
     packed = pipeline.run(spark, str(tmp_path))
