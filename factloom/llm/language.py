@@ -182,7 +182,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     rows = sample.mapInArrow(count, "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).toArrow()
     languages = sorted(n_of)
     number = {x: i for i, x in enumerate(languages)}
-    column = np.array([number[x] for x in rows["lang"].to_pylist()], np.int64)
+    coded = rows["lang"].combine_chunks().dictionary_encode()
+    column = np.array([number[x] for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
     level, gram, c = rows["n"].to_numpy(), rows["gram"].to_numpy().view(np.uint64), rows["c"].to_numpy()
     found = []
     for n in range(LONGEST + 1):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -70,8 +71,13 @@ def vocabulary() -> list[str]:
     return sorted({t for group in TEMPLATES.values() for line in group for t in tokens(line)})
 
 
+def constant(value, kind: str) -> Column:
+    """A literal of a nested type, which the optimizer reads once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def literal(terms) -> Column:
-    return F.array(*[F.lit(t) for t in terms])
+    return constant(list(terms), "array<string>")
 
 
 def term_frequencies(docs: DataFrame, text: str) -> tuple[int, dict[str, int]]:
@@ -114,18 +120,18 @@ class Vectors:
     def covered(self, present: Column) -> Column:
         """Whether a set of words of the templates carries enough of one template."""
         n = len(self.templates)
-        squares = F.create_map(*[x for t in self.idf for x in (F.lit(t), F.array(*[F.lit(own.get(t, 0.0) ** 2) for _, own in self.templates]))])
-        nothing = F.array(*[F.lit(0.0)] * n)
+        squares = constant({t: [own.get(t, 0.0) ** 2 for _, own in self.templates] for t in self.idf}, "map<string,array<double>>")
+        nothing = constant([0.0] * n, "array<double>")
         return F.array_max(F.aggregate(present, nothing, lambda a, t: F.zip_with(a, F.element_at(squares, t), lambda x, y: x + y))) >= self.least
 
     def best(self, bag: Column) -> Column:
         """struct(score, license) of the template most similar to an array of words; ties go to the license first in
         order of name. Words that no template has carry the idf of a word in no document."""
         rare = math.log(1 + self.total) + 1
-        weights = F.create_map(*[x for t, v in self.idf.items() for x in (F.lit(t), F.lit(v))])
+        weights = constant(self.idf, "map<string,double>")
         known = literal(self.idf)
         many = lambda w, t: (F.size(w) - F.size(F.array_remove(w, t))).cast("double")
-        table = F.array(*[F.struct(F.lit(name).alias("license"), F.create_map(*[x for t, v in own.items() for x in (F.lit(t), F.lit(v))]).alias("v")) for name, own in self.templates])
+        table = constant([{"license": name, "v": own} for name, own in self.templates], "array<struct<license:string,v:map<string,double>>>")
         # the square of a count is the sum of the odd numbers up to it: one pass over the sorted words, however many
         first = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(0.0).alias("all"))
         step = lambda a, t, n: F.struct(t.alias("t"), n.alias("n"), (a["all"] + 2 * n - 1).alias("all"))
@@ -140,7 +146,7 @@ class Vectors:
             dot = lambda own: F.aggregate(p["pairs"], F.lit(0.0), lambda a, x: a + x["x"] * F.coalesce(F.element_at(own["v"], x["t"]), F.lit(0.0)))
             # of equal scores the larger struct is the one with the license first in order: its place counts down
             names = sorted(TEMPLATES)
-            place = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(name), F.lit(-i))])
+            place = constant({name: -i for i, name in enumerate(names)}, "map<string,int>")
             top = F.array_max(F.transform(table, lambda own: F.struct(F.round(dot(own) / norm, 9).alias("score"), F.element_at(place, own["license"]).alias("place"))))
             return F.struct(top["score"].alias("score"), F.element_at(literal(names), 1 - top["place"]).alias("license"))
 
