@@ -92,8 +92,8 @@ class Vectors:
     """idf of the templates' words, unit vectors of the templates, and what shows that a text is like none of them.
 
     By Cauchy's inequality a text is similar to a template only if the words they share carry at least similar^2 of the
-    template's squared weights. ``common`` are words that fall short of that for every template even all together, so a
-    text without any other word of the templates needs no look at all.
+    template's squared weights. A template's lightest words fall short of that even all together; the others are its
+    anchors, and a text without an anchor of any template needs no look at all.
     """
 
     def __init__(self, total: int, found: dict[str, int], similar: float):
@@ -106,16 +106,13 @@ class Vectors:
                 norm = math.sqrt(sum(x * x for x in own.values()))
                 self.templates.append((name, {t: x / norm for t, x in own.items()}))
         self.least = similar * similar - 1e-9
-        held, common = [0.0] * len(self.templates), []
-        for t in sorted(self.idf, key=lambda t: (-found.get(t, 0), t)):
-            more = [h + own.get(t, 0.0) ** 2 for h, (_, own) in zip(held, self.templates, strict=True)]
-            if max(more) >= self.least:
-                break
-            held, common = more, [*common, t]
-        self.common = set(common)
-
-    def rare(self) -> Column:
-        return literal(t for t in self.idf if t not in self.common)
+        self.anchors: set[str] = set()
+        for _, own in self.templates:
+            carried = 0.0
+            for t, x in sorted(own.items(), key=lambda item: (item[1], item[0])):
+                carried += x * x
+                if carried >= self.least:
+                    self.anchors.add(t)
 
     def covered(self, present: Column) -> Column:
         """Whether a set of words of the templates carries enough of one template."""
@@ -160,18 +157,25 @@ def stated(docs: DataFrame, path: str = "path", text: str = "text", similar: flo
     be similar to any template by the words they share with it are left out before anything is scored.
     """
     v = Vectors(*term_frequencies(docs, text), similar)
-    known, rare = literal(v.idf), v.rare()
+    known, anchors = literal(v.idf), literal(sorted(v.anchors))
     is_file = F.coalesce(F.col(path).rlike(FILE_NAME), F.lit(False))
     [present, bags, best] = free([*docs.columns, top, own], "present", "bags", "best")
-    possible = lambda p: F.when(F.arrays_overlap(p, rare), v.covered(p)).otherwise(False)
+    possible = lambda p: F.when(F.arrays_overlap(p, anchors), v.covered(p)).otherwise(False)
     marked = docs.withColumn(present, F.array_intersect(words(F.col(text)), known))
 
     def runs(lines: Column) -> Column:
-        """Words of every run of lines that begins with a word of the templates and may be similar to one."""
-        starts = F.transform(lines, lambda w, i: F.when(F.arrays_overlap(w, known), i))
-        at = F.filter(starts, lambda i: i.isNotNull())
-        some = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(WRAPPED)), lambda n: F.flatten(F.slice(lines, i + 1, n)))))
-        return F.filter(F.array_distinct(some), lambda w: possible(F.array_intersect(w, known)))
+        """Words of every run of lines that begins with a word of the templates and may be similar to one. The longest run
+        from a line on has all words of the shorter ones: where it can't be similar, none of them can."""
+        mine = F.transform(lines, lambda w: F.struct(w.alias("w"), F.array_intersect(w, F.col(present)).alias("p")))
+
+        def of(rows: Column) -> Column:
+            held = lambda i, n: F.array_distinct(F.flatten(F.transform(F.slice(rows, i + 1, n), lambda x: x["p"])))
+            starts = F.filter(F.transform(rows, lambda x, i: F.when(F.size(x["p"]) > 0, i)), lambda i: F.when(i.isNull(), False).otherwise(possible(held(i, F.lit(WRAPPED)))))
+            one = lambda i, n: F.when(possible(held(i, n)), F.flatten(F.transform(F.slice(rows, i + 1, n), lambda x: x["w"])))
+            some = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(WRAPPED)), lambda n: one(i, n))))
+            return F.array_distinct(F.filter(some, lambda w: w.isNotNull()))
+
+        return F.get(F.transform(F.array(mine), of), 0)
 
     lines = F.transform(F.split(F.col(text), "\n", -1), words)
     empty = F.array().cast("array<array<string>>")
