@@ -235,7 +235,7 @@ def test_backoff_equals_dictionaries(spark):
 def test_held_out_accuracy_and_ties(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = language.fit(docs)
-    out = language.identify(docs, model).where(language.held_out(docs["doc_id"])).where("lang is not null").collect()
+    out = [r for r in language.identify(docs, model).where("lang is not null").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert len(out) > 100 and sum(r.lang == r.lang_pred for r in out) >= 0.98 * len(out) and all(0 <= r.score <= 1 for r in out)
     even = spark.createDataFrame([(i, "abc abc", k) for i in range(40) for k in ("q", "p")], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in language.identify(even, language.fit(even)).collect()} == {"p"}
