@@ -27,6 +27,8 @@ CAPACITY = 2048
 STEPS = 400_000
 #: Fillings that are looked at together and tried in order of waste; one without waste is tried at once.
 FAN = 500
+#: Levels of the search that stay open for other branches, the deepest ones; what they hold bounds the driver's memory.
+OPEN = 64
 
 
 @dataclass
@@ -136,7 +138,8 @@ def complete(have: dict[int, int], capacity: int, steps: int = STEPS, trace: Tra
     applied as often as the counts allow, then less often. Best-fit-decreasing is the first incumbent. A branch is cut
     when the waste so far can't stay below the incumbent's, or when the sequences so far and a lower bound for the rest
     (their tokens, or those longer than half a sequence) reach the incumbent. A plan with ceil(sum / capacity) sequences
-    is the best and ends the search; so does an exhausted tree. Otherwise the incumbent stands after ``steps``.
+    is the best and ends the search; so does an exhausted tree. Otherwise the incumbent stands after ``steps``. Only the
+    OPEN deepest levels are returned to; a search that went deeper proves its plan by the bound alone.
     """
     trace = Trace() if trace is None else trace
     have = {s: n for s, n in have.items() if n > 0}
@@ -175,6 +178,8 @@ def complete(have: dict[int, int], capacity: int, steps: int = STEPS, trace: Tra
             most = min(left[s] // f.count(s) for s in set(f))
             yield from ((f, t) for t in range(most, 0, -1))
 
+    closed = 0  # levels whose other branches were given up
+    given_up = False
     try:
         stack: list[Iterator] = []
         if fewest > bound:
@@ -186,6 +191,7 @@ def complete(have: dict[int, int], capacity: int, steps: int = STEPS, trace: Tra
             step = next(stack[-1], None)
             if step is None:
                 stack.pop()
+                closed = min(closed, len(stack))
                 if plan:  # undo what led here
                     taken, times = plan.pop()
                     bins, waste, tokens = bins - times, waste - times * (capacity - sum(taken)), tokens + times * sum(taken)
@@ -209,12 +215,15 @@ def complete(have: dict[int, int], capacity: int, steps: int = STEPS, trace: Tra
             sizes = [s for s in sizes if left[s] > 0]
             if sizes:
                 stack.append(turns())
+                if len(stack) - closed > OPEN:
+                    stack[closed] = iter(())
+                    closed, given_up = closed + 1, True
                 continue
             best, fewest = list(plan), bins
             if fewest <= bound:
                 break
             stack.append(iter(()))
-        trace.proven = True
+        trace.proven = not given_up or fewest <= bound
     except OutOfSteps:
         trace.proven = fewest <= bound
     return best
