@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .license import SIMILAR, TEMPLATES, WRAPPED
+from .oracles import REPAIR_SQL
 from .quality import ORACLE as QUALITY_SQL
 
 
@@ -99,6 +100,12 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import repaired_digests
+
+    return repaired_digests(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_warc": op2_warc,
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op9_license": op9_license,
     "op10_lines": op10_lines,
+    "op12_conversations": op12_conversations,
 }
 #: All pairs, then components by reachability: fit for the small tables of a comparison.
 VECTORS_SQL = """
@@ -195,4 +203,5 @@ ORACLE: dict[str, str] = {
     "op6_minhash": SHINGLES_SQL,
     "op9_license": LICENSE_SQL,
     "op10_lines": LINES_SQL,
+    "op12_conversations": REPAIR_SQL,
 }
