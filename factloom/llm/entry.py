@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .license import SIMILAR, TEMPLATES, WRAPPED
-from .oracles import REPAIR_SQL
+from .oracles import REPAIR_SQL, RESAMPLE_SQL
 from .quality import ORACLE as QUALITY_SQL
 
 
@@ -100,12 +100,24 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprints
+
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conversations import repaired_digests
 
     return repaired_digests(read(spark, sf_dir, "conversations"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resample
+
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_warc": op2_warc,
@@ -117,7 +129,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op9_license": op9_license,
     "op10_lines": op10_lines,
+    "op11_fingerprints": op11_fingerprints,
     "op12_conversations": op12_conversations,
+    "op13_resample": op13_resample,
 }
 #: All pairs, then components by reachability: fit for the small tables of a comparison.
 VECTORS_SQL = """
@@ -204,4 +218,5 @@ ORACLE: dict[str, str] = {
     "op9_license": LICENSE_SQL,
     "op10_lines": LINES_SQL,
     "op12_conversations": REPAIR_SQL,
+    "op13_resample": RESAMPLE_SQL,
 }
