@@ -26,22 +26,67 @@ def grown_gold(gold: DataFrame, scored: DataFrame) -> DataFrame:
     return gold.select("extraction", "correct").unionByName(scored.where("score is not null").select("extraction", F.col("score").alias("correct"))).groupBy("extraction").agg(F.max("correct").alias("correct"))
 
 
+def _segments(length: Column, most: Column) -> Column:
+    """A string of this length as most + 1 stretches of almost equal length: array of (i, start, size), from 1 on."""
+    each, longer = F.floor(length / (most + 1)), length % (most + 1)
+    short = most + 1 - longer  # stretches of the smaller size, which come first
+
+    def one(i: Column) -> Column:
+        start = 1 + (i - 1) * each + F.greatest(i - 1 - short, F.lit(0))
+        return F.struct(i.cast("int").alias("i"), start.cast("int").alias("start"), (each + F.when(i > short, 1).otherwise(0)).cast("int").alias("size"))
+
+    return F.transform(F.sequence(F.lit(1).cast("long"), (most + 1).cast("long")), one)
+
+
+def candidates(extractions: DataFrame, gold: DataFrame) -> DataFrame:
+    """(extraction, suggestion, most) pairs among which all are that differ in at most ``most`` places, below half the extraction's length.
+
+    Pigeonhole: cut into most + 1 stretches, an extraction keeps one of them unchanged in any such string, with at most
+    i - 1 changes before the i-th and the others behind it; so a gold string holds it at one of few places. Stretches meet
+    those substrings by equality of (length, i, text). An extraction whose stretches are so frequent that this would give
+    more pairs than there are gold strings of similar length meets just those instead, by equal lengths: ``banded``.
+    """
+    a = extractions.select("extraction").distinct().select("extraction", F.length("extraction").alias("la"))
+    a = a.withColumn("most", (F.floor(F.col("la") / 2) - 1).cast("int")).where("most >= 0")
+    b = gold.select(F.col("extraction").alias("suggestion")).distinct().where("suggestion IS NOT NULL").withColumn("lb", F.length("suggestion"))
+    lengths = sorted(r["la"] for r in a.select("la").distinct().collect())  # no more than the longest extraction has letters
+    if not lengths:
+        return a.select("extraction", F.lit(None).cast("string").alias("suggestion"), "most").where("false")
+    half = lambda n: F.floor(n / 2) - 1
+    near = F.filter(F.array(*map(F.lit, lengths)), lambda n: F.abs(n - F.col("lb")) <= half(n))
+    probes = b.withColumn("la", F.explode(near)).withColumn("most", half(F.col("la")))
+    probes = probes.select("suggestion", "la", "lb", "most", F.explode(_segments(F.col("la"), F.col("most"))).alias("s")).select("suggestion", "la", "lb", "most", "s.*")
+    shift, rest = F.col("lb") - F.col("la"), F.col("most") + 1 - F.col("i")
+    low = F.greatest(F.lit(1), F.col("start") - F.col("i") + 1, F.col("start") + shift - rest).cast("int")
+    high = F.least(F.col("lb") - F.col("size") + 1, F.col("start") + F.col("i") - 1, F.col("start") + shift + rest).cast("int")
+    at = F.when(high >= low, F.sequence(low, high))
+    probes = probes.withColumn("texts", F.array_distinct(F.transform(at, lambda p: F.substring("suggestion", p, F.col("size")))))
+    probes = keep(probes.select("suggestion", "la", "i", F.explode("texts").alias("piece")), "probes")
+    own = a.select("extraction", "la", "most", F.explode(_segments(F.col("la"), F.col("most"))).alias("s"))
+    own = own.select("extraction", "la", "most", F.col("s.i").alias("i"), F.substring("extraction", F.col("s.start"), F.col("s.size")).alias("piece"))
+    often = probes.groupBy("la", "i", "piece").agg(F.count("*").alias("n"))
+    per_length = b.groupBy("lb").agg(F.count("*").alias("n"))
+    band = per_length.withColumn("la", F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda n: F.abs(n - F.col("lb")) <= half(n)))).groupBy("la").agg(F.sum("n").alias("band"))
+    cost = own.join(often, ["la", "i", "piece"], "left").groupBy("extraction", "la", "most").agg(F.sum("n").alias("pairs"))
+    cost = keep(cost.where("pairs > 0").join(band, "la").withColumn("banded", F.col("pairs") >= F.col("band")), "costs")
+    few = own.join(cost.where("not banded").select("extraction"), "extraction")
+    met = few.join(probes, ["la", "i", "piece"]).select("extraction", "suggestion", "most").distinct()
+    # extractions of one length are dealt out to as many tasks as their number asks for; gold of a length goes to each
+    wide = cost.where("banded").select("extraction", "la", "most")
+    wide = wide.withColumn("lb", F.explode(F.sequence(F.col("la") - F.col("most"), F.col("la") + F.col("most"))))
+    parts = wide.groupBy("lb").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts"))
+    wide = wide.join(parts, "lb").withColumn("part", F.pmod(F.xxhash64("extraction"), F.col("parts")).cast("int")).drop("parts")
+    all_b = b.join(parts, "lb").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return met.unionByName(wide.join(all_b, ["lb", "part"]).select("extraction", "suggestion", "most"))
+
+
 def suggest(extractions: DataFrame, gold: DataFrame) -> DataFrame:
-    """(extraction, suggestion, distance): gold strings nearer than half the extraction's length.
+    """(extraction, suggestion, distance): gold strings nearer than half the extraction's length, among ``candidates``.
 
-    Candidates are of similar length, as a distance below half the length bounds the other's length from both sides:
-    lengths meet by equality. Extractions of one length are dealt out to as many tasks as their number asks for, and
-    the gold strings of that length go to each of those.
+    Null strings have no partners; repeated ones count once; an extraction of two or three letters meets its equal only.
     """
-    a = extractions.select("extraction").distinct().withColumn("la", F.length("extraction"))
-    few = F.floor(F.col("la") / 2) - 1  # the largest distance that counts
-    a = a.withColumn("length", F.explode(F.sequence(F.greatest(F.col("la") - few, F.lit(0)), F.col("la") + F.greatest(few, F.lit(0))))).where(few >= 0)
-    parts = a.groupBy("length").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts"))
-    a = a.join(parts, "length").withColumn("part", F.pmod(F.xxhash64("extraction"), F.col("parts")).cast("int")).drop("parts")
-    b = gold.select(F.col("extraction").alias("suggestion")).distinct().withColumn("length", F.length("suggestion")).join(parts, "length")
-    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    near = a.join(b, ["length", "part"]).withColumn("distance", F.levenshtein("extraction", "suggestion"))
-    return near.where(F.col("distance") <= few).select("extraction", "suggestion", "distance")
+    near = candidates(extractions, gold).withColumn("distance", F.levenshtein("extraction", "suggestion"))
+    return near.where("distance <= most").select("extraction", "suggestion", "distance")
 
 
 def precision_yield(scored: DataFrame, conf: str, correct: Column, ties: list[str], by: list[str] | None = None, whole: bool = False) -> DataFrame:

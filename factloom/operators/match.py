@@ -1,79 +1,178 @@
-"""Pattern matching as joins: all patterns of one shape at once, over tables of edges and tokens."""
+"""Pattern matching as joins: a model of patterns is one prefix tree, walked hop by hop over tables of edges and tokens."""
 
 from __future__ import annotations
 
-from collections import defaultdict
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import Pattern
 from ..functions.store import keep
 
-#: Patterns of a model are broadcast; more than this many are no model.
-MOST_PATTERNS = 1_000_000
+#: A side of a join is sent to all executors up to so many bytes, as counted; a larger one is shuffled.
+SENT_BYTES = 32 << 20
+
+
+@dataclass
+class Tree:
+    """Patterns as paths from state 0: a step is (depth, parent, up, want, regex, tag, state), an end (state, pattern).
+
+    ``want`` is a label, or an expression where ``regex``; ``tag`` is what the node reached must have, if anything. Patterns
+    that begin alike share their steps, so a prefix is walked once however many go on from it.
+    """
+
+    patterns: list[Pattern]
+    tagged: bool
+    steps: dict[tuple, int] = field(default_factory=dict)
+    ends: list[tuple[int, int, Pattern]] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        for p in dict.fromkeys(self.patterns):
+            state = 0
+            for depth, e in enumerate(p.edges):
+                key = (depth, state, e.up, e.regex or e.label, e.regex is not None, p.nodes[depth + 1].postag if self.tagged else None)
+                state = self.steps.setdefault(key, len(self.steps) + 1)
+            self.ends.append((len(p.edges), state, p))
+
+    @property
+    def depth(self) -> int:
+        return max((len(p.edges) for p in self.patterns), default=0)
+
+    def wants(self) -> tuple[list[str], list[str]]:
+        """(labels, expressions) that occur in the tree."""
+        return tuple(sorted({k[3] for k in self.steps if k[4] is kind}) for kind in (False, True))
+
+
+def _sent(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= SENT_BYTES else df
+
+
+def dictionary(edges: DataFrame, labels: list[str], expressions: list[str]) -> DataFrame:
+    """(label, want): every distinct label of the corpus with what it satisfies, itself or an expression.
+
+    Expressions are tried once for each distinct label, in a projection; rows of the corpus meet them by equality only.
+    """
+    tried = F.filter(F.array(*map(F.lit, expressions)), lambda r: F.rlike("label", F.concat(F.lit("^(?:"), r, F.lit(")$")))) if expressions else F.array().cast("array<string>")
+    plain = F.when(F.col("label").isin(labels), F.array("label")).otherwise(F.array().cast("array<string>")) if labels else F.array().cast("array<string>")
+    own = F.concat(F.transform(plain, lambda x: F.struct(x.alias("want"), F.lit(False).alias("regex"))), F.transform(tried, lambda x: F.struct(x.alias("want"), F.lit(True).alias("regex"))))
+    return edges.select("label").distinct().select("label", F.explode(own).alias("w")).select("label", "w.want", "w.regex")
+
+
+def _transitions(edges: DataFrame, tree: Tree) -> tuple[DataFrame, int]:
+    """(depth, parent, up, label, tag, state) for the labels of the corpus, stored, and its bytes."""
+    spark = edges.sparkSession
+    steps = spark.createDataFrame([(*key, state) for key, state in tree.steps.items()], "depth int, parent int, up boolean, want string, regex boolean, tag string, state int")
+    known = dictionary(edges, *tree.wants()).join(steps, ["want", "regex"]).select("depth", "parent", "up", "label", "tag", "state")
+    known = keep(known, "transitions")
+    size = known.agg(F.sum(F.octet_length("label") + F.coalesce(F.octet_length("tag"), F.lit(0)) + 64).alias("n")).first()["n"] or 0
+    return known, size
 
 
 def match(edges: DataFrame, patterns: list[Pattern], tokens: DataFrame | None = None, distinct: bool = True) -> DataFrame:
     """edges (sent, src, dst, label), tokens (sent, node, postag, lemma) -> sent, pattern, nodes (array), labels (array).
 
-    Labels that no pattern can use leave before anything is joined; patterns of equal shape (U climbs, D descends) share
-    one chain of joins on (sentence, node) and meet their labels in one broadcast table: the model's size bounds it.
-    Tags and lemma expressions are checked on the path's tokens where ``tokens`` is given.
+    The patterns make one prefix tree, whose expressions are resolved against the distinct labels of the corpus. Paths
+    advance together, a hop at a time: a path joins the edges at its last node on (sentence, node), and the edge's direction
+    and label lead by an equi-join from the path's state to the next. So a hop costs the paths that some pattern still
+    wants, not paths times patterns. Edges that no state uses leave first; both directions and the tokens they lead to are
+    stored once, and so is each hop. The tree is broadcast up to SENT_BYTES and shuffled beyond.
+
+    Tags and lemma expressions are checked where ``tokens`` is given: tags of reached nodes as the path grows, the rest at
+    its end. Repeated patterns count once; a pattern without edges matches nothing; rows with a null sentence, node or label
+    are on no path.
     """
     spark = edges.sparkSession
-    if len(patterns) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns can't be broadcast")
-    shapes: dict[str, list[Pattern]] = defaultdict(list)
-    for p in dict.fromkeys(patterns):
-        shapes[p.shape].append(p)
-    used = F.lit(False)
-    for label in sorted({e.label for p in patterns for e in p.edges if e.regex is None}):
-        used = used | (F.col("label") == label)
-    for regex in sorted({e.regex for p in patterns for e in p.edges if e.regex}):
-        used = used | F.col("label").rlike(f"^(?:{regex})$")
-    lean = edges.where(used).select("sent", "src", "dst", "label")
-    out = None
-    for shape, group in sorted(shapes.items()):
-        paths = None
-        for k, step in enumerate(shape):
-            near, far = ("dst", "src") if step == "U" else ("src", "dst")
-            hop = lean.select("sent", F.col(near).alias(f"n{k}"), F.col(far).alias(f"n{k + 1}"), F.col("label").alias(f"l{k}"))
-            paths = hop if paths is None else paths.join(hop, ["sent", f"n{k}"])
+    tree = Tree([p for p in patterns if p.edges], tokens is not None)
+    kind = edges.schema["src"].dataType.simpleString()
+    result = f"sent {edges.schema['sent'].dataType.simpleString()}, pattern string, nodes array<{kind}>, labels array<string>"
+    if not tree.steps:
+        return spark.createDataFrame([], result)
+    known, size = _transitions(edges.select("label"), tree)
+    both = F.explode(F.array(*[F.struct(F.col(a).alias("near"), F.col(b).alias("far"), F.lit(up).alias("up")) for a, b, up in (("src", "dst", False), ("dst", "src", True))]))
+    half = edges.select("sent", "label", both.alias("e")).select("sent", "label", "e.*")
+    half = half.join(_sent(known.select("up", "label").distinct(), size), ["up", "label"], "left_semi")
+    checked = [n for _, _, p in tree.ends for n in p.nodes if n.postag or n.regex] if tokens is not None else []
+    if checked:
+        for end in ("near", "far"):
+            here = tokens.select("sent", F.col("node").alias(end), F.struct(F.col("postag").alias("tag"), F.col("lemma").alias("lemma")).alias(f"{end}_token"))
+            half = half.join(here, ["sent", end], "left")
+    else:
+        none = F.lit(None).cast("struct<tag:string,lemma:string>")
+        half = half.withColumns({"near_token": none, "far_token": none})
+    half = keep(half.select("sent", "near", "far", "up", "label", "near_token", "far_token"), "half-edges")
+
+    def advanced(rows: DataFrame, depth: int) -> DataFrame:
+        """rows with parent, up, label and far_token, led to their next states."""
+        to = known.where(F.col("depth") == depth).drop("depth")
+        rows = rows.join(_sent(to, size), ["parent", "up", "label"])
+        return rows.where(F.col("tag").isNull() | (F.col("tag") == F.col("far_token.tag"))).drop("tag", "parent", "up")
+
+    out = []
+    paths = advanced(half.withColumn("parent", F.lit(0)), 0)
+    if distinct:
+        paths = paths.where("near <> far")
+    paths = paths.select("sent", "state", F.array("near", "far").alias("nodes"), F.array("label").alias("labels"), F.array("near_token", "far_token").alias("tokens"))
+    for depth in range(1, tree.depth + 1):
+        if depth < tree.depth:
+            paths = keep(paths, "paths")
+        out.append(_ended(spark, paths, [(s, p) for d, s, p in tree.ends if d == depth], depth, bool(checked)))
+        if depth < tree.depth:
+            going = paths.withColumn("near", F.element_at("nodes", -1)).withColumnRenamed("state", "parent")
+            going = advanced(going.join(half.drop("near_token"), ["sent", "near"]), depth)
             if distinct:
-                for j in range(k + 1):
-                    paths = paths.where(F.col(f"n{j}") != F.col(f"n{k + 1}"))
-        k = len(shape)
-        table = spark.createDataFrame([(str(p), *[e.regex or e.label for e in p.edges], *[e.regex is not None for e in p.edges]) for p in group], "pattern string, " + ", ".join(f"e{i} string" for i in range(k)) + ", " + ", ".join(f"x{i} boolean" for i in range(k)))
-        plain = [i for i in range(k) if not any(p.edges[i].regex for p in group)]
-        on = None
-        for i in range(k):
-            same = F.col(f"l{i}") == F.col(f"e{i}")
-            test = same if i in plain else (~F.col(f"x{i}") & same) | (F.col(f"x{i}") & F.expr(f"l{i} rlike concat('^(?:', e{i}, ')$')"))
-            on = test if on is None else on & test
-        hits = paths.join(F.broadcast(table), on)
-        hits = hits.select("sent", "pattern", F.array(*[f"n{i}" for i in range(k + 1)]).alias("nodes"), F.array(*[f"l{i}" for i in range(k)]).alias("labels"))
-        out = hits if out is None else out.unionByName(hits)
-    if tokens is not None:
-        for i in range(max(len(p.nodes) for p in patterns)):
-            rules = [(str(p), p.nodes[i].postag, p.nodes[i].regex) for p in patterns if i < len(p.nodes) and (p.nodes[i].postag or p.nodes[i].regex)]
-            if not rules:
-                continue
-            need = spark.createDataFrame(rules, "pattern string, _tag string, _lemma string")
-            here = tokens.select("sent", F.col("node").alias("_n"), F.col("postag").alias("_pt"), F.col("lemma").alias("_lm"))
-            out = out.join(F.broadcast(need), "pattern", "left").withColumn("_n", F.get("nodes", F.lit(i))).join(here, ["sent", "_n"], "left")
-            ok = (F.col("_tag").isNull() | (F.col("_tag") == F.col("_pt"))) & (F.col("_lemma").isNull() | F.expr("_lm rlike concat('^(?:', _lemma, ')$')"))
-            out = out.where(F.coalesce(ok, F.lit(False))).select("sent", "pattern", "nodes", "labels")
-    return out
+                going = going.where(~F.array_contains("nodes", F.col("far")))
+            paths = going.select("sent", "state", F.array_append("nodes", F.col("far")).alias("nodes"), F.array_append("labels", F.col("label")).alias("labels"), F.array_append("tokens", F.col("far_token")).alias("tokens"))
+    return reduce(DataFrame.unionByName, [x for x in out if x is not None])
+
+
+def _ended(spark: SparkSession, paths: DataFrame, ends: list[tuple[int, Pattern]], edges: int, checked: bool) -> DataFrame | None:
+    """Paths in the last state of a pattern, with its tests of the first tag and of lemmas."""
+    if not ends:
+        return None
+    places = range(edges + 1)
+    rows = [(s, str(p), p.nodes[0].postag, *[n.regex for n in p.nodes]) for s, p in ends]
+    table = spark.createDataFrame(rows, "state int, pattern string, tag0 string, " + ", ".join(f"x{i} string" for i in places))
+    hits = paths.join(_sent(table, sum(len(x) for r in rows for x in r[1:] if x) + 64 * len(rows)), "state")
+    if checked:
+        said = lambda i: F.get("tokens", F.lit(i))
+        fits: Column = F.col("tag0").isNull() | (F.col("tag0") == said(0)["tag"])
+        for i in places:
+            if any(p.nodes[i].regex for _, p in ends):
+                fits = fits & (F.col(f"x{i}").isNull() | F.rlike(said(i)["lemma"], F.concat(F.lit("^(?:"), f"x{i}", F.lit(")$"))))
+        hits = hits.where(fits)
+    return hits.select("sent", "pattern", "nodes", "labels")
 
 
 def possible(edges: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """(sent, pattern): patterns all of whose labels occur in a sentence; a pre-check before matching."""
+    """(sent, pattern): patterns all of whose labels occur in a sentence; a pre-check before matching.
+
+    Labels are resolved by the dictionary. Of each pattern's wants the one in fewest sentences is its anchor; a sentence
+    meets the patterns of the anchors that it has by equality, and the other wants are looked up in the sentence's own set,
+    which is no larger than the model's wants. Patterns without edges are possible nowhere.
+    """
     spark = edges.sparkSession
-    need = spark.createDataFrame([(str(p), e.regex or e.label, len({(x.regex or x.label) for x in p.edges})) for p in patterns for e in {(x.regex or x.label): x for x in p.edges}.values()], "pattern string, want string, wants int")
-    have = edges.select("sent", "label").distinct()
-    return have.join(F.broadcast(need), F.expr("label rlike concat('^(?:', want, ')$')")).groupBy("sent", "pattern", "wants").agg(F.count_distinct("want").alias("n")).where("n = wants").select("sent", "pattern")
+    tree = Tree([p for p in patterns if p.edges], False)
+    labels, expressions = tree.wants()
+    if not tree.steps:
+        return spark.createDataFrame([], f"sent {edges.schema['sent'].dataType.simpleString()}, pattern string")
+    number = {(w, kind): i for i, (w, kind) in enumerate([*((x, False) for x in labels), *((x, True) for x in expressions)])}
+    ids = spark.createDataFrame([(*k, i) for k, i in number.items()], "want string, regex boolean, id int")
+    words = dictionary(edges.select("label"), labels, expressions).join(ids, ["want", "regex"]).groupBy("label").agg(F.collect_list("id").alias("ids"))
+    words = keep(words, "label-wants")
+    size = words.agg(F.sum(F.octet_length("label") + 8 * F.size("ids") + 64).alias("n")).first()["n"] or 0
+    have = edges.select("sent", "label").distinct().join(_sent(words, size), "label")
+    have = keep(have.groupBy("sent").agg(F.array_distinct(F.flatten(F.collect_set("ids"))).alias("have")), "sentence-wants")
+    often = {r["id"]: r["n"] for r in have.select(F.explode("have").alias("id")).groupBy("id").agg(F.count("*").alias("n")).collect()}  # a row a want
+    rows = []
+    for _, _, p in tree.ends:
+        wants = sorted({number[e.regex or e.label, e.regex is not None] for e in p.edges}, key=lambda i: often.get(i, 0))
+        rows.append((wants[0], str(p), wants[1:]))
+    need = spark.createDataFrame(rows, "id int, pattern string, others array<int>")
+    need = _sent(need, sum(len(r[1]) + 8 * len(r[2]) + 64 for r in rows))
+    met = have.withColumn("id", F.explode("have")).join(need, "id")
+    return met.where(F.size(F.array_except("others", "have")) == 0).select("sent", "pattern")
 
 
 def inferiors(edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -197,6 +197,40 @@ def possible_extraction(spark, sf_dir):
     return M.possible(schema_edges(spark, sf_dir), [parse_pattern(UU)])
 
 
+#: What an edge of the model below may want: labels of the key graph, expressions, and labels that occur nowhere.
+WANTS = (("of_order", False), ("by_customer", False), ("in_nation", False), ("in_region", False), ("in_(.*)", True), ("(.*)_(?:order|customer)", True), ("b.*|.*n", True), ("made_of", False), ("part_of", False), ("near_.*", True))
+TAGS = "LOCNR"
+
+
+def key_model() -> list[str]:
+    """Two thousand patterns: all pairs of edges in all directions, with a tag in the middle."""
+    edge = lambda up, want, regex: ("<{}<" if up else ">{}>").format(f"{{x:regex={want}}}" if regex else want)
+    sides = [edge(up, *w) for up in (False, True) for w in WANTS]
+    return [f"{{arg1}} {a} {{rel:postag={tag}}} {b} {{arg2}}" for a in sides for b in sides for tag in TAGS]
+
+
+_WANTS_SQL = f"""w(want, regex) AS (VALUES {", ".join(f"('{w}', {r})" for w, r in WANTS)}), d(up, a, b) AS (VALUES (false, '>', '>'), (true, '<', '<')),
+k AS (SELECT up, want, regex, a || CASE WHEN regex THEN '{{x:regex=' || want || '}}' ELSE want END || b AS text FROM w, d)"""
+
+
+@query("pattern_tree", f"""WITH {EDGES_SQL}, {_WANTS_SQL}, h AS (SELECT sent, src AS near, dst AS far, false AS up, label FROM e UNION ALL SELECT sent, dst, src, true, label FROM e),
+ p AS (SELECT a.up AS u1, a.label AS l1, left(a.far, 1) AS tag, b.up AS u2, b.label AS l2, count(*) AS n, min(a.sent) AS sent FROM h a JOIN h b ON a.sent = b.sent AND a.far = b.near AND a.near <> b.far GROUP BY ALL)
+ SELECT '{{arg1}} ' || x.text || ' {{rel:postag=' || tag || '}} ' || y.text || ' {{arg2}}' AS pattern, CAST(sum(n) AS BIGINT) AS n, min(sent) AS first_sent FROM p
+ JOIN k x ON x.up = u1 AND CASE WHEN x.regex THEN regexp_full_match(l1, x.want) ELSE l1 = x.want END JOIN k y ON y.up = u2 AND CASE WHEN y.regex THEN regexp_full_match(l2, y.want) ELSE l2 = y.want END GROUP BY ALL""")
+def pattern_tree(spark, sf_dir):
+    """All matches of a model of two thousand patterns, counted by pattern."""
+    e = schema_edges(spark, sf_dir)
+    return M.match(e, [parse_pattern(p) for p in key_model()], key_tokens(e)).groupBy("pattern").agg(F.count("*").alias("n"), F.min("sent").alias("first_sent"))
+
+
+@query("possible_tree", f"""WITH {EDGES_SQL}, {_WANTS_SQL}, s AS (SELECT sent, list_sort(list(DISTINCT label)) AS ls FROM e GROUP BY sent), c AS (SELECT ls, count(*) AS n FROM s GROUP BY ls),
+ m AS (SELECT ls, n, text FROM c, k WHERE len(list_filter(ls, lambda l: CASE WHEN regex THEN regexp_full_match(l, want) ELSE l = want END)) > 0)
+ SELECT '{{arg1}} ' || x.text || ' {{rel:postag=' || tag || '}} ' || y.text || ' {{arg2}}' AS pattern, CAST(sum(x.n) AS BIGINT) AS n FROM m x JOIN m y ON x.ls = y.ls, (SELECT unnest(string_split('{TAGS}', '')) AS tag) GROUP BY ALL""")
+def possible_tree(spark, sf_dir):
+    """Sentences in which each of two thousand patterns has all its labels."""
+    return M.possible(schema_edges(spark, sf_dir), [parse_pattern(p) for p in key_model()]).groupBy("pattern").agg(F.count("*").alias("n"))
+
+
 @query("closure_inferiors", f"""WITH RECURSIVE {EDGES_SQL}, c AS (SELECT o_orderkey AS sent, 'O' || o_orderkey AS start, 'O' || o_orderkey AS node, 0 AS depth FROM orders
 UNION SELECT c.sent, c.start, e.dst, c.depth + 1 FROM c JOIN e ON e.sent = c.sent AND e.src = c.node) SELECT sent, start, node, depth FROM c""")
 def closure_inferiors(spark, sf_dir):

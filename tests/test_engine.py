@@ -230,6 +230,117 @@ def test_joins_find_what_the_matcher_finds(spark):
     assert got == want and len(got) >= 3
 
 
+def random_corpus(spark, seed=3, sentences=25):
+    """Graphs of few labels in which nodes have several governors, and their tables."""
+    import random
+
+    rng = random.Random(seed)
+    labels, tags, words = ["nsubj", "dobj", "prep_of", "prep_in", "amod"], ["NN", "VB", "JJ"], ["ship", "order", "port", "big"]
+    graphs = {}
+    for s in range(sentences):
+        nodes = [f"{rng.choice(words)}_{rng.choice(tags)}_{i}_0" for i in range(rng.randint(2, 7))]
+        links = {(a, b): rng.choice(labels) for a in nodes for b in nodes if a != b and rng.random() < 0.3}
+        if links:
+            graphs[s] = G.parse("; ".join(f"{x}({a}, {b})" for (a, b), x in links.items()))
+    edges = spark.createDataFrame([(s, e.src.start, e.dst.start, e.label) for s, g in graphs.items() for e in g.edges], "sent long, src int, dst int, label string")
+    tokens = spark.createDataFrame([(s, n.start, n.postag, n.lemma) for s, g in graphs.items() for n in g.nodes], "sent long, node int, postag string, lemma string")
+    return graphs, edges, tokens
+
+
+def random_patterns(seed=4, n=120):
+    import random
+
+    rng = random.Random(seed)
+    node = lambda alias: "{" + alias + rng.choice(["", "", ":postag=NN", ":postag=VB", ":regex=ship|port", ":postag=NN:regex=or.*"]) + "}"
+    edge = lambda: rng.choice([">{}>", "<{}<"]).format(rng.choice(["nsubj", "dobj", "amod", "{x:regex=prep_(.*)}", "{y:regex=.*ob.*}", "{z:regex=nothing}", "absent"]))
+    out = []
+    for _ in range(n):
+        parts = [node("arg1")]
+        for alias in rng.choice([["rel", "arg2"], ["rel", "slot0", "arg2"], ["arg2"]]):
+            parts += [edge(), node(alias)]
+        out.append(parse_pattern(" ".join(parts)))
+    return list(dict.fromkeys(out))
+
+
+def found_by_walking(graphs, patterns, distinct=True):
+    """Places of every match; captures aren't told apart, nor are parallel ways over the same nodes and labels."""
+    return sorted({(s, str(p), tuple(m.nodes[n.alias].start for n in p.nodes), tuple(e.label for e in m.path)) for s, g in graphs.items() for p in patterns for m in find(p, g, distinct=distinct)})
+
+
+@pytest.mark.parametrize("distinct", [True, False])
+def test_the_tree_finds_what_walking_finds(spark, distinct):
+    graphs, edges, tokens = random_corpus(spark)
+    patterns = random_patterns()
+    got = [(r.sent, r.pattern, tuple(r.nodes), tuple(r.labels)) for r in M.match(edges, [*patterns, *patterns[:5]], tokens, distinct).collect()]
+    assert sorted(got) == found_by_walking(graphs, patterns, distinct) and len({x[1] for x in got}) > 20
+    plain = [parse_pattern(str(p)) for p in patterns if all(n.postag is None and n.regex is None for n in p.nodes)]
+    got = sorted((r.sent, r.pattern, tuple(r.nodes), tuple(r.labels)) for r in M.match(edges, plain, None, distinct).collect())
+    assert got == found_by_walking(graphs, plain, distinct)
+
+
+def test_tree_shuffled_instead_of_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(M, "SENT_BYTES", 0)
+    graphs, edges, tokens = random_corpus(spark, 8, 12)
+    patterns = random_patterns(9, 60)
+    got = sorted((r.sent, r.pattern, tuple(r.nodes), tuple(r.labels)) for r in M.match(edges, patterns, tokens).collect())
+    assert got == found_by_walking(graphs, patterns)
+
+
+def test_possible_patterns(spark):
+    graphs, edges, _ = random_corpus(spark, 5)
+    patterns = random_patterns(6)
+    got = sorted((r.sent, r.pattern) for r in M.possible(edges, patterns).collect())
+    assert got == sorted((s, str(p)) for s, g in graphs.items() for p in patterns if p.can_match({e.label for e in g.edges})) and got
+
+
+def test_no_nested_loops_and_shared_prefixes(spark):
+    _, edges, tokens = random_corpus(spark)
+    patterns = random_patterns()
+    for df in (M.match(edges, patterns, tokens), M.possible(edges, patterns), M.match(edges, [], tokens), M.possible(edges, [])):
+        plan = df._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    tree = M.Tree([parse_pattern(f"{{arg1}} <nsubj< {{rel}} >{x}> {{arg2}}") for x in ("dobj", "iobj", "prep_of")], True)
+    assert len(tree.steps) == 4 and tree.depth == 2
+
+
+def test_suggestions_by_stretches(spark):
+    """Equal to all pairs, from far fewer candidates than all pairs of similar length."""
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyzäöü "
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+
+    def changed(s):
+        s = list(s)
+        for _ in range(rng.randint(0, len(s) // 2)):
+            k = rng.randrange(len(s) + 1)
+            s[k : k + rng.randint(0, 1)] = rng.choice(["", rng.choice(letters)])
+        return "".join(s)
+
+    own = [word(rng.randint(0, 24)) for _ in range(250)]
+    gold = [word(rng.randint(0, 24)) for _ in range(250)] + [changed(s) for s in own if s for _ in range(2)]
+    extractions = spark.createDataFrame([(s,) for s in [*own, *own[:9], None]], "extraction string")
+    table = spark.createDataFrame([(s, True) for s in [*gold, None]], "extraction string, correct boolean")
+    got = sorted(tuple(r) for r in V.suggest(extractions, table).collect())
+    want = sorted((a, b, d) for a in set(own) for b in set(gold) if abs(len(a) - len(b)) < len(a) // 2 and (d := distance(a, b)) < len(a) // 2)
+    assert got == want and len(want) > 250
+    band = sum(abs(len(a) - len(b)) < len(a) // 2 for a in set(own) for b in set(gold))
+    assert V.candidates(extractions, table).count() < band / 4
+    # where all stretches are common, pairs of similar length are compared once each
+    names = spark.createDataFrame([(f"Supplier#{i:09d}",) for i in range(60)], "extraction string")
+    assert V.candidates(names, names).count() == 3600
+    assert V.suggest(names.where("false"), table).count() == 0
+
+
 def test_native_graph_codec(spark):
     df = spark.createDataFrame([(1, NAMED), (2, "no graph")], "i int, g string").select("i", parse_graph("g").alias("p"))
     rows = {r.i: r.p for r in df.collect()}
