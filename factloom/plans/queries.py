@@ -28,9 +28,9 @@ ORACLE: dict[str, str] = {}
 
 #: Parsed sentences for tests and examples.
 SENTENCES = (
-    (1, "(._._5_0), nsubj(repairs_VBZ_1_0, Marta_NNP_0_0); dobj(repairs_VBZ_1_0, printer_NN_4_0); det(printer_NN_4_0, an_DT_2_0); amod(printer_NN_4_0, old_JJ_3_0)"),
-    (2, "(for_IN_4_0), (._._6_0), nsubj(keeps_VBZ_1_0, Pavel_NNP_0_0); dobj(keeps_VBZ_1_0, key_NN_3_0); det(key_NN_3_0, a_DT_2_0); prep_for(key_NN_3_0, Irene_NNP_5_0)"),
-    (3, "(into_IN_4_0), det(rivers_NNS_1_0, Some_DT_0_0); nsubj(flowed_VBD_2_0, rivers_NNS_1_0); advmod(flowed_VBD_2_0, quietly_RB_3_0); det(lake_NN_6_0, the_DT_5_0); prep_into(flowed_VBD_2_0, lake_NN_6_0)"),
+    (1, "(._._9_0), tmod(floods_VBZ_5_0, spring_NN_1_0); det(spring_NN_1_0, Every_DT_0_0); nsubj(floods_VBZ_5_0, river_NN_4_0); det(river_NN_4_0, the_DT_2_0); amod(river_NN_4_0, brown_JJ_3_0); num(meadows_NNS_8_0, two_CD_6_0); amod(meadows_NNS_8_0, low_JJ_7_0); dobj(floods_VBZ_5_0, meadows_NNS_8_0)"),
+    (2, "(Since_IN_0_0), (of_IN_11_0), (._._14_0), prep_since(holds_VBZ_7_0, March_NNP_1_0); det(museum_NN_3_0, the_DT_2_0); possessive(museum_NN_3_0, 's_POS_4_0); poss(wing_NN_6_0, museum_NN_3_0); amod(wing_NN_6_0, new_JJ_5_0); nsubj(holds_VBZ_7_0, wing_NN_6_0); det(collection_NN_10_0, a_DT_8_0); amod(collection_NN_10_0, large_JJ_9_0); dobj(holds_VBZ_7_0, collection_NN_10_0); amod(amber_NN_13_0, Baltic_JJ_12_0); prep_of(collection_NN_10_0, amber_NN_13_0)"),
+    (3, "(After_IN_0_0), (,_,_3_0), (for_IN_7_0), (over_IN_9_0), prep_after(circled_VBD_6_0, storm_NN_2_0); det(storm_NN_2_0, the_DT_1_0); amod(gulls_NNS_5_0, hungry_JJ_4_0); nsubj(circled_VBD_6_0, gulls_NNS_5_0); prep_for(circled_VBD_6_0, hours_NNS_8_0); prep_over(circled_VBD_6_0, harbour_NN_12_0); det(harbour_NN_12_0, the_DT_10_0); amod(harbour_NN_12_0, flooded_VBN_11_0)"),
     (4, "(that_IN_3_0), (of_IN_9_0), amod(guides_NNS_1_0, Local_JJ_0_0); nsubj(claim_VBP_2_0, guides_NNS_1_0); ccomp(claim_VBP_2_0, symbol_NN_8_0); det(tower_NN_5_0, the_DT_4_0); nsubj(symbol_NN_8_0, tower_NN_5_0); cop(symbol_NN_8_0, is_VBZ_6_0); det(symbol_NN_8_0, the_DT_7_0); det(town_NN_11_0, the_DT_10_0); prep_of(symbol_NN_8_0, town_NN_11_0)"),
     (5, "nsubj(paints_VBZ_1_0, Peter_NNP_0_0); dobj(paints_VBZ_1_0, fence_NN_3_0); det(fence_NN_3_0, the_DT_2_0); advcl(paints_VBZ_1_0, holds_VBZ_7_0); mark(holds_VBZ_7_0, if_IN_4_0); nsubj(holds_VBZ_7_0, weather_NN_6_0); det(weather_NN_6_0, the_DT_5_0)"),
 )

@@ -19,11 +19,11 @@ from factloom.plans.queries import SENTENCES
 from factloom.sources import readers as R
 from factloom.sources import writers as W
 
-NAMED = "(of_IN_5_0), (._._9_0), nn(Novak_NNP_1_0, Jana_NNP_0_0); nsubjpass(appointed_VBN_3_0, Novak_NNP_1_0); auxpass(appointed_VBN_3_0, was_VBD_2_0); dobj(appointed_VBN_3_0, head_NN_4_0); prep_of(head_NN_4_0, Falls_NNPS_8_0); det(Falls_NNPS_8_0, the_DT_6_0); nn(Falls_NNPS_8_0, Silver_NNP_7_0)"
-MAYOR = "nn(Iversen_NNP_3_0, Oslo_NNP_0_0); nn(Iversen_NNP_3_0, Mayor_NNP_1_0); nn(Iversen_NNP_3_0, Ola_NNP_2_0); nsubj(walked_VBD_4_0, Iversen_NNP_3_0); prep(walked_VBD_4_0, to_TO_5_0); det(hall_NN_8_0, the_DT_6_0); nn(hall_NN_8_0, concert_NN_7_0); pobj(to_TO_5_0, hall_NN_8_0)"
-CHOIR = "(in_IN_6_0), (._._8_0), det(Larks_NNPS_1_0, The_DT_0_0); nsubj(choir_NN_4_0, Larks_NNPS_1_0); cop(choir_NN_4_0, are_VBP_2_0); det(choir_NN_4_0, a_DT_3_0); partmod(choir_NN_4_0, based_VBN_5_0); prep_in(based_VBN_5_0, Turku_NNP_7_0)"
-TRYING = "(._._7_0), nsubj(trying_VBG_2_0, Bees_NNS_0_0); aux(trying_VBG_2_0, are_VBP_1_0); xcomp(trying_VBG_2_0, enter_VB_4_0); aux(enter_VB_4_0, to_TO_3_0); dobj(enter_VB_4_0, kitchen_NN_6_0); det(kitchen_NN_6_0, the_DT_5_0)"
-KEY = SENTENCES[1][1]
+SPLIT = "(into_IN_8_0), (,_,_2_0), amod(year_NN_1_0, Last_JJ_0_0); tmod(split_VBN_7_0, year_NN_1_0); det(authority_NN_5_0, the_DT_3_0); nn(authority_NN_5_0, Harbour_NNP_4_0); nsubjpass(split_VBN_7_0, authority_NN_5_0); auxpass(split_VBN_7_0, was_VBD_6_0); num(offices_NNS_11_0, three_CD_9_0); amod(offices_NNS_11_0, regional_JJ_10_0); prep_into(split_VBN_7_0, offices_NNS_11_0)"
+CAPTAIN = "(,_,_2_0), (of_IN_4_0), (,_,_8_0), (._._11_0), nn(Rask_NNP_1_0, Ida_NNP_0_0); appos(Rask_NNP_1_0, captain_NN_3_0); prep_of(captain_NN_3_0, team_NN_7_0); det(team_NN_7_0, the_DT_5_0); amod(team_NN_7_0, blue_JJ_6_0); nsubj(scored_VBD_9_0, Rask_NNP_1_0); advmod(scored_VBD_9_0, twice_RB_10_0)"
+CORK = "(,_,_1_0), (in_IN_6_0), (,_,_8_0), appos(Cork_NNP_0_0, bark_NN_4_0); det(bark_NN_4_0, a_DT_2_0); amod(bark_NN_4_0, light_JJ_3_0); partmod(bark_NN_4_0, grown_VBN_5_0); prep_in(grown_VBN_5_0, Portugal_NNP_7_0); nsubj(floats_VBZ_9_0, Cork_NNP_0_0)"
+HOPES = "(,_,_3_0), (against_IN_4_0), (,_,_7_0), (to_TO_13_0), (._._16_0), det(council_NN_1_0, The_DT_0_0); nsubj(hopes_VBZ_2_0, council_NN_1_0); prep_against(hopes_VBZ_2_0, advice_NN_6_0); det(advice_NN_6_0, all_DT_5_0); xcomp(hopes_VBZ_2_0, sell_VB_9_0); aux(sell_VB_9_0, to_TO_8_0); poss(theatre_NN_12_0, its_PRP$_10_0); amod(theatre_NN_12_0, oldest_JJS_11_0); dobj(sell_VB_9_0, theatre_NN_12_0); det(bank_NN_15_0, a_DT_14_0); prep_to(sell_VB_9_0, bank_NN_15_0)"
+MUSEUM = SENTENCES[1][1]
 PAIR = "nsubj(planted_VBD_3_0, Omar_NNP_0_0); conj_and(Omar_NNP_0_0, Lena_NNP_2_0); dobj(planted_VBD_3_0, tree_NN_5_0); det(tree_NN_5_0, a_DT_4_0); rcmod(tree_NN_5_0, blooms_VBZ_7_0); nsubj(blooms_VBZ_7_0, that_WDT_6_0)"
 #: The places and offsets that the voice switch must give.
 HIT = "nsubj(hit_VBD_1_8, Michael_NNP_0_0); dobj(hit_VBD_1_8, ball_NN_3_16); punct(hit_VBD_1_8, ._._4_20); det(ball_NN_3_16, the_DT_2_12)"
@@ -46,7 +46,7 @@ def filled(spark, graph, template, pattern):
     return [r.fact for r in out.select(E.fact_text().alias("fact")).collect()]
 
 
-@pytest.mark.parametrize("raw", [NAMED, MAYOR, CHOIR, TRYING, KEY, HIT, WAS_HIT, "det(a_DT_1_0, ,_,_0_0); punct(a_DT_1_0, _,_3_0)"])
+@pytest.mark.parametrize("raw", [SPLIT, CAPTAIN, CORK, HOPES, MUSEUM, HIT, WAS_HIT, "det(a_DT_1_0, ,_,_0_0); punct(a_DT_1_0, _,_3_0)"])
 def test_graph_codec(raw):
     g = G.parse(raw)
     assert str(G.parse(str(g))) == str(g) and len(g.edges) == raw.count("; ") + 1
@@ -59,17 +59,17 @@ def test_bad_graphs(raw):
 
 
 def test_extractors(spark):
-    assert texts(MAYOR, "{rel} <nn< {arg1} >nn> {arg2}", kind="specific", relation="be the mayor of", lemmas=("mayor",)) == ["(Ola Iversen; be the mayor of; Oslo)"]
-    assert texts(MAYOR, "{rel} <nn< {arg1} >nn> {arg2}", kind="specific", relation="be the mayor of", lemmas=("queen",)) == []
-    assert filled(spark, NAMED, "be {rel} of", "{arg1} <nsubjpass< {rel1} >dobj> {rel2} >prep_of> {arg2}") == ["(Jana Novak; was appointed head of; the Silver Falls)"]
-    assert filled(spark, CHOIR, "be {rel} in", "{arg1} <nsubj< {rel1} >partmod> {rel2} >prep_in> {arg2}") == ["(The Larks; are a choir based in; Turku)"]
-    assert filled(spark, TRYING, "be {rel}", "{arg1} <nsubj< {rel1} >xcomp> {rel2} >dobj> {arg2}") == ["(Bees; are trying to enter; the kitchen)"]
-    assert filled(spark, KEY, "{rel} for", "{arg1} <nsubj< {rel1} >dobj> {rel2} >prep_for> {arg2}") == ["(Pavel; keeps a key for; Irene)"]
-    assert texts(SENTENCES[2][1], "{arg1} <nsubj< {rel} >prep_into> {arg2}") == ["(Some rivers; flowed quietly; the lake)"]
-    assert texts(SENTENCES[2][1], "{arg1} <nsubj< {rel:postag=XX} >prep_into> {arg2}") == []
+    assert texts(CAPTAIN, "{arg1} >appos> {rel} >prep_of> {arg2}", kind="specific", relation="be the captain of", lemmas=("captain",)) == ["(Ida Rask; be the captain of; the blue team)"]
+    assert texts(CAPTAIN, "{arg1} >appos> {rel} >prep_of> {arg2}", kind="specific", relation="be the captain of", lemmas=("keeper",)) == []
+    assert filled(spark, SPLIT, "be {rel} into", "{arg1} <nsubjpass< {rel} >prep_into> {arg2}") == ["(the Harbour authority; was split into; three regional offices)"]
+    assert filled(spark, CORK, "be {rel} in", "{arg1} >appos> {rel1} >partmod> {rel2} >prep_in> {arg2}") == ["(Cork; be a light bark grown in; Portugal)"]
+    assert filled(spark, HOPES, "{rel}", "{arg1} <nsubj< {rel1} >xcomp> {rel2} >dobj> {arg2}") == ["(The council; hopes to sell; its oldest theatre)"]
+    assert filled(spark, MUSEUM, "{rel} of", "{arg1} <nsubj< {rel1} >dobj> {rel2} >prep_of> {arg2}") == ["(the museum 's new wing; holds a large collection of; Baltic amber)"]
+    assert texts(SENTENCES[2][1], "{arg1} <nsubj< {rel} >prep_over> {arg2}") == ["(hungry gulls; circled; the flooded harbour)"]
+    assert texts(SENTENCES[2][1], "{arg1} <nsubj< {rel:postag=XX} >prep_over> {arg2}") == []
     assert texts(PAIR, "{arg1} <nsubj< {rel} >dobj> {arg2}") == ["(Omar Lena; planted; a tree that blooms)"]
     with pytest.raises(ValueError, match="arg1, arg2 and rel"):
-        facts(KEY, "{arg1} <nsubj< {slot0} >dobj> {arg2}")
+        facts(MUSEUM, "{arg1} <nsubj< {slot0} >dobj> {arg2}")
 
 
 def test_be_goes_behind_a_modal(spark):
@@ -82,7 +82,7 @@ def test_be_goes_behind_a_modal(spark):
 def test_walks_of_a_batch():
     """Blocked walks, islands, subtrees and stretches of many queries at once."""
     g = "(x_X_3_0), det(d_NN_4_0, a_DT_0_0); amod(d_NN_4_0, b_JJ_1_0); amod(d_NN_4_0, c_JJ_2_0); amod(d_NN_4_0, e_JJ_5_0); amod(d_NN_4_0, f_JJ_7_0)"
-    b = Batch.of([G.parse(KEY), G.parse(g)])
+    b = Batch.of([G.parse(MUSEUM), G.parse(g)])
     shift = int(b.begin[1])
     node = np.array([shift + 4, shift + 4])
     until = Pairs(np.array([b.tokens + shift + 1]), b.tokens)
@@ -92,7 +92,7 @@ def test_walks_of_a_batch():
     assert [[t - shift for t in x] for x in island] == [[4, 5], [4, 5]]
     row, below = b.subtrees(node[:1], b.labelled(("amod",)))
     assert [[t - shift for t in x] for x in below.lists(len(row))] == [[1], [2], [5], [6]]
-    assert b.reach(b.one(np.array([1])), b.down()).lists(1) == [[0, 1, 2, 3, 5]]
+    assert b.reach(b.one(np.array([7])), b.down()).lists(1) == [[*range(1, 11), 12, 13]]
     cycle = Batch.of([G.parse("x(a_NN_0_0, b_NN_1_0); y(b_NN_1_0, a_NN_0_0)")])
     assert cycle.reach(cycle.one(np.array([0])), cycle.down()).lists(1) == [[0, 1]]
     empty = Batch.of([])
@@ -123,10 +123,10 @@ def test_voice():
 
 
 @pytest.mark.parametrize(("graph", "fact", "longest", "want"), [
-    (NAMED, ("be appoint head of", "jana novak", "silver fall", "jana novak silver fall appoint head"), None, ["{arg1} <nsubjpass< {rel0:postag=VBN} >dobj> {rel1:postag=NN} >prep_of> {arg2}"]),
-    (TRYING, ("enter", "bee", "kitchen", "bee try enter kitchen"), None, ["{arg1} <nsubj< {slot0:postag=VBG} >xcomp> {rel:postag=VB} >dobj> {arg2}"]),
-    (KEY, ("keep key for", "pavel", "irene", "pavel keep key irene"), None, ["{arg1} <nsubj< {rel0:postag=VBZ} >dobj> {rel1:postag=NN} >prep_for> {arg2}"]),
-    (NAMED, ("be appoint head of", "jana novak", "silver fall", "jana novak silver fall appoint head"), 3, []),
+    (SPLIT, ("be split into", "harbour authority", "regional office", "harbour authority split regional office"), None, ["{arg1} <nsubjpass< {rel:postag=VBN} >prep_into> {arg2}"]),
+    (HOPES, ("sell", "council", "theatre", "council hope sell theatre"), None, ["{arg1} <nsubj< {slot0:postag=VBZ} >xcomp> {rel:postag=VB} >dobj> {arg2}"]),
+    (MUSEUM, ("hold collection of", "wing", "amber", "wing hold collection amber"), None, ["{arg1} <nsubj< {rel0:postag=VBZ} >dobj> {rel1:postag=NN} >prep_of> {arg2}"]),
+    (MUSEUM, ("hold collection of", "wing", "amber", "wing hold collection amber"), 3, []),
 ])
 def test_induction(graph, fact, longest, want):
     assert [str(p) for p in I.induce(I.prepare(G.parse(graph)), *fact, longest)] == want
@@ -138,8 +138,8 @@ def test_extract(spark):
     out = E.with_confidence(E.extract(df)).withColumn("fact", E.fact_text()).withColumn("text", F.lit("t"))
     found = {(r.sent, r.fact) for r in out.collect()}
     assert found == {
-        (1, "(Marta; repairs; an old printer)"), (2, "(Pavel; keeps; a key)"),
-        (3, "(Some rivers; flowed quietly into; the lake)"), (4, "(the tower; is the symbol of; the town)[attrib=Local guides claim]"), (5, "(Peter; paints; the fence)[enabler=if the weather holds]"),
+        (1, "(the brown river; floods; two low meadows)"), (2, "(the museum 's new wing; holds; a large collection of Baltic amber)"), (2, "(the museum 's new wing; holds a large collection of Baltic amber since; March)"),
+        *((3, f"(hungry gulls; circled {x})") for x in ("after; the storm", "for; hours", "over; the flooded harbour")), (4, "(the tower; is the symbol of; the town)[attrib=Local guides claim]"), (5, "(Peter; paints; the fence)[enabler=if the weather holds]"),
     }
     assert all(0 < r.confidence < 1 for r in out.collect())
     assert out.select(*[c.alias(f"f{i}") for i, c in enumerate(features().values())]).count() == len(found)
@@ -154,14 +154,14 @@ def test_extract(spark):
 def test_sentences_without_extractions_say_so(spark):
     df = spark.createDataFrame([(1, "first", SENTENCES[0][1]), (2, "second", "det(a_DT_0_0, b_NN_1_0)"), (3, "third", None)], "n int, text string, graph string")
     out = E.extract(df, keep_empty=True).withColumn("confidence", F.lit(0.5))
-    assert [r.line for r in W.dialogue(out, "text", ["n"]).orderBy("n").collect()] == ["first\n0.5: (Marta; repairs; an old printer)", "second\nNo extractions found.", "third\nNo extractions found."]
+    assert [r.line for r in W.dialogue(out, "text", ["n"]).orderBy("n").collect()] == ["first\n0.5: (the brown river; floods; two low meadows)", "second\nNo extractions found.", "third\nNo extractions found."]
     assert [r.line for r in W.dialogue(out, "text", ["n"], threshold=0.9).orderBy("n").collect()][0] == "first"
 
 
 def test_parsers(spark, tmp_path):
     df = spark.createDataFrame([("Marta repairs an old printer .",), (SENTENCES[1][1],), ("nothing here",)], "graph string")
     got = {r.fact for r in E.extract(df, parser=R.PARSERS["sniff"]).select(E.fact_text().alias("fact")).collect()}
-    assert any(x.startswith("(Marta; repairs; ") for x in got) and any(x.startswith("(Pavel; keeps; ") for x in got)
+    assert any(x.startswith("(Marta; repairs; ") for x in got) and any(x.startswith("(the museum 's new wing; holds; ") for x in got)
     (tmp_path / "in.txt").write_bytes("caf\xe9 one\r\n\r\ntwo".encode("latin-1"))
     assert sorted(r.sentence for r in R.lines(spark, str(tmp_path / "in.txt"), "ISO-8859-1").collect()) == ["caf\xe9 one", "two"]
     with pytest.raises(ValueError):
@@ -171,7 +171,7 @@ def test_parsers(spark, tmp_path):
     assert [r.sentence for r in R.paragraphs(spark, str(tmp_path / "p.txt")).orderBy("paragraph", "position").collect()] == ["One two.", "Three four.", "Five", "Six"]
     (tmp_path / "w.txt").write_text("# list\nSay\n\ntell\n")
     assert R.word_list(spark, str(tmp_path / "w.txt")) == ["say", "tell"]
-    (tmp_path / "s.txt").write_text(f"x\t{KEY}\nx\tbad\n")
+    (tmp_path / "s.txt").write_text(f"x\t{MUSEUM}\nx\tbad\n")
     assert R.sniffed(spark, str(tmp_path / "s.txt")).count() == 1
 
 
@@ -222,7 +222,7 @@ def test_if_before_argument(spark):
 
 def test_joins_find_what_the_matcher_finds(spark):
     patterns = [parse_pattern(p) for p in ("{arg1} <nsubj< {rel} >dobj> {arg2}", "{arg1} <nsubj< {rel:postag=NN} >{prep:regex=prep_(.*)}> {arg2}", "{arg1} <nsubj< {rel1} >dobj> {rel2} >prep_for> {arg2}")]
-    graphs = {s: G.parse(raw) for s, raw in [*SENTENCES, (6, NAMED), (7, TRYING)]}
+    graphs = {s: G.parse(raw) for s, raw in [*SENTENCES, (6, SPLIT), (7, HOPES)]}
     edges = spark.createDataFrame([(s, e.src.start, e.dst.start, e.label) for s, g in graphs.items() for e in g.edges], "sent long, src int, dst int, label string")
     tokens = spark.createDataFrame([(s, n.start, n.postag, n.lemma) for s, g in graphs.items() for n in g.nodes], "sent long, node int, postag string, lemma string")
     got = sorted((r.sent, r.pattern, tuple(r.nodes)) for r in M.match(edges, patterns, tokens).collect())
@@ -342,9 +342,9 @@ def test_suggestions_by_stretches(spark):
 
 
 def test_native_graph_codec(spark):
-    df = spark.createDataFrame([(1, NAMED), (2, "no graph")], "i int, g string").select("i", parse_graph("g").alias("p"))
+    df = spark.createDataFrame([(1, SPLIT), (2, "no graph")], "i int, g string").select("i", parse_graph("g").alias("p"))
     rows = {r.i: r.p for r in df.collect()}
-    g = G.parse(NAMED)
+    g = G.parse(SPLIT)
     assert rows[2] is None
     assert [(d.label, d.src, d.dst) for d in rows[1].deps] == sorted((e.label, e.src.start, e.dst.start) for e in g.edges)
     assert [(t.idx, t.text, t.postag) for t in rows[1].tokens] == [(n.start, n.text, n.postag) for n in g.nodes]
@@ -354,8 +354,8 @@ def test_templates(spark):
     rows = [("be elect president of", "{arg1} <nsubjpass< {rel} >prep_of> {arg2}")] * 6 + [("sit on", "{arg1} <nsubj< {rel} >prep_on> {arg2}")] * 5 + [("rare in", "{arg1} <nsubj< {rel} >prep_in> {arg2}")]
     out = {(r.template, r.pattern, r["count"]) for r in L.build_templates(spark.createDataFrame(rows, "rel string, pattern string")).collect()}
     assert out == {("be {rel} {prep}", "{arg1} <nsubjpass< {rel} >{prep:regex=prep_(.*)}> {arg2}", 6), ("{rel} {prep}", "{arg1} <nsubj< {rel} >{prep:regex=prep_(.*)}> {arg2}", 6)}
-    built = L.build_patterns(spark.createDataFrame([("keep key for", "pavel", "irene", "pavel keep key irene", "t", KEY), ("a", "b", "c", "d", "t", "no graph")], "rel string, arg1 string, arg2 string, lemmas string, text string, deps string"))
-    assert [r.pattern for r in built.collect()] == ["{arg1} <nsubj< {rel0:postag=VBZ} >dobj> {rel1:postag=NN} >prep_for> {arg2}"]
+    built = L.build_patterns(spark.createDataFrame([("hold collection of", "wing", "amber", "wing hold collection amber", "t", MUSEUM), ("a", "b", "c", "d", "t", "no graph")], "rel string, arg1 string, arg2 string, lemmas string, text string, deps string"))
+    assert [r.pattern for r in built.collect()] == ["{arg1} <nsubj< {rel0:postag=VBZ} >dobj> {rel1:postag=NN} >prep_of> {arg2}"]
     model = spark.createDataFrame([("{rel}", "{arg1} <nsubj< {rel:postag=VBD} >dobj> {arg2}"), ("be {rel} of", "{arg1} <nsubjpass< {rel} >prep_of> {arg2}"), ("be {rel}", "{arg1} <appos< {rel}")], "template string, pattern string")
     assert sorted((r.template, r.pattern) for r in L.voice_mirrors(model).collect()) == sorted([
         ("{rel}", "{arg1} <nsubj< {rel:postag=VBD} >dobj> {arg2}"), ("be {rel}", "{arg2} <nsubj< {rel:postag=VBD} >dobj> {arg1}"),
@@ -369,7 +369,7 @@ def test_tables_and_dot(spark, tmp_path):
     assert [(r.score, r.confidence, r.extra) for r in rows] == [(True, 0.9, ["x", "y"]), (None, 0.5, [])]
     (tmp_path / "model.txt").write_text("\n".join(X.SEED_MODEL))
     assert R.model_lines(spark, str(tmp_path / "model.txt")) == X.SEED_MODEL
-    assert '"key / NN", style=filled' in W.to_dot(G.parse(KEY), {3}) and R.sniff_column(f"a\tb\t{KEY}") == 2
+    assert '"collection / NN", style=filled' in W.to_dot(G.parse(MUSEUM), {10}) and R.sniff_column(f"a\tb\t{MUSEUM}") == 2
     for bad in (["specific", "x"], ["what"], ["template"], []):
         with pytest.raises((ValueError, NotImplementedError)):
             X.read_model(bad)
@@ -411,7 +411,7 @@ def test_columns(spark):
 
 
 def test_voices_and_feature_matrix(spark):
-    df = spark.createDataFrame([(1, HIT), (2, WAS_HIT), (3, "no graph"), (4, None), (5, CHOIR)], "sent long, graph string")
+    df = spark.createDataFrame([(1, HIT), (2, WAS_HIT), (3, "no graph"), (4, None), (5, CORK)], "sent long, graph string")
     assert {(r.sent, r.graph) for r in E.switch_voices(df).collect()} == {(1, HIT_PASSIVE), (2, HIT_ACTIVE)}
     facts = E.with_confidence(E.extract(spark.createDataFrame(SENTENCES, "sent long, graph string")))
     matrix = E.feature_matrix(facts)
