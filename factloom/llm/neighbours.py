@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, forget, grouped, keep, lookup
+from .common import components, fan_out, forget, free, grouped, keep, lookup
 
 K, REVERSE = 10, 10
 TABLES, BLOCK = 8, 512
@@ -284,17 +284,22 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     so every link found is one. n_links counts vectors, copies included.
 
     Null, empty or zero vectors and those with null or non-finite components link with nothing. Vectors of different
-    lengths don't meet. A null key: no links, component_id null, kept. Rows that repeat a key are returned each, with the
-    key's class. Ties: the smaller key stands first. Empty tables give an empty result. Other columns are ignored.
+    lengths don't meet. A null key: no links, component_id null, kept. Rows that repeat a key are vectors of their own, and
+    each is returned with what its own vector links with. Ties: the smaller key stands first. Empty tables give an empty result. Other columns are ignored.
     The key must be an integer.
     """
     rows = keep(prepared(table.select(F.col(key).cast("long").alias(key), vector), key, vector), "vectors")
-    groups = rows.where(F.col("ck").isNotNull() & F.col(key).isNotNull()).groupBy("ck").agg(F.min(key).alias("id"), F.count("*").alias("weight"))
-    total = rows.count()
-    classed = lookup(rows, groups, "ck", "weight", total).withColumn("id", F.when(F.col(key).isNotNull(), F.col("id")))
+    first, key_of_root = free([key, "ck", "unit", "id", "weight", "links", "root"], "first", "key_of_root")
+    groups = rows.where(F.col("ck").isNotNull() & F.col(key).isNotNull()).groupBy("ck").agg(F.min(key).alias(first), F.count("*").alias("weight"))
+    # classes are numbered in order of (least key, digest): two that hold one key stay two nodes, and the least node of a
+    # component has its least key
+    groups = groups.repartitionByRange(fan_out(table.sparkSession), first, "ck").sortWithinPartitions(first, "ck").withColumn("id", F.monotonically_increasing_id())
+    groups = keep(groups, "classes")
+    classed = lookup(rows, groups, "ck", "weight", rows.rows).withColumn("id", F.when(F.col(key).isNotNull(), F.col("id")))
     classed = keep(classed, "classed")
-    nodes = keep(classed.where(F.col("id") == F.col(key)).select("id", "weight", "unit").dropDuplicates(["id"]), "nodes")
-    n = nodes.count()
+    nodes = keep(classed.where(F.col(first) == F.col(key)).select("id", first, "weight", "unit").dropDuplicates(["id"]), "nodes")
+    firsts = nodes.select(F.col("id").alias("root"), F.col(first).alias(key_of_root))
+    nodes, n = nodes.drop(first), nodes.rows
     lists, links, roots = None, None, None
     for turn in range(AGAIN + 1):
         found = keep(start(nodes, n, threshold, turn, k), "start")
@@ -329,8 +334,8 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     weight = nodes.select(F.col("id").alias("v"), "weight")
     thin = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     thin = thin.join(inside.select(F.col("id").alias("u")), "u", "left_anti").join(weight, "v").groupBy(F.col("u").alias("id")).agg(F.sum("weight").alias("links"))
-    linked = keep(counted.union(thin).join(roots.select(F.col("node").alias("id"), "root"), "id", "left"), "linked")
+    linked = keep(counted.union(thin).join(roots.select(F.col("node").alias("id"), "root"), "id", "left").join(firsts, "root", "left").drop("root"), "linked")
     out = classed.join(linked, "id", "left")
     own = F.coalesce(F.col("weight") - 1, F.lit(0))
-    out = out.select(F.col(key), (F.coalesce("links", F.lit(0)) + own).cast("long").alias("n_links"), F.when(F.col(key).isNotNull(), F.coalesce("root", "id", key)).alias("component_id"))
+    out = out.select(F.col(key), (F.coalesce("links", F.lit(0)) + own).cast("long").alias("n_links"), F.when(F.col(key).isNotNull(), F.coalesce(key_of_root, first, key)).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))

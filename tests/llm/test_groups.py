@@ -337,3 +337,24 @@ def test_tables_grow_with_the_bits():
     assert neighbours.tables_for(0, 0.9) == neighbours.TABLES
     for bits in (6, 12, 17):
         assert 1 - (1 - 0.8564**bits) ** neighbours.tables_for(bits, 0.9) >= 0.979
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_vectors_that_share_a_key(spark, seed):
+    """Rows of one key and different vectors are vectors of their own: full rows against all pairs."""
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((40, 6))
+    rows = [(1, [1.0, 0, 0, 0, 0, 0]), (1, [0, 1.0, 0, 0, 0, 0]), (4, [0.05, 1.0, 0, 0, 0, 0]), (5, [1.0, 0.05, 0, 0, 0, 0])]
+    rows += [(int(rng.integers(0, 60)), (base[rng.integers(0, 40)] + 0.2 * rng.standard_normal(6)).tolist()) for _ in range(300)]
+    rows += rows[:20] + [(7, (2 * np.array(rows[30][1])).tolist())]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    root = brute.roots(list(range(len(rows))), [(int(a), int(b)) for a, b in np.argwhere(near)])
+    least = {}
+    for i, r in root.items():
+        least[r] = min(least.get(r, rows[i][0]), rows[i][0])
+    want = sorted((rows[i][0], int(near[i].sum()), least[root[i]], rows[i][0] == least[root[i]]) for i in range(len(rows)))
+    out = neighbours.near_vectors(spark.createDataFrame([(k, [float(c) for c in v], 0, "x") for k, v in rows], "vec_id long, embedding array<double>, first int, key_of_root string"))
+    assert sorted(tuple(r) for r in out.collect()) == want
