@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license import SIMILAR, TEMPLATES, WRAPPED
+from .license import SECOND_CLAUSE, SIMILAR, TELLS, TEMPLATES, THIRD_CLAUSE, WEAKEST, WRAPPED
 from .oracles import REPAIR_SQL, RESAMPLE_SQL
 from .quality import ORACLE as QUALITY_SQL
 
@@ -161,6 +161,8 @@ c AS (SELECT page_id, n, list_aggregate(list_transform(range(0, 8), lambda g: li
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, n) AS top FROM c)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM m
 """
+#: Whether the words of a run tell a license from its relatives.
+_TOLD = "CASE name " + " ".join(f"WHEN '{name}' THEN " + " AND ".join([*(f"regexp_matches(said, '{x}')" for x in needs), *(f"NOT regexp_matches(said, '{x}')" for x in nevers)]) for name, (needs, nevers) in TELLS.items()) + " END"
 #: All runs of lines against all templates; crc32 bit by bit.
 LICENSE_SQL = rf"""
 WITH t(i, name, line) AS (VALUES {", ".join(f"({i}, '{name}', '{line}')" for i, (name, line) in enumerate((n, x) for n, group in TEMPLATES.items() for x in group))}),
@@ -182,9 +184,10 @@ r AS (SELECT doc_id, k * 10 + m AS run, flatten(lines[k:k + m - 1]) AS ws FROM s
 rw AS (SELECT doc_id, run, w, count(*) AS n FROM (SELECT doc_id, run, unnest(ws) AS w FROM r) GROUP BY ALL),
 rx AS (SELECT rw.*, rw.n * coalesce(idf.x, ln(1 + n.n) + 1) AS x FROM rw CROSS JOIN n LEFT JOIN idf USING (w)),
 no AS (SELECT doc_id, run, sqrt(sum(x * x)) AS norm FROM rx GROUP BY ALL),
-sc AS (SELECT doc_id, name, round(sum(rx.x * tv.x) / any_value(norm), 9) AS score FROM rx JOIN no USING (doc_id, run) JOIN tv USING (w) GROUP BY doc_id, run, i, name),
-be AS (SELECT doc_id, max(score) AS score FROM sc GROUP BY doc_id HAVING max(score) >= {SIMILAR}),
-own AS (SELECT doc_id, score, min(name) AS own FROM sc JOIN be USING (doc_id, score) GROUP BY ALL),
+sc AS (SELECT doc_id, run, name, round(sum(rx.x * tv.x) / any_value(norm), 9) AS score FROM rx JOIN no USING (doc_id, run) JOIN tv USING (w) GROUP BY doc_id, run, i, name),
+cl AS (SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{SECOND_CLAUSE}') THEN ' #second' ELSE '' END || CASE WHEN regexp_matches(lower(text), '{THIRD_CLAUSE}') THEN ' #third' ELSE '' END AS c FROM documents),
+be AS (SELECT sc.*, array_to_string(ws, ' ') || c AS said FROM sc JOIN r USING (doc_id, run) JOIN cl USING (doc_id) WHERE score >= {SIMILAR}),
+own AS (SELECT doc_id, score, name AS own FROM be WHERE {_TOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY name = '{WEAKEST}', score DESC, name) = 1),
 ru AS (SELECT folder AS place, min(own) AS rule FROM own JOIN p USING (doc_id) WHERE is_file GROUP BY folder)
 SELECT p.doc_id, coalesce(own.own, near.rule, far.rule) AS license, own.score AS license_score, CASE WHEN own.own IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN coalesce(near.rule, far.rule) IS NOT NULL THEN 'inherited' END AS license_from,
   CASE WHEN own.own IS NULL THEN coalesce(near.place, far.place) END AS inherited_from

@@ -62,35 +62,27 @@ def chunk_table(lines: DataFrame, min_words: int, mean_lines: int) -> DataFrame:
 
 def windows(chunks: DataFrame, min_words: int) -> DataFrame:
     """_k, _h, first, last, wk: of every document the least stretches of touching chunks that have ``min_words`` words, one
-    from each chunk on and one up to each chunk. Together they cover every stretch that has so many words."""
-    per = chunks.groupBy("_k", "_h").agg(F.array_sort(F.collect_list(F.struct("first", "last", "words", "ck"))).alias("cs"))
-    none = lambda edge: F.struct(F.lit(0).cast("long").alias("words"), edge.alias("edge"), F.lit(0).alias("n"))
-
-    def grow(touches):
-        def add(a: Column, x: Column) -> Column:
-            ok, edge = touches(a["edge"], x)
-            return F.when((a["words"] < min_words) & ok, F.struct((a["words"] + x["words"]).alias("words"), edge.alias("edge"), (a["n"] + 1).alias("n"))).otherwise(a)
-
-        return add
-
-    # every chunk has a word, so a stretch has at most min_words chunks; one behind a gap is never reached again
-    onward = lambda c, i: F.aggregate(F.slice("cs", i + 1, min_words), none(c["first"] - 1), grow(lambda e, x: (x["first"] == e + 1, x["last"])))
-    back = lambda c, i: F.aggregate(F.reverse(F.slice("cs", F.greatest(i + 2 - min_words, F.lit(1)), F.least(i + 1, F.lit(min_words)))), none(c["last"] + 1), grow(lambda e, x: (x["last"] == e - 1, x["first"])))
-    full = lambda w: w["words"] >= min_words
-    ahead = F.transform("cs", lambda c, i: F.struct(i.alias("i"), onward(c, i).alias("w")))
-    behind = F.transform("cs", lambda c, i: F.struct(i.alias("i"), back(c, i).alias("w")))
-    spans = F.concat(
-        F.transform(F.filter(ahead, lambda x: full(x["w"])), lambda x: F.struct(x["i"].alias("at"), x["w"]["n"].alias("n"))),
-        F.transform(F.filter(behind, lambda x: full(x["w"])), lambda x: F.struct((x["i"] - x["w"]["n"] + 1).alias("at"), x["w"]["n"].alias("n"))),
-    )
-    rows = per.withColumn("spans", F.array_distinct(spans)).where(F.size("spans") > 0).select("_k", "_h", "cs", F.explode("spans").alias("x"))
-    mine = F.transform(F.slice("cs", F.col("x.at") + 1, F.col("x.n")), lambda c: c["ck"])
-    key = F.concat_ws("-", F.hex(F.xxhash64(mine)), F.hex(F.xxhash64(F.lit("second"), mine)))
-    return rows.select("_k", "_h", F.get("cs", F.col("x.at"))["first"].alias("first"), F.get("cs", F.col("x.at") + F.col("x.n") - 1)["last"].alias("last"), key.alias("wk"))
+    from each chunk on and one up to each chunk. Together they cover every stretch that has so many words.
+
+    Every chunk has a word, so by the words before it in its run of touching chunks a stretch is a range of fewer than
+    ``min_words`` of them; a row never holds more chunks than that, however long the document is.
+    """
+    doc = Window.partitionBy("_k", "_h").orderBy("first")
+    gap = F.when(F.lag("last").over(doc) + 1 == F.col("first"), 0).otherwise(1)
+    runs = chunks.select("_k", "_h", "first", "last", "words", "ck", gap.alias("gap")).withColumn("run", F.sum("gap").over(doc))
+    run = Window.partitionBy("_k", "_h", "run")
+    runs = runs.withColumn("upto", F.sum("words").over(run.orderBy("first"))).withColumn("before", F.col("upto") - F.col("words"))
+    onward = run.orderBy("before").rangeBetween(0, min_words - 1)
+    back = run.orderBy("upto").rangeBetween(1 - min_words, 0)
+    ahead = F.struct("first", F.last("last").over(onward).alias("last"), F.collect_list("ck").over(onward).alias("cks"), (F.last("upto").over(onward) - F.col("before")).alias("n"))
+    behind = F.struct(F.first("first").over(back).alias("first"), "last", F.collect_list("ck").over(back).alias("cks"), (F.col("upto") - F.first("before").over(back)).alias("n"))
+    both = runs.select("_k", "_h", ahead.alias("ahead"), behind.alias("behind")).select("_k", "_h", F.inline(F.array("ahead", "behind")))
+    key = F.concat_ws("-", F.hex(F.xxhash64("cks")), F.hex(F.xxhash64(F.lit("second"), "cks")))
+    return both.where(F.col("n") >= min_words).select("_k", "_h", "first", "last", key.alias("wk")).dropDuplicates(["_k", "_h", "first", "last"])
 
 
 def decisions(lines: DataFrame, min_words: int = MIN_WORDS, mean_lines: int = MEAN_LINES) -> DataFrame:
-    """_k, _h, marks: for each document its chunks that go, and those that stay as first places of what goes elsewhere.
+    """_k, _h, marks: for each document its chunks that go, and those that stay as first places of what goes elsewhere, in order.
 
     What goes repeats as a whole: a stretch of ``min_words`` words that stands at an earlier place too, not overlapping
     that place. Longer passages are covered by such stretches.
@@ -102,16 +94,25 @@ def decisions(lines: DataFrame, min_words: int = MIN_WORDS, mean_lines: int = ME
     found = lookup(spans, groups, "wk", "n", spans.rows).where("n is not null")
     same_doc = F.col("_k").eqNullSafe(F.col("home._k")) & (F.col("_h") == F.col("home._h"))
     found = found.withColumn("again", ~(same_doc & (F.col("first") <= F.col("home.last")))).withColumn("home", same_doc & (F.col("first") == F.col("home.first")))
-    per = found.where("again or home").groupBy("_k", "_h").agg(F.collect_set(F.struct("first", "last", "again")).alias("spans"))
-    mine = chunks.join(per.select(F.col("_k").alias("pk"), F.col("_h").alias("ph"), "spans"), F.col("_k").eqNullSafe(F.col("pk")) & (F.col("_h") == F.col("ph"))).drop("pk", "ph")
-    inside = lambda x: (x["first"] <= F.col("first")) & (F.col("last") <= x["last"])
-    mine = mine.where(F.exists("spans", inside)).withColumn("gone", F.exists("spans", lambda x: x["again"] & inside(x)))
-    rows = mine.groupBy("_k", "_h").agg(F.array_sort(F.collect_list(F.struct("first", "last", "begin", "end", "ck", "gone"))).alias("m"))
+    found = found.where("again or home").select("_k", "_h", "first", F.col("last").alias("reach"), F.when(F.col("again"), F.col("last")).alias("gone_reach"))
+    # a chunk lies in a stretch if one that begins no later reaches its end: running maxima over both, in order of place
+    none = F.lit(None).cast("int")
+    own = chunks.select("_k", "_h", "first", "last", "begin", "end", "ck", none.alias("reach"), none.alias("gone_reach"))
+    rows = own.unionByName(found, allowMissingColumns=True)
+    order = Window.partitionBy("_k", "_h").orderBy("first", F.col("last").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("reach", F.max("reach").over(order)).withColumn("gone_reach", F.max("gone_reach").over(order))
+    rows = rows.where(F.col("last").isNotNull() & (F.col("last") <= F.col("reach"))).withColumn("gone", F.coalesce(F.col("last") <= F.col("gone_reach"), F.lit(False)))
     # blank lines between two chunks that go, go with them
-    following = lambda x, i: F.get(F.col("m"), i + 1)
-    reach = lambda x, i: F.when(x["gone"] & following(x, i)["gone"] & (following(x, i)["first"] == x["last"] + 1), following(x, i)["begin"] - 1).otherwise(x["end"])
-    marks = F.transform("m", lambda x, i: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), F.coalesce(reach(x, i), x["end"]).alias("upto"), x["ck"].alias("ck"), x["gone"].alias("gone")))
-    return rows.select("_k", "_h", marks.alias("marks"))
+    line = Window.partitionBy("_k", "_h").orderBy("first")
+    following = lambda c: F.lead(c).over(line)
+    upto = F.when(F.col("gone") & following("gone") & (following("first") == F.col("last") + 1), following("begin") - 1)
+    rows = rows.withColumn("upto", F.coalesce(upto, F.col("end")))
+    return rows.groupBy("_k", "_h").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "upto", "ck", "gone"))).alias("marks"))
+
+
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once a row, however often a lambda inside reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, mean_lines: int = MEAN_LINES) -> DataFrame:
@@ -126,30 +127,43 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     lines = keep(line_table(docs, key, text), "lines")
     decided = decisions(lines, min_words, mean_lines)
     own = docs.columns
-    names = ("text_hash", "marks", "k", "h", "bad", "gone", "all_lines", "left", "ck", "lo", "hi", "l", "m", "body")
-    text_hash, marks, k, h, bad, gone, all_lines, left, ck, lo, hi, l, m, body = free([*own, "n_lines", "n_removed"], *names)
+    names = ("text_hash", "marks", "k", "h", "bad", "gone", "all_lines", "left", "ck", "lo", "hi")
+    text_hash, marks, k, h, bad, gone, all_lines, left, ck, lo, hi = free([*own, "n_lines", "n_removed"], *names)
     whole = docs.withColumn(text_hash, F.xxhash64(text))
     here = F.col(key).eqNullSafe(F.col(k)) & (F.col(text_hash) == F.col(h))
     both = whole.join(decided.select(F.col("_k").alias(k), F.col("_h").alias(h), F.col("marks").alias(marks)), here, "left").select(*own, text_hash, marks)
     both = keep(both, "marked")
     forget(lines)
     # byte comparison: the least and the greatest text of a chunk's places are the same
-    places = both.where(F.col(marks).isNotNull()).select(_lines(F.col(text)).alias(l), F.explode(marks).alias(m))
-    inside = F.slice(l, F.col(m)["begin"] + 1, F.col(m)["end"] - F.col(m)["begin"] + 1)
-    bodies = places.select(F.col(m)["ck"].alias(ck), F.array_join(F.filter(inside, lambda x: x.rlike(r"[^\x20\x09-\x0D]")), "\n").alias(body))
-    differ = keep(bodies.groupBy(ck).agg(F.min(body).alias(lo), F.max(body).alias(hi)).where(F.col(lo) != F.col(hi)).select(ck), "differ")
+    def texts(l: Column) -> Column:
+        inside = lambda x: F.filter(F.slice(l, x["begin"] + 1, x["end"] - x["begin"] + 1), lambda y: y.rlike(r"[^\x20\x09-\x0D]"))
+        return F.transform(marks, lambda x: F.struct(x["ck"].alias("ck"), F.array_join(inside(x), "\n").alias("body")))
+
+    bodies = both.where(F.col(marks).isNotNull()).select(F.inline(once(_lines(F.col(text)), texts)))
+    differ = keep(bodies.groupBy(F.col("ck").alias(ck)).agg(F.min("body").alias(lo), F.max("body").alias(hi)).where(F.col(lo) != F.col(hi)).select(ck), "differ")
     goes = F.filter(marks, lambda x: x["gone"])
     if differ.rows:  # hashes that collided: their places stay
         known = both.where(F.col(marks).isNotNull()).select(F.col(key).alias(k), F.col(text_hash).alias(h), F.explode(F.col(marks)["ck"]).alias(ck))
         known = known.join(differ, ck).groupBy(k, h).agg(F.collect_set(ck).alias(bad))
         both = both.join(known, here, "left")
         goes = F.filter(marks, lambda x: x["gone"] & ~F.coalesce(F.array_contains(bad, x["ck"]), F.lit(False)))
-    both = both.withColumn(gone, goes).withColumn(all_lines, _lines(F.col(text)))
+
+    def without(x: Column) -> Column:
+        """The lines between the stretches that go: as many slices as stretches and one more."""
+        n = F.size(x["gone"])
+
+        def stretch(i: Column) -> Column:
+            start = F.when(i > 0, F.get(x["gone"], i - 1)["upto"] + 1).otherwise(0)
+            return F.slice(x["l"], start + 1, F.when(i < n, F.get(x["gone"], i)["begin"]).otherwise(F.size(x["l"])) - start)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), n), stretch))
+
+    both = both.withColumn(gone, goes)
     some = F.coalesce(F.size(gone) > 0, F.lit(False))
-    stay = F.filter(all_lines, lambda x, i: ~F.exists(gone, lambda g: (g["begin"] <= i) & (i <= g["upto"])))
-    both = both.withColumn(left, F.when(some, stay))
+    breaks = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    both = both.withColumn(all_lines, breaks + 1).withColumn(left, F.when(some, once(F.struct(_lines(F.col(text)).alias("l"), F.col(gone).alias("gone")), without)))
     return both.select(
         *[F.when(some, F.array_join(left, "\n")).otherwise(F.col(c)).alias(c) if c == text else F.col(f"`{c}`") for c in own],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("n_lines"),
-        F.when(some, F.size(all_lines) - F.size(left)).otherwise(0).cast("long").alias("n_removed"),
+        F.when(F.col(text).isNull(), 0).otherwise(F.col(all_lines)).cast("long").alias("n_lines"),
+        F.when(some, F.col(all_lines) - F.size(left)).otherwise(0).cast("long").alias("n_removed"),
     )

@@ -358,3 +358,30 @@ def test_vectors_that_share_a_key(spark, seed):
     want = sorted((rows[i][0], int(near[i].sum()), least[root[i]], rows[i][0] == least[root[i]]) for i in range(len(rows)))
     out = neighbours.near_vectors(spark.createDataFrame([(k, [float(c) for c in v], 0, "x") for k, v in rows], "vec_id long, embedding array<double>, first int, key_of_root string"))
     assert sorted(tuple(r) for r in out.collect()) == want
+
+
+def test_long_texts_of_many_lines(spark):
+    """Two copies of 20,000 lines, one with a line changed: what a chunk and a stretch carry doesn't grow with the text."""
+    lines = [f"line {i} of a long text, word {i % 7}" if i % 50 else "" for i in range(20_000)]
+    other = [*lines]
+    other[9_000] = "another line altogether"
+    rows = [(1, "\n".join(lines)), (2, "\n".join(other)), (3, "\n".join(lines[:3]))]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines.dedup(rows) and got[2][0].count("another line") == 1 and got[2][2] > 19_000
+
+
+def test_hash_collisions_keep_their_places(spark, monkeypatch):
+    """Chunks whose hashes are equal and whose bytes are not stay."""
+    rows = [(i, "\n".join(f"w{k} " * 10 + f"end{k if i < 2 else k + i}" for k in range(6))) for i in range(4)]
+    honest = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in honest if r.n_removed) == [1]
+    real = linededup.chunk_table
+    monkeypatch.setattr(linededup, "chunk_table", lambda *a: real(*a).withColumn("ck", F.lit("one")))
+    lines = linededup.line_table
+
+    def same(docs, key, text):
+        return lines(docs, key, text).withColumn("lh", F.xxhash64("seq")).withColumn("lh2", F.col("lh"))
+
+    monkeypatch.setattr(linededup, "line_table", same)
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.n_removed == 0 for r in out)
