@@ -27,7 +27,8 @@ def _lines(text: Column) -> Column:
 def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """_k, _h, seq (among lines with a word), pos (among all), lh, lh2, words: one row for each line with a word."""
     numbered = F.filter(F.transform(_lines(F.col(text)), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_h"), F.posexplode(numbered).alias("seq", "x"))
+    # the text's hash comes before its lines part: else every line's row would carry the text and hash it again
+    rows = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_h"), numbered.alias("_lines")).select("_k", "_h", F.posexplode("_lines").alias("seq", "x"))
     line = F.col("x.line")
     return rows.select(
         "_k", "_h", "seq", F.col("x.pos").alias("pos"), F.xxhash64(line).alias("lh"), F.xxhash64(F.lit("second"), line).alias("lh2"),
