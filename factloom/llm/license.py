@@ -252,19 +252,45 @@ def stated(docs: DataFrame, path: str = "path", text: str = "text", similar: flo
     possible = lambda p: F.when(F.arrays_overlap(p, anchors), v.covered(p)).otherwise(False)
     marked = docs.withColumn(present, F.array_intersect(words(F.col(text)), known))
 
+    weights = constant(v.idf, "map<string,double>")
+    rare = (math.log(1 + v.total) + 1) ** 2
+
+    def size_of(x: Column) -> Column:
+        """struct(q, o): the length of a line's words that templates have, and a bound from below for the square of the others'."""
+        many = lambda t: (F.size(x["w"]) - F.size(F.array_remove(x["w"], t))).cast("double")
+        step = lambda a, t: F.struct((a["q"] + F.pow(many(t) * F.element_at(weights, t), F.lit(2))).alias("q"), (a["n"] + many(t)).alias("n"))
+        return F.aggregate(x["p"], F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("n")), step, lambda a: F.struct(F.sqrt(a["q"]).alias("q"), ((F.size(x["w"]) - a["n"]) * rare).alias("o")))
+
     def runs(lines: Column) -> Column:
-        """Words of every run of lines that begins with a word of the templates and may be similar to one. The longest run
-        from a line on has all words of the shorter ones: where it can't be similar, none of them can."""
+        """Words of every run of lines that begins with a word of the templates and may be similar to one.
+
+        Such a run has a line with an anchor. Of a run whose lines have q and o the words that templates have are no longer
+        than the sum of all q, and the others no shorter than the root of the sum of all o; where even that falls short of
+        ``similar``, as beside a line of prose, the run isn't looked at.
+        """
         mine = F.transform(F.transform(lines, lambda w: F.struct(w.alias("w"), F.array_intersect(w, F.col(present)).alias("p"))), lambda x: F.struct(x["w"].alias("w"), x["p"].alias("p"), F.arrays_overlap(x["p"], anchors).alias("a")))
 
+        def sized(rows: Column) -> Column:
+            near = lambda i: F.exists(F.slice(rows, F.greatest(i + 2 - WRAPPED, F.lit(1)), 2 * WRAPPED - 1), lambda y: y["a"])
+            return F.transform(rows, lambda x, i: F.struct(x["w"].alias("w"), x["p"].alias("p"), x["a"].alias("a"), F.when(near(i), size_of(x)).alias("size")))
+
         def of(rows: Column) -> Column:
             held = lambda i, n: F.array_distinct(F.flatten(F.transform(F.slice(rows, i + 1, n), lambda x: x["p"])))
-            starts = F.filter(F.transform(rows, lambda x, i: F.when((F.size(x["p"]) > 0) & F.exists(F.slice(rows, i + 1, WRAPPED), lambda y: y["a"]), i)), lambda i: F.when(i.isNull(), False).otherwise(possible(held(i, F.lit(WRAPPED)))))
-            one = lambda i, n: F.when(possible(held(i, n)), F.flatten(F.transform(F.slice(rows, i + 1, n), lambda x: x["w"])))
+
+            def reaches(i: Column, n: Column) -> Column:
+                whole = F.aggregate(
+                    F.slice(rows, i + 1, n), F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("o"), F.lit(False).alias("a")),
+                    lambda a, x: F.struct((a["q"] + x["size"]["q"]).alias("q"), (a["o"] + x["size"]["o"]).alias("o"), (a["a"] | x["a"]).alias("a")),
+                    lambda a: a["a"] & (a["q"] * a["q"] * (1 - v.least) >= v.least * a["o"] * (1 - 1e-9)),
+                )
+                return F.coalesce(whole, F.lit(False))
+
+            starts = F.filter(F.transform(rows, lambda x, i: F.when((F.size(x["p"]) > 0) & F.exists(F.slice(rows, i + 1, WRAPPED), lambda y: y["a"]), i)), lambda i: i.isNotNull())
+            one = lambda i, n: F.when(F.when(reaches(i, n), possible(held(i, n))).otherwise(False), F.flatten(F.transform(F.slice(rows, i + 1, n), lambda x: x["w"])))
             some = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(WRAPPED)), lambda n: one(i, n))))
             return F.array_distinct(F.filter(some, lambda w: w.isNotNull()))
 
-        return F.get(F.transform(F.array(mine), of), 0)
+        return F.get(F.transform(F.transform(F.array(mine), sized), of), 0)
 
     lines = F.transform(F.split(F.col(text), "\n", -1), words)
     empty = F.array().cast("array<array<string>>")
