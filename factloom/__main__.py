@@ -157,7 +157,7 @@ def run(spark: SparkSession, o: argparse.Namespace) -> str:
     elif o.tool == "cross-validate":
         known = features()
         rows = R.instances(spark, o.input).select(F.concat_ws("\t", "fact", "graph").alias("key"), F.col("score").cast("int").alias("label"), *[known[n].alias(n) for n in known])
-        out = spark.createDataFrame(V.cross_validate(rows, [*known], "key", n=o.folds), "fold int, accuracy double, auc double")
+        out = V.cross_validate(rows, [*known], "key", n=o.folds)
     elif o.tool == "features":
         weights = R.weights(spark, o.weights) if o.weights else None
         rows = R.instances(spark, o.input).withColumn("confidence", confidence(weights))

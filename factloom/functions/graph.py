@@ -167,45 +167,6 @@ def simplify_tag(tag: str, verbs: bool = False) -> str:
     return "VB" if verbs and tag.startswith("VB") else tag
 
 
-def collapse(g: Graph) -> Graph:
-    """prep and pobj edges over a preposition become one edge prep_X; the preposition stays as a token."""
-    edges, gone = list(g.edges), set()
-    for e in g.edges:
-        if e.label == "prep":
-            objects = [x for x in g.down(e.dst) if x.label == "pobj"]
-            rest = [x for x in g.down(e.dst) if x.label != "pobj"]
-            if objects and not rest:
-                gone |= {e, *objects}
-                edges += [Edge(e.src, x.dst, f"prep_{e.dst.text.lower()}") for x in objects]
-    return Graph(g.nodes, [e for e in edges if e not in gone])
-
-
-def simplify(g: Graph, edges: bool = True, tags: bool = True, verbs: bool = False) -> Graph:
-    """The form that patterns are matched on; each step can be left out."""
-    g = collapse(g) if edges else g
-    return g.map(lambda n: replace(n, postag=simplify_tag(n.postag, verbs))) if tags or verbs else g
-
-
-def merge_nouns(g: Graph) -> Graph:
-    """Neighbouring tokens joined by nn edges under one head become a node with the head's tag and the tokens' text."""
-    for head in list(g.vertices):
-        group = sorted({head, *(e.dst for e in g.down(head) if e.label == "nn")})
-        if len(group) < 2:
-            continue
-        at = group.index(head)
-        first = at
-        while first > 0 and group[first - 1].end == group[first].start:
-            first -= 1
-        run = group[first : at + 1]
-        if len(run) < 2:
-            continue
-        new = Node(run[0].start, run[-1].end, " ".join(n.text for n in run), head.postag, run[0].offset, " ".join(n.lemma or lemma(n.text) for n in run))
-        inside = set(run)
-        edges = [Edge(new if e.src in inside else e.src, new if e.dst in inside else e.dst, e.label) for e in g.edges if not (e.src in inside and e.dst in inside)]
-        return merge_nouns(Graph([new if n == head else n for n in g.nodes if n not in inside or n == head], edges))
-    return g
-
-
 def character_offsets(words: list[str]) -> list[int]:
     """Where each word begins when they are joined by blanks."""
     sizes = np.array([len(w) + 1 for w in words], np.int64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,13 +117,15 @@ def precision_yield(scored: DataFrame, conf: str, correct: Column, ties: list[st
     return out.select(*own, count.alias("yield"), (count / (F.col(seen) + F.col(n0))).alias("precision"))
 
 
-def area(points: DataFrame) -> DataFrame:
-    """Area under precision over yield by trapezoids, from the first point on: one row (auc).
+def area(points: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Area under precision over yield by trapezoids, from the first point on: one row (auc), or one a group with points.
 
     Neighbouring points differ by one in yield, so they meet in an equi-join; nothing is sorted.
     """
-    after = points.select((F.col("yield") - 1).alias("yield"), F.col("precision").alias("_next"))
-    return points.join(after, "yield").agg(F.coalesce(F.sum((F.col("precision") + F.col("_next")) / 2), F.lit(0.0)).alias("auc"))
+    by = by or []
+    after = points.select(*by, (F.col("yield") - 1).alias("yield"), F.col("precision").alias("_next"))
+    both = points.join(after, [*by, "yield"], "left" if by else "inner")
+    return both.groupBy(*by).agg(F.coalesce(F.sum((F.col("precision") + F.col("_next")) / 2), F.lit(0.0)).alias("auc"))
 
 
 def merge_curves(curves: list[DataFrame]) -> DataFrame:
@@ -167,22 +171,116 @@ def resampled(systems: DataFrame, iterations: int = 1000, seed: int = 1, value:
     return drawn.groupBy("iteration", "system").agg((F.sum(F.col("copies") * F.col("hits")) / F.sum(F.col("copies") * F.col("n"))).alias("precision"))
 
 
-def significance(systems: DataFrame, better: str, worse: str, iterations: int = 1000, seed: int = 1, value: str = "correct") -> DataFrame:
-    """One row: iterations, those in which ``better`` isn't above ``worse`` in the resampled mean, and their share (the p-value)."""
-    both = resampled(systems, iterations, seed, value).groupBy("iteration").agg(F.max(F.when(F.col("system") == better, F.col("precision"))).alias("b"), F.max(F.when(F.col("system") == worse, F.col("precision"))).alias("w"))
+def beaten(drawn: DataFrame, better: str, worse: str, value: str) -> DataFrame:
+    """One row: iterations, those in which ``better`` isn't above ``worse``, and their share (the p-value)."""
+    both = drawn.groupBy("iteration").agg(F.max(F.when(F.col("system") == better, F.col(value))).alias("b"), F.max(F.when(F.col("system") == worse, F.col(value))).alias("w"))
     lost = F.sum(F.when(F.col("b") > F.col("w"), 0).otherwise(1))
     return both.agg(F.count("*").alias("iterations"), lost.alias("lost"), (lost / F.count("*")).alias("p_value"))
 
 
+def significance(systems: DataFrame, better: str, worse: str, iterations: int = 1000, seed: int = 1, value: str = "correct") -> DataFrame:
+    """``beaten`` for the resampled means."""
+    return beaten(resampled(systems, iterations, seed, value), better, worse, "precision")
+
+
+def _draws(sentence: np.ndarray, iterations: int, seed: int) -> np.ndarray:
+    """The copies of ``_copies`` for many sentences at once: (sentences, iterations)."""
+    prime = 2147483647
+    shift = (np.arange(1, iterations + 1, dtype=np.int64) * 69621 + seed * 16807) % prime
+    mixed = ((sentence.astype(np.int64) % prime + 1)[:, None] * 48271 + shift) % prime
+    u = mixed * 40692 % prime * 16807 % prime / float(prime)
+    return sum((u >= s).astype(np.int64) for s in POISSON)
+
+
+#: Rows whose copies in all iterations are held at a time.
+BLOCK = 1024
+
+
 def resampled_auc(systems: DataFrame, conf: str, ties: list[str], iterations: int = 1000, seed: int = 1) -> DataFrame:
     """The metric version: (iteration, system, auc), the area under each resampled precision-yield curve. A row drawn k
-    times stands k times in a row in order of confidence."""
-    drawn = systems.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("copies", _copies(F.col("sentence").cast("long"), F.col("iteration").cast("long"), seed))
-    rows = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).where("copies > 0")
-    points = precision_yield(rows, conf, F.col("correct"), [*ties, "copy"], ["iteration", "system"])
-    after = points.select("iteration", "system", (F.col("yield") - 1).alias("yield"), F.col("precision").alias("next"))
-    areas = points.join(after, ["iteration", "system", "yield"]).groupBy("iteration", "system").agg(F.sum((F.col("precision") + F.col("next")) / 2).alias("auc"))
-    return drawn.select("iteration", "system").distinct().join(areas, ["iteration", "system"], "left").fillna(0.0, ["auc"])
+    times stands k times in a row in order of confidence; a curve without a point has no area.
+
+    Rows are shuffled once, by ranges of (system, confidence, ties), whatever the number of iterations. A range adds up one
+    vector of copies and one of correct copies, an entry an iteration; sums of the vectors over the ranges before give
+    every range its place in all curves, and a second pass adds up the precisions of its points for all iterations
+    together. Both passes hold BLOCK rows at a time. A row without a verdict (null) is left out; the sentence is a number.
+    """
+    parts = int(systems.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"tie{i}" for i in range(len(ties))]
+    rows = systems.where("correct IS NOT NULL").select("system", F.col(conf).alias("conf"), *[F.col(t).alias(n) for t, n in zip(ties, names, strict=True)], F.col("sentence").cast("long").alias("sentence"), F.col("correct").cast("boolean").alias("hit"))
+    order = ["system", F.desc("conf"), *names]
+    rows = keep(rows.repartitionByRange(parts, *order).withColumn("cell", F.spark_partition_id()), "drawn-ranges")
+    kind = rows.schema["system"].dataType.simpleString()
+
+    def columns(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        return dict(zip(batch.schema.names, batch.columns, strict=True))
+
+    def blocks(c: dict[str, pa.Array], at: int, to: int):
+        """(copies, correct copies) of rows at..to, a block at a time."""
+        for i in range(at, to, BLOCK):
+            n = min(BLOCK, to - i)
+            copies = _draws(c["sentence"].slice(i, n).to_numpy(zero_copy_only=False), iterations, seed)
+            yield copies, copies * c["hit"].slice(i, n).to_numpy(zero_copy_only=False).astype(np.int64)[:, None]
+
+    def stretches(c: dict[str, pa.Array]) -> list[tuple[tuple, int, int]]:
+        keys = list(zip(c["system"].to_pylist(), c["cell"].to_pylist(), strict=True))
+        edges = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]] + [len(keys)]
+        return [(keys[i], i, j) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+
+    def tally(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            c = columns(batch)
+            for own, at, to in stretches(c):
+                both = sums.setdefault(own, np.zeros((2, iterations), np.int64))
+                for copies, hits in blocks(c, at, to):
+                    both += np.stack([copies.sum(0), hits.sum(0)])
+        if sums:
+            yield pa.RecordBatch.from_pydict({"system": [k[0] for k in sums], "cell": pa.array([k[1] for k in sums], pa.int32()), "n": [x[0] for x in sums.values()], "y": [x[1] for x in sums.values()]})
+
+    sums = rows.select("system", "cell", "sentence", "hit").mapInArrow(tally, f"system {kind}, cell int, n array<bigint>, y array<bigint>")
+    sums = sums.select("system", "cell", F.posexplode(F.arrays_zip("n", "y")).alias("iteration", "x")).groupBy("system", "cell", "iteration").agg(F.sum("x.n").alias("n"), F.sum("x.y").alias("y"))
+    before = Window.partitionBy("system", "iteration").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select("system", "cell", F.struct("iteration", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("y").over(before), F.lit(0)).alias("y")).alias("x"))
+    ahead = ahead.groupBy("system", "cell").agg(F.sort_array(F.collect_list("x")).alias("x")).select("system", "cell", F.lit(0).alias("turn"), F.transform("x", lambda x: x["n"]).alias("n"), F.transform("x", lambda x: x["y"]).alias("y"))
+
+    def walk(batches):
+        own, seen, done, total, first, last = None, None, None, None, None, None
+
+        def points():
+            value = lambda x: pa.array([x], pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([pa.array([own[0]]), pa.array([own[1]], pa.int32()), value(total), value(first), value(last)], ["system", "cell", "total", "first", "last"])
+
+        for batch in batches:
+            c = columns(batch)
+            turn = c["turn"].to_numpy(zero_copy_only=False)
+            for key, at, to in stretches(c):
+                if turn[at] == 0:  # a range begins with the sums of those before it
+                    if own is not None:
+                        yield points()
+                    own, seen, done = key, np.array(c["n"][at].as_py(), np.int64), np.array(c["y"][at].as_py(), np.int64)
+                    total, first, last = np.zeros(iterations), np.full(iterations, np.nan), np.full(iterations, np.nan)
+                    at += 1
+                for copies, hits in blocks(c, at, to):
+                    n, y = seen + np.cumsum(copies, 0) - copies, done + np.cumsum(hits, 0) - hits
+                    for j in range(1, int(hits.max(initial=0)) + 1):
+                        total += np.where(hits >= j, (y + j) / (n + j), 0.0).sum(0)
+                    drawn = hits > 0
+                    some = np.flatnonzero(drawn.any(0))
+                    head, tail = drawn.argmax(0)[some], len(drawn) - 1 - drawn[::-1].argmax(0)[some]
+                    first[some] = np.where(np.isnan(first[some]), (y[head, some] + 1) / (n[head, some] + 1), first[some])
+                    k = hits[tail, some]
+                    last[some] = (y[tail, some] + k) / (n[tail, some] + k)
+                    seen, done = seen + copies.sum(0), done + hits.sum(0)
+        if own is not None:
+            yield points()
+
+    marked = rows.withColumn("turn", F.lit(1)).unionByName(ahead, allowMissingColumns=True)
+    walked = marked.repartition(parts, "cell").sortWithinPartitions("system", "cell", "turn", F.desc("conf"), *names).mapInArrow(walk, f"system {kind}, cell int, total array<double>, first array<double>, last array<double>")
+    each = walked.select("system", "cell", F.posexplode(F.arrays_zip("total", "first", "last")).alias("iteration", "x")).select("system", "cell", "iteration", "x.*")
+    known = lambda c, by: by(c, F.when(~F.isnan(c), F.col("cell")))
+    ends = (known("first", F.min_by) + known("last", F.max_by)) / 2
+    return each.groupBy("iteration", "system").agg(F.coalesce(F.sum("total") - F.nanvl(ends, F.lit(None)), F.lit(0.0)).alias("auc"))
 
 
 def folds(rows: DataFrame, key: str, n: int = 10) -> DataFrame:
@@ -216,15 +314,56 @@ def annotate(gold: DataFrame, marks: DataFrame) -> DataFrame:
     return kept.select("extraction", F.when(F.col("mark").isNull(), F.col("correct")).otherwise(F.col("mark") == "=").alias("correct"))
 
 
+#: Newton steps of a fit, and the weight of the squared coefficients for each row.
+STEPS, RIDGE = 8, 0.01
+
+
+def fit_folds(rows: DataFrame, names: list[str], label: str = "label", fold: str | None = None, n: int = 1, steps: int = STEPS, ridge: float = RIDGE) -> list[dict[str, float]]:
+    """Logistic regression, for each of n folds on the rows outside it: weights by name, with Intercept. Without ``fold`` one
+    fit on all rows; a row without a fold (null) trains them all.
+
+    A fixed number of Newton steps, each one scan that adds up the gradients and Hessians of all folds together: what a
+    task sends is n vectors and matrices of the features' number, whatever its rows. ``ridge`` keeps separable rows finite.
+    Rows without a label or with a null feature are left out.
+    """
+    d = len(names) + 1
+    used = rows.select(F.col(label).cast("double").alias("y"), (F.col(fold) if fold else F.lit(-1)).cast("int").alias("fold"), *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    used = used.na.drop(subset=["y", *[f"x{i}" for i in range(d - 1)]])
+    w = np.zeros((n, d))
+    for _ in range(steps):
+        now = w
+
+        def add(batches, now=now):
+            total = np.zeros((n, d * d + d + 1))
+            for batch in batches:
+                y, own = batch.column(0).to_numpy(zero_copy_only=False), np.nan_to_num(batch.column(1).to_numpy(zero_copy_only=False), nan=-1)
+                x = np.column_stack([np.ones(batch.num_rows), *(c.to_numpy(zero_copy_only=False) for c in batch.columns[2:])])
+                p = 1 / (1 + np.exp(-(x @ now.T)))
+                for k in range(n):
+                    at = own != k
+                    here, q = x[at], p[at, k]
+                    total[k, : d * d] += (here.T @ (here * (q * (1 - q))[:, None])).reshape(-1)
+                    total[k, d * d : -1] += here.T @ (y[at] - q)
+                    total[k, -1] += at.sum()
+            yield pa.RecordBatch.from_pydict({"k": pa.array(np.repeat(np.arange(n), total.shape[1]), pa.int32()), "i": pa.array(np.tile(np.arange(total.shape[1]), n), pa.int32()), "v": total.reshape(-1)})
+
+        sums = used.mapInArrow(add, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()  # n x (features + 1)^2
+        total = np.zeros((n, d * d + d + 1))
+        for r in sums:
+            total[r["k"], r["i"]] = r["v"]
+        keepers = np.diag([0.0] + [1.0] * (d - 1)) * ridge
+        w = now.copy()
+        for k in range(n):
+            count = total[k, -1]
+            if count:
+                hessian, gradient = total[k, : d * d].reshape(d, d) / count + keepers, total[k, d * d : -1] / count - keepers @ now[k]
+                w[k] = now[k] + np.linalg.lstsq(hessian, gradient, rcond=None)[0]
+    return [{"Intercept": float(x[0])} | dict(zip(names, map(float, x[1:]), strict=True)) for x in w]
+
+
 def train(rows: DataFrame, names: list[str], label: str = "label") -> dict[str, float]:
     """Logistic regression on columns ``names``: weights by name, with Intercept."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    safe = {c: f"f{i}" for i, c in enumerate(names)}
-    df = rows.select(F.col(label).cast("double").alias("label"), *[F.col(f"`{c}`").cast("double").alias(safe[c]) for c in names])
-    model = LogisticRegression(regParam=0.01, maxIter=50).fit(VectorAssembler(inputCols=list(safe.values()), outputCol="features").transform(df))
-    return {"Intercept": float(model.intercept)} | dict(zip(names, map(float, model.coefficients), strict=True))
+    return fit_folds(rows, names, label)[0]
 
 
 def logistic(weights: dict[str, float]) -> Column:
@@ -235,17 +374,24 @@ def logistic(weights: dict[str, float]) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def cross_validate(rows: DataFrame, names: list[str], key: str, label: str = "label", n: int = 10) -> list[dict[str, float]]:
-    """Of each fold, trained on the others: accuracy at 0.5 and the area under precision over yield; a last row has the means."""
-    out, all_rows = [], folds(rows, key, n)
-    for k in range(n):
-        tested = all_rows.where(F.col("fold") == k).withColumn("confidence", logistic(train(all_rows.where(F.col("fold") != k), names, label)))
-        hit = ((F.col("confidence") >= 0.5) == (F.col(label).cast("int") == 1)).cast("int")
-        curve = precision_yield(tested.select("confidence", F.col(label).cast("int").alias("hit"), F.col(key).alias("key")), "confidence", F.col("hit") == 1, ["key"])
-        out.append({"fold": k, "accuracy": tested.agg(F.avg(hit).alias("a")).first()["a"], "auc": area(curve).first()["auc"]})
-    known = [x for x in out if x["accuracy"] is not None]
-    mean = lambda c: sum(x[c] for x in known) / max(1, len(known))
-    return [*out, {"fold": -1, "accuracy": mean("accuracy"), "auc": mean("auc")}]
+def cross_validate(rows: DataFrame, names: list[str], key: str, label: str = "label", n: int = 10, steps: int = STEPS) -> DataFrame:
+    """(fold, accuracy, auc): of each fixed window in order of the key, with weights trained on all other rows, the accuracy at
+    0.5 and the area under precision over yield; fold -1 has the means of the windows. Rows that are left over behind the
+    last window train every fold and test none.
+
+    All folds are trained together (``fit_folds``), and all are tested in one pass, each row with its own fold's weights.
+    """
+    dealt = keep(fixed_windows(rows.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), *[F.col(f"`{c}`").cast("double").alias(c) for c in names]), ["key"], n), "folds")
+    weights = fit_folds(dealt, names, "label", "fold", n, steps)
+    odds = F.lit(None).cast("double")
+    for k, w in enumerate(weights):
+        odds = F.when(F.col("fold") == k, logistic(w)).otherwise(odds)
+    tested = keep(dealt.where("fold IS NOT NULL").select("fold", "key", F.col("label").alias("hit"), odds.alias("confidence")), "tested")
+    right = ((F.col("confidence") >= 0.5) == (F.col("hit") == 1)).cast("int")
+    curves = precision_yield(tested, "confidence", F.col("hit") == 1, ["key"], ["fold"])
+    each = tested.groupBy("fold").agg(F.avg(right).alias("accuracy")).join(area(curves, ["fold"]), "fold", "left")
+    each = each.select("fold", "accuracy", F.coalesce("auc", F.lit(0.0)).alias("auc"))
+    return each.unionByName(each.agg(F.lit(-1).alias("fold"), F.avg("accuracy").alias("accuracy"), F.avg("auc").alias("auc")))
 
 
 def train_from_instances(labelled: DataFrame, names: list[str] | None = None) -> dict[str, float]:

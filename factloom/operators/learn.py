@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import graph as G
+from ..functions.batch import Batch
 from ..functions.columns import proper
-from ..functions.induction import induce, prepare
+from ..functions.induction import Facts, induce
+from ..functions.native import parse_graph
+from .extract import CHUNK
 
 #: Argument lemmas that say nothing, tags of arguments, and words that negate.
 EMPTY_ARGUMENTS = ("inc", "ltd", "page", "vehicle", "turn", "site", "photo", "image", "gallery")
@@ -59,21 +62,32 @@ def seeds(targets: DataFrame, least_seed: int = 1, least_rel: int = 15) -> DataF
 
 
 def build_patterns(rows: DataFrame, longest: int | None = None) -> DataFrame:
-    """(rel, arg1, arg2, lemmas, text, deps) -> the same with a pattern, one row each. Sentences without a verb and graphs that can't be read are skipped."""
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                try:
-                    g = G.parse(r.deps)
-                    if any(n.postag.upper().startswith("VB") for n in g.nodes):
-                        out += [(r.rel, r.arg1, r.arg2, r.lemmas, str(p), r.text, r.deps) for p in induce(prepare(g), r.rel, r.arg1, r.arg2, r.lemmas, longest) if p.valid]
-                except (ValueError, AttributeError):
-                    continue
-            yield pd.DataFrame(out, columns=["rel", "arg1", "arg2", "lemmas", "pattern", "text", "deps"])
-
-    return rows.select("rel", "arg1", "arg2", "lemmas", "text", "deps").mapInPandas(run, "rel string, arg1 string, arg2 string, lemmas string, pattern string, text string, deps string")
+    """(rel, arg1, arg2, lemmas, text, deps) -> the same with a pattern, one row each.
+
+    Graphs are read by column expressions; the facts of an Arrow batch are matched to their sentences and all paths between
+    their words found together. Sentences without a verb, graphs that can't be read and rows with a null give nothing;
+    repeated rows give their patterns each.
+    """
+    names = ["rel", "arg1", "arg2", "lemmas", "text", "deps"]
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    graph = rows.select(*names, parse_graph("deps").alias("graph")).where("graph IS NOT NULL AND rel IS NOT NULL AND arg1 IS NOT NULL AND arg2 IS NOT NULL AND lemmas IS NOT NULL")
+    graph = graph.where(F.exists("graph.tokens", lambda t: F.upper(t["postag"]).startswith("VB")))
+    others = F.array_except(words("lemmas"), F.concat(words("arg1"), words("arg2")))
+    graph = graph.select(*names, F.col("graph.tokens").alias("tokens"), F.col("graph.deps").alias("edges"), words("rel").alias("rels"), others.alias("others"))
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(at, CHUNK)
+                own = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
+                facts = Facts(own("arg1").to_pylist(), own("arg2").to_pylist(), own("rels").to_pylist(), own("others").to_pylist())
+                row, patterns = induce(Batch.of_arrow(own("tokens"), own("edges")), facts, longest)
+                good = [i for i, p in enumerate(patterns) if p.valid]
+                take = pa.array(row[good])
+                yield pa.RecordBatch.from_arrays([*(own(n).take(take) for n in names), pa.array([str(patterns[i]) for i in good], pa.string())], [*names, "pattern"])
+
+    found = graph.mapInArrow(run, "rel string, arg1 string, arg2 string, lemmas string, text string, deps string, pattern string")
+    return found.select("rel", "arg1", "arg2", "lemmas", "pattern", "text", "deps")
 
 
 def template_of(rel: Column) -> Column:

@@ -364,11 +364,69 @@ def significance(spark, sf_dir):
     return V.significance(two_systems(spark, sf_dir), "a", "b")
 
 
-@query("confidence_training")
+CURVES_SQL = f"""WITH {SCORED_SQL}, y AS (SELECT doc_id, 'a' AS system, confidence AS conf, score FROM s UNION ALL SELECT doc_id, 'b', doc_id * 37 % 101 / 101, score FROM s),
+m AS (SELECT y.*, i, ((doc_id % {_PRIME} + 1) * 48271 + ((i + 1) * 69621 + 16807) % {_PRIME}) % {_PRIME} AS h FROM y, range(200) r(i)),
+u AS (SELECT *, ((h * 40692) % {_PRIME} * 16807) % {_PRIME} / {_PRIME}::DOUBLE AS u FROM m),
+d AS (SELECT *, unnest(range({" + ".join(f"(u >= {p!r})::INT" for p in V.POISSON)})) AS copy FROM u),
+w AS (SELECT i, system, score, row_number() OVER o AS seen, sum(score::INT) OVER (PARTITION BY i, system ORDER BY conf DESC, doc_id, copy ROWS UNBOUNDED PRECEDING) AS y FROM d WINDOW o AS (PARTITION BY i, system ORDER BY conf DESC, doc_id, copy)),
+p AS (SELECT i, system, y, y / seen AS precision, lead(y / seen) OVER (PARTITION BY i, system ORDER BY y) AS after FROM w WHERE score),
+c AS (SELECT i AS iteration, system, coalesce(sum((precision + after) / 2), 0) AS auc FROM p GROUP BY ALL)"""
+
+
+def two_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same verdicts in two orders of confidence."""
+    s = scored(spark, sf_dir).select(F.col("doc_id").alias("sentence"), F.col("score").alias("correct"), "confidence")
+    both = F.array(F.struct(F.lit("a").alias("system"), F.col("confidence").alias("conf")), F.struct(F.lit("b").alias("system"), (F.col("sentence") * 37 % 101 / 101).alias("conf")))
+    return s.select("sentence", "correct", F.inline(both))
+
+
+@query("resampled_curves", f"{CURVES_SQL} SELECT CAST(iteration AS INTEGER) AS iteration, system, round(auc, 6) AS auc FROM c")
+def resampled_curves(spark, sf_dir):
+    """The area under the curve of each system in each of two hundred resamplings."""
+    return V.resampled_auc(two_orders(spark, sf_dir), "conf", ["sentence"], 200).select("iteration", "system", F.round("auc", 6).alias("auc"))
+
+
+@query("curve_significance", f"""{CURVES_SQL}, q AS (SELECT iteration, max(auc) FILTER (system = 'a') AS a, max(auc) FILTER (system = 'b') AS b FROM c GROUP BY iteration)
+ SELECT count(*) AS iterations, CAST(count(*) FILTER (NOT a > b) AS BIGINT) AS lost, count(*) FILTER (NOT a > b) / count(*) AS p_value FROM q""")
+def curve_significance(spark, sf_dir):
+    return V.beaten(V.resampled_auc(two_orders(spark, sf_dir), "conf", ["sentence"], 200), "a", "b", "auc")
+
+
+#: Steps of the fit in the query below and its SQL.
+_STEPS = 5
+
+
+def _newton_sql() -> str:
+    """Newton steps for three weights (one, noise, size) of ten folds at once; each step solves by Cramer's rule."""
+    x = ("1", "noise", "size")
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    out = ["w0 AS (SELECT unnest(range(10)) AS k, 0::DOUBLE AS b0, 0::DOUBLE AS b1, 0::DOUBLE AS b2)"]
+    for t in range(_STEPS):
+        sums = ", ".join([*(f"sum({x[i]} * {x[j]} * q * (1 - q)) / count(*) + {V.RIDGE if i == j and i else 0} AS h{i}{j}" for i, j in pairs), *(f"sum({x[i]} * (label - q)) / count(*) - {V.RIDGE if i else 0} * any_value(b{i}) AS g{i}" for i in range(3))])
+        out.append(f"p{t} AS (SELECT k, b0, b1, b2, label, noise, size, 1 / (1 + exp(-(b0 + b1 * noise + b2 * size))) AS q FROM f JOIN w{t} ON fold IS DISTINCT FROM k)")
+        out.append(f"s{t} AS (SELECT k, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, {sums} FROM p{t} GROUP BY k)")
+        m = [["h00", "h01", "h02"], ["h01", "h11", "h12"], ["h02", "h12", "h22"]]
+        det = lambda a: f"({a[0][0]} * ({a[1][1]} * {a[2][2]} - {a[1][2]} * {a[2][1]}) - {a[0][1]} * ({a[1][0]} * {a[2][2]} - {a[1][2]} * {a[2][0]}) + {a[0][2]} * ({a[1][0]} * {a[2][1]} - {a[1][1]} * {a[2][0]}))"
+        solved = [f"b{c} + {det([[f'g{r}' if i == c else m[r][i] for i in range(3)] for r in range(3)])} / {det(m)} AS b{c}" for c in range(3)]
+        out.append(f"w{t + 1} AS (SELECT k, {', '.join(solved)} FROM s{t})")
+    return ", ".join(out)
+
+
+@query("confidence_training", rf"""WITH r AS (SELECT doc_id, quality AS label, coalesce(len(regexp_replace(text, '[^#|!$%&]', '', 'g')) / len(text), 0) AS noise, ln(n_chars) / 10 AS size, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents JOIN labels USING (doc_id)),
+ f AS (SELECT *, CASE WHEN place // (SELECT count(*) // 10 FROM r) < 10 THEN place // (SELECT count(*) // 10 FROM r) END AS fold FROM r), {_newton_sql()},
+ t AS (SELECT fold, doc_id, label, 1 / (1 + exp(-(b0 + b1 * noise + b2 * size))) AS c FROM f JOIN w{_STEPS} ON fold = k),
+ y AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY c DESC, doc_id) AS seen, sum(label) OVER (PARTITION BY fold ORDER BY c DESC, doc_id ROWS UNBOUNDED PRECEDING) AS y FROM t),
+ p AS (SELECT fold, y / seen AS precision, lead(y / seen) OVER (PARTITION BY fold ORDER BY y) AS after FROM y WHERE label = 1),
+ a AS (SELECT fold, avg(((c >= 0.5) = (label = 1))::INT) AS accuracy FROM t GROUP BY fold), u AS (SELECT fold, coalesce(sum((precision + after) / 2), 0) AS auc FROM p GROUP BY fold),
+ e AS (SELECT CAST(fold AS INTEGER) AS fold, accuracy, coalesce(auc, 0) AS auc FROM a LEFT JOIN u USING (fold))
+ SELECT fold, round(accuracy, 6) AS accuracy, round(auc, 6) AS auc FROM e UNION ALL SELECT -1, round(avg(accuracy), 6), round(avg(auc), 6) FROM e""")
 def confidence_training(spark, sf_dir):
+    """Ten fixed windows of the labelled documents, each tested with weights that the others give."""
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
-    rows = d.select("doc_id", (F.col("quality") == 1).cast("int").alias("label"), (F.length(F.regexp_replace("text", "[^#|!$%&]", "")) / F.length("text")).alias("noise"), F.log("n_chars").alias("size"))
-    return spark.createDataFrame(V.cross_validate(rows, ["noise", "size"], "doc_id"), "fold int, accuracy double, auc double")
+    noise = F.coalesce(F.length(F.regexp_replace("text", "[^#|!$%&]", "")) / F.nullif(F.length("text"), F.lit(0)), F.lit(0.0))
+    rows = d.select("doc_id", F.col("quality").alias("label"), noise.alias("noise"), (F.log("n_chars") / 10).alias("size"))
+    out = V.cross_validate(rows, ["noise", "size"], "doc_id", steps=_STEPS)
+    return out.select("fold", F.round("accuracy", 6).alias("accuracy"), F.round("auc", 6).alias("auc"))
 
 
 @query("top_extractions", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")

@@ -1,13 +1,15 @@
 """The extraction engine on small parsed sentences: codec, patterns, extractors, voice, induction, features, sinks."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import extraction as X
 from factloom.functions import graph as G
-from factloom.functions import induction as I
 from factloom.functions.batch import Batch, Pairs
+from factloom.functions import induction as I
 from factloom.functions.features import confidence, features
 from factloom.functions.native import parse_graph
 from factloom.functions.patterns import find, parse_pattern
@@ -19,6 +21,8 @@ from factloom.plans.queries import SENTENCES
 from factloom.sources import readers as R
 from factloom.sources import writers as W
 
+from . import plain_induction
+
 SPLIT = "(into_IN_8_0), (,_,_2_0), amod(year_NN_1_0, Last_JJ_0_0); tmod(split_VBN_7_0, year_NN_1_0); det(authority_NN_5_0, the_DT_3_0); nn(authority_NN_5_0, Harbour_NNP_4_0); nsubjpass(split_VBN_7_0, authority_NN_5_0); auxpass(split_VBN_7_0, was_VBD_6_0); num(offices_NNS_11_0, three_CD_9_0); amod(offices_NNS_11_0, regional_JJ_10_0); prep_into(split_VBN_7_0, offices_NNS_11_0)"
 CAPTAIN = "(,_,_2_0), (of_IN_4_0), (,_,_8_0), (._._11_0), nn(Rask_NNP_1_0, Ida_NNP_0_0); appos(Rask_NNP_1_0, captain_NN_3_0); prep_of(captain_NN_3_0, team_NN_7_0); det(team_NN_7_0, the_DT_5_0); amod(team_NN_7_0, blue_JJ_6_0); nsubj(scored_VBD_9_0, Rask_NNP_1_0); advmod(scored_VBD_9_0, twice_RB_10_0)"
 CORK = "(,_,_1_0), (in_IN_6_0), (,_,_8_0), appos(Cork_NNP_0_0, bark_NN_4_0); det(bark_NN_4_0, a_DT_2_0); amod(bark_NN_4_0, light_JJ_3_0); partmod(bark_NN_4_0, grown_VBN_5_0); prep_in(grown_VBN_5_0, Portugal_NNP_7_0); nsubj(floats_VBZ_9_0, Cork_NNP_0_0)"
@@ -129,7 +133,63 @@ def test_voice():
     (MUSEUM, ("hold collection of", "wing", "amber", "wing hold collection amber"), 3, []),
 ])
 def test_induction(graph, fact, longest, want):
-    assert [str(p) for p in I.induce(I.prepare(G.parse(graph)), *fact, longest)] == want
+    assert [p for _, p in induced([graph], [fact], longest)] == want
+
+
+def induced(graphs, facts, longest=None):
+    """(number of the graph, pattern) for facts (rel, arg1, arg2, lemmas)."""
+    others = [[w for w in dict.fromkeys(lemmas.split()) if w not in {*a.split(), *b.split()}] for _, a, b, lemmas in facts]
+    row, patterns = I.induce(Batch.of([G.parse(g) for g in graphs]), I.Facts([f[1] for f in facts], [f[2] for f in facts], [f[0].split() for f in facts], others), longest)
+    return sorted((int(i), str(p)) for i, p in zip(row, patterns, strict=True))
+
+
+def random_facts(seed, n=700):
+    """Graphs with cycles, several governors, names and noun groups, and facts of their words."""
+    rng = random.Random(seed)
+    words, tags = ["ship", "order", "port", "big", "bigship", "anna", "bell", "of", "key"], ["NN", "NNP", "VB", "JJ", "NNS", "IN"]
+    labels = ["nsubj", "dobj", "prep_of", "prep", "pobj", "nn", "nn", "amod", "punct", "dep", "conj_and"]
+    graphs, facts = [], []
+    while len(graphs) < n:
+        size = rng.randint(3, 9)
+        nodes = [f"{rng.choice(words)}_{rng.choice(tags)}_{i}_0" for i in range(size)]
+        edges = {}
+        for i in range(1, size):
+            j = rng.randrange(i) if rng.random() < 0.5 else rng.randrange(size)
+            if i != j:
+                edges[nodes[j], nodes[i]] = rng.choice(labels)
+        for _ in range(rng.randint(0, 3)):
+            edges[tuple(rng.sample(nodes, 2))] = rng.choice(labels)
+        for i in range(size - 1):
+            if rng.random() < 0.25:
+                edges[nodes[i + 1], nodes[i]] = "nn"
+        if not edges:
+            continue
+        used = {x for pair in edges for x in pair}
+        graph = "".join(f"({x}), " for x in nodes if x not in used) + "; ".join(f"{x}({a}, {b})" for (a, b), x in edges.items())
+        own = [x.text for x in plain_induction.prepare(G.parse(graph)).vertices] or ["x"]
+        pick = lambda own=own: rng.choice(own) if rng.random() < 0.85 else " ".join(rng.choice(words) for _ in range(2))
+        a, b, rel = pick(), pick(), " ".join(pick() for _ in range(rng.choice([1, 1, 2])))
+        graphs.append(graph)
+        facts.append((rel, a, b, f"{a} {rel} {b}" if rng.random() < 0.7 else f"{a} {rel}"))
+    return graphs, facts
+
+
+@pytest.mark.parametrize("longest", [None, 3, 4])
+def test_batches_induce_what_sentences_do(longest):
+    graphs, facts = random_facts(1)
+    want = sorted((i, str(p)) for i, (g, f) in enumerate(zip(graphs, facts, strict=True)) for p in plain_induction.induce(plain_induction.prepare(G.parse(g)), *f, longest))
+    assert induced(graphs, facts, longest) == want and len(want) > 20
+    assert induced([], []) == []
+
+
+def test_patterns_of_a_table_of_facts(spark):
+    graphs, facts = random_facts(2, 300)
+    odd = [("r", None, "b", "r b", "t", graphs[0]), ("r", "a", "b", "a r b", "t", "no graph"), ("r", "a", "b", "a r b", None, None)]
+    rows = [(*f, str(i), g) for i, (f, g) in enumerate(zip(facts, graphs, strict=True))]
+    table = spark.createDataFrame([*rows, *rows[:50], *odd], "rel string, arg1 string, arg2 string, lemmas string, text string, deps string")
+    got = sorted((r.text, r.pattern) for r in L.build_patterns(table).collect())
+    want = [(str(i), str(p)) for i, (g, f) in enumerate(zip(graphs, facts, strict=True)) if "_VB_" in g for p in plain_induction.induce(plain_induction.prepare(G.parse(g)), *f) if p.valid]
+    assert got == sorted(want + [x for x in want if int(x[0]) < 50]) and got
 
 
 def test_extract(spark):
@@ -200,8 +260,8 @@ def test_closure_and_induction_have_no_depth_limit(spark):
     got = {(r.node, r.depth) for r in M.inferiors(edges, spark.createDataFrame([(1, 0)], "sent int, start int")).collect()}
     assert got == {(i, i) for i in range(101)}
     chain = "; ".join([f"nsubj(v{0}_VB_1_0, a_NN_0_0)"] + [f"xcomp(v{i}_VB_{i + 1}_0, v{i + 1}_VB_{i + 2}_0)" for i in range(5)] + ["dobj(v5_VB_6_0, b_NN_7_0)"])
-    found = I.induce(G.parse(chain), "v0 v1 v2 v3 v4 v5", "a", "b", "a v0 v5 b")
-    assert [len(p.edges) for p in found] == [7]
+    found = induced([chain], [("v0 v1 v2 v3 v4 v5", "a", "b", "a v0 v5 b")])
+    assert [len(parse_pattern(p).edges) for _, p in found] == [7]
 
 
 def test_resampled_scores(spark):
@@ -232,8 +292,6 @@ def test_joins_find_what_the_matcher_finds(spark):
 
 def random_corpus(spark, seed=3, sentences=25):
     """Graphs of few labels in which nodes have several governors, and their tables."""
-    import random
-
     rng = random.Random(seed)
     labels, tags, words = ["nsubj", "dobj", "prep_of", "prep_in", "amod"], ["NN", "VB", "JJ"], ["ship", "order", "port", "big"]
     graphs = {}
@@ -248,8 +306,6 @@ def random_corpus(spark, seed=3, sentences=25):
 
 
 def random_patterns(seed=4, n=120):
-    import random
-
     rng = random.Random(seed)
     node = lambda alias: "{" + alias + rng.choice(["", "", ":postag=NN", ":postag=VB", ":regex=ship|port", ":postag=NN:regex=or.*"]) + "}"
     edge = lambda: rng.choice([">{}>", "<{}<"]).format(rng.choice(["nsubj", "dobj", "amod", "{x:regex=prep_(.*)}", "{y:regex=.*ob.*}", "{z:regex=nothing}", "absent"]))
@@ -305,8 +361,6 @@ def test_no_nested_loops_and_shared_prefixes(spark):
 
 def test_suggestions_by_stretches(spark):
     """Equal to all pairs, from far fewer candidates than all pairs of similar length."""
-    import random
-
     def distance(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
