@@ -1,16 +1,24 @@
 """Queries of the extraction engine over sentences made from the orders, and their SQL.
 
-Every order gives a parsed sentence of one of four forms, with its own names in it, so all sentences differ:
+Every order gives a parsed sentence of one of ten forms, with its own names in it, so all sentences differ:
 
 0. ``Cust7 ships a big order12 .``                    (subject, verb, object)
 1. ``order12 was sent by Cust7``                      (passive with agent)
 2. ``Clerk3 says that order12 is the gift of Cust7``  (predicate noun, attributed)
 3. ``Cust7 travels with Clerk3 to Port5``             (two prepositions)
+4. ``If Port5 opens early , Cust7 and Clerk3 load three heavy crates .``  (condition, joined subjects, plural)
+5. ``Clerk3 sent Cust7 crates that leak``             (indirect object, relative clause)
+6. ``Clerk3 can repair two old cranes of Port5 with Cust7``  (modal, prepositions as tokens)
+7. ``order12 rarely seen in Port5``                   (participle without an auxiliary)
+8. ``order12 can soon be taken by Cust7``             (passive behind a modal)
+9. ``Cust7 , owner of a ship built in Port5 , wants to sell order12 .``  (apposition, participle clause, open complement)
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import native as N
@@ -22,19 +30,26 @@ from ..sources import readers as R
 from ..sources import writers as W
 from .queries import query, read
 
-#: The four forms: %c customer, %o order, %k clerk, %p priority.
+#: The forms: %c customer, %o order, %k clerk, %p priority.
 FORMS = (
     "(._._5_0), nsubj(ships_VBZ_1_0, Cust%c_NNP_0_0); dobj(ships_VBZ_1_0, order%o_NN_4_0); det(order%o_NN_4_0, a_DT_2_0); amod(order%o_NN_4_0, big_JJ_3_0)",
     "(by_IN_3_0), nsubjpass(sent_VBN_2_0, order%o_NN_0_0); auxpass(sent_VBN_2_0, was_VBD_1_0); agent(sent_VBN_2_0, Cust%c_NNP_4_0)",
     "(that_IN_2_0), (of_IN_7_0), nsubj(says_VBZ_1_0, Clerk%k_NNP_0_0); ccomp(says_VBZ_1_0, gift_NN_6_0); nsubj(gift_NN_6_0, order%o_NN_3_0); cop(gift_NN_6_0, is_VBZ_4_0); det(gift_NN_6_0, the_DT_5_0); prep_of(gift_NN_6_0, Cust%c_NNP_8_0)",
     "(with_IN_2_0), (to_TO_4_0), nsubj(travels_VBZ_1_0, Cust%c_NNP_0_0); prep_with(travels_VBZ_1_0, Clerk%k_NNP_3_0); prep_to(travels_VBZ_1_0, Port%p_NNP_5_0)",
+    "(,_,_4_0), (._._12_0), advcl(load_VBP_8_0, opens_VBZ_2_0); mark(opens_VBZ_2_0, If_IN_0_0); nsubj(opens_VBZ_2_0, Port%p_NNP_1_0); advmod(opens_VBZ_2_0, early_RB_3_0); nsubj(load_VBP_8_0, Cust%c_NNP_5_0); cc(Cust%c_NNP_5_0, and_CC_6_0); conj_and(Cust%c_NNP_5_0, Clerk%k_NNP_7_0); dobj(load_VBP_8_0, crates_NNS_11_0); num(crates_NNS_11_0, three_CD_9_0); amod(crates_NNS_11_0, heavy_JJ_10_0)",
+    "nsubj(sent_VBD_1_0, Clerk%k_NNP_0_0); iobj(sent_VBD_1_0, Cust%c_NNP_2_0); dobj(sent_VBD_1_0, crates_NNS_3_0); rcmod(crates_NNS_3_0, leak_VBP_5_0); nsubj(leak_VBP_5_0, that_WDT_4_0)",
+    "nsubj(repair_VB_2_0, Clerk%k_NNP_0_0); aux(repair_VB_2_0, can_MD_1_0); dobj(repair_VB_2_0, cranes_NNS_5_0); num(cranes_NNS_5_0, two_CD_3_0); amod(cranes_NNS_5_0, old_JJ_4_0); prep(cranes_NNS_5_0, of_IN_6_0); pobj(of_IN_6_0, Port%p_NNP_7_0); prep(repair_VB_2_0, with_IN_8_0); pobj(with_IN_8_0, Cust%c_NNP_9_0)",
+    "(in_IN_3_0), nsubjpass(seen_VBN_2_0, order%o_NN_0_0); advmod(seen_VBN_2_0, rarely_RB_1_0); prep_in(seen_VBN_2_0, Port%p_NNP_4_0)",
+    "(by_IN_5_0), nsubjpass(taken_VBN_4_0, order%o_NN_0_0); aux(taken_VBN_4_0, can_MD_1_0); advmod(taken_VBN_4_0, soon_RB_2_0); auxpass(taken_VBN_4_0, be_VB_3_0); agent(taken_VBN_4_0, Cust%c_NNP_6_0)",
+    "(,_,_1_0), (of_IN_3_0), (in_IN_7_0), (,_,_9_0), (._._14_0), appos(Cust%c_NNP_0_0, owner_NN_2_0); prep_of(owner_NN_2_0, ship_NN_5_0); det(ship_NN_5_0, a_DT_4_0); partmod(ship_NN_5_0, built_VBN_6_0); prep_in(built_VBN_6_0, Port%p_NNP_8_0); nsubj(wants_VBZ_10_0, Cust%c_NNP_0_0); xcomp(wants_VBZ_10_0, sell_VB_12_0); aux(sell_VB_12_0, to_TO_11_0); dobj(sell_VB_12_0, order%o_NN_13_0)",
 )
+N_FORMS = len(FORMS)
 NAMES = {"%c": "o_custkey", "%o": "o_orderkey", "%k": "o_orderkey % 97", "%p": "o_custkey % 7"}
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey, form, graph, text."""
-    rows = read(spark, sf_dir, "orders").withColumn("form", F.pmod("o_orderkey", F.lit(4)).cast("int"))
+    rows = read(spark, sf_dir, "orders").withColumn("form", F.pmod("o_orderkey", F.lit(N_FORMS)).cast("int"))
     graph = F.get(F.array(*map(F.lit, FORMS)), "form")
     for mark, value in NAMES.items():
         graph = F.replace(graph, F.lit(mark), F.expr(f"cast({value} as string)"))
@@ -42,14 +57,16 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_form(texts: tuple[str, ...]) -> str:
-    """The four texts by form, with names filled in."""
-    whole = "CASE o_orderkey % 4 " + " ".join(f"WHEN {i} THEN '" + t.replace("'", "''") + "'" for i, t in enumerate(texts)) + " END"
+    """The texts by form, with names filled in."""
+    whole = f"CASE o_orderkey % {N_FORMS} " + " ".join(f"WHEN {i} THEN '" + t.replace("'", "''") + "'" for i, t in enumerate(texts)) + " END"
     for mark, value in NAMES.items():
         whole = f"replace({whole}, '{mark}', ({value})::VARCHAR)"
     return whole
 
 
-TEXTS = ("Cust%c ships a big order%o .", "order%o was sent by Cust%c", "Clerk%k says that order%o is the gift of Cust%c", "Cust%c travels with Clerk%k to Port%p")
+TEXTS = ("Cust%c ships a big order%o .", "order%o was sent by Cust%c", "Clerk%k says that order%o is the gift of Cust%c", "Cust%c travels with Clerk%k to Port%p",
+         "If Port%p opens early , Cust%c and Clerk%k load three heavy crates .", "Clerk%k sent Cust%c crates that leak", "Clerk%k can repair two old cranes of Port%p with Cust%c", "order%o rarely seen in Port%p",
+         "order%o can soon be taken by Cust%c", "Cust%c , owner of a ship built in Port%p , wants to sell order%o .")
 #: What the seed model finds: (form, arg1, rel, arg2, notes, confidence of the pattern, pattern, template).
 FOUND = (
     (0, "Cust%c", "ships", "a big order%o", "", 1.0, "{arg1} <nsubj< {rel:postag=VBZ} >dobj> {arg2}", "{rel}"),
@@ -57,6 +74,13 @@ FOUND = (
     (2, "order%o", "is the gift of", "Cust%c", "[attrib=Clerk%k says]", 0.75, "{arg1} <nsubj< {rel:postag=NN} >{prep:regex=prep_(.*)}> {arg2}", "be {rel} {prep}"),
     (3, "Cust%c", "travels with", "Clerk%k", "", 0.83, "{arg1} <nsubj< {rel:postag=VBZ} >{prep:regex=prep_(.*)}> {arg2}", "{rel} {prep}"),
     (3, "Cust%c", "travels to", "Port%p", "", 0.83, "{arg1} <nsubj< {rel:postag=VBZ} >{prep:regex=prep_(.*)}> {arg2}", "{rel} {prep}"),
+    (4, "Cust%c and Clerk%k", "load", "three heavy crates", "[enabler=If Port%p opens early]", 0.98, "{arg1} <nsubj< {rel:postag=VBP} >dobj> {arg2}", "{rel}"),
+    (5, "Clerk%k", "sent Cust%c", "crates that leak", "", 1.0, "{arg1} <nsubj< {rel:postag=VBD} >dobj> {arg2}", "{rel}"),
+    (6, "Clerk%k", "can repair", "two old cranes of Port%p", "", 0.9, "{arg1} <nsubj< {rel:postag=VB} >dobj> {arg2}", "{rel}"),
+    (7, "order%o", "be rarely seen in", "Port%p", "", 0.8, "{arg1} <nsubjpass< {rel:postag=VBN} >{prep:regex=prep_(.*)}> {arg2}", "be {rel} {prep}"),
+    (8, "order%o", "can soon be taken by", "Cust%c", "", 0.8, "{arg1} <nsubjpass< {rel:postag=VBN} >agent> {arg2}", "be {rel} by"),
+    (9, "Cust%c", "be owner of", "a ship built in Port%p", "", 0.7, "{arg1} >appos> {rel:postag=NN} >{prep:regex=prep_(.*)}> {arg2}", "be {rel} {prep}"),
+    (9, "Cust%c", "wants to sell", "order%o", "", 0.6, "{arg1} <nsubj< {rel1} >xcomp> {rel2} >dobj> {arg2}", "{rel}"),
 )
 
 
@@ -69,13 +93,13 @@ def _named(text: str) -> str:
 
 
 FOUND_SQL = " UNION ALL ".join(
-    f"SELECT o_orderkey, {_named(a)} AS a1, {_named(r)} AS r, {_named(b)} AS a2, {_named(note)} AS note, {conf}::DOUBLE AS pattern_confidence, '{p}' AS pattern, '{t}' AS template, {_named(TEXTS[form])} AS text, {_named(FORMS[form])} AS graph FROM orders WHERE o_orderkey % 4 = {form}"
+    f"SELECT o_orderkey, {_named(a)} AS a1, {_named(r)} AS r, {_named(b)} AS a2, {_named(note)} AS note, {conf}::DOUBLE AS pattern_confidence, '{p}' AS pattern, '{t}' AS template, {_named(TEXTS[form])} AS text, {_named(FORMS[form])} AS graph FROM orders WHERE o_orderkey % {N_FORMS} = {form}"
     for form, a, r, b, note, conf, p, t in FOUND
 )
 FACTS_SQL = f"f AS ({FOUND_SQL})"
 #: The sum of weights of the features that each found fact has, by form; the text of an order's fact has one form.
 CONFIDENCE_SQL = "CASE " + " ".join(
-    f"WHEN o_orderkey % 4 = {form} AND r = '{r}' THEN {{{i}}}" for i, (form, _, r, *_) in enumerate(FOUND)
+    f"WHEN o_orderkey % {N_FORMS} = {form} AND r LIKE '{re.sub("%[ckop]", "%", r)}' THEN {{{i}}}" for i, (form, _, r, *_) in enumerate(FOUND)
 ) + " END"
 TRUE_FEATURES = (
     ("rel is contiguous", "rel contains verb", "arg1 is proper", "sentence starts with extraction", "sentence begins with arg1", "sentence ends with arg2", "rel bad characters", "prep mismatch in pattern"),
@@ -83,6 +107,13 @@ TRUE_FEATURES = (
     ("rel is contiguous", "rel contains verb", "arg2 is proper", "sentence ends with arg2", "prep right before arg1", "rel ends with of"),
     ("rel is contiguous", "rel contains verb", "arg1 is proper", "arg2 is proper", "sentence starts with extraction", "sentence begins with arg1", "prep right after arg2"),
     ("rel contains verb", "arg1 is proper", "arg2 is proper", "sentence starts with extraction", "sentence begins with arg1", "sentence ends with arg2"),
+    ("rel is contiguous", "rel contains verb", "sentence ends with arg2", "prep mismatch in pattern"),
+    ("rel is contiguous", "rel contains verb", "arg1 is proper", "sentence starts with extraction", "sentence begins with arg1", "sentence ends with arg2", "prep mismatch in pattern"),
+    ("rel is contiguous", "rel contains verb", "arg1 is proper", "sentence starts with extraction", "sentence begins with arg1", "prep right after arg2", "prep in arg2", "prep mismatch in pattern"),
+    ("rel contains verb", "arg2 is proper", "sentence starts with extraction", "sentence begins with arg1", "sentence ends with arg2"),
+    ("rel is contiguous", "rel contains verb", "arg2 is proper", "sentence starts with extraction", "sentence begins with arg1", "sentence ends with arg2"),
+    ("arg1 is proper", "sentence starts with extraction", "sentence begins with arg1", "rel ends with of", "arg1 borders appositive", "prep in arg2", "noun-verb-noun in arg2", "sentence is imperative"),
+    ("rel is contiguous", "rel contains verb", "arg1 is proper", "sentence starts with extraction", "sentence begins with arg1", "sentence ends with arg2", "arg1 borders appositive", "sentence is imperative", "prep mismatch in pattern"),
 )
 
 
@@ -101,8 +132,15 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.with_confidence(E.extract(s.withColumn("text", text)))
 
 
+#: The labels of each form, in order.
+LABELS = (
+    "amod det dobj nsubj", "agent auxpass nsubjpass", "ccomp cop det nsubj nsubj prep_of", "nsubj prep_to prep_with", "advcl advmod amod cc conj_and dobj mark nsubj nsubj num", "dobj iobj nsubj nsubj rcmod",
+    "amod aux dobj nsubj num pobj pobj prep prep", "advmod nsubjpass prep_in", "advmod agent aux auxpass nsubjpass", "appos aux det dobj nsubj partmod prep_in prep_of xcomp",
+)
+
+
 @query("graph_parse", f"""SELECT o_orderkey, {sql_form(TEXTS)} AS text,
- CASE o_orderkey % 4 WHEN 0 THEN 'amod det dobj nsubj' WHEN 1 THEN 'agent auxpass nsubjpass' WHEN 2 THEN 'ccomp cop det nsubj nsubj prep_of' ELSE 'nsubj prep_to prep_with' END AS labels FROM orders""")
+ CASE o_orderkey % {N_FORMS} {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LABELS))} END AS labels FROM orders""")
 def graph_parse(spark, sf_dir):
     """Graph strings read natively: the text of their tokens in order, and their labels."""
     p = sentences(spark, sf_dir).withColumn("g", N.parse_graph("graph"))
@@ -122,7 +160,8 @@ def fact_confidence(spark, sf_dir):
 
 
 _NUMBER_SQL = f"regexp_replace(regexp_replace(printf('%.3f', 1 / (1 + exp(-({_ODDS_SQL})))), '0+$', ''), '\\.$', '')"
-_SAID_SQL = "CASE WHEN note = '' THEN 'None' ELSE 'Some(' || note[9:-2] || ')' END"
+_WHEN_SQL = "CASE WHEN note LIKE '[enabler=%' THEN 'Some(' || note[10:-2] || ')' ELSE 'None' END"
+_SAID_SQL = "CASE WHEN note LIKE '[attrib=%' THEN 'Some(' || note[9:-2] || ')' ELSE 'None' END"
 _FACT_SQL = "'(' || a1 || '; ' || r || '; ' || a2 || ')' || note"
 
 
@@ -130,12 +169,12 @@ def _format_sql(*fields: str) -> str:
     return f"WITH {FACTS_SQL} SELECT o_orderkey, " + " || chr(9) || ".join(fields) + " AS line FROM f"
 
 
-@query("output_tabbed", _format_sql(_NUMBER_SQL, "a1", "r", "a2", "'None'", _SAID_SQL, "text", "pattern", "graph"))
+@query("output_tabbed", _format_sql(_NUMBER_SQL, "a1", "r", "a2", _WHEN_SQL, _SAID_SQL, "text", "pattern", "graph"))
 def output_tabbed(spark, sf_dir):
     return _lines(extracted(spark, sf_dir), W.tabbed)
 
 
-@query("output_tabbed_single", _format_sql(_NUMBER_SQL, _FACT_SQL, "'None'", _SAID_SQL, "text", "pattern", "graph"))
+@query("output_tabbed_single", _format_sql(_NUMBER_SQL, _FACT_SQL, _WHEN_SQL, _SAID_SQL, "text", "pattern", "graph"))
 def output_tabbed_single(spark, sf_dir):
     return _lines(extracted(spark, sf_dir), W.tabbed_single)
 
@@ -163,10 +202,10 @@ def fact_hooks(spark, sf_dir):
     return found.select("o_orderkey", F.col("rel.text").alias("rel"))
 
 
-@query("part_connections", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'dobj' WHEN 1 THEN 'agent' WHEN 2 THEN 'prep_of' END AS label FROM orders WHERE o_orderkey % 4 < 3")
+@query("part_connections", "SELECT o_orderkey, unnest(CASE o_orderkey % 10 WHEN 0 THEN ['dobj'] WHEN 1 THEN ['agent'] WHEN 2 THEN ['prep_of'] WHEN 3 THEN ['prep_with', 'prep_to'] WHEN 7 THEN ['prep_in'] WHEN 8 THEN ['agent'] WHEN 9 THEN ['prep_of', 'dobj'] ELSE ['dobj'] END) AS label FROM orders")
 def part_connections(spark, sf_dir):
     """The edges between the relation and the second argument."""
-    found = E.extract(sentences(spark, sf_dir).where("form < 3"))
+    found = E.extract(sentences(spark, sf_dir))
     return found.select("o_orderkey", F.explode(connections(F.col("deps"), F.col("rel.idx"), F.col("arg2.idx"))).alias("d")).select("o_orderkey", "d.label")
 
 
@@ -178,13 +217,13 @@ def _lines(df: DataFrame, form) -> DataFrame:
 
 
 @query("labelled_round_trip", f"""WITH {FACTS_SQL} SELECT graph, o_orderkey % 3 = 0 AS score, a1, r, a2, template, pattern, round(pattern_confidence, 5) AS conf,
- CASE WHEN note <> '' THEN note[9:-2] END AS said FROM f""")
+ CASE WHEN note LIKE '[attrib=%' THEN note[9:-2] END AS said, CASE WHEN note LIKE '[enabler=%' THEN note[10:-2] END AS enabler FROM f""")
 def labelled_round_trip(spark, sf_dir):
     """Labelled instances written as lines and read back."""
     rows = W.labelled(extracted(spark, sf_dir).withColumn("score", F.col("o_orderkey") % 3 == 0))
     back = R.parse_instances(rows)
     said = F.when(F.col("attrib_arg").isNotNull(), F.concat_ws(" ", "attrib_arg", "attrib_rel"))
-    return back.select("graph", "score", F.col("arg1.text").alias("a1"), F.col("rel.text").alias("r"), F.col("arg2.text").alias("a2"), "template", "pattern", F.col("pattern_confidence").alias("conf"), said.alias("said"))
+    return back.select("graph", "score", F.col("arg1.text").alias("a1"), F.col("rel.text").alias("r"), F.col("arg2.text").alias("a2"), "template", "pattern", F.col("pattern_confidence").alias("conf"), said.alias("said"), "enabler")
 
 
 @query("voice_switch", f"""SELECT o_orderkey, 'det(order' || o_orderkey || '_NN_1_2, a_DT_0_0); auxpass(ships_VBZ_2_' || (7 + l + 4) || ', was_VBD_1_' || (7 + l + 0) || '); nsubjpass(ships_VBZ_2_' || (7 + l + 4) || ', order' || o_orderkey || '_NN_1_2); prep(ships_VBZ_2_' || (7 + l + 4) || ', by_IN_3_' || (7 + l + 10) || '); pobj(by_IN_3_' || (7 + l + 10) || ', Cust' || o_custkey || '_NNP_4_' || (7 + l + 13) || ')' AS graph
@@ -196,14 +235,49 @@ def voice_switch(spark, sf_dir):
     return E.switch_voices(read(spark, sf_dir, "orders").select("o_orderkey", graph.alias("graph")))
 
 
-@query("induce_patterns", """SELECT o_orderkey, '{arg1} <nsubj< {rel:postag=VBZ} >dobj> {arg2}' AS pattern FROM orders WHERE o_orderkey % 4 = 0
- UNION ALL SELECT o_orderkey, '{arg1} <nsubj< {rel:postag=VBZ} >prep_with> {arg2}' FROM orders WHERE o_orderkey % 4 = 3""")
+#: Facts known of a form: relation, arguments, all lemmas, and the pattern that expresses them.
+KNOWN = (
+    (0, "ship", "cust%c", "order%o", "cust%c ship order%o", "{arg1} <nsubj< {rel:postag=VBZ} >dobj> {arg2}"),
+    (1, "send", "order%o", "cust%c", "order%o send cust%c", "{arg1} <nsubjpass< {rel:postag=VBN} >agent> {arg2}"),
+    (2, "be gift of", "order%o", "cust%c", "order%o gift cust%c", "{arg1} <nsubj< {rel:postag=NN} >prep_of> {arg2}"),
+    (3, "travel", "cust%c", "clerk%k", "cust%c travel clerk%k", "{arg1} <nsubj< {rel:postag=VBZ} >prep_with> {arg2}"),
+    (4, "load", "clerk%k", "crate", "clerk%k cust%c load crate", "{arg1} <conj_and< {slot0:postag=NNP} <nsubj< {rel:postag=VBP} >dobj> {arg2}"),
+    (6, "repair crane of", "clerk%k", "port%p", "clerk%k repair crane port%p", "{arg1} <nsubj< {rel0:postag=VB} >dobj> {rel1:postag=NN} >prep_of> {arg2}"),
+    (8, "take", "order%o", "cust%c", "order%o take cust%c", "{arg1} <nsubjpass< {rel:postag=VBN} >agent> {arg2}"),
+    (9, "sell", "cust%c", "order%o", "cust%c want sell order%o", "{arg1} <nsubj< {slot0:postag=VBZ} >xcomp> {rel:postag=VB} >dobj> {arg2}"),
+)
+
+
+@query("induce_patterns", " UNION ALL ".join(f"SELECT o_orderkey, '{k[5]}' AS pattern FROM orders WHERE o_orderkey % {N_FORMS} = {k[0]}" for k in KNOWN if not k[5].startswith("{arg1} <conj")))
 def induce_patterns(spark, sf_dir):
-    """From sentences that hold a known fact to the path that expresses it."""
-    rows = read(spark, sf_dir, "orders").join(sentences(spark, sf_dir), "o_orderkey").where("form in (0, 3)")
-    cust, order, clerk = F.concat(F.lit("cust"), F.col("o_custkey").cast("string")), F.concat(F.lit("order"), F.col("o_orderkey").cast("string")), F.concat(F.lit("clerk"), (F.col("o_orderkey") % 97).cast("string"))
-    rel, other = F.when(F.col("form") == 0, "ship").otherwise("travel"), F.when(F.col("form") == 0, order).otherwise(clerk)
-    built = L.build_patterns(rows.select(rel.alias("rel"), cust.alias("arg1"), other.alias("arg2"), F.concat_ws(" ", cust, rel, other).alias("lemmas"), F.col("o_orderkey").cast("string").alias("text"), F.col("graph").alias("deps")))
+    """From sentences that hold a known fact to the paths that express it; a path over a conjunction isn't valid."""
+    rows = sentences(spark, sf_dir).join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+
+    def named(i: int) -> Column:
+        text = F.create_map(*[F.lit(x) for k in KNOWN for x in (k[0], k[i])])[F.col("form")]
+        for mark, value in NAMES.items():
+            text = F.replace(text, F.lit(mark), F.expr(f"cast({value} as string)"))
+        return text
+
+    facts = rows.where(F.col("form").isin([k[0] for k in KNOWN]))
+    built = L.build_patterns(facts.select(*[named(i).alias(c) for i, c in enumerate(("rel", "arg1", "arg2", "lemmas"), 1)], F.col("o_orderkey").cast("string").alias("text"), F.col("graph").alias("deps")))
+    return built.select(F.col("text").cast("long").alias("o_orderkey"), "pattern")
+
+
+#: Graphs with names to join and compound nouns: what an argument's words stand for, and the pattern.
+NAMED_GRAPHS = (
+    ("(of_IN_1_0), nsubj(built_VBD_3_0, Bank_NNP_0_0); prep_of(Bank_NNP_0_0, Port%p_NNP_2_0); dobj(built_VBD_3_0, yard_NN_5_0); nn(yard_NN_5_0, ship%o_NN_4_0)", "bank of port%p", "ship%o yard", "build", "{arg1} <nsubj< {rel:postag=VBD} >dobj> {arg2}"),
+    ("nn(Cust%c_NNP_1_0, Captain_NNP_0_0); nsubj(owner_NN_4_0, Cust%c_NNP_1_0); cop(owner_NN_4_0, is_VBZ_2_0); amod(owner_NN_4_0, sole_JJ_3_0); prep(owner_NN_4_0, of_IN_5_0); pobj(of_IN_5_0, order%o_NNS_6_0)", "captain cust%c", "order%o", "owner", "{arg1} <nsubj< {rel:postag=NN} >prep_of> {arg2}"),
+)
+
+
+@query("induce_names", " UNION ALL ".join(f"SELECT o_orderkey, '{x[4]}' AS pattern FROM orders WHERE o_orderkey % 2 = {i}" for i, x in enumerate(NAMED_GRAPHS)))
+def induce_names(spark, sf_dir):
+    """Induction where an argument is several tokens made one: names joined by of, compound nouns, prepositions as tokens."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.get(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("deps", "arg1", "arg2", "rel"), x, strict=False)]) for x in NAMED_GRAPHS]), (F.col("o_orderkey") % 2).cast("int")).alias("x")).select("o_orderkey", "o_custkey", "x.*")
+    for mark, value in NAMES.items():
+        rows = rows.withColumns({c: F.replace(c, F.lit(mark), F.expr(f"cast({value} as string)")) for c in ("deps", "arg1", "arg2")})
+    built = L.build_patterns(rows.select("rel", "arg1", "arg2", F.concat_ws(" ", "arg1", "rel", "arg2").alias("lemmas"), F.col("o_orderkey").cast("string").alias("text"), "deps"))
     return built.select(F.col("text").cast("long").alias("o_orderkey"), "pattern")
 
 
