@@ -17,6 +17,7 @@ from ..functions.batch import Batch
 from ..functions.features import DEFAULT_WEIGHTS, confidence, features
 from ..functions.native import collapse, fill_template, parse_graph, simplify_tags
 from ..functions.store import free
+from ..functions.voice import switched
 
 _PART = "struct<text:string,s:int,e:int,idx:array<int>>"
 TOKENS = "array<struct<idx:int,text:string,postag:string,lemma:string,offset:int>>"
@@ -229,23 +230,24 @@ def nary(df: DataFrame, group: list[str], arg1: str, rel: str, arg2: str, start:
 
 
 def switch_voices(sentences: DataFrame, graph: str = "graph") -> DataFrame:
-    """All columns, with the graph in the other voice: a row for each clause that can be turned, none for others."""
+    """All columns, with the graph in the other voice: a row for each clause that can be turned, none for others.
+
+    Graphs are read by column expressions; null rows and what can't be read give nothing. Repeated rows are turned each.
+    """
     names = sentences.columns
+    [whole] = free(names, "whole")
+    rows = sentences.withColumn(whole, parse_graph(graph)).where(F.col(whole).isNotNull())
 
     def run(batches):
-        for batch in batches:
-            at, new = [], []
-            for i, raw in enumerate(batch.column(names.index(graph)).to_pylist()):
-                try:
-                    turned = [str(g) for g in G.switch_voice(G.parse(raw))] if raw is not None else []
-                except ValueError:  # no graph, or spans that can't be swapped
-                    continue
-                at += [i] * len(turned)
-                new += turned
-            own = batch.take(pa.array(at, pa.int64()))
-            yield own.set_column(names.index(graph), graph, pa.array(new, pa.string()))
-
-    return sentences.mapInArrow(run, sentences.schema)
+        for every in batches:
+            for at in range(0, every.num_rows, CHUNK):
+                batch = every.slice(at, CHUNK)
+                tokens, deps = batch.column(len(names)).flatten()
+                row, turned = switched(Batch.of_arrow(tokens, deps))
+                own = batch.select(names).take(pa.array(row))
+                yield own.set_column(names.index(graph), graph, turned)
+
+    return rows.select(*names, F.col(whole)).mapInArrow(run, sentences.schema)
 
 
 def feature_matrix(extractions: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

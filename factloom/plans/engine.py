@@ -235,6 +235,15 @@ def voice_switch(spark, sf_dir):
     return E.switch_voices(read(spark, sf_dir, "orders").select("o_orderkey", graph.alias("graph")))
 
 
+@query("voice_switch_active", """SELECT o_orderkey, 'nsubj(sent_VBN_1_' || x || ', Cust' || c || '_NNP_0_0); dobj(sent_VBN_1_' || x || ', order' || o_orderkey || '_NN_3_' || (x + 9) || '); det(order' || o_orderkey || '_NN_3_' || (x + 9) || ', the_DT_2_' || (x + 5) || ')' AS graph
+ FROM (SELECT o_orderkey, o_custkey AS c, len(o_custkey::VARCHAR) + 5 AS x FROM orders)""")
+def voice_switch_active(spark, sf_dir):
+    """Clauses turned into the active: the auxiliary and ``by`` go, the agent comes to the front."""
+    c, o = F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")
+    graph = F.concat(F.lit("det(order"), o, F.lit("_NN_1_4, the_DT_0_0); nsubjpass(sent_VBN_3_20, order"), o, F.lit("_NN_1_4); auxpass(sent_VBN_3_20, was_VBD_2_16); prep(sent_VBN_3_20, by_IN_4_25); pobj(by_IN_4_25, Cust"), c, F.lit("_NNP_5_28)"))
+    return E.switch_voices(read(spark, sf_dir, "orders").select("o_orderkey", graph.alias("graph")))
+
+
 #: Facts known of a form: relation, arguments, all lemmas, and the pattern that expresses them.
 KNOWN = (
     (0, "ship", "cust%c", "order%o", "cust%c ship order%o", "{arg1} <nsubj< {rel:postag=VBZ} >dobj> {arg2}"),

@@ -279,6 +279,20 @@ def target_extractions(spark, sf_dir):
     return L.target_extractions(t, known)
 
 
+@query("target_relations", """WITH t AS (SELECT l_suppkey AS s, l_partkey AS p, l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT f || ' ships in' AS rel, 's' || s AS arg1, 'p' || p AS arg2, 's' || s || CASE f WHEN 'A' THEN ' ship' ELSE ' R ships' END || ' p' || p AS lemmas FROM t, range(n)
+WHERE f IN ('A', 'R') AND s % 3 = 0 AND p % 3 = 0 AND (s % 2 = 0 OR p % 2 = 0)""")
+def target_relations(spark, sf_dir):
+    """Targets of allowed relations only, with lemmas given for one of them, and with one proper argument at least."""
+    li = read(spark, sf_dir, "lineitem")
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    tag = lambda c, other: F.when(F.col(c) % 2 == 0, other).otherwise("NN")
+    t = li.groupBy(name("s", "l_suppkey").alias("arg1"), F.concat("l_returnflag", F.lit(" ships in")).alias("rel"), name("p", "l_partkey").alias("arg2"), tag("l_suppkey", "NNP").alias("arg1_pos"), tag("l_partkey", "DT NNPS").alias("arg2_pos")).agg(F.count("*").alias("count"))
+    known = read(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(name("s", "s_suppkey").alias("lemma")).union(read(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(name("p", "p_partkey")))
+    relations = li.select("l_returnflag").distinct().where("l_returnflag <> 'N'").select(F.concat("l_returnflag", F.lit(" ships in")).alias("relation"), F.when(F.col("l_returnflag") == "A", "ship").otherwise("").alias("lemmas"))
+    return L.target_extractions(t, known, relations)
+
+
 @query("filter_targets", """WITH t AS (SELECT l_returnflag || ' ships' AS rel, 's' || l_suppkey AS arg1, l_linestatus AS arg2, l_returnflag || ' x' AS lemmas FROM lineitem),
 o AS (SELECT rel, arg1, arg2, lemmas, count(*) AS n FROM t GROUP BY ALL HAVING count(*) > 1)
 SELECT rel, arg1, arg2, lemmas FROM o WHERE rel IN (SELECT rel FROM o GROUP BY rel HAVING sum(n) > 15)""")
@@ -328,16 +342,13 @@ def rank_patterns(spark, sf_dir):
     return V.rank(scored(spark, sf_dir), "lang", F.col("score"))
 
 
-_LANGS = ("de", "en", "es", "fr")
-
-
-@query("merge_curves", f"""WITH {SCORED_SQL}, r AS (SELECT lang, score, row_number() OVER (PARTITION BY lang ORDER BY confidence DESC, doc_id) AS seen, sum(score::INT) OVER (PARTITION BY lang ORDER BY confidence DESC, doc_id ROWS UNBOUNDED PRECEDING) AS y FROM s),
-p AS (SELECT lang, y::BIGINT AS yield, y / seen AS precision FROM r WHERE score)
-SELECT yield, {", ".join(f"max(precision) FILTER (lang = '{x}') AS precision_{i}" for i, x in enumerate(_LANGS))} FROM p WHERE lang IN {_LANGS} GROUP BY yield""")
+@query("merge_curves", f"""WITH {SCORED_SQL}, r AS (SELECT doc_id % 3 AS part, score, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY confidence DESC, doc_id) AS seen, sum(score::INT) OVER (PARTITION BY doc_id % 3 ORDER BY confidence DESC, doc_id ROWS UNBOUNDED PRECEDING) AS y FROM s),
+p AS (SELECT part, y::BIGINT AS yield, y / seen AS precision FROM r WHERE score)
+SELECT yield, {", ".join(f"max(precision) FILTER (part = {x}) AS precision_{x}" for x in range(3))} FROM p GROUP BY yield""")
 def merge_curves(spark, sf_dir):
-    """The curves of the languages, side by side."""
-    p = V.precision_yield(scored(spark, sf_dir), "confidence", F.col("score"), ["doc_id"], ["lang"])
-    return V.merge_curves([p.where(F.col("lang") == x) for x in _LANGS])
+    """The curves of three parts of all documents, side by side."""
+    p = V.precision_yield(scored(spark, sf_dir).withColumn("part", F.pmod("doc_id", F.lit(3))), "confidence", F.col("score"), ["doc_id"], ["part"])
+    return V.merge_curves([p.where(F.col("part") == x) for x in range(3)])
 
 
 _PRIME = 2147483647
@@ -440,14 +451,15 @@ def set_operations(spark, sf_dir):
     return C.difference(c.select(F.col("c_custkey").alias("k")), o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")))
 
 
-@query("soft_match", """SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND (contains(a.s_name, right(b.s_name, 2)) OR contains(right(b.s_name, 2), a.s_name))
- AND (contains(b.s_name, right(a.s_name, 2)) OR contains(right(a.s_name, 2), b.s_name))""")
+@query("soft_match", """SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND contains(a.s_name, right(b.s_name, 1)) AND contains(b.s_name, right(a.s_name, 1))
+ AND a.s_suppkey % 2 = b.s_suppkey % 2""")
 def soft_match(spark, sf_dir):
+    """Pairs of one nation whose names hold each other's last letter and whose relations have the same words in any order."""
     s = read(spark, sf_dir, "supplier")
-    a, b = (s.select(F.col("s_suppkey").alias(x), F.col("s_name").alias(f"n{x}"), F.right("s_name", F.lit(2)).alias(f"t{x}"), F.array(F.lit("supply"), F.lit(x)).alias(f"l{x}"), "s_nationkey") for x in "ab")
+    words = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("ship"), F.lit("send"), F.lit("ship"))).otherwise(F.array(F.lit("buy")))
+    a, b = (s.select(F.col("s_suppkey").alias(x), F.col("s_name").alias(f"n{x}"), F.right("s_name", F.lit(1)).alias(f"t{x}"), (words if x == "a" else F.reverse(words)).alias(f"l{x}"), "s_nationkey") for x in "ab")
     rows = a.join(b, "s_nationkey").where("a < b")
-    same = F.array(F.lit("supply"))
-    return rows.where(K.soft_match((F.col("na"), F.col("tb")), (F.col("nb"), F.col("ta")), (same, same))).select("a", "b")
+    return rows.where(K.soft_match((F.col("na"), F.col("tb")), (F.col("nb"), F.col("ta")), (F.col("la"), F.col("lb")))).select("a", "b")
 
 
 @query("standoff_ids", """WITH r AS (SELECT l_orderkey AS doc, l_linenumber AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS n FROM lineitem)
@@ -508,6 +520,26 @@ def build_templates(spark, sf_dir):
     return L.build_templates(patterned(spark, sf_dir), no_nn=True)
 
 
+#: Patterns of one relation ``X of``: with an amod edge, with the relation at the side, with another preposition, and plain.
+_KINDS = (
+    ("no_amod", "{arg1} <amod< {rel:postag=VBD} >prep_of> {arg2}"), ("no_side_rel", "{rel:postag=NN} >nsubj> {arg1} >prep_of> {arg2}"),
+    ("no_mismatch", "{arg1} <nsubj< {rel:postag=VBD} >prep_in> {arg2}"), ("none", "{arg1} <nsubj< {rel:postag=VBD} >prep_of> {arg2}"),
+)
+
+
+@query("build_templates_without", f"""WITH k(flag, pattern, i) AS (VALUES {", ".join(f"('{f}', '{p.replace('>prep_of>', '>{prep:regex=prep_(.*)}>')}', {i})" for i, (f, p) in enumerate(_KINDS))}),
+ n AS (SELECT p_partkey % 4 AS i, count(*) AS count FROM part GROUP BY 1)
+ SELECT f.flag, CASE WHEN k.flag = 'no_mismatch' THEN '{{rel}} of' ELSE '{{rel}} {{prep}}' END AS template, k.pattern, count FROM k f JOIN k ON f.flag <> k.flag OR f.flag = 'none' JOIN n ON n.i = k.i""")
+def build_templates_without(spark, sf_dir):
+    """Templates built four times, each time without the patterns of one kind."""
+    rows = read(spark, sf_dir, "part").select(F.concat(F.lower(F.element_at(F.split("p_type", " "), -1)), F.lit(" of")).alias("rel"), F.get(F.array(*[F.lit(p) for _, p in _KINDS]), (F.col("p_partkey") % 4).cast("int")).alias("pattern"))
+    out = None
+    for flag, _ in _KINDS:
+        one = L.build_templates(rows, **({flag: True} if flag != "none" else {})).select(F.lit(flag).alias("flag"), "template", "pattern", "count")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("voice_mirrors", """WITH m AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'be ' ELSE '' END || '{rel} ' || lower(p_brand) AS t, CASE p_partkey % 3 WHEN 0 THEN 'nsubj' WHEN 1 THEN 'nsubjpass' ELSE 'appos' END AS l, p_partkey AS k FROM part)
  SELECT k, t AS template, '{arg1} <' || l || '< {rel} >prep_in> {arg2}' AS pattern FROM m
  UNION ALL SELECT k, 'be ' || t, '{arg2} <nsubj< {rel} >prep_in> {arg1}' FROM m WHERE l = 'nsubj' AND t NOT LIKE 'be %'

@@ -13,6 +13,7 @@ from factloom.functions import induction as I
 from factloom.functions.features import confidence, features
 from factloom.functions.native import parse_graph
 from factloom.functions.patterns import find, parse_pattern
+from factloom.functions.voice import switched
 from factloom.operators import evaluate as V
 from factloom.operators import extract as E
 from factloom.operators import learn as L
@@ -21,7 +22,7 @@ from factloom.plans.queries import SENTENCES
 from factloom.sources import readers as R
 from factloom.sources import writers as W
 
-from . import plain_induction
+from . import plain_induction, plain_voice
 
 SPLIT = "(into_IN_8_0), (,_,_2_0), amod(year_NN_1_0, Last_JJ_0_0); tmod(split_VBN_7_0, year_NN_1_0); det(authority_NN_5_0, the_DT_3_0); nn(authority_NN_5_0, Harbour_NNP_4_0); nsubjpass(split_VBN_7_0, authority_NN_5_0); auxpass(split_VBN_7_0, was_VBD_6_0); num(offices_NNS_11_0, three_CD_9_0); amod(offices_NNS_11_0, regional_JJ_10_0); prep_into(split_VBN_7_0, offices_NNS_11_0)"
 CAPTAIN = "(,_,_2_0), (of_IN_4_0), (,_,_8_0), (._._11_0), nn(Rask_NNP_1_0, Ida_NNP_0_0); appos(Rask_NNP_1_0, captain_NN_3_0); prep_of(captain_NN_3_0, team_NN_7_0); det(team_NN_7_0, the_DT_5_0); amod(team_NN_7_0, blue_JJ_6_0); nsubj(scored_VBD_9_0, Rask_NNP_1_0); advmod(scored_VBD_9_0, twice_RB_10_0)"
@@ -122,8 +123,40 @@ def test_validity():
 
 
 def test_voice():
-    assert [str(g) for g in G.passive_voice(G.parse(HIT))] == [HIT_PASSIVE]
-    assert [str(g) for g in G.active_voice(G.parse(WAS_HIT))] == [HIT_ACTIVE]
+    assert turned([HIT, WAS_HIT, CORK]) == [(0, HIT_PASSIVE), (1, HIT_ACTIVE)]
+
+
+def turned(graphs):
+    row, out = switched(Batch.of([G.parse(g) for g in graphs]))
+    return sorted(zip(row.tolist(), out.to_pylist(), strict=True))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_batches_turn_what_sentences_do(seed):
+    """Random clauses in both voices, several verbs, loose trees and shared nodes: equal to the plain version, clause by clause."""
+    rng = random.Random(seed)
+    graphs = []
+    for _ in range(400):
+        n = rng.randint(4, 11)
+        verbs = rng.sample(range(n), rng.randint(1, 2))
+        word = lambda i, verbs=verbs: rng.choice(["by", "ship", "Ann", "a", "was"]) + f"_{'VBD' if i in verbs else rng.choice(['NN', 'DT', 'IN', 'VBZ'])}_{i}_{rng.randint(0, 50)}"
+        nodes = [word(i) for i in range(n)]
+        edges = {}
+        for v in verbs:
+            rest = [i for i in range(n) if i != v]
+            rng.shuffle(rest)
+            if rng.random() < 0.5:
+                edges[v, rest[0]], edges[v, rest[1]] = "nsubj", "dobj"
+            else:
+                nodes[rest[2]] = f"by_IN_{rest[2]}_0"
+                edges[v, rest[0]], edges[v, rest[1]], edges[v, rest[2]] = "nsubjpass", "auxpass", "prep"
+                if len(rest) > 3:
+                    edges[rest[2], rest[3]] = "pobj"
+        for _ in range(rng.randint(0, 4)):
+            a, b = rng.sample(range(n), 2)
+            edges.setdefault((a, b), rng.choice(["det", "amod", "prep", "nsubj", "pobj"]))
+        graphs.append("; ".join(f"{x}({nodes[a]}, {nodes[b]})" for (a, b), x in edges.items()))
+    assert turned(graphs) == sorted((i, str(t)) for i, g in enumerate(graphs) for t in plain_voice.switch_voice(G.parse(g)))
 
 
 @pytest.mark.parametrize(("graph", "fact", "longest", "want"), [
