@@ -51,8 +51,28 @@ def sentences(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
     return rows.select(F.col("value").alias("graph"), F.col("value").alias("text"))
 
 
+def run_console(spark: SparkSession, o: argparse.Namespace) -> str:
+    """Answers sentences as they are typed, until the input ends."""
+    from .streaming.stream import console
+
+    config = Configuration(o.pattern_threshold, not o.no_expand, not o.no_collapse, True, o.collapse_verbs, o.all, o.duplicates, o.ignore_errors)
+    weights = None if o.weights is None else {"Intercept": 0.0} if o.weights == "None" else R.weights(spark, o.weights)
+    model = R.model_lines(spark, o.model) if o.model else SEED_MODEL
+    reader = None if o.parser == "deserialize" else R.PARSERS[o.parser]
+
+    def answer(batch: DataFrame) -> DataFrame:
+        facts = extract(batch.select("number", F.col("sentence").alias("text"), F.col("sentence").alias("graph")), model, config, parser=reader, keep_empty=True)
+        return W.dialogue(facts.withColumn("confidence", confidence(weights)), "text", ["number"], o.threshold)
+
+    query = console(spark, answer, prompt=o.prompt)
+    query.feeder.join()
+    return "the input has ended"
+
+
 def run_extract(spark: SparkSession, o: argparse.Namespace) -> str:
     """Extracts from files of graphs or text, writes the chosen format and returns a summary."""
+    if o.input == ["-"] and o.format == "interactive" and not o.output:
+        return run_console(spark, o)
     began = time.time()
     rows = sentences(spark, o)
     config = Configuration(o.pattern_threshold, not o.no_expand, not o.no_collapse, True, o.collapse_verbs, o.all, o.duplicates, o.ignore_errors)
@@ -85,7 +105,7 @@ def parser() -> argparse.ArgumentParser:
 
     files, out = (("input",), {"nargs": "+"}), (("--output",), {"required": True})
     yes = {"action": "store_true"}
-    tool("extract", files, out, (("--model",), {}), (("--weights",), {"help": "a file, or None for confidence without features"}), (("--threshold",), {"type": float, "default": 0.0}),
+    tool("extract", files, (("--output",), {"help": "a folder; without one, sentences of standard input are answered as they come"}), (("--prompt",), {"default": None}), (("--model",), {}), (("--weights",), {"help": "a file, or None for confidence without features"}), (("--threshold",), {"type": float, "default": 0.0}),
          (("--pattern-threshold",), {"type": float, "default": 0.005}), (("--format",), {"choices": [*W.FORMATS, "patterns"], "default": "tabbed"}), (("--parser",), {"choices": [*R.PARSERS], "default": "deserialize"}), (("--encoding",), {"default": "UTF-8"}),
          (("--split",), yes), (("--verbose",), yes), (("--duplicates",), yes), (("--all",), yes),
          (("--no-expand",), yes), (("--no-collapse",), yes), (("--collapse-verbs",), yes), (("--ignore-errors",), yes))

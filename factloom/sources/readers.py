@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import graph as G
 from ..functions.native import parse_graph
+from ..functions.store import keep, scratch_path
 
 #: The columns of each table, in order; ``*`` gathers all further columns in an array.
 TABLES = {
@@ -55,23 +56,90 @@ def table(spark: SparkSession, path: str | list[str], name: str) -> DataFrame:
     return parts.select(*out)
 
 
+#: Encodings of two and four bytes a unit, with the order of bytes where the name fixes it.
+WIDE = {"UTF16": (2, None), "UTF16LE": (2, "LE"), "UTF16BE": (2, "BE"), "UTF32": (4, None), "UTF32LE": (4, "LE"), "UTF32BE": (4, "BE")}
+
+
 def lines(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8") -> DataFrame:
     """sentence, file: one sentence a line, blank lines dropped. Files of any size are split into ranges of lines, in any
-    encoding that writes a line feed as the byte 10 (those of 8 bits and UTF-8)."""
-    if encoding.upper().replace("-", "").startswith(("UTF16", "UTF32")):
-        raise ValueError("files of 16 or 32 bits a character can't be split at line feeds; convert them first")
-    raw = spark.read.text(paths).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
-    if encoding.upper().replace("-", "") != "UTF8":
+    encoding."""
+    name = encoding.upper().replace("-", "").replace("_", "")
+    if name in WIDE:
+        raw = _wide_lines(spark, paths, *WIDE[name])
+    elif name == "UTF8":
+        raw = spark.read.text(paths).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
+    else:
         # a separator that can't occur in the bytes keeps each line one field
         raw = spark.read.option("encoding", encoding).option("sep", "\x01").option("quote", "").option("escape", "").csv(paths, "value string").select("value", F.col("_metadata.file_path").alias("file"))
-    rows = raw.select(F.regexp_replace("value", "\r$", "").alias("sentence"), "file")
+    rows = raw.select(F.regexp_replace("value", "\r\\z", "").alias("sentence"), "file")
     return rows.where(F.length("sentence") > 0)
 
 
+def _wide_lines(spark: SparkSession, paths: str | list[str], unit: int, fixed: str | None) -> DataFrame:
+    """value, file: lines of files in units of two or four bytes.
+
+    Ranges of a file are cut at every byte 10, which may also be half of another character. Each piece's place in its file
+    is the sum of the pieces before it, within its range and over the ranges before, so that a cut is a line's end only
+    where it is a whole unit; the pieces between two ends are put together again. The order of bytes is that of a file's
+    mark, and big-endian without one.
+    """
+    at = Window.partitionBy("file", "block").orderBy("id")
+    ranges = Window.partitionBy("file").orderBy("block")
+    earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    rows = spark.read.option("lineSep", "\n").text(paths).select(F.col("value").cast("binary").alias("b"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    size = F.octet_length("b") + 1
+    rows = rows.withColumn("inner", F.sum(size).over(at)).withColumn("next", F.lead("b").over(at))
+    rows = keep(rows, "pieces")
+    # a row for each range that is read
+    cells = rows.groupBy("file", "block").agg(F.sum(size).alias("n"), F.min_by("b", "id").alias("first"))
+    head = F.first("first").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    cells = cells.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("above"), F.lead("first").over(ranges).alias("after"), F.substring(F.hex(head), 1, 2 * unit).alias("mark"))
+    small = F.lit(fixed) if fixed else F.when(F.col("mark") == ("FFFE" if unit == 2 else "FFFE0000"), "LE").otherwise("BE")
+    rows = rows.join(_sized(cells, cells.count() * 400), ["file", "block"]).withColumn("order", small)
+    # the byte 10 behind a piece: the first byte of a unit (little-endian), with zeros before the next piece, or its last one
+    place, zeros = F.col("above") + F.col("inner") - 1, "00" * (unit - 1)
+    behind = F.coalesce(F.col("next"), F.col("after"))
+    little = (place % unit == 0) & F.startswith(F.hex(behind), F.lit(zeros))
+    big = (place % unit == unit - 1) & F.endswith(F.hex("b"), F.lit(zeros))
+    rows = rows.withColumn("ends", F.coalesce(F.when(F.col("order") == "LE", little).otherwise(big), F.lit(False)))
+    # a byte 10 at the very end of a file that is half of a character has been taken for a cut
+    rows = rows.withColumn("tail", F.when(behind.isNull() & (place + 1 == F.col("bytes")) & ~F.col("ends"), "0A").otherwise(""))
+    rows = rows.withColumn("line", F.sum(F.col("ends").cast("long")).over(at) - F.col("ends").cast("long"))
+    ended = rows.groupBy("file", "block").agg(F.sum(F.col("ends").cast("long")).alias("n"))
+    ended = ended.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("lines"))
+    rows = rows.join(_sized(ended, rows.select("file", "block").distinct().count() * 400), ["file", "block"]).withColumn("line", F.col("line") + F.col("lines"))
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("block", "id", "b", "tail"))), lambda x: F.concat(F.hex(x["b"]), x["tail"]))
+    whole = rows.groupBy("file", "line").agg(F.array_join(pieces, "0A").alias("bytes"), F.first("order").alias("order"), F.first("mark").alias("mark"))
+    marks = {2: ("FFFE", "FEFF"), 4: ("FFFE0000", "0000FEFF")}[unit]
+    own = F.col("bytes")
+    # a line's end leaves zeros before the next line (little-endian) or behind this one
+    own = F.when((F.col("order") == "LE") & (F.col("line") > 0), F.substring(own, 2 * unit - 1, 1 << 30)).otherwise(own)
+    own = F.when((F.col("line") == 0) & F.col("mark").isin(*marks) & F.lit(fixed is None), F.substring(own, 2 * unit + 1, 1 << 30)).otherwise(own)
+    cut = F.when((F.col("order") == "BE") & (F.length(own) % (2 * unit) != 0), F.substring(own, F.lit(1), F.length(own) - 2 * (unit - 1))).otherwise(own)
+    # the decoder of 32 bits knows the order of bytes by a mark alone
+    if unit == 4:
+        text = F.decode(F.unhex(F.concat(F.when(F.col("order") == "LE", marks[0]).otherwise(marks[1]), cut)), "UTF-32")
+    else:
+        text = F.when(F.col("order") == "LE", F.decode(F.unhex(cut), "UTF-16LE")).otherwise(F.decode(F.unhex(cut), "UTF-16BE"))
+    return whole.select(text.alias("value"), "file")
+
+
+def _sized(df: DataFrame, size: int, most: int = 32 << 20) -> DataFrame:
+    """Sent to all executors if it is small, joined by a shuffle if not."""
+    return F.broadcast(df) if size <= most else df
+
+
 def stdin_lines(spark: SparkSession, stream=None) -> DataFrame:
-    """sentence, number: the lines of a console or pipe, which one process reads anyway."""
-    stream = sys.stdin if stream is None else stream
-    return spark.createDataFrame([(x.rstrip("\r\n"), i) for i, x in enumerate(stream) if x.strip()], "sentence string, number long")
+    """sentence, number: the lines of a console or pipe, spooled to the shared folder as they are read: no more than a part
+    of them is held by the process that reads. See streaming.stream.console for an input that goes on."""
+    from ..streaming.stream import Spool
+
+    spool = Spool(spark, scratch_path(spark, "console"))
+    for line in sys.stdin if stream is None else stream:
+        spool.add(line)
+    spool.close()
+    rows = spark.read.schema("sentence string, number long").json(spool.folder)
+    return rows.where(F.trim("sentence") != "")
 
 
 def split_sentences(text: str) -> Column:
@@ -117,13 +185,21 @@ def sniff_column(first_line: str) -> int | None:
     return None
 
 
-def sniffed(spark: SparkSession, path: str) -> DataFrame:
-    """graph and line of a file whose first line tells which of its fields is the graph."""
-    first = spark.read.text(path).head(1)
-    column = sniff_column(first[0]["value"]) if first else None
-    if column is None:
-        raise ValueError(f"no field of the first line of {path} is a graph")
-    return graphs(spark, path, column)
+def sniffed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """graph, line, file of files whose own first lines tell which of their fields is the graph.
+
+    The first line of every file is found by its range's start and the lowest row in it, all files at once; each line then
+    meets its file's column. Lines without a graph there are skipped, files without any row have none; a file whose first
+    line has no graph raises.
+    """
+    rows = spark.read.text(paths).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    first = rows.where("block = 0").groupBy("file").agg(F.min_by("line", "id").alias("first"))
+    fields = F.transform(F.split("first", "\t", -1), lambda x, i: F.when(parse_graph(x).isNotNull(), i))
+    columns = keep(first.select("file", F.array_min(F.filter(fields, lambda i: i.isNotNull())).alias("column")), "columns")
+    rows = rows.join(_sized(columns, columns.rows * 400), "file")
+    none = F.raise_error(F.concat(F.lit("no field of the first line is a graph: "), F.col("file"))).cast("int")
+    field = F.get(F.split("line", "\t", -1), F.coalesce("column", none))
+    return rows.select(field.alias("graph"), "line", "file").where(parse_graph("graph").isNotNull())
 
 
 def plain_parse(text: str) -> G.Graph:

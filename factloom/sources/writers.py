@@ -172,7 +172,9 @@ def to_dot(g: Graph, marked: set[int] | None = None) -> str:
 
 
 def write_lines(df: DataFrame, path: str, header: str | None = None) -> None:
-    """Lines as text files; a header stands in a file of its own that sorts first."""
-    df.select("line").write.text(path)
+    """Lines as text files, in one job: its commit puts all parts in place at once, a failed job leaves none, and of several
+    attempts of a task one counts. A header is a part of its own that sorts first."""
+    rows = df.select("line")
     if header is not None:
-        df.sparkSession.createDataFrame([(header,)], "line string").coalesce(1).write.mode("append").text(path)
+        rows = df.sparkSession.createDataFrame([(header,)], "line string").coalesce(1).union(rows)
+    rows.write.text(path)

@@ -257,8 +257,6 @@ def test_parsers(spark, tmp_path):
     assert any(x.startswith("(Marta; repairs; ") for x in got) and any(x.startswith("(the museum 's new wing; holds; ") for x in got)
     (tmp_path / "in.txt").write_bytes("caf\xe9 one\r\n\r\ntwo".encode("latin-1"))
     assert sorted(r.sentence for r in R.lines(spark, str(tmp_path / "in.txt"), "ISO-8859-1").collect()) == ["caf\xe9 one", "two"]
-    with pytest.raises(ValueError):
-        R.lines(spark, str(tmp_path / "in.txt"), "UTF-16")
     assert [r.sentence for r in R.stdin_lines(spark, ["a b\n", "\n", "c"]).collect()] == ["a b", "c"]
     (tmp_path / "p.txt").write_text("One two.\nThree four. Five\n\n\nSix\n")
     assert [r.sentence for r in R.paragraphs(spark, str(tmp_path / "p.txt")).orderBy("paragraph", "position").collect()] == ["One two.", "Three four.", "Five", "Six"]
@@ -266,6 +264,71 @@ def test_parsers(spark, tmp_path):
     assert R.word_list(spark, str(tmp_path / "w.txt")) == ["say", "tell"]
     (tmp_path / "s.txt").write_text(f"x\t{MUSEUM}\nx\tbad\n")
     assert R.sniffed(spark, str(tmp_path / "s.txt")).count() == 1
+    (tmp_path / "many").mkdir()
+    for i in range(4):
+        (tmp_path / "many" / f"{i}.txt").write_text("\n".join("\t".join(["x"] * i + [graph] + ["y"] * (i % 2)) for _, graph in SENTENCES) + "\nx\tbad\n")
+    got = [(r.file[-5:], r.graph) for r in R.sniffed(spark, str(tmp_path / "many")).collect()]
+    assert sorted(got) == sorted((f"{i}.txt", graph) for i in range(4) for _, graph in SENTENCES)
+    (tmp_path / "many" / "5.txt").write_text("no graph\n")
+    with pytest.raises(Exception, match="no field of the first line"):
+        R.sniffed(spark, str(tmp_path / "many")).collect()
+
+
+@pytest.mark.parametrize("encoding", ["utf-16", "utf-16-le", "utf-16-be", "utf-32", "utf-32-le", "utf-32-be", "utf-16-be marked"])
+def test_wide_encodings_in_ranges(spark, tmp_path, encoding):
+    """Files in many ranges give the lines of their twin in UTF-8, whatever bytes 10 stand inside characters."""
+    rng = random.Random(encoding)
+    letters = ["a", "é", "\u0a0a", "\u0a00", "\u000b", "\u010a", "\u0a10", "\U0001f60a", "\U00010a0a", "日", " ", "\r"]
+    texts = ["\n".join("".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 60]))) for _ in range(n)) + rng.choice(["", "\n"]) for n in (1, 40, 300)]
+    for i, text in enumerate(texts):
+        raw = b"\xfe\xff" + text.encode("utf-16-be") if "marked" in encoding else text.encode(encoding)
+        (tmp_path / f"{i}.txt").write_bytes(raw)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1001b")
+    try:
+        name = encoding.split()[0] if "marked" not in encoding else "UTF-16"
+        got = sorted((r.file[-5:], r.sentence) for r in R.lines(spark, str(tmp_path), name).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    strip = lambda x: x[:-1] if x.endswith("\r") else x
+    assert got == sorted((f"{i}.txt", strip(x)) for i, text in enumerate(texts) for x in text.split("\n") if strip(x))
+
+
+def test_failed_write_leaves_nothing(spark, tmp_path):
+    good = spark.range(20).select(F.format_string("line %d", "id").alias("line"))
+    W.write_lines(good, str(tmp_path / "good"), "HEAD")
+    parts = sorted(x for x in (tmp_path / "good").iterdir() if x.name.startswith("part-"))
+    assert "".join(x.read_text() for x in parts).startswith("HEAD\nline 0\n") and sum(x.read_text().count("\n") for x in parts) == 21
+    bad = good.repartition(4).select(F.when(F.col("line") == "line 13", F.raise_error(F.lit("broken"))).otherwise(F.col("line")).alias("line"))
+    with pytest.raises(Exception, match="broken"):
+        W.write_lines(bad, str(tmp_path / "bad"), "HEAD")
+    assert not [x for x in (tmp_path / "bad").rglob("part-*")]
+
+
+def test_console_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Lines that come while the stream runs, and after it was stopped and started again, are answered once each."""
+    import queue
+
+    from factloom.streaming.stream import console
+
+    answer = lambda batch: batch.select("number", F.concat(F.lit("heard "), "sentence").alias("line"))
+
+    def talk(lines):
+        said, box = [], queue.Queue()
+        query = console(spark, answer, iter(box.get, None), said.append, str(tmp_path / "spool"), str(tmp_path / "checkpoint"), prompt=">")
+        for line in lines:
+            box.put(line + "\n")
+            for _ in range(300):
+                if f"heard {line}" in said or not line:
+                    break
+                query.awaitTermination(0.1)
+        box.put(None)
+        query.feeder.join(60)
+        assert not query.isActive and said[0] == ">" == said[-1]
+        return [x for x in said if x != ">"]
+
+    assert talk(["one", "two", "", "three"]) == ["heard one", "heard two", "heard three"]
+    assert talk(["four", "two"]) == ["heard four", "heard two"]
 
 
 def test_instances_and_training(spark, tmp_path):
