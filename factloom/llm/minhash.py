@@ -29,8 +29,9 @@ PERMUTATIONS, BANDS, ROWS = 64, 25, 5
 #: Below 0.85: 32 bands of 4. A pair with similarity 0.8 misses all of them less than once in ten million times.
 WIDE_BANDS, WIDE_ROWS = 32, 4
 SIMILAR = 85
-#: Pairs whose signatures agree in so many standard deviations less than similar ones are not compared by their sets: once in a billion times.
-DEVIATIONS = 6
+#: The chance at most with which the signatures of a pair that is just similar enough agree in too few places to be compared by
+#: their sets, for independent places; the minimum and maximum of one permutation are nearly so.
+CHANCE = 1e-13
 #: Documents and shingles of a block.
 BLOCK, SHINGLES = 256, 1 << 20
 #: Bytes of text hashed at a time.
@@ -67,9 +68,12 @@ def band_keys(sig: Column, similar: int) -> Column:
 
 
 def least_agreement(similar: int) -> int:
-    """Equal places that signatures of similar sets have, but for chances of once in a billion."""
+    """Equal places that the signatures of similar sets have: the binomial's lower tail below it is at most CHANCE."""
     s, n = similar / 100, 2 * PERMUTATIONS
-    return max(1, math.ceil(n * s - DEVIATIONS * math.sqrt(n * s * (1 - s))))
+    tail, k = 0.0, 0
+    while (tail := tail + math.comb(n, k) * s**k * (1 - s) ** (n - k)) <= CHANCE:
+        k += 1
+    return max(1, k)
 
 
 def _set_keys(flat: np.ndarray, edges: np.ndarray) -> pa.Array:
