@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import free
+
 #: Hypothetical verbs, tags of prepositions, tags that open and close an argument.
 HYPOTHETICAL = ("can", "would", "could", "might")
 PREP_TAGS = ("IN", "TO", "WP")
@@ -20,29 +22,23 @@ def tags(at: Column) -> Column:
     return F.transform(F.filter("tokens", lambda t: (t["idx"] >= at["s"]) & (t["idx"] < at["e"])), lambda t: t["postag"])
 
 
-def _before(at: Column) -> Column:
-    """The last token left of a part; null if there is none."""
-    return F.try_element_at(F.filter("tokens", lambda t: t["idx"] < at["s"]), F.lit(-1))
-
-
-def _behind(at: Column) -> Column:
-    return F.filter("tokens", lambda t: t["idx"] >= at["e"])
-
-
-def _any(at: Column, test: Callable[[Column], Column]) -> Column:
-    return F.exists(tags(at), test)
-
-
-def _rel_tags() -> Column:
-    return F.transform(F.filter("tokens", lambda t: F.array_contains("rel.idx", t["idx"])), lambda t: t["postag"])
+def shared() -> dict[str, Column]:
+    """What several features look at, each to be computed once a row: the tags of the parts and of the sentence, its words in
+    lower case and its text, the last token left of the first argument (null if there is none) and all behind the second."""
+    a1, a2 = F.col("arg1"), F.col("arg2")
+    return {
+        "arg1_tags": tags(a1), "arg2_tags": tags(a2), "rel_tags": F.transform(F.filter("tokens", lambda t: F.array_contains("rel.idx", t["idx"])), lambda t: t["postag"]),
+        "tag_list": F.transform("tokens", lambda t: t["postag"]), "words": F.transform("tokens", lambda t: F.lower(t["text"])), "sentence": F.array_join(F.transform("tokens", lambda t: t["text"]), " "),
+        "before": F.try_element_at(F.filter("tokens", lambda t: t["idx"] < a1["s"]), F.lit(-1)), "behind": F.filter("tokens", lambda t: t["idx"] >= a2["e"]),
+    }
 
 
 def _bad(text: Column) -> Column:
     return (F.length(F.regexp_replace(text, "[^A-Z]", "")) > 5) | (F.length(F.regexp_replace(F.lower(text), "[^aeiouy0-9]", "")) < 2)
 
 
-def _nvn(at: Column) -> Column:
-    return F.array_join(F.transform(tags(at), lambda t: F.when(t.startswith("NN"), "N").when(t.startswith("VB"), "V").otherwise("x")), "").rlike("N.*V.*N")
+def _nvn(own: Column) -> Column:
+    return F.array_join(F.transform(own, lambda t: F.when(t.startswith("NN"), "N").when(t.startswith("VB"), "V").otherwise("x")), "").rlike("N.*V.*N")
 
 
 def _appositive(at: Column) -> Column:
@@ -50,50 +46,53 @@ def _appositive(at: Column) -> Column:
     return F.exists("deps", lambda d: (d["label"] == "appos") & (ends(d["src"]) | ends(d["dst"])))
 
 
-def features() -> dict[str, Column]:
+def features(known: dict[str, Column] | None = None) -> dict[str, Column]:
     """Name of the weight -> 0/1 (or the extractor's confidence). The odd ones are as in the trained weights: the question
-    mark is looked for in the extraction, and ``rel starts with be`` compares the first token with "be "."""
+    mark is looked for in the extraction, and ``rel starts with be`` compares the first token with "be ".
+
+    ``known``: columns that hold what ``shared`` computes; ``measured`` makes and uses them.
+    """
     a1, r, a2 = F.col("arg1"), F.col("rel"), F.col("arg2")
-    words = F.transform("tokens", lambda t: F.lower(t["text"]))
-    sentence = F.array_join(F.transform("tokens", lambda t: t["text"]), " ")
-    tag_list = F.transform("tokens", lambda t: t["postag"])
+    own = shared() if known is None else known
+    words, sentence, tag_list, before, behind = own["words"], own["sentence"], own["tag_list"], own["before"], own["behind"]
+    t1, tr, t2 = own["arg1_tags"], own["rel_tags"], own["arg2_tags"]
     last = F.substring_index(r["text"], " ", -1)
     idx = F.array_sort(F.array_distinct(F.concat(a1["idx"], r["idx"], a2["idx"])))
     bare = F.regexp_replace(F.regexp_replace(r["text"], "^be ", ""), r" \w+$", "")
     verb = lambda t: t.startswith("VB")
-    first, final = lambda p: F.get(tags(p), F.lit(0)), lambda p: F.try_element_at(tags(p), F.lit(-1))
+    first, final = lambda t: F.get(t, F.lit(0)), lambda t: F.try_element_at(t, F.lit(-1))
     out = {
         "sentence has question mark": F.concat_ws(" ", a1["text"], r["text"], a2["text"]).contains("?"),
         "sentence is imperative": F.exists(F.zip_with(tag_list, F.concat(F.array(F.lit(",")), F.slice(tag_list, 1, F.greatest(F.size(tag_list) - 1, F.lit(0)))), lambda t, p: verb(t) & (p == ",")), lambda x: x),
-        "arg2 contains infinitive": F.exists(F.zip_with(tags(a2), F.slice(tags(a2), 2, F.size(tags(a2))), lambda p, t: (p == "TO") & verb(t)), lambda x: F.coalesce(x, F.lit(False))),
+        "arg2 contains infinitive": F.exists(F.zip_with(t2, F.slice(t2, 2, F.size(t2)), lambda p, t: (p == "TO") & verb(t)), lambda x: F.coalesce(x, F.lit(False))),
         "rel is contiguous": sentence.contains(r["text"]),
-        "prep right before arg1": F.coalesce(_before(a1)["postag"].isin(*PREP_TAGS), F.lit(False)),
+        "prep right before arg1": F.coalesce(before["postag"].isin(*PREP_TAGS), F.lit(False)),
         "rel starts with be": F.coalesce(F.get(F.filter("tokens", lambda t: t["idx"] == F.get(r["idx"], F.lit(0))), F.lit(0))["text"].startswith("be "), F.lit(False)),
-        "prep right after arg2": F.coalesce(F.get(_behind(a2), F.lit(0))["postag"].isin(*PREP_TAGS), F.lit(False)),
-        "arg1 is proper": F.forall(tags(a1), lambda t: t.startswith("NNP")),
-        "arg2 is proper": F.forall(tags(a2), lambda t: t.startswith("NNP")),
+        "prep right after arg2": F.coalesce(F.get(behind, F.lit(0))["postag"].isin(*PREP_TAGS), F.lit(False)),
+        "arg1 is proper": F.forall(t1, lambda t: t.startswith("NNP")),
+        "arg2 is proper": F.forall(t2, lambda t: t.startswith("NNP")),
         "sentence starts with extraction": F.least(a1["s"], r["s"], a2["s"]) == 0,
         "sentence begins with arg1": a1["s"] == 0,
-        "sentence ends with arg2": F.forall(_behind(a2), lambda t: t["postag"].isin(".", "?")),
+        "sentence ends with arg2": F.forall(behind, lambda t: t["postag"].isin(".", "?")),
         "pattern confidence": F.least(F.lit(1.0), F.col("pattern_confidence")),
         "arg2 before arg1": a2["e"] <= a1["s"],
         "arg2 before rel": a2["e"] <= r["s"],
-        "args start and end with noun": F.coalesce(first(a1).isin(*OPEN_TAGS) & first(a2).isin(*OPEN_TAGS) & final(a1).isin(*CLOSE_TAGS) & final(a2).isin(*CLOSE_TAGS), F.lit(False)),
-        "if right before arg1": F.coalesce(F.lower(_before(a1)["text"]) == "if", F.lit(False)),
-        "arg1 contains pronoun": _any(a1, lambda t: t.startswith("PRP")),
-        "arg2 contains pronoun": _any(a2, lambda t: t.startswith("PRP")),
+        "args start and end with noun": F.coalesce(first(t1).isin(*OPEN_TAGS) & first(t2).isin(*OPEN_TAGS) & final(t1).isin(*CLOSE_TAGS) & final(t2).isin(*CLOSE_TAGS), F.lit(False)),
+        "if right before arg1": F.coalesce(F.lower(before["text"]) == "if", F.lit(False)),
+        "arg1 contains pronoun": F.exists(t1, lambda t: t.startswith("PRP")),
+        "arg2 contains pronoun": F.exists(t2, lambda t: t.startswith("PRP")),
         "rel ends with of": F.lower(last) == "of",
-        "rel contains verb": F.exists(_rel_tags(), verb),
-        "rel contains gerund": F.exists(_rel_tags(), lambda t: t == "VBG"),
+        "rel contains verb": F.exists(tr, verb),
+        "rel contains gerund": F.exists(tr, lambda t: t == "VBG"),
         "arg1 bad characters": _bad(a1["text"]),
         "rel bad characters": _bad(r["text"]),
         "arg2 bad characters": _bad(a2["text"]),
         "long relation": F.size(F.split(r["text"], " ")) > 10,
         "hyp words in rel": F.size(F.array_except(F.array_intersect(words, F.array(*map(F.lit, HYPOTHETICAL))), F.split(F.lower(r["text"]), " "))) > 0,
         "vacuous extraction": (F.size(F.split(a2["text"], " ")) <= 2) & F.reduce(F.array(*[last.startswith(x) & F.array_contains(F.split(F.lower(a2["text"]), " "), y) for x, y in VACUOUS]), F.lit(False), lambda a, b: a | b),
-        "prep in arg2": _any(a2, lambda t: t.isin(*PREP_TAGS)),
-        "noun-verb-noun in arg1": _nvn(a1),
-        "noun-verb-noun in arg2": _nvn(a2),
+        "prep in arg2": F.exists(t2, lambda t: t.isin(*PREP_TAGS)),
+        "noun-verb-noun in arg1": _nvn(t1),
+        "noun-verb-noun in arg2": _nvn(t2),
         "arg1 borders appositive": _appositive(a1),
         "arg2 borders appositive": _appositive(a2),
         "gap of 10 in rel": F.exists(F.zip_with(idx, F.slice(idx, 2, F.size(idx)), lambda x, y: y - x > 10), lambda x: F.coalesce(x, F.lit(False))),
@@ -158,14 +157,25 @@ DEFAULT_WEIGHTS = {
 }
 
 
-def confidence(weights: dict[str, float] | None = None) -> Column:
+def confidence(weights: dict[str, float] | None = None, known: dict[str, Column] | None = None) -> Column:
     """1 / (1 + exp(-(intercept + sum of weight times feature))); without weights given (None) the default ones."""
     weights = DEFAULT_WEIGHTS if weights is None else weights
-    known = features()
+    own = features(known)
     total = F.lit(float(weights.get("Intercept", 0.0)))
     for name, w in weights.items():
         if name != "Intercept" and w:
             # files of other origin name the extractor's confidence after their extractor
-            feature = known["pattern confidence"] if name not in known and name.endswith(" confidence") else known[name]
+            feature = own["pattern confidence"] if name not in own and name.endswith(" confidence") else own[name]
             total = total + feature * float(w)
     return 1 / (1 + F.exp(-total))
+
+
+def measured(rows: DataFrame, columns: Callable[[dict[str, Column]], dict[str, Column]]) -> DataFrame:
+    """rows with further columns, which ``columns`` makes from what the features share; that is computed once a row, below
+    them, and leaves again. Columns of rows named like a new one are replaced."""
+    parts = shared()
+    names = dict(zip(parts, free(rows.columns, *parts), strict=True))
+    new = columns({k: F.col(f"`{n}`") for k, n in names.items()})
+    wide = rows.withColumns({names[k]: c for k, c in parts.items()})
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in new]
+    return wide.select(*kept, *[c.alias(n) for n, c in new.items()])

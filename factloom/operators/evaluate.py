@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.features import features
+from ..functions.features import features, measured
 from ..functions.store import free, keep
 
 
@@ -396,6 +396,6 @@ def cross_validate(rows: DataFrame, names: list[str], key: str, label: str = "la
 
 def train_from_instances(labelled: DataFrame, names: list[str] | None = None) -> dict[str, float]:
     """Weights from labelled instances (sources.readers.instances): every feature, or those named."""
-    known = features()
-    names = sorted(known) if names is None else names
-    return train(labelled.select(F.col("score").cast("int").alias("label"), *[known[n].alias(n) for n in names]), names)
+    names = sorted(features()) if names is None else names
+    rows = measured(labelled, lambda known: {n: c for n, c in features(known).items() if n in names})
+    return train(rows.select(F.col("score").cast("int").alias("label"), *[F.col(f"`{n}`") for n in names]), names)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import extraction as X
 from ..functions import graph as G
 from ..functions.batch import Batch
-from ..functions.features import DEFAULT_WEIGHTS, confidence, features
+from ..functions.features import DEFAULT_WEIGHTS, confidence, features, measured
 from ..functions.native import collapse, fill_template, parse_graph, simplify_tags
 from ..functions.store import free
 from ..functions.voice import switched
@@ -182,7 +182,7 @@ def unique_facts(facts: Column) -> Column:
 
 def with_confidence(extractions: DataFrame, weights: dict[str, float] | None = None, threshold: float = 0.0) -> DataFrame:
     """Adds confidence by column expressions and keeps what reaches the threshold."""
-    return extractions.withColumn("confidence", confidence(weights)).where(F.col("confidence") >= threshold)
+    return measured(extractions, lambda known: {"confidence": confidence(weights, known)}).where(F.col("confidence") >= threshold)
 
 
 def fact_text() -> Column:
@@ -252,5 +252,7 @@ def switch_voices(sentences: DataFrame, graph: str = "graph") -> DataFrame:
 
 def feature_matrix(extractions: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """confidence, fact and a column for each weighted feature, in order of name; the weights are those of ``with_confidence``."""
-    known, used = features(), DEFAULT_WEIGHTS if weights is None else weights
-    return extractions.select("confidence", fact_text().alias("fact"), *[known[n].alias(n) for n in sorted(used) if n in known])
+    used = DEFAULT_WEIGHTS if weights is None else weights
+    names = [n for n in sorted(used) if n in features()]
+    rows = extractions.withColumn("fact", fact_text())
+    return measured(rows, lambda known: {n: c for n, c in features(known).items() if n in names}).select("confidence", "fact", *[F.col(f"`{n}`") for n in names])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import native as N
 from ..functions.columns import connections
-from ..functions.features import DEFAULT_WEIGHTS, VACUOUS, features, further_features
+from ..functions.features import DEFAULT_WEIGHTS, VACUOUS, features, further_features, measured
 from ..operators import extract as E
 from ..operators import learn as L
 from ..sources import readers as R
@@ -370,5 +370,5 @@ x AS (SELECT *, w[k + 1] || ' ' || w[k + 2] AS a1, w[k + 3] || ' ' || w[k + 4] A
 @query("feature_values", _FEATURES_FROM + " SELECT doc_id, " + ", ".join(f'CAST({x} AS DOUBLE) AS "{n}"' for n, x in FEATURE_SQL.items()) + " FROM x")
 def feature_values(spark, sf_dir):
     """Confidence features over the words of every whole document."""
-    known = features() | further_features()
-    return _tagged(spark, sf_dir).select("doc_id", *[known[n].alias(n) for n in FEATURE_SQL])
+    rows = measured(_tagged(spark, sf_dir), lambda known: features(known) | further_features())
+    return rows.select("doc_id", *[F.col(f"`{n}`") for n in FEATURE_SQL])
