@@ -150,6 +150,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     language (all, where there are fewer). The counting of their words and n-grams is distributed; the counts come to the
     driver, as many as those documents have distinct words and n-grams: the sample bounds them, not the table. Ties in
     the counts don't matter. Raises if lang has more than MOST_LANGUAGES values.
+
+    Rows with a null key, text or language teach nothing; empty texts count as documents without words. Long texts are
+    counted whole, repeated rows each. A table without a usable row gives a model that knows no language. Other columns are
+    ignored.
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.coalesce(~held_out(F.col(key)), F.lit(False)))
     n_of = {r[0]: r[1] for r in usable.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens as P
-from .common import components, forget, grouped, keep, lookup
+from .common import components, forget, free, grouped, keep, lookup
 from .shingles import mix, shingle_sets
 
 #: 64 permutations give 128 values; 25 bands of 5. A pair with similarity 0.85 misses all of them once in two million times.
@@ -133,11 +133,13 @@ def full_sets(docs: DataFrame, text: str) -> DataFrame:
 
 def marked(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """Those rows of docs whose key may be in ``wanted`` (key): all that are, and as few others as a bit table of a fixed
-    size tells apart. The table is broadcast, so the texts aren't shuffled."""
+    size tells apart. The table is broadcast (MARKS rows of two numbers at most, 16 MB), so the texts aren't shuffled."""
     h = F.xxhash64(key)
     word, bit = F.pmod(h, F.lit(MARKS)), F.pmod(F.shiftright(h, 24), F.lit(64)).cast("int")
-    bits = wanted.select(word.alias("word"), bit.alias("b")).groupBy("word").agg(F.collect_set("b").alias("bits"))  # at most MARKS rows of 64 bits
-    return docs.join(F.broadcast(bits), (word == F.col("word")) & F.array_contains("bits", bit), "left_semi")
+    [at, mask] = free(docs.columns, "word", "bits")
+    own = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bits = wanted.select(word.alias(at), own.alias(mask)).groupBy(at).agg(F.bit_or(mask).alias(mask))
+    return docs.join(F.broadcast(bits), (word == F.col(at)) & (F.col(mask).bitwiseAND(own) != 0), "left_semi")
 
 
 def similar_enough(both: Column, x: Column, y: Column, similar: int) -> Column:
@@ -284,7 +286,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     classes = lookup(named, least, "top", "n", rows).select(F.col("id").alias("set_key"), "component", "rows")
     alone = copied.select("set_key", F.col("first").alias("component"), "rows").join(classes.select("set_key"), "set_key", "left_anti")
     known = keep(classes.unionByName(alone), "components")
-    for table in (members, star, placed, sets, reps, named):
+    for table in (members, star, links, roots, placed, more, groups, sets, reps, named):
         forget(table)
     out = lookup(prints.drop("sig"), known, "set_key", "rows", rows)
     component = F.when(F.col(key).isNotNull(), F.coalesce("component", key))

@@ -17,7 +17,7 @@ BOILERPLATE = (
     "click here", "read more", "sign up", "log in", "subscribe to", "newsletter", "share this", "follow us",
     "enable javascript", "back to top", "skip to content", "lorem ipsum",
 )
-#: A line shorter than this (characters) can fail for its ending or as page furniture; a longer one is prose or symbols.
+#: A line shorter than this (characters) can fail for its ending or as page furniture; a longer one is prose or symbols. An argument of ``judge``.
 SHORT = 200
 #: A document whose lines lose more than this share of their characters is rejected.
 MOST_LOST = 0.5
@@ -34,20 +34,20 @@ def symbol_count(text: Column) -> Column:
     return F.when(text.rlike(r"[#*$%&|<>]"), F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", ""))).otherwise(0).cast("long")
 
 
-def line_fails(line: Column) -> Column:
-    """Whether the rules remove a line. Lines without a letter, with noise, in capitals, of navigation or furniture fail."""
+def line_fails(line: Column, short_line: int = SHORT) -> Column:
+    """Whether the rules remove a line; one shorter than ``short_line`` also for its ending or as furniture. Lines without a letter, with noise, in capitals, of navigation or furniture fail."""
     n = F.length(line)
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
     noise = symbol_count(line) * 20 >= n  # navigation bars, tables of links, symbols after every word
     cries = F.when(line.contains("!"), F.length(line) - F.length(F.replace(line, F.lit("!"), F.lit("")))).otherwise(0) * 20 >= n
     capitals = (~line.rlike(r"\p{Ll}{2}")) & line.rlike(r"\p{Lu}{2}") & (letters >= 20)
-    short = n < SHORT
+    short = n < short_line
     furniture = short & F.lower(line).rlike("|".join(BOILERPLATE))
     unended = short & ~line.rlike(r"[.!?:;…。！？»”’\"')\]]\s*$")
     return (~line.rlike(r"\p{L}")) | noise | cries | capitals | furniture | unended
 
 
-def judge(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOST) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOST, short_line: int = SHORT) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and clean_text to docs.
 
     Base: n_words < 10 or 100 * n_repeat_words > 20 * n_words fails. Line-first verdict: ``line_fails`` is evaluated for
@@ -77,7 +77,7 @@ def judge(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOST) ->
     covered = F.aggregate(places, F.struct(F.lit(0).alias("c"), F.lit(0).alias("e")), step, lambda a: a["c"])
     df = df.withColumn(lines, F.split(t, "\n", -1))
     df = df.withColumn(full, F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    df = df.withColumn(left_lines, F.filter(lines, lambda x: ~line_fails(x)))
+    df = df.withColumn(left_lines, F.filter(lines, lambda x: ~line_fails(x, short_line)))
     left = F.length(F.array_join(left_lines, ""))
     df = df.select(
         *[F.col(f"`{c}`") for c in own],

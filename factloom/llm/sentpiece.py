@@ -348,7 +348,9 @@ def decode(docs: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded"
 def digest(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_ids, ids_crc32 (of little-endian 32-bit ids), decoded_equal: encoding, decoding and comparison in one pass.
 
-    Null text counts as empty: 0 ids, equal. A text with U+2581 decodes to a blank there, so it isn't equal.
+    Null or empty text: 0 ids, equal. A text with U+2581 decodes to a blank there, so it isn't equal. Very long texts are
+    encoded whole. A null key is kept; rows that repeat a key are answered each; there are no ties. An empty table gives an
+    empty result. Other columns, whatever they are called, are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()

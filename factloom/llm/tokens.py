@@ -172,7 +172,7 @@ def encoder(path: str, whole: dict[bytes, int]) -> Encoder:
 
 
 def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", limit: int = 1024) -> DataFrame:
-    """Adds n_bytes, n_tokens and over_limit to docs, as the tokenizer file's library counts whole texts.
+    """All columns of docs but the text, and n_bytes, n_tokens and over_limit, as the tokenizer file's library counts whole texts.
 
     Whole-token shortcut: the strings proven to encode alone as one token (``whole_tokens``, at most the vocabulary, sent
     to the workers once) count directly; merges run only for the other distinct pre-tokens. No shuffle.

@@ -129,7 +129,9 @@ def read(index: DataFrame) -> DataFrame:
 
     ``index`` may be any selection of a stored index. Its rows are dealt out by archive and region (so one long archive
     is read by many tasks), sorted by offset, and neighbouring ranges are read at once. Each record is checked against
-    the index: its digest header, and for a response the digest and size of what was read. A null record id stays null.
+    the index: its digest header, and for a response the digest and size of what was read. A null record id stays null; a
+    revisit has a null payload, an empty response an empty one. Long records are read whole; a record named twice is read
+    twice. An empty index gives an empty result. Other columns of the index are ignored.
     """
     region = F.floor(F.col("offset") / (4 * SPAN)).cast("int")
     dealt = index.withColumn("_region", region).repartition("archive", "_region").sortWithinPartitions("archive", "offset")
@@ -173,7 +175,12 @@ def read(index: DataFrame) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Writes all pages and reads the archives back: key, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes all pages and reads the archives back: key, payload_bytes, payload_digest, record_type, refers_to.
+
+    Null or empty html: a payload of 0 bytes. A null key stays null and is a response. Of equal payloads the one with the
+    largest key is the response; rows that repeat that key are responses each, and the others refer to it. Very long pages
+    are written whole. An empty table gives an empty result. Other columns are ignored.
+    """
     kind = pages.schema[key].dataType
     back = read(write(pages, scratch_path(spark, "warc"), key, url, html))
     return back.select(F.col("record_id").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

@@ -266,3 +266,12 @@ def test_quality(spark):
     last = out[len(texts) - 1]
     assert last.kept and "Home" not in last.clean_text and out[len(texts) - 2].kept
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string")).where("kept").count() == 0
+
+
+def test_length_of_short_lines_is_a_parameter(spark):
+    """At the border: a line of just that many characters is prose whatever its ending, one character less is not."""
+    line = "Word by word it goes on and on and on"
+    rows = [(1, f"{line}\n" + "This is a whole sentence, as it should be. " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for short_line, stays in ((len(line), True), (len(line) + 1, False)):
+        assert quality.judge(docs, short_line=short_line).collect()[0].clean_text.startswith(line) == stays
