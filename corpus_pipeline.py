@@ -85,7 +85,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences (see factloom.llm.packing.pack); a null text is a document of the end token."""
+    """Pieces of all documents in sequences (see factloom.llm.packing.pack).
+
+    A null or empty text is a document of the end token alone. Very long texts are cut into pieces. A null doc_id is kept;
+    rows that repeat a doc_id are documents of their own. Ties may be packed in any order. With no documents the result is
+    empty. Other columns, whatever they are called, are left out.
+    """
     return pack(docs, tokenizer())
 
 
