@@ -22,9 +22,9 @@ def free(columns: list[str], *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, a temporary folder is set on a local
-    master, whose executor shares it; any other master raises."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors see: spark.checkpoint.dir, or the one that the session's checkpoints were set to. Where
+    neither is set, a temporary folder is set on a local master, whose executor shares it; any other master raises."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):

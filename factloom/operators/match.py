@@ -77,7 +77,7 @@ def match(edges: DataFrame, patterns: list[Pattern], tokens: DataFrame | None =
     advance together, a hop at a time: a path joins the edges at its last node on (sentence, node), and the edge's direction
     and label lead by an equi-join from the path's state to the next. So a hop costs the paths that some pattern still
     wants, not paths times patterns. Edges that no state uses leave first; both directions and the tokens they lead to are
-    stored once, and so is each hop. The tree is broadcast up to SENT_BYTES and shuffled beyond.
+    stored once, and so is a hop at which some patterns end and others go on. The tree is broadcast up to SENT_BYTES and shuffled beyond.
 
     Tags and lemma expressions are checked where ``tokens`` is given: tags of reached nodes as the path grows, the rest at
     its end. Repeated patterns count once; a pattern without edges matches nothing; rows with a null sentence, node or label
@@ -115,7 +115,7 @@ def match(edges: DataFrame, patterns: list[Pattern], tokens: DataFrame | None =
         paths = paths.where("near <> far")
     paths = paths.select("sent", "state", F.array("near", "far").alias("nodes"), F.array("label").alias("labels"), F.array("near_token", "far_token").alias("tokens"))
     for depth in range(1, tree.depth + 1):
-        if depth < tree.depth:
+        if depth < tree.depth and any(d == depth for d, _, _ in tree.ends):  # read twice: some end here, others go on
             paths = keep(paths, "paths")
         out.append(_ended(spark, paths, [(s, p) for d, s, p in tree.ends if d == depth], depth, bool(checked)))
         if depth < tree.depth:
