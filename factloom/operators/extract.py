@@ -219,14 +219,22 @@ def nary(df: DataFrame, group: list[str], arg1: str, rel: str, arg2: str, start:
     """Facts of one subject and verb with several complements: group, arg1, rel, suffixes (array of struct), n.
 
     The relation loses its longest final preposition, which goes before the second argument; suffixes are in order of
-    their start and one for each start; groups of one aren't n-ary.
+    their start and one for each start; groups of one aren't n-ary. Where the facts say who states them (attrib_arg,
+    attrib_rel) or on what condition (enabler), the distinct ones of all facts of a group come with it: attributions
+    (array of struct) and enablers (array of string), in order, without nulls.
     """
     prep = longest_preposition(rel)
     base = F.when(prep.isNotNull(), F.expr(f"substring({rel}, 1, length({rel}) - length(_p) - 1)")).otherwise(F.col(rel))
     rows = df.withColumn("_p", prep).withColumn("_b", base)
     suffix = F.struct(F.col(start).alias("start"), F.concat_ws(" ", "_p", arg2).alias("text"), F.col(conf).alias("conf"))
-    one = rows.groupBy(*group, arg1, "_b", start).agg(F.max(suffix).alias("x"))
-    return one.groupBy(*group, arg1, F.col("_b").alias(rel)).agg(F.array_sort(F.collect_list("x")).alias("suffixes"), F.count("*").alias("n")).where("n > 1")
+    notes = {}
+    if {"attrib_arg", "attrib_rel"} <= set(df.columns):
+        notes["attributions"] = F.when(F.col("attrib_arg").isNotNull(), F.struct(F.col("attrib_arg").alias("arg"), F.col("attrib_rel").alias("rel")))
+    if "enabler" in df.columns:
+        notes["enablers"] = F.col("enabler")
+    one = rows.groupBy(*group, arg1, "_b", start).agg(F.max(suffix).alias("x"), *[F.collect_set(c).alias(k) for k, c in notes.items()])
+    gathered = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(k)))).alias(k) for k in notes]
+    return one.groupBy(*group, arg1, F.col("_b").alias(rel)).agg(F.array_sort(F.collect_list("x")).alias("suffixes"), F.count("*").alias("n"), *gathered).where("n > 1")
 
 
 def switch_voices(sentences: DataFrame, graph: str = "graph") -> DataFrame:

@@ -21,6 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import graph as G
 from ..functions import native as N
 from ..functions.columns import connections
 from ..functions.features import DEFAULT_WEIGHTS, VACUOUS, features, further_features, measured
@@ -148,6 +149,18 @@ def graph_parse(spark, sf_dir):
     return p.select("o_orderkey", words(F.col("g.tokens"), False).alias("text"), words(F.col("g.deps"), True).alias("labels"))
 
 
+def _dots() -> tuple[str, ...]:
+    """The DOT text of each form, from the plain version; the argument of its names stands open."""
+    return tuple(W.to_dot(G.parse(form), {1}) for form in FORMS)
+
+
+@query("graph_dot", f"SELECT o_orderkey, {sql_form(_dots())} AS dot FROM orders")
+def graph_dot(spark, sf_dir):
+    """Graphs as DOT text, the second token filled."""
+    p = sentences(spark, sf_dir).withColumn("g", N.parse_graph("graph"))
+    return p.select("o_orderkey", W.dot(F.col("g.tokens"), F.col("g.deps"), F.array(F.lit(1))).alias("dot"))
+
+
 @query("extract_sentences", f"WITH {FACTS_SQL} SELECT o_orderkey, '(' || a1 || '; ' || r || '; ' || a2 || ')' || note AS fact, pattern_confidence, pattern FROM f")
 def extract_sentences(spark, sf_dir):
     """The engine end to end: graphs, normal forms, matching, expansion, templates, attribution, duplicates."""

@@ -262,6 +262,18 @@ def nary_group(spark, sf_dir):
     return E.nary(r, ["g"], "a1", "rel", "a2", "s", "c").select("g", "a1", "rel", F.array_join(F.transform("suffixes", lambda x: x["text"]), ";").alias("suffixes"), "n")
 
 
+@query("nary_notes", """WITH r AS (SELECT l_orderkey AS g, l_linenumber AS s, l_linestatus AS rel, CASE WHEN l_linenumber % 3 = 0 THEN 'if ' || (l_partkey % 7) END AS e, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag || ' says' END AS w FROM lineitem)
+SELECT g, rel, count(DISTINCT s) AS n, coalesce(array_to_string(list_sort(list_distinct(list(e) FILTER (e IS NOT NULL))), ';'), '') AS enablers, coalesce(array_to_string(list_sort(list_distinct(list(w) FILTER (w IS NOT NULL))), ';'), '') AS said FROM r GROUP BY g, rel HAVING count(DISTINCT s) > 1""")
+def nary_notes(spark, sf_dir):
+    """Groups of facts with the conditions and the attributions of all their facts."""
+    li = read(spark, sf_dir, "lineitem")
+    said = lambda c: F.when(F.col("l_linenumber") % 2 == 0, c)
+    r = li.select(F.col("l_orderkey").alias("g"), F.lit("it").alias("a1"), F.col("l_linenumber").alias("s"), F.concat("l_linestatus", F.lit(" in")).alias("rel"), F.col("l_suppkey").cast("string").alias("a2"), F.col("l_discount").alias("c"),
+                  F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("if "), (F.col("l_partkey") % 7).cast("string"))).alias("enabler"), said(F.col("l_returnflag")).alias("attrib_arg"), said(F.lit("says")).alias("attrib_rel"))
+    out = E.nary(r, ["g"], "a1", "rel", "a2", "s", "c")
+    return out.select("g", "rel", "n", F.array_join("enablers", ";").alias("enablers"), F.array_join(F.transform("attributions", lambda x: F.concat_ws(" ", x["arg"], x["rel"])), ";").alias("said"))
+
+
 @query("target_arguments", "SELECT lower(replace(n_name, '_', ' ')) AS lemma, count(*) AS count FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE len(n_name) > 2 GROUP BY 1 HAVING count(*) > 50")
 def target_arguments(spark, sf_dir):
     c = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))

@@ -171,6 +171,20 @@ def to_dot(g: Graph, marked: set[int] | None = None) -> str:
     return "digraph sentence {\n" + "\n".join(body) + "\n}\n"
 
 
+def dot(tokens: Column, deps: Column, marked: Column | None = None) -> Column:
+    """``to_dot`` as a column: of tokens (idx, text, postag) and edges (label, src, dst); ``marked`` is an array of places."""
+    quote = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    name = lambda t: quote(F.concat_ws("_", t["text"], t["idx"].cast("string")))
+    filled = lambda t: F.when(F.array_contains(marked, t["idx"]), ", style=filled").otherwise("") if marked is not None else F.lit("")
+    ends = F.array_distinct(F.flatten(F.transform(deps, lambda d: F.array(d["src"], d["dst"]))))
+    used = F.filter(tokens, lambda t: F.array_contains(ends, t["idx"]))
+    nodes = F.transform(used, lambda t: F.concat(F.lit("  "), name(t), F.lit(" [label="), quote(F.concat_ws(" / ", t["text"], t["postag"])), filled(t), F.lit("];")))
+    at = lambda i: name(F.get(F.filter(tokens, lambda t: t["idx"] == i), F.lit(0)))
+    ordered = F.array_sort(F.transform(deps, lambda d: F.struct(d["src"].alias("src"), d["dst"].alias("dst"), d["label"].alias("label"))))
+    edges = F.transform(ordered, lambda d: F.concat(F.lit("  "), at(d["src"]), F.lit(" -> "), at(d["dst"]), F.lit(" [label="), quote(d["label"]), F.lit("];")))
+    return F.concat(F.lit("digraph sentence {\n"), F.array_join(F.concat(nodes, edges), "\n"), F.lit("\n}\n"))
+
+
 def write_lines(df: DataFrame, path: str, header: str | None = None) -> None:
     """Lines as text files, in one job: its commit puts all parts in place at once, a failed job leaves none, and of several
     attempts of a task one counts. A header is a part of its own that sorts first."""
