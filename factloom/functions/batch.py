@@ -8,6 +8,7 @@ operations. Nothing is a matrix, so memory follows the results.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 from itertools import product
@@ -148,13 +149,15 @@ class Batch:
         )
 
     @staticmethod
-    def of_arrow(tokens: pa.Array, deps: pa.Array) -> Batch:
-        """From list columns of structs (idx, text, postag, offset) and (label, src, dst); null lists are empty sentences."""
+    def of_arrow(tokens: pa.Array, deps: pa.Array, lemmas: Callable[[list[str]], list[str]] | None = None) -> Batch:
+        """From list columns of structs (idx, text, postag, offset) and (label, src, dst); null lists are empty sentences.
+        ``lemmas`` gives the lemmas of all texts at once (see functions.lemmas); without it the word rules do."""
         t, d = tokens.flatten(), deps.flatten()
         size = lambda column: np.array([0 if n is None else n for n in column.value_lengths().to_pylist()], np.int64)
         ints = lambda a: a.to_numpy(zero_copy_only=False)
         place = ints(t.field("idx"))
-        return Batch(size(tokens), place, place + 1, t.field("text").to_pylist(), t.field("postag").to_pylist(), None, ints(t.field("offset")), size(deps), ints(d.field("src")), ints(d.field("dst")), d.field("label").to_pylist())
+        text = t.field("text").to_pylist()
+        return Batch(size(tokens), place, place + 1, text, t.field("postag").to_pylist(), None if lemmas is None else lemmas(text), ints(t.field("offset")), size(deps), ints(d.field("src")), ints(d.field("dst")), d.field("label").to_pylist())
 
     def has(self, test) -> np.ndarray:
         """Tokens whose tag passes the test."""

@@ -15,6 +15,7 @@ from ..functions import extraction as X
 from ..functions import graph as G
 from ..functions.batch import Batch
 from ..functions.features import DEFAULT_WEIGHTS, confidence, features, measured
+from ..functions.lemmas import Lemmas
 from ..functions.native import collapse, fill_template, parse_graph, simplify_tags
 from ..functions.store import free
 from ..functions.voice import switched
@@ -101,11 +102,12 @@ def parsed(sentences: DataFrame, graph: str, tokens: str, deps: str, parser: Cal
     return sentences.mapInArrow(run, T.StructType([*sentences.schema.fields, *extra.fields]))
 
 
-def extract(sentences: DataFrame, model: list[str] | None = None, config: Configuration | None = None, graph: str = "graph", parser: Callable[[str], G.Graph] | None = None, keep_empty: bool = False, build: Callable[[Column], Column] | None = None, valid: Callable[[Column], Column] | None = None) -> DataFrame:
+def extract(sentences: DataFrame, model: list[str] | None = None, config: Configuration | None = None, graph: str = "graph", parser: Callable[[str], G.Graph] | None = None, keep_empty: bool = False, build: Callable[[Column], Column] | None = None, valid: Callable[[Column], Column] | None = None, lemmas: list[tuple[str, int, str]] | None = None) -> DataFrame:
     """All columns of sentences and SCHEMA, a row for each extraction. The model (small) goes to every worker with the function; no shuffle.
 
     Reading, normal forms, templates, duplicates and order are column expressions; matching and expansion run over all
     sentences of an Arrow batch together. ``keep_empty``: sentences without extractions give a row of nulls.
+    ``lemmas``: learned rules (suffix, strip, put) for the tokens' lemmas in place of the fixed ones (functions.lemmas).
     ``build`` changes a fact (a struct column of SCHEMA's first fields) before duplicates go, ``valid`` tells which ones stay.
     Null rows and what can't be read give nothing; without ignore_errors the latter raises. Columns of ``sentences`` that
     are called like one of SCHEMA are dropped first.
@@ -130,10 +132,11 @@ def extract(sentences: DataFrame, model: list[str] | None = None, config: Config
 
     def run(batches):
         extractors = X.read_model(lines)
+        of = None if lemmas is None else Lemmas(lemmas)
         for whole in batches:
             for at in range(0, whole.num_rows, CHUNK):
                 batch = whole.slice(at, CHUNK)
-                b = Batch.of_arrow(batch.column(n), batch.column(n + 1))
+                b = Batch.of_arrow(batch.column(n), batch.column(n + 1), of)
                 facts = X.facts(b, extractors, config.threshold, config.expand, not config.all_arguments, attributing)
                 ints = lambda x: pa.array(x, pa.int32())
                 t = pa.StructArray.from_arrays([ints(b.place), pa.array(b.text, pa.string()), pa.array(b.tag, pa.string()), pa.array(b.lemma, pa.string()), ints(b.offset)], names=["idx", "text", "postag", "lemma", "offset"])

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as K
+from ..functions import lemmas as Z
 from ..functions.patterns import parse_pattern
 from ..functions.store import scratch_path
 from ..operators import collections as C
@@ -274,6 +275,35 @@ def nary_notes(spark, sf_dir):
     return out.select("g", "rel", "n", F.array_join("enablers", ";").alias("enablers"), F.array_join(F.transform("attributions", lambda x: F.concat_ws(" ", x["arg"], x["rel"])), ";").alias("said"))
 
 
+_LEMMA_SQL = r"CASE WHEN w LIKE '%tion' THEN left(w, len(w) - 3) || 'te' WHEN w LIKE '%ing' THEN left(w, len(w) - 3) WHEN w LIKE '%nd' THEN 'nd' ELSE w END"
+LEMMAS_SQL = f"""v AS (SELECT DISTINCT word AS w FROM w WHERE doc_id % 2 = 0), p AS (SELECT w, {_LEMMA_SQL} AS l FROM v),
+c AS (SELECT w, l, list_max(list_filter(range(0, least(len(w), len(l)) + 1), lambda k: left(w, k) = left(l, k))) AS k FROM p WHERE l <> ''),
+r AS (SELECT w, len(w) - k AS strip, l[k + 1:] AS put FROM c),
+s AS (SELECT strip, put, unnest(list_concat(list_transform(range(greatest(strip, 1), least(len(w), 6) + 1), lambda n: right(w, n)), ['^' || w])) AS suffix FROM r),
+n AS (SELECT suffix, strip, put, count(*) AS n FROM s GROUP BY ALL HAVING count(*) >= 2 OR suffix LIKE '^%'),
+rules AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY suffix ORDER BY n DESC, strip, put) = 1)"""
+
+
+def lemma_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct words of half of all documents with a lemma by three endings, as (form, lemma)."""
+    w = words(spark, sf_dir).where("doc_id % 2 = 0").select(F.col("word").alias("w")).distinct()
+    lemma = F.when(F.endswith("w", F.lit("tion")), F.concat(F.expr("left(w, length(w) - 3)"), F.lit("te"))).when(F.endswith("w", F.lit("ing")), F.expr("left(w, length(w) - 3)")).when(F.endswith("w", F.lit("nd")), "nd").otherwise(F.col("w"))
+    return w.select(F.col("w").alias("form"), lemma.alias("lemma"))
+
+
+@query("lemma_rules", f"WITH {WORDS_SQL}, {LEMMAS_SQL} SELECT suffix, CAST(strip AS INTEGER) AS strip, put, n FROM rules")
+def lemma_rules(spark, sf_dir):
+    return Z.learn(lemma_pairs(spark, sf_dir)).select("suffix", "strip", "put", "n")
+
+
+@query("lemmas", f"""WITH {WORDS_SQL}, {LEMMAS_SQL}, u AS (SELECT DISTINCT word AS w FROM w), x AS (SELECT w, unnest(list_concat(list_transform(range(1, least(len(w), 6) + 1), lambda n: right(w, n)), ['^' || w])) AS suffix FROM u),
+ m AS (SELECT x.w, strip, put, row_number() OVER (PARTITION BY x.w ORDER BY strip IS NULL, suffix LIKE '^%' DESC, len(suffix) DESC) AS k FROM x LEFT JOIN rules USING (suffix))
+ SELECT w AS word, coalesce(left(w, len(w) - strip) || put, w) AS lemma FROM m WHERE k = 1""")
+def lemmas(spark, sf_dir):
+    """Lemmas of all words of all documents, by rules learned from half of them."""
+    return Z.lemmatize(words(spark, sf_dir).select("word").distinct(), Z.learn(lemma_pairs(spark, sf_dir))).select("word", "lemma")
+
+
 @query("target_arguments", "SELECT lower(replace(n_name, '_', ' ')) AS lemma, count(*) AS count FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE len(n_name) > 2 GROUP BY 1 HAVING count(*) > 50")
 def target_arguments(spark, sf_dir):
     c = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))

@@ -566,3 +566,27 @@ def test_voices_and_feature_matrix(spark):
     facts = E.with_confidence(E.extract(spark.createDataFrame(SENTENCES, "sent long, graph string")))
     matrix = E.feature_matrix(facts)
     assert matrix.count() == facts.count() and {"arg1 is proper", "confidence", "fact"} <= set(matrix.columns)
+
+
+def test_learned_lemmas(spark):
+    """Rules learned from half of the words give the teacher's lemmas for most of the others; arrays and joins agree."""
+    from factloom.functions import lemmas as Z
+
+    rng = random.Random(1)
+    stems = ["".join(rng.choice(["b", "tr", "l", "sk", "m", "n", "p"]) + rng.choice("aeiou") for _ in range(rng.randint(2, 3))) + rng.choice("tkmnd") for _ in range(700)]
+    forms = sorted({s + e for s in stems for e in ("", "s", "ed", "ing", "ies", "ches")} | {"was", "were", "men", "é", "x"})
+    rng.shuffle(forms)
+    taught, rest = forms[::2], forms[1::2]
+    pairs = [(w, G.lemma(w)) for w in taught] + [(None, "x"), ("two words", "two word"), ("", "")]
+    rules = Z.learn(spark.createDataFrame([*pairs, *pairs[:40]], "form string, lemma string"))
+    table = [(r.suffix, r.strip, r.put) for r in rules.collect()]
+    of = Z.Lemmas(table)
+    assert of([w.upper() for w in taught]) == [G.lemma(w) for w in taught]
+    right = sum(a == G.lemma(w) for a, w in zip(of(rest), rest, strict=True)) / len(rest)
+    assert right > 0.97, right
+    asked = [*forms, "Zzz", "unseen"]
+    got = {r.word: r.lemma for r in Z.lemmatize(spark.createDataFrame([(w,) for w in [*asked, None]], "word string"), rules).collect()}
+    assert got.pop(None) is None and got == dict(zip(asked, of(asked), strict=True)) and of([]) == []
+    assert Z.learn(spark.createDataFrame([], "form string, lemma string")).collect() == []
+    plain = E.extract(spark.createDataFrame(SENTENCES, "sent long, graph string"), lemmas=[("^floods", 1, "!")]).where("sent = 1").first()
+    assert [t.lemma for t in plain.tokens if t.text in ("floods", "meadows")] == ["flood!", "meadows"]
