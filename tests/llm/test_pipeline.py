@@ -47,3 +47,45 @@ def test_near_copies_from_80_percent(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in pipeline.near_copies(spark, docs, str(tmp_path)).collect()}
     assert kept == {2 * i for i in range(40)} | {2 * i + 1 for i in range(30, 40)}
+
+
+def test_run_equals_the_plain_pipeline(spark, tmp_path):
+    """All rows of run() over generated documents and the smallest table, against plain versions of the five stages."""
+    import random
+
+    from factloom.llm.packing import CAPACITY, best_fit, least_sequences
+
+    from . import plain_pipeline as plain
+    from .test_groups import passages
+
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(12)
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    rows = [(r.doc_id, r.text, r.lang) for r in table]
+    base = max(r[0] for r in rows) + 1
+    prose = [t for _, t, _ in rows if t and 300 < len(t) < 3000 and "\n" not in t]
+    for i in range(60):  # near copies around the bar, wrapped passages, navigation, noise
+        words = rng.choice(prose).split(" ")
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = rng.choice(["sondern", "zwischen", "whereas", "pourtant"])
+        text = " ".join(words)
+        if i % 4 == 0:
+            text += "\n" + rng.choice(["Home | About | Help", "!!!!", "SUBSCRIBE TO OUR NEWSLETTER TODAY AND SAVE MONEY", "It ends here."])
+        rows.append((base + i, text, rng.choice(["en", "de", None])))
+    rows += [(base + 100 + i, t, None) for i, t in passages(4)[:40]]
+    spark.createDataFrame([(i, t, k, "s", len(t or "")) for i, t, k in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = pipeline.run(spark, str(tmp_path)).collect()
+    left = plain.kept(rows)
+    assert 150 < len(left) < len(rows)
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == sorted(plain.pieces(left))
+    places = {}
+    for r in out:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and sum(n for _, n in own) <= CAPACITY
+    have = {}
+    for r in out:
+        have[r.length] = have.get(r.length, 0) + 1
+    assert least_sequences(have, CAPACITY) <= len(places) <= sum(n for _, n in best_fit(have, CAPACITY))
