@@ -25,6 +25,8 @@ from ..functions import graph as G
 from ..functions import native as N
 from ..functions.columns import connections
 from ..functions.features import DEFAULT_WEIGHTS, VACUOUS, features, further_features, measured
+from ..functions.store import scratch_path
+from ..operators import collections as C
 from ..operators import extract as E
 from ..operators import learn as L
 from ..sources import readers as R
@@ -273,6 +275,11 @@ KNOWN = (
 @query("induce_patterns", " UNION ALL ".join(f"SELECT o_orderkey, '{k[5]}' AS pattern FROM orders WHERE o_orderkey % {N_FORMS} = {k[0]}" for k in KNOWN if not k[5].startswith("{arg1} <conj")))
 def induce_patterns(spark, sf_dir):
     """From sentences that hold a known fact to the paths that express it; a path over a conjunction isn't valid."""
+    return known_patterns(spark, sf_dir)
+
+
+def known_patterns(spark: SparkSession, sf_dir: str, longest: int | None = None) -> DataFrame:
+    """o_orderkey, pattern: of the facts that are known."""
     rows = sentences(spark, sf_dir).join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
 
     def named(i: int) -> Column:
@@ -282,7 +289,7 @@ def induce_patterns(spark, sf_dir):
         return text
 
     facts = rows.where(F.col("form").isin([k[0] for k in KNOWN]))
-    built = L.build_patterns(facts.select(*[named(i).alias(c) for i, c in enumerate(("rel", "arg1", "arg2", "lemmas"), 1)], F.col("o_orderkey").cast("string").alias("text"), F.col("graph").alias("deps")))
+    built = L.build_patterns(facts.select(*[named(i).alias(c) for i, c in enumerate(("rel", "arg1", "arg2", "lemmas"), 1)], F.col("o_orderkey").cast("string").alias("text"), F.col("graph").alias("deps")), longest)
     return built.select(F.col("text").cast("long").alias("o_orderkey"), "pattern")
 
 
@@ -385,3 +392,99 @@ def feature_values(spark, sf_dir):
     """Confidence features over the words of every whole document."""
     rows = measured(_tagged(spark, sf_dir), lambda known: features(known) | further_features())
     return rows.select("doc_id", *[F.col(f"`{n}`") for n in FEATURE_SQL])
+
+
+# Options of the engine, and files that it reads ------------------------------------------------------------------------
+
+
+@query("voice_flags", f"""WITH {FACTS_SQL} SELECT o_orderkey, r AS rel, contains(pattern, 'nsubjpass') OR r LIKE '% by' AS passive,
+ (contains(pattern, 'nsubj<') OR contains(pattern, '>nsubj')) AND (contains(pattern, 'nsubj<') OR NOT contains(pattern, 'nsubjpass')) AS active FROM f""")
+def voice_flags(spark, sf_dir):
+    return extracted(spark, sf_dir).select("o_orderkey", F.col("rel.text").alias("rel"), "passive", "active")
+
+
+@query("sure_patterns", f"WITH {FACTS_SQL} SELECT o_orderkey, r AS rel, pattern FROM f WHERE pattern_confidence >= 0.8")
+def sure_patterns(spark, sf_dir):
+    """Only patterns of some confidence are matched."""
+    return E.extract(sentences(spark, sf_dir), config=E.Configuration(threshold=0.8)).select("o_orderkey", F.col("rel.text").alias("rel"), "pattern")
+
+
+@query("sure_facts", f"WITH {FACTS_SQL} SELECT o_orderkey, r AS rel FROM f WHERE 1 / (1 + exp(-({_ODDS_SQL}))) >= 0.75")
+def sure_facts(spark, sf_dir):
+    """Only facts of some confidence are kept."""
+    return E.with_confidence(E.extract(sentences(spark, sf_dir)), threshold=0.75).select("o_orderkey", F.col("rel.text").alias("rel"))
+
+
+_GENERAL = ["general", "{arg1} <nsubjpass< {rel:postag=VBN} >agent> {arg2}\t0.9", "{arg1} <nsubj< {rel:postag=VBD} >dobj> {arg2}"]
+
+
+@query("general_model", " UNION ALL ".join(f"SELECT o_orderkey, {_named(a)} || ' / ' || {_named(r)} || ' / ' || {_named(b)} AS fact, {c}::DOUBLE AS pattern_confidence, NULL::VARCHAR AS template FROM orders WHERE o_orderkey % {N_FORMS} = {form}"
+        for form, a, r, b, c in ((1, "order%o", "was sent", "Cust%c", 0.9), (5, "Clerk%k", "sent Cust%c", "crates that leak", 1.0), (8, "order%o", "can soon be taken", "Cust%c", 0.9))))
+def general_model(spark, sf_dir):
+    """A model without templates: a relation is what the match and its expansion say."""
+    return E.extract(sentences(spark, sf_dir), _GENERAL).select("o_orderkey", F.concat_ws(" / ", "arg1.text", "rel.text", "arg2.text").alias("fact"), "pattern_confidence", "template")
+
+
+@query("without_expansion", f"WITH {FACTS_SQL} SELECT o_orderkey, CASE o_orderkey % {N_FORMS} WHEN 4 THEN 'Cust' || o_custkey ELSE 'Clerk' || (o_orderkey % 97) END AS arg1, CASE o_orderkey % {N_FORMS} WHEN 4 THEN 'load' WHEN 5 THEN 'sent' ELSE 'repair' END AS rel, CASE o_orderkey % {N_FORMS} WHEN 6 THEN 'cranes' ELSE 'crates' END AS arg2 FROM f JOIN orders USING (o_orderkey) WHERE o_orderkey % {N_FORMS} IN (4, 5, 6)")
+def without_expansion(spark, sf_dir):
+    """The bare words of a match."""
+    found = E.extract(sentences(spark, sf_dir).where("form IN (4, 5, 6)"), config=E.Configuration(expand=False))
+    return found.select("o_orderkey", F.col("arg1.text").alias("arg1"), F.col("rel.text").alias("rel"), F.col("arg2.text").alias("arg2"))
+
+
+@query("skipped_errors", f"WITH {FACTS_SQL} SELECT o_orderkey, r AS rel FROM f WHERE o_orderkey % 7 > 1")
+def skipped_errors(spark, sf_dir):
+    """Graphs that are cut off or missing give nothing, the others are as ever."""
+    broken = F.when(F.col("o_orderkey") % 7 == 0, F.concat("graph", F.lit(" nsubj("))).when(F.col("o_orderkey") % 7 > 1, F.col("graph"))
+    return E.extract(sentences(spark, sf_dir).withColumn("graph", broken)).select("o_orderkey", F.col("rel.text").alias("rel"))
+
+
+@query("sniffed_columns", f"SELECT o_orderkey, CASE o_orderkey % {N_FORMS} {' '.join(f'WHEN {i} THEN {_named(x)}' for i, x in enumerate(FORMS))} END AS graph FROM orders")
+def sniffed_columns(spark, sf_dir):
+    """Files whose graphs stand in different fields, read together."""
+    path, s = scratch_path(spark, "sniffed"), sentences(spark, sf_dir)
+    key = F.col("o_orderkey").cast("string")
+    s.where("o_orderkey % 2 = 0").select(F.concat_ws("\t", key, "graph", F.lit("x")).alias("line")).write.text(f"{path}/even")
+    s.where("o_orderkey % 2 <> 0").select(F.concat_ws("\t", key, F.lit("y"), F.lit("z"), "graph").alias("line")).write.text(f"{path}/odd")
+    return R.sniffed(spark, [f"{path}/even", f"{path}/odd"]).select(F.get(F.split("line", "\t"), F.lit(0)).cast("long").alias("o_orderkey"), "graph")
+
+
+@query("wide_lines", "SELECT o_orderkey || ': ' || chr(2570) || ' é ' || o_comment AS sentence FROM (SELECT o_orderkey, 'order of ' || o_custkey || chr(2826) AS o_comment FROM orders)")
+def wide_lines(spark, sf_dir):
+    """Lines written in units of 16 bits, with characters that hold a byte 10, and read in ranges."""
+    path, o = scratch_path(spark, "wide"), read(spark, sf_dir, "orders")
+    line = F.concat(F.col("o_orderkey").cast("string"), F.lit(": ਊ é order of "), F.col("o_custkey").cast("string"), F.lit("ଊ"))
+    o.select(line.alias("line")).write.option("encoding", "UTF-16LE").option("quote", "").option("escape", "").option("sep", "\x01").option("lineSep", "\n").csv(path)
+    return R.lines(spark, path, "UTF-16LE").select("sentence")
+
+
+@query("table_round_trip", "SELECT CASE WHEN o_orderkey % 3 = 0 THEN true WHEN o_orderkey % 3 = 1 THEN false END AS score, o_totalprice / 1000000 AS confidence, '(' || o_custkey || '; ' || o_orderstatus || ')' AS extraction, o_orderpriority || ',' || o_orderkey AS extra FROM orders")
+def table_round_trip(spark, sf_dir):
+    """A scored table written as lines and read back, with flags, numbers and further columns."""
+    path, o = scratch_path(spark, "scored"), read(spark, sf_dir, "orders")
+    flag = F.when(F.col("o_orderkey") % 3 == 0, "1").when(F.col("o_orderkey") % 3 == 1, "0").otherwise("")
+    line = F.concat_ws("\t", flag, (F.col("o_totalprice") / 1000000).cast("string"), F.concat(F.lit("("), F.col("o_custkey").cast("string"), F.lit("; "), "o_orderstatus", F.lit(")")), "o_orderpriority", F.col("o_orderkey").cast("string"))
+    o.select(line.alias("line")).write.text(path)
+    return R.table(spark, path, "scored").select("score", "confidence", "extraction", F.array_join("extra", ",").alias("extra"))
+
+
+@query("template_lines", """SELECT p_brand || chr(9) || '{arg1} <nsubj< {rel:postag=NN} >prep_of> {arg2}' || chr(9) || count(*) || chr(9) || string_agg(w || ' -> ' || n, chr(9) ORDER BY w) AS line
+ FROM (SELECT p_brand, lower(split_part(p_type, ' ', 1)) AS w, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_brand""")
+def template_lines(spark, sf_dir):
+    """Templates with the words of their slots, as lines."""
+    words = read(spark, sf_dir, "part").groupBy("p_brand", F.lower(F.get(F.split("p_type", " "), F.lit(0))).alias("w")).agg(F.count("*").alias("n"))
+    rows = words.groupBy(F.col("p_brand").alias("template")).agg(F.count("*").alias("count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("w", "n")))).alias("slots"))
+    return W.template_lines(rows.withColumn("pattern", F.lit("{arg1} <nsubj< {rel:postag=NN} >prep_of> {arg2}")), True)
+
+
+@query("pattern_components", f"""WITH {FACTS_SQL}, c AS (SELECT 'edge' AS kind, unnest(regexp_extract_all(pattern, '[<>]([a-z_]+)[<>]', 1)) AS component FROM f UNION ALL SELECT 'tag', unnest(regexp_extract_all(pattern, 'postag=([A-Z]+)', 1)) FROM f)
+ SELECT kind, component, count(*) AS n FROM c GROUP BY ALL""")
+def pattern_components(spark, sf_dir):
+    """Labels and tags of the patterns that found something."""
+    return C.pattern_components(extracted(spark, sf_dir))
+
+
+@query("short_patterns", " UNION ALL ".join(f"SELECT o_orderkey, '{k[5]}' AS pattern FROM orders WHERE o_orderkey % {N_FORMS} = {k[0]}" for k in KNOWN if k[5].count("{") <= 3))
+def short_patterns(spark, sf_dir):
+    """Induced patterns of at most three nodes."""
+    return known_patterns(spark, sf_dir, 3)
