@@ -148,12 +148,12 @@ def similar_enough(both: Column, x: Column, y: Column, similar: int) -> Column:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """Those (a, b) whose full sets are similar: 100 * intersection >= similar * union. A set ``a`` that has many pairs is
-    copied once for each STAR of them."""
-    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("copies"))
-    many = copies.where("copies > 1")  # fewer than pairs / STAR
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(copies, "a")
+    copied once for each STAR of them. ``pairs`` is a stored table."""
+    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("copies"), F.count("*").alias("n"))
+    many = copies.where("copies > 1")
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(copies.drop("n"), "a")
     left = left.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-    dealt = pairs.join(many, "a", "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64("b"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
+    dealt = lookup(pairs, many, "a", "n", pairs.rows).withColumn("copy", F.coalesce(F.pmod(F.xxhash64("b"), F.col("copies")), F.lit(0)).cast("int")).drop("copies", "n")
     x = dealt.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(left, ["a", "copy"])
     both = F.size(F.array_intersect("x", "y"))
     # sizes alone rule out many pairs before anything is intersected
