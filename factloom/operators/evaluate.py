@@ -11,8 +11,9 @@ from ..functions.features import features, measured
 from ..functions.store import free, keep
 
 
-#: Extractions of one length that one task compares.
-DEALT = 1000
+#: Strings on either side of a block of pairs that one task compares, and tasks at most.
+SIDE = 1000
+TASKS = 2000
 
 
 def score(extractions: DataFrame, gold: DataFrame, threshold: float = 0.0, keep_unscored: bool = True, order: str | None = None) -> DataFrame:
@@ -40,20 +41,22 @@ def _segments(length: Column, most: Column) -> Column:
     return F.transform(F.sequence(F.lit(1).cast("long"), (most + 1).cast("long")), one)
 
 
-def candidates(extractions: DataFrame, gold: DataFrame) -> DataFrame:
-    """(extraction, suggestion, most) pairs among which all are that differ in at most ``most`` places, below half the extraction's length.
+def _candidates(extractions: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(extraction, suggestion, most) pairs, and rows (suggestion, block) where block is an array of (extraction, most): pairs among which all are that differ in at most ``most`` places, below half the extraction's length.
 
     Pigeonhole: cut into most + 1 stretches, an extraction keeps one of them unchanged in any such string, with at most
     i - 1 changes before the i-th and the others behind it; so a gold string holds it at one of few places. Stretches meet
     those substrings by equality of (length, i, text). An extraction whose stretches are so frequent that this would give
-    more pairs than there are gold strings of similar length meets just those instead, by equal lengths: ``banded``.
+    more pairs than there are gold strings of similar length meets just those instead, by equal lengths: ``banded``. These
+    pairs, as many as the extractions times the gold of their length, are a grid of blocks of SIDE by SIDE strings, dealt
+    to as many tasks as there are blocks, up to TASKS; a block's extractions travel as one array.
     """
     a = extractions.select("extraction").distinct().select("extraction", F.length("extraction").alias("la"))
     a = a.withColumn("most", (F.floor(F.col("la") / 2) - 1).cast("int")).where("most >= 0")
     b = gold.select(F.col("extraction").alias("suggestion")).distinct().where("suggestion IS NOT NULL").withColumn("lb", F.length("suggestion"))
     lengths = sorted(r["la"] for r in a.select("la").distinct().collect())  # no more than the longest extraction has letters
     if not lengths:
-        return a.select("extraction", F.lit(None).cast("string").alias("suggestion"), "most").where("false")
+        return a.select("extraction", F.lit(None).cast("string").alias("suggestion"), "most").where("false"), None
     half = lambda n: F.floor(n / 2) - 1
     near = F.filter(F.array(*map(F.lit, lengths)), lambda n: F.abs(n - F.col("lb")) <= half(n))
     probes = b.withColumn("la", F.explode(near)).withColumn("most", half(F.col("la")))
@@ -73,22 +76,40 @@ def candidates(extractions: DataFrame, gold: DataFrame) -> DataFrame:
     cost = keep(cost.where("pairs > 0").join(band, "la").withColumn("banded", F.col("pairs") >= F.col("band")), "costs")
     few = own.join(cost.where("not banded").select("extraction"), "extraction")
     met = few.join(probes, ["la", "i", "piece"]).select("extraction", "suggestion", "most").distinct()
-    # extractions of one length are dealt out to as many tasks as their number asks for; gold of a length goes to each
     wide = cost.where("banded").select("extraction", "la", "most")
-    wide = wide.withColumn("lb", F.explode(F.sequence(F.col("la") - F.col("most"), F.col("la") + F.col("most"))))
-    parts = wide.groupBy("lb").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts"))
-    wide = wide.join(parts, "lb").withColumn("part", F.pmod(F.xxhash64("extraction"), F.col("parts")).cast("int")).drop("parts")
-    all_b = b.join(parts, "lb").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return met.unionByName(wide.join(all_b, ["lb", "part"]).select("extraction", "suggestion", "most"))
+    wide = keep(wide.withColumn("lb", F.explode(F.sequence(F.col("la") - F.col("most"), F.col("la") + F.col("most")))), "banded")
+    ceiled = lambda rows, name: rows.groupBy("lb").agg(F.ceil(F.count("*") / SIDE).cast("int").alias(name))
+    grid = keep(ceiled(wide, "across").join(ceiled(b, "down"), "lb"), "grid")  # a row a length
+    blocks = grid.agg(F.sum(F.col("across").cast("long") * F.col("down"))).first()[0] or 0
+    if not blocks:
+        return met, None
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = wide.join(grid, "lb").withColumn("x", part("extraction", "across")).groupBy("lb", "x", "down").agg(F.collect_list(F.struct("extraction", "most")).alias("block")).withColumn("y", each("down"))
+    right = b.join(grid, "lb").withColumn("y", part("suggestion", "down")).withColumn("x", each("across"))
+    # a given number of partitions stays as it is: by their few bytes the blocks would end in one task
+    dealt = lambda rows: rows.repartition(min(blocks, TASKS), "lb", "x", "y")
+    return met, dealt(right.select("lb", "x", "y", "suggestion")).join(dealt(left.select("lb", "x", "y", "block")), ["lb", "x", "y"]).select("suggestion", "block")
+
+
+def candidates(extractions: DataFrame, gold: DataFrame) -> DataFrame:
+    """(extraction, suggestion, most): all pairs that ``suggest`` compares."""
+    met, blocks = _candidates(extractions, gold)
+    return met if blocks is None else met.unionByName(blocks.select("suggestion", F.inline("block")))
 
 
 def suggest(extractions: DataFrame, gold: DataFrame) -> DataFrame:
     """(extraction, suggestion, distance): gold strings nearer than half the extraction's length, among ``candidates``.
 
     Null strings have no partners; repeated ones count once; an extraction of two or three letters meets its equal only.
+    Each pair of a block is compared once, inside its array, and those that are too far apart never become rows.
     """
-    near = candidates(extractions, gold).withColumn("distance", F.levenshtein("extraction", "suggestion"))
-    return near.where("distance <= most").select("extraction", "suggestion", "distance")
+    met, blocks = _candidates(extractions, gold)
+    near = met.withColumn("distance", F.levenshtein("extraction", "suggestion")).where("distance <= most").select("extraction", "suggestion", "distance")
+    if blocks is None:
+        return near
+    told = F.transform("block", lambda x: F.struct(x["extraction"].alias("extraction"), F.levenshtein(x["extraction"], F.col("suggestion")).alias("distance"), x["most"].alias("most")))
+    return near.unionByName(blocks.select("suggestion", F.inline(F.filter(told, lambda x: x["distance"] <= x["most"]))).select("extraction", "suggestion", "distance"))
 
 
 def precision_yield(scored: DataFrame, conf: str, correct: Column, ties: list[str], by: list[str] | None = None, whole: bool = False) -> DataFrame:

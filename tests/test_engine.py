@@ -491,6 +491,15 @@ def test_suggestions_by_stretches(spark):
     assert V.suggest(names.where("false"), table).count() == 0
 
 
+def test_suggestions_of_common_stretches_take_many_tasks(spark, monkeypatch):
+    """All pairs of names that share their stretches: each once, by many tasks, however few bytes the names have."""
+    monkeypatch.setattr(V, "SIDE", 50, raising=False)
+    names = spark.createDataFrame([(f"Supplier#{i:09d}",) for i in range(300)], "extraction string")
+    found = V.suggest(names, names)
+    assert found.count() == found.distinct().count() == 90_000  # three places differ at most
+    assert found.select(F.spark_partition_id().alias("task")).distinct().count() > 8
+
+
 def test_native_graph_codec(spark):
     df = spark.createDataFrame([(1, SPLIT), (2, "no graph")], "i int, g string").select("i", parse_graph("g").alias("p"))
     rows = {r.i: r.p for r in df.collect()}
