@@ -96,10 +96,12 @@ def with_extraction(sentences: DataFrame, extractions: DataFrame, key: str, afte
 
 
 def pattern_components(patterns: DataFrame, column: str = "pattern") -> DataFrame:
-    """kind (edge, tag), component, n over pattern strings."""
-    labels = patterns.select(F.lit("edge").alias("kind"), F.explode(F.regexp_extract_all(F.col(column), F.lit(r"[<>]([\w:]+)[<>]"), F.lit(1))).alias("component"))
-    tags = patterns.select(F.lit("tag").alias("kind"), F.explode(F.regexp_extract_all(F.col(column), F.lit(r"postag=(\w+)"), F.lit(1))).alias("component"))
-    return labels.unionByName(tags).groupBy("kind", "component").agg(F.count("*").alias("n"))
+    """kind (edge, tag), component, n over pattern strings, which are made once."""
+    found = lambda kind, regex: F.transform(F.regexp_extract_all(F.col(column), F.lit(regex), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("component")))
+    both = F.concat(found("edge", r"[<>]([\w:]+)[<>]"), found("tag", r"postag=(\w+)"))
+    # repeated patterns are counted before they are taken apart
+    each = patterns.groupBy(F.col(column)).agg(F.count("*").alias("n"))
+    return each.select("n", F.inline(both)).groupBy("kind", "component").agg(F.sum("n").alias("n"))
 
 
 def sentence_components(edges: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -500,6 +500,32 @@ def test_suggestions_of_common_stretches_take_many_tasks(spark, monkeypatch):
     assert found.select(F.spark_partition_id().alias("task")).distinct().count() > 8
 
 
+def test_pattern_components_read_their_rows_once(spark):
+    """Labels and tags come from one pass over the patterns, which are dear to make."""
+    from factloom.operators import collections as C
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([("{arg1} <nsubj< {rel:postag=VBZ} >dobj> {arg2}",)] * 3 + [("{arg1} >appos> {rel:postag=NN} >prep_of> {arg2}",), (None,)], "pattern string").mapInArrow(run, "pattern string")
+    got = sorted(tuple(r) for r in C.pattern_components(rows).collect())
+    assert got == [("edge", "appos", 1), ("edge", "dobj", 3), ("edge", "nsubj", 3), ("edge", "prep_of", 1), ("tag", "NN", 1), ("tag", "VBZ", 3)]
+    assert seen.value == 5
+
+
+def test_score_is_computed_once(spark):
+    """The threshold's filter doesn't repeat the score below the columns."""
+    rows = E.extract(spark.createDataFrame([(SENTENCES[0][1],)], "graph string"))
+    scored = E.with_confidence(rows, threshold=0.1)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EXP(") == 1 and scored.count() == 1
+    assert E.with_confidence(rows, threshold=0.9999).count() == 0
+
+
 def test_native_graph_codec(spark):
     df = spark.createDataFrame([(1, SPLIT), (2, "no graph")], "i int, g string").select("i", parse_graph("g").alias("p"))
     rows = {r.i: r.p for r in df.collect()}
