@@ -180,12 +180,18 @@ def unique_facts(facts: Column) -> Column:
     first = lambda f, g: F.when(f["pattern"] != g["pattern"], g["pattern"] < f["pattern"]).otherwise(g["rel"]["idx"] < f["rel"]["idx"])
     once = F.array_distinct(F.filter(facts, lambda f: ~F.exists(facts, lambda g: same(f, g) & first(f, g))))
     inside = lambda f, g: (f["rel"]["text"] == g["rel"]["text"]) & (f["rel"]["idx"] == g["rel"]["idx"]) & (f["pattern_confidence"] < g["pattern_confidence"]) & (g["arg1"]["text"].contains(f["arg1"]["text"]) | g["arg2"]["text"].contains(f["arg2"]["text"]))
-    return F.filter(once, lambda f: ~F.exists(facts, lambda g: inside(f, g)))
+    return F.when(F.size(facts) > 1, F.filter(once, lambda f: ~F.exists(facts, lambda g: inside(f, g)))).otherwise(facts)  # one fact has no other
 
 
 def with_confidence(extractions: DataFrame, weights: dict[str, float] | None = None, threshold: float = 0.0) -> DataFrame:
-    """Adds confidence by column expressions and keeps what reaches the threshold."""
-    return measured(extractions, lambda known: {"confidence": confidence(weights, known)}).where(F.col("confidence") >= threshold)
+    """Adds confidence by column expressions and keeps what reaches the threshold.
+
+    The rows are kept by exploding an array of one confidence or none: a filter would be moved below the columns and
+    compute the whole score once more.
+    """
+    rows = measured(extractions, lambda known: {"confidence": confidence(weights, known)})
+    others = [F.col(f"`{c}`") for c in rows.columns if c != "confidence"]
+    return rows.select(*others, F.explode(F.when(F.col("confidence") >= threshold, F.array("confidence"))).alias("confidence"))
 
 
 def fact_text() -> Column:
