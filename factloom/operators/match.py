@@ -145,34 +145,64 @@ def _ended(spark: SparkSession, paths: DataFrame, ends: list[tuple[int, Pattern]
     return hits.select("sent", "pattern", "nodes", "labels")
 
 
-def possible(edges: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """(sent, pattern): patterns all of whose labels occur in a sentence; a pre-check before matching.
+#: Bits of a number that tell which wants a sentence has.
+BITS = 60
+
 
-    Labels are resolved by the dictionary. Of each pattern's wants the one in fewest sentences is its anchor; a sentence
-    meets the patterns of the anchors that it has by equality, and the other wants are looked up in the sentence's own set,
-    which is no larger than the model's wants. Patterns without edges are possible nowhere.
+def _possible(edges: DataFrame, tree: Tree, whole: bool) -> tuple[DataFrame | None, DataFrame]:
+    """(sent, w0, w1 ...) stored if ``whole``, and (w0, w1 ..., n, pattern): the patterns of each distinct set of wants, which n sentences have.
+
+    Labels are resolved by the dictionary; a sentence's wants are bits of numbers, put together without a row for each want.
+    Sentences have few distinct sets, and only those meet the patterns: of each pattern's wants the one in fewest sentences
+    is its anchor; a set meets the patterns of its anchors by equality, and the other wants are looked up in the set.
     """
     spark = edges.sparkSession
-    tree = Tree([p for p in patterns if p.edges], False)
     labels, expressions = tree.wants()
-    if not tree.steps:
-        return spark.createDataFrame([], f"sent {edges.schema['sent'].dataType.simpleString()}, pattern string")
     number = {(w, kind): i for i, (w, kind) in enumerate([*((x, False) for x in labels), *((x, True) for x in expressions)])}
-    ids = spark.createDataFrame([(*k, i) for k, i in number.items()], "want string, regex boolean, id int")
-    words = dictionary(edges.select("label"), labels, expressions).join(ids, ["want", "regex"]).groupBy("label").agg(F.collect_list("id").alias("ids"))
-    words = keep(words, "label-wants")
-    size = words.agg(F.sum(F.octet_length("label") + 8 * F.size("ids") + 64).alias("n")).first()["n"] or 0
-    have = edges.select("sent", "label").distinct().join(_sent(words, size), "label")
-    have = keep(have.groupBy("sent").agg(F.array_distinct(F.flatten(F.collect_set("ids"))).alias("have")), "sentence-wants")
-    often = {r["id"]: r["n"] for r in have.select(F.explode("have").alias("id")).groupBy("id").agg(F.count("*").alias("n")).collect()}  # a row a want
+    marks = [f"w{k}" for k in range((len(number) - 1) // BITS + 1)]
+    ids = spark.createDataFrame([(*w, *(1 << i % BITS if i // BITS == k else 0 for k in range(len(marks)))) for w, i in number.items()], "want string, regex boolean, " + ", ".join(f"{m} long" for m in marks))
+    both = lambda: [F.bit_or(m).alias(m) for m in marks]
+    words = keep(dictionary(edges.select("label"), labels, expressions).join(ids, ["want", "regex"]).groupBy("label").agg(*both()), "label-wants")
+    size = words.agg(F.sum(F.octet_length("label") + 8 * len(marks) + 64).alias("n")).first()["n"] or 0
+    have = edges.select("sent", "label").join(_sent(words, size), "label").groupBy("sent").agg(*both())
+    if whole:
+        have = keep(have, "sentence-wants")
+    bits = lambda k: F.filter(F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.when(F.call_function("bit_get", F.col(marks[k]), i) == 1, i + BITS * k)), lambda i: i.isNotNull())
+    sets = keep(have.groupBy(*marks).agg(F.count("*").alias("n")).withColumn("have", F.concat(*map(bits, range(len(marks))))), "sets-of-wants")
+    often = {r["id"]: r["n"] for r in sets.select(F.explode("have").alias("id"), "n").groupBy("id").agg(F.sum("n").alias("n")).collect()}  # a row a want
     rows = []
     for _, _, p in tree.ends:
         wants = sorted({number[e.regex or e.label, e.regex is not None] for e in p.edges}, key=lambda i: often.get(i, 0))
         rows.append((wants[0], str(p), wants[1:]))
     need = spark.createDataFrame(rows, "id int, pattern string, others array<int>")
     need = _sent(need, sum(len(r[1]) + 8 * len(r[2]) + 64 for r in rows))
-    met = have.withColumn("id", F.explode("have")).join(need, "id")
-    return met.where(F.size(F.array_except("others", "have")) == 0).select("sent", "pattern")
+    met = sets.withColumn("id", F.explode("have")).join(need, "id")
+    return (have if whole else None), met.where(F.size(F.array_except("others", "have")) == 0).select(*marks, "n", "pattern")
+
+
+def possible(edges: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """(sent, pattern): patterns all of whose labels occur in a sentence; a pre-check before matching.
+
+    The patterns of a sentence are those of its set of wants (see ``_possible``), which are sent to all executors up to
+    SENT_BYTES. Patterns without edges are possible nowhere.
+    """
+    tree = Tree([p for p in patterns if p.edges], False)
+    if not tree.steps:
+        return edges.sparkSession.createDataFrame([], f"sent {edges.schema['sent'].dataType.simpleString()}, pattern string")
+    have, met = _possible(edges, tree, True)
+    marks = have.columns[1:]
+    met = keep(met.groupBy(*marks).agg(F.collect_list("pattern").alias("patterns")), "patterns-of-sets")
+    size = met.agg(F.sum(F.aggregate("patterns", F.lit(64).cast("long"), lambda n, x: n + F.octet_length(x) + 16)).alias("n")).first()["n"] or 0
+    return have.join(_sent(met, size), marks).select("sent", F.explode("patterns").alias("pattern"))
+
+
+def possible_counts(edges: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """(pattern, n): in how many sentences each pattern is ``possible``; the cost is that of the edges and of the distinct
+    sets of wants, not of sentences times patterns."""
+    tree = Tree([p for p in patterns if p.edges], False)
+    if not tree.steps:
+        return edges.sparkSession.createDataFrame([], "pattern string, n long")
+    return _possible(edges, tree, False)[1].groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
 def inferiors(edges: DataFrame, starts: DataFrame) -> DataFrame:

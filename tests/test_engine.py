@@ -500,6 +500,24 @@ def test_suggestions_of_common_stretches_take_many_tasks(spark, monkeypatch):
     assert found.select(F.spark_partition_id().alias("task")).distinct().count() > 8
 
 
+def test_possible_patterns_are_counted_by_sets_of_labels(spark):
+    """Counted without a row for each sentence and pattern; more wants than a number has bits."""
+    rng = random.Random(5)
+    rows = [(i % 40, f"a{rng.randrange(9)}", f"b{rng.randrange(9)}", f"l{rng.randrange(80)}") for i in range(600)]
+    edges = spark.createDataFrame([*rows, (None, "a", "b", "l1"), (1, "a", "b", None)], "sent long, src string, dst string, label string")
+    model = [parse_pattern(f"{{arg1}} <l{i}< {{rel}} >{x}> {{arg2}}") for i in range(80) for x in (f"l{(i * 7) % 80}", "{x:regex=l.*3}")]
+    labels = {}
+    for s, _, _, name in [*rows, (None, 0, 0, "l1")]:
+        labels.setdefault(s, set()).add(name)
+    has = lambda have, e: any(x == e.label if e.regex is None else x.endswith("3") for x in have)
+    want = sorted(((s, str(p)) for s, have in labels.items() for p in model if all(has(have, e) for e in p.edges)), key=str)
+    assert sorted((tuple(r) for r in M.possible(edges, model).collect()), key=str) == want and len(want) > 100
+    counts = {}
+    for _, p in want:
+        counts[p] = counts.get(p, 0) + 1
+    assert {r["pattern"]: r["n"] for r in M.possible_counts(edges, model).collect()} == counts
+
+
 def test_pattern_components_read_their_rows_once(spark):
     """Labels and tags come from one pass over the patterns, which are dear to make."""
     from factloom.operators import collections as C
