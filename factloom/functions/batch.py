@@ -119,10 +119,11 @@ class Batch:
         sentence = np.repeat(np.arange(len(sizes)), sizes)
         order = np.lexsort((place, sentence))
         own = order.tolist()
+        pick = (lambda x: list(x)) if own == list(range(len(own))) else lambda x: [x[i] for i in own]
         self.sentences, self.tokens = len(sizes), len(order)
         self.sentence, self.place, self.end, self.offset = sentence[order], place[order], np.asarray(end, np.int64)[order], np.asarray(offset, np.int64)[order]
-        self.text, self.tag = [text[i] for i in own], [tag[i] for i in own]
-        self.lemma = [lemmas[i] for i in own] if lemmas is not None else [_lemma(x) for x in self.text]
+        self.text, self.tag = pick(text), pick(tag)
+        self.lemma = pick(lemmas) if lemmas is not None else [_lemma(x) for x in self.text]
         self.begin = np.concatenate([[0], np.cumsum(sizes)])
         key = (self.sentence << 32) + self.place
         edge_sentence = np.repeat(np.arange(len(sizes)), np.asarray(edge_sizes, np.int64))
@@ -133,11 +134,13 @@ class Batch:
             at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
             known &= key[at] == want if len(key) else False
             ends.append(at)
-        names, code = np.unique(np.array(label, dtype=object).astype(str) if len(label) else np.zeros(0, "U1"), return_inverse=True)
+        names = sorted({str(x) for x in label})
+        number = {x: i for i, x in enumerate(names)}
+        code = np.array([number[str(x)] for x in label], np.int64)
         keep = np.flatnonzero(known)
         rank = keep[np.lexsort((code[keep], ends[1][keep], ends[0][keep]))]
-        self.src, self.dst, self.code, self.names = ends[0][rank], ends[1][rank], code[rank], [str(x) for x in names]
-        self.number = {x: i for i, x in enumerate(self.names)}
+        self.src, self.dst, self.code, self.names = ends[0][rank], ends[1][rank], code[rank], names
+        self.number = number
 
     @staticmethod
     def of(graphs: list[Graph]) -> Batch:

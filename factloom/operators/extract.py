@@ -166,7 +166,9 @@ def extract(sentences: DataFrame, model: list[str] | None = None, config: Config
         "active": (f["pattern"].contains("nsubj<") | f["pattern"].contains(">nsubj")) & (f["pattern"].contains("nsubj<") | ~f["pattern"].contains("nsubjpass")),
         "tokens": F.col(tokens), "deps": F.col(deps),
     }
-    return df.select(*names, *[own.get(c, f[c] if c not in own else None).alias(c) for c in result.names])
+    out = df.select(*names, *[own.get(c, f[c] if c not in own else None).alias(c) for c in result.names])
+    out.complete = build is None and not keep_empty  # every field that a score needs is there
+    return out
 
 
 def _bare(f: Column) -> Column:
@@ -187,9 +189,12 @@ def with_confidence(extractions: DataFrame, weights: dict[str, float] | None = N
     """Adds confidence by column expressions and keeps what reaches the threshold.
 
     The rows are kept by exploding an array of one confidence or none: a filter would be moved below the columns and
-    compute the whole score once more.
+    compute the whole score once more. Every score is above 0, so a threshold of 0 only drops rows without one, and what
+    ``extract`` gives has one always: there nothing is computed unless the score is read.
     """
     rows = measured(extractions, lambda known: {"confidence": confidence(weights, known)})
+    if threshold <= 0 and getattr(extractions, "complete", False):
+        return rows
     others = [F.col(f"`{c}`") for c in rows.columns if c != "confidence"]
     return rows.select(*others, F.explode(F.when(F.col("confidence") >= threshold, F.array("confidence"))).alias("confidence"))
 

@@ -129,10 +129,9 @@ _ODDS_SQL = CONFIDENCE_SQL.format(*[repr(_log_odds(i)) for i in range(len(FOUND)
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sentences(spark, sf_dir)
-    parsed = N.parse_graph("graph")
-    text = F.array_join(F.transform(parsed["tokens"], lambda t: t["text"]), " ")
-    return E.with_confidence(E.extract(s.withColumn("text", text)))
+    """Scored facts of all sentences, with the sentence's text; it is made of the tokens that the engine has read."""
+    found = E.with_confidence(E.extract(sentences(spark, sf_dir)))
+    return found.withColumn("text", F.array_join(F.transform("tokens", lambda t: t["text"]), " "))
 
 
 #: The labels of each form, in order.

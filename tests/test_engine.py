@@ -542,6 +542,11 @@ def test_score_is_computed_once(spark):
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("EXP(") == 1 and scored.count() == 1
     assert E.with_confidence(rows, threshold=0.9999).count() == 0
+    # no threshold: the score is computed where it is read, and rows that have none leave
+    unread = E.with_confidence(rows).select("pattern")
+    assert "EXP(" not in unread._jdf.queryExecution().optimizedPlan().toString() and unread.count() == 1
+    empty = E.extract(spark.createDataFrame([(SENTENCES[0][1],), (None,)], "graph string"), keep_empty=True)
+    assert empty.count() == 2 and E.with_confidence(empty).count() == 1
 
 
 def test_native_graph_codec(spark):
