@@ -212,12 +212,13 @@ def inferiors(edges: DataFrame, starts: DataFrame) -> DataFrame:
     the cost is that of the rows found, not of the levels before; it ends with a level that adds nothing, however deep.
     Cycles end because known nodes aren't followed again.
     """
-    links = keep(edges.select("sent", F.col("src").alias("node"), F.col("dst").alias("to")).distinct(), "links")
+    links = keep(edges.select("sent", F.col("src").alias("node"), F.col("dst").alias("to")), "links")  # repeated ones meet in a level
     front = keep(starts.select("sent", "start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct(), "front")
     levels = [front]
     known = front
     while front.rows:
-        step = front.join(links, ["sent", "node"]).select("sent", "start", F.col("to").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        # grouped by what the join with known rows asks for, so both take one shuffle
+        step = front.join(links, ["sent", "node"]).select("sent", "start", F.col("to").alias("node"), (F.col("depth") + 1).alias("depth")).groupBy("sent", "start", "node").agg(F.min("depth").alias("depth"))
         front = keep(step.join(known, ["sent", "start", "node"], "left_anti"), "front")
         levels.append(front)
         if len(levels) % 16 == 0:  # one table instead of many, for short plans
