@@ -258,7 +258,8 @@ def switch_voices(sentences: DataFrame, graph: str = "graph") -> DataFrame:
     """
     names = sentences.columns
     [whole] = free(names, "whole")
-    rows = sentences.withColumn(whole, parse_graph(graph)).where(F.col(whole).isNotNull())
+    # what can't be read stays as a null, an empty sentence to the batch: a filter would be moved below and read each graph twice
+    rows = sentences.withColumn(whole, parse_graph(graph))
 
     def run(batches):
         for every in batches:

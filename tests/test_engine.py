@@ -549,6 +549,14 @@ def test_score_is_computed_once(spark):
     assert empty.count() == 2 and E.with_confidence(empty).count() == 1
 
 
+def test_voice_switch_reads_graphs_once(spark):
+    """Nulls and what can't be read give nothing, without a filter that reads every graph again."""
+    good = "nsubj(ships_VBZ_1_0, Ann_NNP_0_0); dobj(ships_VBZ_1_0, crates_NNS_2_0)"
+    out = E.switch_voices(spark.createDataFrame([(1, good), (2, None), (3, "no graph"), (4, good), (5, "")], "i int, graph string"))
+    assert sorted(r["i"] for r in out.collect()) == [1, 4]
+    assert "Filter" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_native_graph_codec(spark):
     df = spark.createDataFrame([(1, SPLIT), (2, "no graph")], "i int, g string").select("i", parse_graph("g").alias("p"))
     rows = {r.i: r.p for r in df.collect()}
