@@ -70,79 +70,151 @@ def _transitions(edges: DataFrame, tree: Tree) -> tuple[DataFrame, int]:
     return known, size
 
 
-def match(edges: DataFrame, patterns: list[Pattern], tokens: DataFrame | None = None, distinct: bool = True) -> DataFrame:
-    """edges (sent, src, dst, label), tokens (sent, node, postag, lemma) -> sent, pattern, nodes (array), labels (array).
-
-    The patterns make one prefix tree, whose expressions are resolved against the distinct labels of the corpus. Paths
-    advance together, a hop at a time: a path joins the edges at its last node on (sentence, node), and the edge's direction
-    and label lead by an equi-join from the path's state to the next. So a hop costs the paths that some pattern still
-    wants, not paths times patterns. Edges that no state uses leave first; both directions and the tokens they lead to are
-    stored once, and so is a hop at which some patterns end and others go on. The tree is broadcast up to SENT_BYTES and shuffled beyond.
+def _automaton(known: DataFrame, size: int, tree: Tree) -> tuple[list[tuple[DataFrame, int]], list[DataFrame]]:
+    """By depth: ((parent, up, label, other, tagged), bytes) and (set, members), stored.
 
-    Tags and lemma expressions are checked where ``tokens`` is given: tags of reached nodes as the path grows, the rest at
-    its end. Repeated patterns count once; a pattern without edges matches nothing; rows with a null sentence, node or label
-    are on no path.
+    A path that several states of the tree want is in one set of them, not in each of them: from a set, a direction and a
+    label lead to one set, ``tagged`` by the tag of the node reached where some pattern asks for that tag, else ``other``.
+    Labels and tags that no pattern tells apart lead to the same set, so sets are few, and a path stays one row.
     """
+    sets = known.sparkSession.createDataFrame([(0, [0])], "set long, members array<int>")
+    steps, states = [], []
+    each = size // max(known.rows, 1) + 64
+    none = F.array().cast("array<struct<tag:string,members:array<int>>>")
+    for depth in range(tree.depth):
+        to = sets.select("set", F.explode("members").alias("parent")).join(known.where(F.col("depth") == depth).drop("depth"), "parent")
+        tag = F.col("tag")
+        to = to.groupBy("set", "up", "label").agg(F.collect_set(F.when(tag.isNull(), F.col("state"))).alias("free"), F.collect_set(F.when(tag.isNotNull(), F.struct("tag", "state"))).alias("asked"))
+        own = lambda t: F.array_sort(F.array_union("free", F.transform(F.filter("asked", lambda x: x["tag"] == t), lambda x: x["state"])))
+        by_tag = F.transform(F.array_distinct(F.transform("asked", lambda x: x["tag"])), lambda t: F.struct(t.alias("tag"), own(t).alias("members")))
+        free = F.when(F.size("free") > 0, F.array(F.struct(F.lit(None).cast("string").alias("tag"), F.array_sort("free").alias("members")))).otherwise(none)
+        to = keep(to.select(F.col("set").alias("parent"), "up", "label", F.explode(F.concat(by_tag, free)).alias("c")).select("parent", "up", "label", "c.*"), "steps")
+        sets = keep(to.select("members").distinct().withColumn("set", F.monotonically_increasing_id()), "sets")
+        led = to.join(sets, "members").groupBy("parent", "up", "label")
+        led = led.agg(F.max(F.when(tag.isNull(), F.col("set"))).alias("other"), F.map_from_entries(F.collect_list(F.when(tag.isNotNull(), F.struct("tag", "set")))).alias("tagged"))
+        steps.append((led, to.rows * each))
+        states.append(sets)
+    return steps, states
+
+
+def _paths(edges: DataFrame, tree: Tree, tokens: DataFrame | None, distinct: bool, whole: bool) -> list[tuple[DataFrame, DataFrame, int, list[Pattern]]]:
+    """For each length at which patterns end: paths (sent, set, nodes[, labels][, tokens]), the ends of their sets (set,
+    pattern, tag0, x0, x1 ...), the bytes of these and the patterns. Labels are carried where ``whole``."""
     spark = edges.sparkSession
-    tree = Tree([p for p in patterns if p.edges], tokens is not None)
-    kind = edges.schema["src"].dataType.simpleString()
-    result = f"sent {edges.schema['sent'].dataType.simpleString()}, pattern string, nodes array<{kind}>, labels array<string>"
-    if not tree.steps:
-        return spark.createDataFrame([], result)
     known, size = _transitions(edges.select("label"), tree)
-    both = F.explode(F.array(*[F.struct(F.col(a).alias("near"), F.col(b).alias("far"), F.lit(up).alias("up")) for a, b, up in (("src", "dst", False), ("dst", "src", True))]))
-    half = edges.select("sent", "label", both.alias("e")).select("sent", "label", "e.*")
-    half = half.join(_sent(known.select("up", "label").distinct(), size), ["up", "label"], "left_semi")
-    checked = [n for _, _, p in tree.ends for n in p.nodes if n.postag or n.regex] if tokens is not None else []
-    if checked:
-        for end in ("near", "far"):
-            here = tokens.select("sent", F.col("node").alias(end), F.struct(F.col("postag").alias("tag"), F.col("lemma").alias("lemma")).alias(f"{end}_token"))
-            half = half.join(here, ["sent", end], "left")
-    else:
-        none = F.lit(None).cast("struct<tag:string,lemma:string>")
-        half = half.withColumns({"near_token": none, "far_token": none})
-    half = keep(half.select("sent", "near", "far", "up", "label", "near_token", "far_token"), "half-edges")
+    steps, states = _automaton(known, size, tree)
+    # numbers stand for direction and label: rows are stored, shuffled and sorted without their names
+    codes = keep(known.select("up", "label").distinct().withColumn("code", F.monotonically_increasing_id()), "codes")
+    pairs = codes.groupBy("label").agg(F.max(F.when(~F.col("up"), F.col("code"))).alias("down_code"), F.max(F.when(F.col("up"), F.col("code"))).alias("up_code"))
+    name = ["label"] if whole else []
+    used = edges.join(_sent(pairs, size), "label").where("sent IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL")
+    if distinct:
+        used = used.where("src <> dst")
+    used = keep(used.select("sent", "src", "dst", "down_code", "up_code", *name), "used-edges")
+    way = lambda a, b, code: F.when(F.col(code).isNotNull(), F.struct(F.col(a).alias("near"), F.col(b).alias("far"), F.col(code).alias("code")))
+    half = used.select("sent", *name, F.explode(F.array_compact(F.array(way("src", "dst", "down_code"), way("dst", "src", "up_code")))).alias("e")).select("sent", *name, "e.*")
+
+    patterns = [p for _, _, p in tree.ends]
+    read = tokens is not None
+    lemmas = {i for p in patterns for i, n in enumerate(p.nodes) if n.regex and read}
+    first = read and (0 in lemmas or any(p.nodes[0].postag for p in patterns))
+    checked = first or bool(lemmas)
+    asked = {k[0] for k in tree.steps if k[5] is not None}
+    looks = [depth for depth in range(tree.depth) if depth in asked or depth + 1 in lemmas]
+    token = F.struct(F.col("postag").alias("tag"), (F.col("lemma") if lemmas else F.lit(None).cast("string")).alias("lemma")).alias("token") if read else None
+    if read and len(looks) + first > 0:
+        tokens = tokens.select("sent", "node", token)
+        tokens = keep(tokens, "tokens") if len(looks) + first > 1 else tokens
+    unknown = F.lit(None).cast("struct<tag:string,lemma:string>")
+
+    def told(rows: DataFrame, end: str, wanted: bool) -> DataFrame:
+        """rows with the token at one end of their edge, where it is asked for."""
+        if not wanted:
+            return rows.withColumn(f"{end}_token", unknown)
+        return rows.join(tokens.select("sent", F.col("node").alias(end), F.col("token").alias(f"{end}_token")), ["sent", end], "left")
 
     def advanced(rows: DataFrame, depth: int) -> DataFrame:
-        """rows with parent, up, label and far_token, led to their next states."""
-        to = known.where(F.col("depth") == depth).drop("depth")
-        rows = rows.join(_sent(to, size), ["parent", "up", "label"])
-        return rows.where(F.col("tag").isNull() | (F.col("tag") == F.col("far_token.tag"))).drop("tag", "parent", "up")
+        """rows with parent and code, led to their next sets; tokens are looked up for what some pattern wants only."""
+        to, bytes_ = steps[depth]
+        to = to.join(F.broadcast(codes) if size <= SENT_BYTES else codes, ["up", "label"]).drop("up", "label")
+        rows = told(rows.join(_sent(to, bytes_), ["parent", "code"]), "far", depth in looks)
+        by_tag = F.try_element_at("tagged", F.col("far_token.tag")) if depth in asked else F.lit(None).cast("long")
+        return rows.withColumn("set", F.coalesce(by_tag, "other")).where("set IS NOT NULL")
 
     out = []
-    paths = advanced(half.withColumn("parent", F.lit(0)), 0)
-    if distinct:
-        paths = paths.where("near <> far")
-    paths = paths.select("sent", "state", F.array("near", "far").alias("nodes"), F.array("label").alias("labels"), F.array("near_token", "far_token").alias("tokens"))
+    extra = (["labels"] if whole else []) + (["tokens"] if checked else [])
+    paths = advanced(told(half, "near", first).withColumn("parent", F.lit(0).cast("long")), 0)
+    begun = [*([F.array("label").alias("labels")] if whole else []), *([F.array("near_token", "far_token").alias("tokens")] if checked else [])]
+    # the last node is a column of its own: rows already lie by it where tokens were looked up
+    paths = paths.select("sent", "set", F.col("far").alias("near"), F.array("near", "far").alias("nodes"), *begun)
     for depth in range(1, tree.depth + 1):
-        if depth < tree.depth and any(d == depth for d, _, _ in tree.ends):  # read twice: some end here, others go on
+        ended = [(s, p) for d, s, p in tree.ends if d == depth]
+        if depth < tree.depth and ended:  # read twice: some end here, others go on
             paths = keep(paths, "paths")
-        out.append(_ended(spark, paths, [(s, p) for d, s, p in tree.ends if d == depth], depth, bool(checked)))
+        if ended:
+            rows = [(s, str(p), p.nodes[0].postag, *[n.regex for n in p.nodes]) for s, p in ended]
+            table = spark.createDataFrame(rows, "state int, pattern string, tag0 string, " + ", ".join(f"x{i} string" for i in range(depth + 1)))
+            ends = keep(states[depth - 1].select("set", F.explode("members").alias("state")).join(table, "state").drop("state"), "ends")
+            most = max(sum(len(x) for x in r[1:] if x) for r in rows) + 64
+            out.append((paths.select("sent", "set", "nodes", *extra), ends, ends.rows * most, [p for _, p in ended] if checked else []))
         if depth < tree.depth:
-            going = paths.withColumn("near", F.element_at("nodes", -1)).withColumnRenamed("state", "parent")
-            going = advanced(going.join(half.drop("near_token"), ["sent", "near"]), depth)
+            going = paths.withColumnRenamed("set", "parent").join(half, ["sent", "near"])
             if distinct:
                 going = going.where(~F.array_contains("nodes", F.col("far")))
-            paths = going.select("sent", "state", F.array_append("nodes", F.col("far")).alias("nodes"), F.array_append("labels", F.col("label")).alias("labels"), F.array_append("tokens", F.col("far_token")).alias("tokens"))
-    return reduce(DataFrame.unionByName, [x for x in out if x is not None])
-
-
-def _ended(spark: SparkSession, paths: DataFrame, ends: list[tuple[int, Pattern]], edges: int, checked: bool) -> DataFrame | None:
-    """Paths in the last state of a pattern, with its tests of the first tag and of lemmas."""
-    if not ends:
-        return None
-    places = range(edges + 1)
-    rows = [(s, str(p), p.nodes[0].postag, *[n.regex for n in p.nodes]) for s, p in ends]
-    table = spark.createDataFrame(rows, "state int, pattern string, tag0 string, " + ", ".join(f"x{i} string" for i in places))
-    hits = paths.join(_sent(table, sum(len(x) for r in rows for x in r[1:] if x) + 64 * len(rows)), "state")
-    if checked:
-        said = lambda i: F.get("tokens", F.lit(i))
-        fits: Column = F.col("tag0").isNull() | (F.col("tag0") == said(0)["tag"])
-        for i in places:
-            if any(p.nodes[i].regex for _, p in ends):
-                fits = fits & (F.col(f"x{i}").isNull() | F.rlike(said(i)["lemma"], F.concat(F.lit("^(?:"), f"x{i}", F.lit(")$"))))
-        hits = hits.where(fits)
-    return hits.select("sent", "pattern", "nodes", "labels")
+            going = advanced(going, depth)
+            more = {"labels": "label", "tokens": "far_token"}
+            paths = going.select("sent", "set", F.col("far").alias("near"), F.array_append("nodes", F.col("far")).alias("nodes"), *[F.array_append(c, F.col(more[c])).alias(c) for c in extra])
+    return out
+
+
+def _fitting(rows: DataFrame, ends: DataFrame, size: int, patterns: list[Pattern]) -> DataFrame:
+    """Rows of paths with the patterns that end in their set, and ``patterns``' tests of the first tag and of lemmas."""
+    hits = rows.join(_sent(ends, size), "set")
+    if not patterns:
+        return hits
+    said = lambda i: F.get("tokens", F.lit(i))
+    fits: Column = F.col("tag0").isNull() | (F.col("tag0") == said(0)["tag"])
+    for i in range(max(len(p.nodes) for p in patterns)):
+        if any(p.nodes[i].regex for p in patterns):
+            fits = fits & (F.col(f"x{i}").isNull() | F.rlike(said(i)["lemma"], F.concat(F.lit("^(?:"), f"x{i}", F.lit(")$"))))
+    return hits.where(fits)
+
+
+def match(edges: DataFrame, patterns: list[Pattern], tokens: DataFrame | None = None, distinct: bool = True) -> DataFrame:
+    """edges (sent, src, dst, label), tokens (sent, node, postag, lemma) -> sent, pattern, nodes (array), labels (array).
+
+    The patterns make one prefix tree, whose expressions are resolved against the distinct labels of the corpus. Paths
+    advance together, a hop at a time: a path joins the edges at its last node on (sentence, node), and the edge's direction
+    and label lead by an equi-join from the path's set of states to the next (see ``_automaton``). So a path is one row,
+    however many patterns still want it, and meets them at its end. Edges that no state uses leave first; the others are
+    stored once, and so is a hop at which some patterns end and others go on. The tree is broadcast up to SENT_BYTES and shuffled beyond.
+
+    Tags and lemma expressions are checked where ``tokens`` is given: tags of reached nodes as the path grows, the rest at
+    its end; tokens are looked up only at places where some pattern asks for them. Repeated patterns count once; a pattern
+    without edges matches nothing; rows with a null sentence, node or label are on no path.
+    """
+    tree = Tree([p for p in patterns if p.edges], tokens is not None)
+    if not tree.steps:
+        kind = edges.schema["src"].dataType.simpleString()
+        return edges.sparkSession.createDataFrame([], f"sent {edges.schema['sent'].dataType.simpleString()}, pattern string, nodes array<{kind}>, labels array<string>")
+    found = [_fitting(*x).select("sent", "pattern", "nodes", "labels") for x in _paths(edges, tree, tokens, distinct, True)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def match_counts(edges: DataFrame, patterns: list[Pattern], tokens: DataFrame | None = None, distinct: bool = True) -> DataFrame:
+    """(pattern, n, first_sent): how often each pattern that occurs is found by ``match``, and its least sentence.
+
+    Paths are counted by their set of states (and by what their patterns test of tokens) before they meet the patterns, so
+    the cost is that of the paths, not of paths times patterns.
+    """
+    tree = Tree([p for p in patterns if p.edges], tokens is not None)
+    if not tree.steps:
+        return edges.sparkSession.createDataFrame([], f"pattern string, n long, first_sent {edges.schema['sent'].dataType.simpleString()}")
+    found = []
+    for paths, ends, size, tested in _paths(edges, tree, tokens, distinct, False):
+        counted = paths.groupBy("set", *(["tokens"] if tested else [])).agg(F.count("*").alias("n"), F.min("sent").alias("first_sent"))
+        found.append(_fitting(counted, ends, size, tested).select("pattern", "n", "first_sent"))
+    return reduce(DataFrame.unionByName, found).groupBy("pattern").agg(F.sum("n").alias("n"), F.min("first_sent").alias("first_sent"))
 
 
 #: Bits of a number that tell which wants a sentence has.

@@ -430,6 +430,32 @@ def test_the_tree_finds_what_walking_finds(spark, distinct):
     assert got == found_by_walking(graphs, plain, distinct)
 
 
+@pytest.mark.parametrize("distinct", [True, False])
+def test_counted_matches(spark, monkeypatch, distinct):
+    """Counts and least sentences are those of the matches, with and without tokens, by broadcast and by shuffles."""
+    graphs, edges, tokens = random_corpus(spark)
+    plain = [p for p in random_patterns() if all(n.postag is None and n.regex is None for n in p.nodes)]
+    tagged = [p for p in random_patterns() if all(n.regex is None for n in p.nodes)]
+    for patterns, known in ((random_patterns(), tokens), (tagged, tokens), (plain, None)):
+        sents = {}
+        for sent, pattern, *_ in found_by_walking(graphs, patterns, distinct):
+            sents.setdefault(pattern, []).append(sent)
+        got = {r.pattern: (r.n, r.first_sent) for r in M.match_counts(edges, [*patterns, *patterns[:5]], known, distinct).collect()}
+        assert got == {p: (len(x), min(x)) for p, x in sents.items()} and got
+        monkeypatch.setattr(M, "SENT_BYTES", 0)
+    assert M.match_counts(edges, [], tokens).collect() == []
+
+
+def test_a_path_is_one_row_however_many_patterns_want_it(spark):
+    """Patterns that differ in tags, and in expressions for the same labels, share the rows of their paths."""
+    edges = spark.createDataFrame([(1, "a", "b", "prep_of"), (1, "b", "c", "prep_in"), (None, "a", "b", "prep_of"), (2, None, "b", "prep_of")], "sent long, src string, dst string, label string")
+    tokens = spark.createDataFrame([(1, n, "NN", n) for n in "abc"], "sent long, node string, postag string, lemma string")
+    wants = ["prep_of", "prep_in", "{x:regex=prep_.*}", "{y:regex=.*_(of|in)}"]
+    patterns = [parse_pattern(f"{{arg1}} >{a}> {{rel{tag}}} >{b}> {{arg2}}") for a in wants for b in wants for tag in ("", ":postag=NN", ":postag=VB")]
+    [(paths, *_)] = M._paths(edges, M.Tree(patterns, True), tokens, True, True)
+    assert paths.count() == 1 and M.match(edges, patterns, tokens).count() == 18
+
+
 def test_tree_shuffled_instead_of_broadcast(spark, monkeypatch):
     monkeypatch.setattr(M, "SENT_BYTES", 0)
     graphs, edges, tokens = random_corpus(spark, 8, 12)
