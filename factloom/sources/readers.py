@@ -6,6 +6,8 @@ import re
 import sys
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,53 +77,120 @@ def lines(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8")
     return rows.where(F.length("sentence") > 0)
 
 
+#: Bytes of neighbouring pieces that are one row; a longer piece is one by itself.
+ROW_BYTES = 1 << 14
+
+
+def _gathered(batches, unit: int):
+    """Rows of neighbouring pieces of a range, each piece with the byte 10 behind it, and their place in the range."""
+    key, inner = None, 0
+    for batch in batches:
+        file, block, size, pieces = (batch.column(i) for i in range(4))
+        n = batch.num_rows
+        if n and (file[0], block[0]) == (file[n - 1], block[n - 1]):  # a range's pieces stand together
+            cuts = [0, n]
+        else:
+            keys = list(zip(file.to_pylist(), block.to_pylist(), strict=True))
+            cuts = [i for i in range(n) if not i or keys[i] != keys[i - 1]] + [n]
+        out = []
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            own = (file[start].as_py(), block[start].as_py())
+            if own != key:
+                key, inner = own, 0
+            values = pieces.slice(start, stop - start).to_pylist()
+            row = np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) + 1) // ROW_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(row)) + 1).tolist(), len(values)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                data = b"\n".join(values[i:j]) + b"\n"
+                out.append((*key, size[start].as_py(), inner, len(data), data[:unit], data))
+                inner += len(data)
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["file", "block", "bytes", "inner", "n", "head", "data"])
+
+
+def _split(data: bytes, at: int, size: int, little: bool, unit: int) -> tuple[bytes, bytes, bytes]:
+    """What stands before and with the first end of a line, whole lines, and what stands behind the last end; all is in the
+    first if no line ends here. ``at`` is the place of data in a file of so many bytes."""
+    data = data[: size - at]  # the byte 10 behind the last piece may not be there
+    skip = -at % unit
+    units = np.frombuffer(data, f"{'<' if little else '>'}u{unit}", max(len(data) - skip, 0) // unit, skip if len(data) > skip else 0)
+    ends = np.flatnonzero(units == 10)
+    if not len(ends):
+        return data, b"", b""
+    first, last = (skip + unit * (int(i) + 1) for i in (ends[0], ends[-1]))
+    return data[:first], data[first:last], data[last:]
+
+
+def _decoded(data: bytes, little: bool, unit: int) -> list[str]:
+    if not little:
+        data = data[: len(data) - len(data) % unit]
+    lines = data.decode(f"utf-{8 * unit}-{'le' if little else 'be'}").split("\n")
+    return lines if lines[-1] else lines[:-1]
+
+
+def _rows(batches, make: Callable, schema: list):
+    """Record batches of what ``make`` gives for each row, a few thousand rows each."""
+    out = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out += make(*row)
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), schema, strict=True)], [n for n, _ in schema])
+                out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), schema, strict=True)], [n for n, _ in schema])
+
+
 def _wide_lines(spark: SparkSession, paths: str | list[str], unit: int, fixed: str | None) -> DataFrame:
     """value, file: lines of files in units of two or four bytes.
 
-    Ranges of a file are cut at every byte 10, which may also be half of another character. Each piece's place in its file
-    is the sum of the pieces before it, within its range and over the ranges before, so that a cut is a line's end only
-    where it is a whole unit; the pieces between two ends are put together again. The order of bytes is that of a file's
-    mark, and big-endian without one.
+    Ranges of a file are cut at every byte 10, which may also be half of another character, and neighbouring pieces are put
+    together in rows of ROW_BYTES. A row's place in its file is the sum of the bytes before it, within its range and over the
+    ranges before, so that a unit 10 in it is told from other bytes 10; whole lines of a row are decoded together. What
+    stands before the first and behind the last end of a line in each row is put together with that of its neighbours. The
+    order of bytes is that of a file's mark, and big-endian without one.
     """
-    at = Window.partitionBy("file", "block").orderBy("id")
-    ranges = Window.partitionBy("file").orderBy("block")
-    earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
-    rows = spark.read.option("lineSep", "\n").text(paths).select(F.col("value").cast("binary").alias("b"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    size = F.octet_length("b") + 1
-    rows = rows.withColumn("inner", F.sum(size).over(at)).withColumn("next", F.lead("b").over(at))
-    rows = keep(rows, "pieces")
+    pieces = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("bytes"), F.col("value").cast("binary").alias("b"))
+    rows = keep(pieces.mapInArrow(lambda batches: _gathered(batches, unit), "file string, block long, bytes long, inner long, n long, head binary, data binary"), "pieces")
     # a row for each range that is read
-    cells = rows.groupBy("file", "block").agg(F.sum(size).alias("n"), F.min_by("b", "id").alias("first"))
+    ranges = Window.partitionBy("file").orderBy("block")
+    cells = rows.groupBy("file", "block").agg(F.sum("n").alias("n"), F.min_by("head", "inner").alias("first"))
     head = F.first("first").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    cells = cells.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("above"), F.lead("first").over(ranges).alias("after"), F.substring(F.hex(head), 1, 2 * unit).alias("mark"))
-    small = F.lit(fixed) if fixed else F.when(F.col("mark") == ("FFFE" if unit == 2 else "FFFE0000"), "LE").otherwise("BE")
-    rows = rows.join(_sized(cells, cells.count() * 400), ["file", "block"]).withColumn("order", small)
-    # the byte 10 behind a piece: the first byte of a unit (little-endian), with zeros before the next piece, or its last one
-    place, zeros = F.col("above") + F.col("inner") - 1, "00" * (unit - 1)
-    behind = F.coalesce(F.col("next"), F.col("after"))
-    little = (place % unit == 0) & F.startswith(F.hex(behind), F.lit(zeros))
-    big = (place % unit == unit - 1) & F.endswith(F.hex("b"), F.lit(zeros))
-    rows = rows.withColumn("ends", F.coalesce(F.when(F.col("order") == "LE", little).otherwise(big), F.lit(False)))
-    # a byte 10 at the very end of a file that is half of a character has been taken for a cut
-    rows = rows.withColumn("tail", F.when(behind.isNull() & (place + 1 == F.col("bytes")) & ~F.col("ends"), "0A").otherwise(""))
-    rows = rows.withColumn("line", F.sum(F.col("ends").cast("long")).over(at) - F.col("ends").cast("long"))
-    ended = rows.groupBy("file", "block").agg(F.sum(F.col("ends").cast("long")).alias("n"))
-    ended = ended.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("lines"))
-    rows = rows.join(_sized(ended, rows.select("file", "block").distinct().count() * 400), ["file", "block"]).withColumn("line", F.col("line") + F.col("lines"))
-    pieces = F.transform(F.sort_array(F.collect_list(F.struct("block", "id", "b", "tail"))), lambda x: F.concat(F.hex(x["b"]), x["tail"]))
-    whole = rows.groupBy("file", "line").agg(F.array_join(pieces, "0A").alias("bytes"), F.first("order").alias("order"), F.first("mark").alias("mark"))
+    above = F.coalesce(F.sum("n").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     marks = {2: ("FFFE", "FEFF"), 4: ("FFFE0000", "0000FEFF")}[unit]
-    own = F.col("bytes")
-    # a line's end leaves zeros before the next line (little-endian) or behind this one
-    own = F.when((F.col("order") == "LE") & (F.col("line") > 0), F.substring(own, 2 * unit - 1, 1 << 30)).otherwise(own)
-    own = F.when((F.col("line") == 0) & F.col("mark").isin(*marks) & F.lit(fixed is None), F.substring(own, 2 * unit + 1, 1 << 30)).otherwise(own)
-    cut = F.when((F.col("order") == "BE") & (F.length(own) % (2 * unit) != 0), F.substring(own, F.lit(1), F.length(own) - 2 * (unit - 1))).otherwise(own)
-    # the decoder of 32 bits knows the order of bytes by a mark alone
-    if unit == 4:
-        text = F.decode(F.unhex(F.concat(F.when(F.col("order") == "LE", marks[0]).otherwise(marks[1]), cut)), "UTF-32")
-    else:
-        text = F.when(F.col("order") == "LE", F.decode(F.unhex(cut), "UTF-16LE")).otherwise(F.decode(F.unhex(cut), "UTF-16BE"))
-    return whole.select(text.alias("value"), "file")
+    cells = keep(cells.select("file", "block", above.alias("above"), (F.lit(fixed == "LE") if fixed else F.hex(head) == marks[0]).alias("little")), "ranges")
+    rows = rows.join(_sized(cells, cells.rows * 400), ["file", "block"]).select("file", (F.col("above") + F.col("inner")).alias("at"), "bytes", "little", "data")
+
+    def rests(file, at, size, little, data):
+        first, whole, last = _split(data, at, size, little, unit)
+        ended = len(whole) + len(last) > 0 or _ends(first, at, little, unit)
+        found = [(file, at, little, ended, first)] if first else []
+        return found + ([(file, at + len(first) + len(whole), little, False, last)] if last else [])
+
+    def inside(file, at, size, little, data):
+        return [(x, file) for x in _decoded(_split(data, at, size, little, unit)[1], little, unit)]
+
+    def joined(file, little, parts):
+        data = b"".join(x["part"] for x in parts)
+        if fixed is None and parts[0]["at"] == 0 and data[:unit].hex().upper() in marks:
+            data = data[unit:]
+        return [(x, file) for x in _decoded(data, little, unit)]
+
+    text = [("value", pa.string()), ("file", pa.string())]
+    kinds = [("file", pa.string()), ("at", pa.int64()), ("little", pa.bool_()), ("ended", pa.bool_()), ("part", pa.binary())]
+    whole = rows.mapInArrow(lambda batches: _rows(batches, inside, text), "value string, file string")
+    parts = keep(rows.mapInArrow(lambda batches: _rows(batches, rests, kinds), "file string, at long, little boolean, ended boolean, part binary"), "parts-of-lines")
+    # which line of its file a part belongs to is told by the ends before it, without the parts themselves
+    line = F.coalesce(F.sum(F.col("ended").cast("long")).over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = parts.select("file", "at", line.alias("line"))
+    lines_ = parts.join(_sized(places, parts.rows * 400), ["file", "at"]).groupBy("file", "line").agg(F.first("little").alias("little"), F.sort_array(F.collect_list(F.struct("at", "part"))).alias("parts"))
+    return whole.unionByName(lines_.select("file", "little", "parts").mapInArrow(lambda batches: _rows(batches, joined, text), "value string, file string"))
+
+
+def _ends(data: bytes, at: int, little: bool, unit: int) -> bool:
+    """Whether data ends with the end of a line."""
+    return (at + len(data)) % unit == 0 and data[-unit:] == (10).to_bytes(unit, "little" if little else "big")
 
 
 def _sized(df: DataFrame, size: int, most: int = 32 << 20) -> DataFrame:

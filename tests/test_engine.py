@@ -294,6 +294,17 @@ def test_wide_encodings_in_ranges(spark, tmp_path, encoding):
     assert got == sorted((f"{i}.txt", strip(x)) for i, text in enumerate(texts) for x in text.split("\n") if strip(x))
 
 
+def test_pieces_of_wide_lines_are_few_rows(spark, tmp_path, monkeypatch):
+    """A range with thousands of bytes 10 is stored in rows of many pieces, and lines across these rows are whole."""
+    text = "\n".join(f"{i}: \u0a0a \u0b0a \u0a00é" for i in range(4000))
+    kept = []
+    monkeypatch.setattr(R, "keep", lambda df, name, *by, keep=R.keep: kept.append(keep(df, name, *by)) or kept[-1])
+    for name in ("utf-16-le", "utf-16-be", "utf-16"):
+        (tmp_path / name).write_bytes(text.encode(name))
+        assert sorted(r.sentence for r in R.lines(spark, str(tmp_path / name), name).collect()) == sorted(text.split("\n"))
+    assert kept and all(x.rows < 100 for x in kept)
+
+
 def test_failed_write_leaves_nothing(spark, tmp_path):
     good = spark.range(20).select(F.format_string("line %d", "id").alias("line"))
     W.write_lines(good, str(tmp_path / "good"), "HEAD")
