@@ -50,13 +50,17 @@ N_FORMS = len(FORMS)
 NAMES = {"%c": "o_custkey", "%o": "o_orderkey", "%k": "o_orderkey % 97", "%p": "o_custkey % 7"}
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """o_orderkey, form, graph, text."""
-    rows = read(spark, sf_dir, "orders").withColumn("form", F.pmod("o_orderkey", F.lit(N_FORMS)).cast("int"))
+def sentences(spark: SparkSession, sf_dir: str, *more: str, spread: bool = False) -> DataFrame:
+    """o_orderkey, form, graph and further columns of the orders. ``spread``: dealt evenly to all cores while rows are still
+    short, for long work on each; a scan has no more tasks than its files have row groups."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    if spread:
+        rows = rows.repartition(3 * spark.sparkContext.defaultParallelism, "o_orderkey")
+    rows = rows.withColumn("form", F.pmod("o_orderkey", F.lit(N_FORMS)).cast("int"))
     graph = F.get(F.array(*map(F.lit, FORMS)), "form")
     for mark, value in NAMES.items():
         graph = F.replace(graph, F.lit(mark), F.expr(f"cast({value} as string)"))
-    return rows.select("o_orderkey", "form", graph.alias("graph"))
+    return rows.select("o_orderkey", "form", graph.alias("graph"), *more)
 
 
 def sql_form(texts: tuple[str, ...]) -> str:
@@ -279,7 +283,7 @@ def induce_patterns(spark, sf_dir):
 
 def known_patterns(spark: SparkSession, sf_dir: str, longest: int | None = None) -> DataFrame:
     """o_orderkey, pattern: of the facts that are known."""
-    rows = sentences(spark, sf_dir).join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    rows = sentences(spark, sf_dir, "o_custkey", spread=True)
 
     def named(i: int) -> Column:
         text = F.create_map(*[F.lit(x) for k in KNOWN for x in (k[0], k[i])])[F.col("form")]

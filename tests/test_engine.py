@@ -305,6 +305,16 @@ def test_pieces_of_wide_lines_are_few_rows(spark, tmp_path, monkeypatch):
     assert kept and all(x.rows < 100 for x in kept)
 
 
+def test_known_facts_of_repeated_orders(spark, tmp_path):
+    """An order that stands twice gives its pattern twice; its sentence meets no other row, and the work is dealt to all cores."""
+    from factloom.plans.engine import known_patterns
+
+    spark.createDataFrame([(10, 7), (10, 7), (21, 8)], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = known_patterns(spark, str(tmp_path), 3)
+    assert sorted(r.o_orderkey for r in got.collect()) == [10, 10, 21]
+    assert "Join" not in got._jdf.queryExecution().toString() and got.rdd.getNumPartitions() > 4
+
+
 def test_failed_write_leaves_nothing(spark, tmp_path):
     good = spark.range(20).select(F.format_string("line %d", "id").alias("line"))
     W.write_lines(good, str(tmp_path / "good"), "HEAD")
