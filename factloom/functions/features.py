@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,19 +19,38 @@ OPEN_TAGS, CLOSE_TAGS = ("PR", "NN", "DT", "CD", "JJ"), ("NN", "CD", "JJ")
 VACUOUS = (("this", "way"), ("went", "public"), ("for", "example"), ("with", "eye"), ("in", "fact"), ("for", "use"), ("for", "us"), ("were", "able"), ("in", "part"), ("be", "part"), ("is", "part"))
 
 
-def tags(at: Column) -> Column:
-    """Tags of the tokens inside a part's span. Places may be missing among the tokens, so they are compared, not counted."""
-    return F.transform(F.filter("tokens", lambda t: (t["idx"] >= at["s"]) & (t["idx"] < at["e"])), lambda t: t["postag"])
+def counted() -> Column:
+    """Whether no token is missing, so that each one's place is its index."""
+    return F.col("tokens.idx") == F.sequence(F.lit(0), F.size("tokens") - 1)
 
 
-def shared() -> dict[str, Column]:
-    """What several features look at, each to be computed once a row: the tags of the parts and of the sentence, its words in
-    lower case and its text, the last token left of the first argument (null if there is none) and all behind the second."""
-    a1, a2 = F.col("arg1"), F.col("arg2")
+def near(low: Column, high: Column, whole: Column) -> Column:
+    """The tokens among which those of the places from low to before high are: just these where the tokens are counted
+    (``whole``), or else all, as places may be missing; what is looked for is compared in any case."""
+    return F.when(whole & (low >= 0) & (high >= low), F.slice("tokens", low + 1, high - low)).otherwise(F.col("tokens"))
+
+
+def tags(at: Column, whole: Column) -> Column:
+    """Tags of the tokens inside a part's span."""
+    return F.transform(F.filter(near(at["s"], at["e"], whole), lambda t: (t["idx"] >= at["s"]) & (t["idx"] < at["e"])), lambda t: t["postag"])
+
+
+def shared(whole: Column | None = None) -> dict[str, Column]:
+    """What several features look at, each to be computed once a row: the tags of the parts, the sentence's text (also
+    in lower case with a space at both ends), the last token left of the first argument and the first one behind the second (null if there is none), and the relation's first.
+
+    ``whole``: a column that holds ``counted``.
+    """
+    a1, r, a2 = F.col("arg1"), F.col("rel"), F.col("arg2")
+    whole = counted() if whole is None else whole
+    own, first = near(F.array_min(r["idx"]), F.array_max(r["idx"]) + 1, whole), F.get(r["idx"], F.lit(0))
+    sentence, left = F.array_join("tokens.text", " "), F.least(a1["s"], F.size("tokens"))
     return {
-        "arg1_tags": tags(a1), "arg2_tags": tags(a2), "rel_tags": F.transform(F.filter("tokens", lambda t: F.array_contains("rel.idx", t["idx"])), lambda t: t["postag"]),
-        "tag_list": F.transform("tokens", lambda t: t["postag"]), "words": F.transform("tokens", lambda t: F.lower(t["text"])), "sentence": F.array_join(F.transform("tokens", lambda t: t["text"]), " "),
-        "before": F.try_element_at(F.filter("tokens", lambda t: t["idx"] < a1["s"]), F.lit(-1)), "behind": F.filter("tokens", lambda t: t["idx"] >= a2["e"]),
+        "arg1_tags": tags(a1, whole), "arg2_tags": tags(a2, whole), "rel_tags": F.transform(F.filter(own, lambda t: F.array_contains("rel.idx", t["idx"])), lambda t: t["postag"]),
+        "sentence": sentence, "lowered": F.concat(F.lit(" "), F.lower(sentence), F.lit(" ")),
+        "before": F.try_element_at(F.filter(near(F.greatest(left - 1, F.lit(0)), left, whole), lambda t: t["idx"] < a1["s"]), F.lit(-1)),
+        "behind": F.get(F.filter(near(a2["e"], a2["e"] + 1, whole), lambda t: t["idx"] >= a2["e"]), F.lit(0)),
+        "rel_first": F.get(F.filter(near(first, first + 1, whole), lambda t: t["idx"] == first), F.lit(0)),
     }
 
 
@@ -54,26 +75,29 @@ def features(known: dict[str, Column] | None = None) -> dict[str, Column]:
     """
     a1, r, a2 = F.col("arg1"), F.col("rel"), F.col("arg2")
     own = shared() if known is None else known
-    words, sentence, tag_list, before, behind = own["words"], own["sentence"], own["tag_list"], own["before"], own["behind"]
+    sentence, before, behind = own["sentence"], own["before"], own["behind"]
     t1, tr, t2 = own["arg1_tags"], own["rel_tags"], own["arg2_tags"]
     last = F.substring_index(r["text"], " ", -1)
     idx = F.array_sort(F.array_distinct(F.concat(a1["idx"], r["idx"], a2["idx"])))
     bare = F.regexp_replace(F.regexp_replace(r["text"], "^be ", ""), r" \w+$", "")
     verb = lambda t: t.startswith("VB")
+    rel_words = F.split(F.lower(r["text"]), " ")
+    hyp = F.exists("tokens", lambda t: F.coalesce(F.lower(t["text"]).isin(*HYPOTHETICAL) & ~F.array_contains(rel_words, F.lower(t["text"])), F.lit(False)))
+    said = reduce(or_, (own["lowered"].contains(f" {h} ") for h in HYPOTHETICAL))
     first, final = lambda t: F.get(t, F.lit(0)), lambda t: F.try_element_at(t, F.lit(-1))
     out = {
         "sentence has question mark": F.concat_ws(" ", a1["text"], r["text"], a2["text"]).contains("?"),
-        "sentence is imperative": F.exists(F.zip_with(tag_list, F.concat(F.array(F.lit(",")), F.slice(tag_list, 1, F.greatest(F.size(tag_list) - 1, F.lit(0)))), lambda t, p: verb(t) & (p == ",")), lambda x: x),
+        "sentence is imperative": F.exists(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: verb(F.get("tokens", i)["postag"]) & ((i == 0) | (F.get("tokens", i - 1)["postag"] == ","))),
         "arg2 contains infinitive": F.exists(F.zip_with(t2, F.slice(t2, 2, F.size(t2)), lambda p, t: (p == "TO") & verb(t)), lambda x: F.coalesce(x, F.lit(False))),
         "rel is contiguous": sentence.contains(r["text"]),
         "prep right before arg1": F.coalesce(before["postag"].isin(*PREP_TAGS), F.lit(False)),
-        "rel starts with be": F.coalesce(F.get(F.filter("tokens", lambda t: t["idx"] == F.get(r["idx"], F.lit(0))), F.lit(0))["text"].startswith("be "), F.lit(False)),
-        "prep right after arg2": F.coalesce(F.get(behind, F.lit(0))["postag"].isin(*PREP_TAGS), F.lit(False)),
+        "rel starts with be": F.coalesce(own["rel_first"]["text"].startswith("be "), F.lit(False)),
+        "prep right after arg2": F.coalesce(behind["postag"].isin(*PREP_TAGS), F.lit(False)),
         "arg1 is proper": F.forall(t1, lambda t: t.startswith("NNP")),
         "arg2 is proper": F.forall(t2, lambda t: t.startswith("NNP")),
         "sentence starts with extraction": F.least(a1["s"], r["s"], a2["s"]) == 0,
         "sentence begins with arg1": a1["s"] == 0,
-        "sentence ends with arg2": F.forall(behind, lambda t: t["postag"].isin(".", "?")),
+        "sentence ends with arg2": F.forall("tokens", lambda t: ~F.coalesce(t["idx"] >= a2["e"], F.lit(False)) | t["postag"].isin(".", "?")),
         "pattern confidence": F.least(F.lit(1.0), F.col("pattern_confidence")),
         "arg2 before arg1": a2["e"] <= a1["s"],
         "arg2 before rel": a2["e"] <= r["s"],
@@ -88,7 +112,7 @@ def features(known: dict[str, Column] | None = None) -> dict[str, Column]:
         "rel bad characters": _bad(r["text"]),
         "arg2 bad characters": _bad(a2["text"]),
         "long relation": F.size(F.split(r["text"], " ")) > 10,
-        "hyp words in rel": F.size(F.array_except(F.array_intersect(words, F.array(*map(F.lit, HYPOTHETICAL))), F.split(F.lower(r["text"]), " "))) > 0,
+        "hyp words in rel": F.when(r["text"].isNull(), None).when(~said, False).otherwise(hyp),
         "vacuous extraction": (F.size(F.split(a2["text"], " ")) <= 2) & F.reduce(F.array(*[last.startswith(x) & F.array_contains(F.split(F.lower(a2["text"]), " "), y) for x, y in VACUOUS]), F.lit(False), lambda a, b: a | b),
         "prep in arg2": F.exists(t2, lambda t: t.isin(*PREP_TAGS)),
         "noun-verb-noun in arg1": _nvn(t1),
@@ -173,9 +197,10 @@ def confidence(weights: dict[str, float] | None = None, known: dict[str, Column]
 def measured(rows: DataFrame, columns: Callable[[dict[str, Column]], dict[str, Column]]) -> DataFrame:
     """rows with further columns, which ``columns`` makes from what the features share; that is computed once a row, below
     them, and leaves again. Columns of rows named like a new one are replaced."""
-    parts = shared()
-    names = dict(zip(parts, free(rows.columns, *parts), strict=True))
+    [whole] = free(rows.columns, "counted")
+    parts = shared(F.col(f"`{whole}`"))
+    names = dict(zip(parts, free([*rows.columns, whole], *parts), strict=True))
     new = columns({k: F.col(f"`{n}`") for k, n in names.items()})
-    wide = rows.withColumns({names[k]: c for k, c in parts.items()})
+    wide = rows.withColumn(whole, counted()).withColumns({names[k]: c for k, c in parts.items()})
     kept = [F.col(f"`{c}`") for c in rows.columns if c not in new]
     return wide.select(*kept, *[c.alias(n) for n, c in new.items()])

@@ -1,6 +1,7 @@
 """The extraction engine on small parsed sentences: codec, patterns, extractors, voice, induction, features, sinks."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -703,3 +704,42 @@ def test_learned_lemmas(spark):
     assert Z.learn(spark.createDataFrame([], "form string, lemma string")).collect() == []
     plain = E.extract(spark.createDataFrame(SENTENCES, "sent long, graph string"), lemmas=[("^floods", 1, "!")]).where("sent = 1").first()
     assert [t.lemma for t in plain.tokens if t.text in ("floods", "meadows")] == ["flood!", "meadows"]
+
+
+def test_feature_values_are_read_once_by_all_cores(spark, tmp_path):
+    """Words are found once in a text, on more tasks than its file has row groups; texts of twelve words and more count."""
+    from factloom.plans.engine import feature_values
+
+    twelve = "Ab3 ? c d e f g h i j k l"
+    texts = [None, "", "b c d e f g h i j k l", twelve, "\n¡é-- " + twelve + " --é", "é".join("abcdefghijkl"), "x" * 5000 + "..", "é" * 5000, "a-b\n" * 6, "a-b\n" * 5 + "a-"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = feature_values(spark, str(tmp_path))
+    assert {r.doc_id for r in out.collect()} == {k for k, t in enumerate(texts) if len(re.findall(r"[A-Za-z0-9?]+", t or "")) >= 12}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_features_of_counted_and_other_tokens(spark):
+    """What is read at a known place is what a look at all tokens finds, also where places are missing, repeated or out of range."""
+    from factloom.functions.features import counted, further_features, shared
+
+    rng = random.Random(2)
+    words, marks = ["can", "Could", "be ", "If", "of", "xyz", "?", "can would"], ["VB", "VBZ", ",", "NNP", "IN", "TO", "PRP", ".", "W\n,\nVB"]
+    part = lambda: (" ".join(rng.choices(words, k=rng.randrange(4))), rng.choice([None, *range(-1, 9)]), rng.choice([None, *range(9)]), [rng.randrange(9) for _ in range(rng.randrange(4))])
+    places = lambda n: rng.choice([range(n), range(n), sorted(rng.sample(range(n + 3), n)), sorted(rng.choices(range(n + 1), k=n))])
+    rows = [(k, part(), part(), part(), [(i, rng.choice(words), rng.choice(marks)) for i in places(rng.randrange(9))]) for k in range(300)]
+    kind = "struct<text:string,s:int,e:int,idx:array<int>>"
+    df = spark.createDataFrame(rows, f"k int, arg1 {kind}, rel {kind}, arg2 {kind}, tokens array<struct<idx:int,text:string,postag:string>>")
+    df = df.selectExpr("*", "0.5D pattern_confidence", "array('nn') pattern_labels", "true semantic", "false prep_mismatch", "array(named_struct('label', 'appos', 'src', 1, 'dst', 4)) deps")
+    assert 0 < df.where(counted()).count() < len(rows)
+    values = lambda known: {r[0]: tuple(r)[1:] for r in df.select("k", *[c.alias(f"f{i}") for i, c in enumerate((features(known) | further_features()).values())]).collect()}
+    got, names = values(None), list(features() | further_features())
+    assert got == values(shared(F.lit(False)))
+    for k, a1, r, a2, tokens in rows:  # some in plain Python
+        own, pairs = dict(zip(names, got[k], strict=True)), list(zip([",", *[t[2] for t in tokens]], [t[2] for t in tokens], strict=False))
+        left, behind = [t for t in tokens if a1[1] is not None and t[0] < a1[1]], [t for t in tokens if a2[2] is not None and t[0] >= a2[2]]
+        assert own["prep right before arg1"] == (bool(left) and left[-1][2] in ("IN", "TO")) and own["prep right after arg2"] == (bool(behind) and behind[0][2] in ("IN", "TO"))
+        assert own["sentence ends with arg2"] == all(t[2] in (".", "?") for t in behind)
+        assert not tokens or own["sentence is imperative"] == any(p == "," and t.startswith("VB") for p, t in pairs)
+        assert own["hyp words in rel"] == bool(({t[1].lower() for t in tokens} & {"can", "would", "could", "might"}) - set(r[0].lower().split(" ")))
