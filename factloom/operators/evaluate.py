@@ -7,13 +7,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distance import distances
 from ..functions.features import features, measured
 from ..functions.store import free, keep
 
 
-#: Strings on either side of a block of pairs that one task compares, and tasks at most.
-SIDE = 1000
+#: Strings on either side of a block of pairs, and tasks at most as long as a task has no more blocks than this.
+SIDE = 2000
 TASKS = 2000
+#: Pairs of which found ones become rows together, and letters up to which strings are compared by blocks.
+ROWS = 1 << 18
+LONG = 100
 
 
 def score(extractions: DataFrame, gold: DataFrame, threshold: float = 0.0, keep_unscored: bool = True, order: str | None = None) -> DataFrame:
@@ -42,18 +46,20 @@ def _segments(length: Column, most: Column) -> Column:
 
 
 def _candidates(extractions: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(extraction, suggestion, most) pairs, and rows (suggestion, block) where block is an array of (extraction, most): pairs among which all are that differ in at most ``most`` places, below half the extraction's length.
+    """(extraction, suggestion, most) pairs, and rows (lb, extractions, suggestions) of two arrays that all meet: pairs among which all are that differ in at most ``most`` places, below half the extraction's length.
 
     Pigeonhole: cut into most + 1 stretches, an extraction keeps one of them unchanged in any such string, with at most
     i - 1 changes before the i-th and the others behind it; so a gold string holds it at one of few places. Stretches meet
     those substrings by equality of (length, i, text). An extraction whose stretches are so frequent that this would give
     more pairs than there are gold strings of similar length meets just those instead, by equal lengths: ``banded``. These
     pairs, as many as the extractions times the gold of their length, are a grid of blocks of SIDE by SIDE strings, dealt
-    to as many tasks as there are blocks, up to TASKS; a block's extractions travel as one array.
+    to as many tasks as there are blocks, or to TASKS and more; the strings of either side travel as one array.
     """
     a = extractions.select("extraction").distinct().select("extraction", F.length("extraction").alias("la"))
     a = a.withColumn("most", (F.floor(F.col("la") / 2) - 1).cast("int")).where("most >= 0")
-    b = gold.select(F.col("extraction").alias("suggestion")).distinct().where("suggestion IS NOT NULL").withColumn("lb", F.length("suggestion"))
+    # dealt to a given number of tasks while rows are short: each gold string gives many probes
+    spread = 3 * gold.sparkSession.sparkContext.defaultParallelism
+    b = gold.select(F.col("extraction").alias("suggestion")).repartition(spread, "suggestion").distinct().where("suggestion IS NOT NULL").withColumn("lb", F.length("suggestion"))
     lengths = sorted(r["la"] for r in a.select("la").distinct().collect())  # no more than the longest extraction has letters
     if not lengths:
         return a.select("extraction", F.lit(None).cast("string").alias("suggestion"), "most").where("false"), None
@@ -76,40 +82,88 @@ def _candidates(extractions: DataFrame, gold: DataFrame) -> tuple[DataFrame, Dat
     cost = keep(cost.where("pairs > 0").join(band, "la").withColumn("banded", F.col("pairs") >= F.col("band")), "costs")
     few = own.join(cost.where("not banded").select("extraction"), "extraction")
     met = few.join(probes, ["la", "i", "piece"]).select("extraction", "suggestion", "most").distinct()
-    wide = cost.where("banded").select("extraction", "la", "most")
-    wide = keep(wide.withColumn("lb", F.explode(F.sequence(F.col("la") - F.col("most"), F.col("la") + F.col("most")))), "banded")
-    ceiled = lambda rows, name: rows.groupBy("lb").agg(F.ceil(F.count("*") / SIDE).cast("int").alias(name))
-    grid = keep(ceiled(wide, "across").join(ceiled(b, "down"), "lb"), "grid")  # a row a length
-    blocks = grid.agg(F.sum(F.col("across").cast("long") * F.col("down"))).first()[0] or 0
-    if not blocks:
+    wide = cost.where("banded").select("extraction", "la", "most").withColumn("lb", F.explode(F.sequence(F.col("la") - F.col("most"), F.col("la") + F.col("most"))))
+    wide = keep(wide.join(per_length.select("lb"), "lb").select("lb", "extraction"), "banded")
+    if not wide.rows:
         return met, None
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = wide.join(grid, "lb").withColumn("x", part("extraction", "across")).groupBy("lb", "x", "down").agg(F.collect_list(F.struct("extraction", "most")).alias("block")).withColumn("y", each("down"))
-    right = b.join(grid, "lb").withColumn("y", part("suggestion", "down")).withColumn("x", each("across"))
-    # a given number of partitions stays as it is: by their few bytes the blocks would end in one task
-    dealt = lambda rows: rows.repartition(min(blocks, TASKS), "lb", "x", "y")
-    return met, dealt(right.select("lb", "x", "y", "suggestion")).join(dealt(left.select("lb", "x", "y", "block")), ["lb", "x", "y"]).select("suggestion", "block")
+    left = _blocks(wide, "extraction", "x")
+    right = _blocks(keep(b.join(wide.select("lb").distinct(), "lb", "left_semi").select("lb", "suggestion"), "gold"), "suggestion", "y")
+    pairs = left.select("lb", "x").join(right.select("lb", "y"), "lb")
+    n, longest = pairs.agg(F.count("*"), F.max("lb")).first()
+    # dealt in turn to a given number of tasks: by their few bytes the blocks would end in one
+    both = pairs.join(left.drop("lb"), "x").join(right.drop("lb"), "y").select("lb", "extractions", "suggestions")
+    both = both.repartition(min(n, max(TASKS, n // TASKS)))
+    both.longest = longest
+    return met, both
+
+
+def _blocks(rows: DataFrame, text: str, key: str) -> DataFrame:
+    """The kept strings for each length lb in order, cut into blocks of SIDE strings at most, fewer if they are long: lb,
+    an array named like the column with an s, and a number. Neighbours stand in one block, so that they share their
+    beginnings."""
+
+    def cut(batches):
+        length, held = None, []
+        for batch in batches:
+            for lb, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and (lb != length or len(held) == SIDE or len(held) * lb >= SIDE * LONG):
+                    yield pa.RecordBatch.from_pydict({"lb": pa.array([length], pa.int32()), "block": [held]})
+                    held = []
+                length = lb
+                held.append(one)
+        if held:
+            yield pa.RecordBatch.from_pydict({"lb": pa.array([length], pa.int32()), "block": [held]})
+
+    parts = min(TASKS, -(-rows.rows // (4 * SIDE)))
+    dealt = rows.select(F.col("lb").cast("int").alias("lb"), text).repartitionByRange(max(1, parts), "lb", text).sortWithinPartitions("lb", text)
+    return keep(dealt.mapInArrow(cut, "lb int, block array<string>").select("lb", F.col("block").alias(f"{text}s"), F.monotonically_increasing_id().alias(key)), "blocks")
 
 
 def candidates(extractions: DataFrame, gold: DataFrame) -> DataFrame:
     """(extraction, suggestion, most): all pairs that ``suggest`` compares."""
     met, blocks = _candidates(extractions, gold)
-    return met if blocks is None else met.unionByName(blocks.select("suggestion", F.inline("block")))
+    if blocks is None:
+        return met
+    pairs = blocks.select("suggestions", F.explode("extractions").alias("extraction")).select("extraction", F.explode("suggestions").alias("suggestion"))
+    return met.unionByName(pairs.withColumn("most", (F.floor(F.length("extraction") / 2) - 1).cast("int")))
+
+
+def _nearest(batches):
+    """Rows (extraction, suggestion, distance) of pairs of blocks: those nearer than half the extraction's length."""
+    for batch in batches:
+        for own, others in zip(batch.column(0), batch.column(1), strict=True):
+            extractions, suggestions = own.values, others.values
+            texts = extractions.to_pylist()
+            most = np.array([len(t) // 2 - 1 for t in texts], np.uint8)
+            apart = distances(texts, suggestions.to_pylist())
+            step = max(1, ROWS // max(1, len(suggestions)))
+            for at in range(0, len(texts), step):
+                part = apart[at : at + step]
+                near = part <= most[at : at + step, None]
+                row = np.repeat(np.arange(len(part), dtype=np.int32), near.sum(1))
+                column = (np.flatnonzero(near) - row.astype(np.int64) * len(suggestions)).astype(np.int32)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([extractions.take(pa.array(row + np.int32(at))), suggestions.take(pa.array(column)), pa.array(part[near].astype(np.int32))], ["extraction", "suggestion", "distance"])
 
 
 def suggest(extractions: DataFrame, gold: DataFrame) -> DataFrame:
     """(extraction, suggestion, distance): gold strings nearer than half the extraction's length, among ``candidates``.
 
     Null strings have no partners; repeated ones count once; an extraction of two or three letters meets its equal only.
-    Each pair of a block is compared once, inside its array, and those that are too far apart never become rows.
+    All pairs of two blocks are compared together (functions.distance), and those that are too far apart never become
+    rows. Strings of more than LONG letters share little, and are compared one by one.
     """
     met, blocks = _candidates(extractions, gold)
     near = met.withColumn("distance", F.levenshtein("extraction", "suggestion")).where("distance <= most").select("extraction", "suggestion", "distance")
     if blocks is None:
         return near
-    told = F.transform("block", lambda x: F.struct(x["extraction"].alias("extraction"), F.levenshtein(x["extraction"], F.col("suggestion")).alias("distance"), x["most"].alias("most")))
-    return near.unionByName(blocks.select("suggestion", F.inline(F.filter(told, lambda x: x["distance"] <= x["most"]))).select("extraction", "suggestion", "distance"))
+    near = near.unionByName(blocks.where(F.col("lb") <= LONG).select("extractions", "suggestions").mapInArrow(_nearest, "extraction string, suggestion string, distance int"))
+    if blocks.longest <= LONG:
+        return near
+    one = blocks.where(F.col("lb") > LONG).select("extractions", F.explode("suggestions").alias("suggestion"))
+    told = F.transform("extractions", lambda x: F.struct(x.alias("extraction"), F.levenshtein(x, F.col("suggestion")).alias("distance")))
+    close = F.filter(told, lambda x: x["distance"] < F.floor(F.length(x["extraction"]) / 2))
+    return near.unionByName(one.select("suggestion", F.inline(close)).select("extraction", "suggestion", "distance"))
 
 
 def precision_yield(scored: DataFrame, conf: str, correct: Column, ties: list[str], by: list[str] | None = None, whole: bool = False) -> DataFrame:

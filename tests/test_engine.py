@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import distance as D
 from factloom.functions import extraction as X
 from factloom.functions import graph as G
 from factloom.functions.batch import Batch, Pairs
@@ -548,6 +549,45 @@ def test_suggestions_of_common_stretches_take_many_tasks(spark, monkeypatch):
     assert found.select(F.spark_partition_id().alias("task")).distinct().count() > 8
 
 
+def test_distances_of_blocks():
+    """Equal to the table of each pair, for strings in any order, of any letters, and in more parts than one."""
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+    for n in range(40):
+        own, others = (["".join(rng.choice("ab \U0001d4b3é\0") for _ in range(rng.randint(0, 8))) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        if n % 2:
+            own, others = sorted(own), sorted(others)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(D, "CELLS", 1 << (24 if n % 3 else 6))
+            assert D.distances(own, others).tolist() == [[distance(a, b) for b in others] for a in own]
+    # what the beginnings share is computed once: a cell for each pair of distinct beginnings, not of letters of all pairs
+    names = [f"Customer#{i:09d}" for i in range(1000)]
+    assert len(D.Tree(names)) == 1 + 15 + 10 + 100 + 1000
+
+
+def test_suggestions_of_common_stretches_of_any_length(spark, monkeypatch):
+    """Long strings are compared one by one beside blocks of short ones; gold strings give probes in many tasks."""
+    monkeypatch.setattr(V, "SIDE", 7)
+    monkeypatch.setattr(V, "LONG", 20)
+    texts = [f"{'é' * k}{i:03d}" for k in (3, 9, 15, 17, 18, 30) for i in range(12)]
+    names = spark.createDataFrame([(t,) for t in texts], "extraction string")
+    want = names.crossJoin(names.withColumnRenamed("extraction", "suggestion")).withColumn("distance", F.levenshtein("extraction", "suggestion")).where("distance < floor(length(extraction) / 2)")
+    found = V.suggest(names, names)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() > len(texts)
+    assert any(len(r.extraction) > 20 for r in found.collect())
+    kept = []
+    monkeypatch.setattr(V, "keep", lambda df, name, f=V.keep: kept.append((name, df.rdd.getNumPartitions())) or f(df, name))
+    V.suggest(names, names)
+    assert dict(kept)["probes"] > 8  # one task before
+
+
 def test_possible_patterns_are_counted_by_sets_of_labels(spark):
     """Counted without a row for each sentence and pattern; more wants than a number has bits."""
     rng = random.Random(5)
