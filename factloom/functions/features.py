@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +35,7 @@ def tags(at: Column, whole: Column) -> Column:
 
 
 def shared(whole: Column | None = None) -> dict[str, Column]:
-    """What several features look at, each to be computed once a row: the tags of the parts, the sentence's text (also
-    in lower case with a space at both ends), the last token left of the first argument and the first one behind the second (null if there is none), and the relation's first.
+    """What several features look at, each to be computed once a row: the tags of the parts, the sentence's text, the last token left of the first argument and the first one behind the second (null if there is none), and the relation's first.
 
     ``whole``: a column that holds ``counted``.
     """
@@ -47,7 +45,7 @@ def shared(whole: Column | None = None) -> dict[str, Column]:
     sentence, left = F.array_join("tokens.text", " "), F.least(a1["s"], F.size("tokens"))
     return {
         "arg1_tags": tags(a1, whole), "arg2_tags": tags(a2, whole), "rel_tags": F.transform(F.filter(own, lambda t: F.array_contains("rel.idx", t["idx"])), lambda t: t["postag"]),
-        "sentence": sentence, "lowered": F.concat(F.lit(" "), F.lower(sentence), F.lit(" ")),
+        "sentence": sentence,
         "before": F.try_element_at(F.filter(near(F.greatest(left - 1, F.lit(0)), left, whole), lambda t: t["idx"] < a1["s"]), F.lit(-1)),
         "behind": F.get(F.filter(near(a2["e"], a2["e"] + 1, whole), lambda t: t["idx"] >= a2["e"]), F.lit(0)),
         "rel_first": F.get(F.filter(near(first, first + 1, whole), lambda t: t["idx"] == first), F.lit(0)),
@@ -55,7 +53,14 @@ def shared(whole: Column | None = None) -> dict[str, Column]:
 
 
 def _bad(text: Column) -> Column:
-    return (F.length(F.regexp_replace(text, "[^A-Z]", "")) > 5) | (F.length(F.regexp_replace(F.lower(text), "[^aeiouy0-9]", "")) < 2)
+    """More than five capitals, or fewer than two vowels and digits; only U+0130 holds a vowel in lower case besides the vowels."""
+    vowel = "[aeiouyAEIOUY\u01300-9]"
+    return text.rlike("[A-Z](?:[^A-Z]*+[A-Z]){5}") | ~text.rlike(f"(?s){vowel}.*{vowel}")
+
+
+def _cased(word: str) -> list[str]:
+    """The word in every case of its letters: equal to it in lower case, which costs more than all the other work on a short text."""
+    return ["".join(x) for x in product(*((c.lower(), c.upper()) for c in word))]
 
 
 def _nvn(own: Column) -> Column:
@@ -83,7 +88,7 @@ def features(known: dict[str, Column] | None = None) -> dict[str, Column]:
     verb = lambda t: t.startswith("VB")
     rel_words = F.split(F.lower(r["text"]), " ")
     hyp = F.exists("tokens", lambda t: F.coalesce(F.lower(t["text"]).isin(*HYPOTHETICAL) & ~F.array_contains(rel_words, F.lower(t["text"])), F.lit(False)))
-    said = reduce(or_, (own["lowered"].contains(f" {h} ") for h in HYPOTHETICAL))
+    said = sentence.rlike(rf"(?i)(?:\A| )(?:{'|'.join(HYPOTHETICAL)})(?: |\z)")
     first, final = lambda t: F.get(t, F.lit(0)), lambda t: F.try_element_at(t, F.lit(-1))
     out = {
         "sentence has question mark": F.concat_ws(" ", a1["text"], r["text"], a2["text"]).contains("?"),
@@ -102,10 +107,10 @@ def features(known: dict[str, Column] | None = None) -> dict[str, Column]:
         "arg2 before arg1": a2["e"] <= a1["s"],
         "arg2 before rel": a2["e"] <= r["s"],
         "args start and end with noun": F.coalesce(first(t1).isin(*OPEN_TAGS) & first(t2).isin(*OPEN_TAGS) & final(t1).isin(*CLOSE_TAGS) & final(t2).isin(*CLOSE_TAGS), F.lit(False)),
-        "if right before arg1": F.coalesce(F.lower(before["text"]) == "if", F.lit(False)),
+        "if right before arg1": F.coalesce(before["text"].isin(*_cased("if")), F.lit(False)),
         "arg1 contains pronoun": F.exists(t1, lambda t: t.startswith("PRP")),
         "arg2 contains pronoun": F.exists(t2, lambda t: t.startswith("PRP")),
-        "rel ends with of": F.lower(last) == "of",
+        "rel ends with of": last.isin(*_cased("of")),
         "rel contains verb": F.exists(tr, verb),
         "rel contains gerund": F.exists(tr, lambda t: t == "VBG"),
         "arg1 bad characters": _bad(a1["text"]),

@@ -134,8 +134,8 @@ _ODDS_SQL = CONFIDENCE_SQL.format(*[repr(_log_odds(i)) for i in range(len(FOUND)
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored facts of all sentences, with the sentence's text; it is made of the tokens that the engine has read."""
-    found = E.with_confidence(E.extract(sentences(spark, sf_dir)))
+    """Scored facts of all sentences, dealt to all cores, with the sentence's text; it is made of the tokens that the engine has read."""
+    found = E.with_confidence(E.extract(sentences(spark, sf_dir, spread=True)))
     return found.withColumn("text", F.array_join(F.transform("tokens", lambda t: t["text"]), " "))
 
 

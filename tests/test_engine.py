@@ -12,7 +12,7 @@ from factloom.functions import extraction as X
 from factloom.functions import graph as G
 from factloom.functions.batch import Batch, Pairs
 from factloom.functions import induction as I
-from factloom.functions.features import confidence, features
+from factloom.functions.features import _bad, confidence, features
 from factloom.functions.native import parse_graph
 from factloom.functions.patterns import find, parse_pattern
 from factloom.functions.voice import switched
@@ -20,6 +20,7 @@ from factloom.operators import evaluate as V
 from factloom.operators import extract as E
 from factloom.operators import learn as L
 from factloom.operators import match as M
+from factloom.plans import engine as Q
 from factloom.plans.queries import SENTENCES
 from factloom.sources import readers as R
 from factloom.sources import writers as W
@@ -549,6 +550,23 @@ def test_suggestions_of_common_stretches_take_many_tasks(spark, monkeypatch):
     assert found.select(F.spark_partition_id().alias("task")).distinct().count() > 8
 
 
+def test_facts_of_one_row_group_take_many_tasks(spark, tmp_path):
+    """Orders in one file of one row group are dealt to all cores before they are read as sentences."""
+    spark.range(50).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    facts = Q.extracted(spark, str(tmp_path))
+    assert facts.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert facts.select("o_orderkey").distinct().count() == 50
+
+
+def test_bad_characters_without_lower_case(spark):
+    """Capitals, vowels and digits of odd texts are counted as in lower case."""
+    texts = ["", "a", "A", "aE", "x1", "12", "\u0130b", "\u0130\u0130", "\u0130", "ABCDEF", "ABCDE ae", "AaBbCcDdEeFf", "ab\nAcBCDEF", "x\ni\ny", "\u212b\u212a", "ÄÖÜäöü", "BCD\nFG\nHe1", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = (F.length(F.regexp_replace("t", "[^A-Z]", "")) > 5) | (F.length(F.regexp_replace(F.lower("t"), "[^aeiouy0-9]", "")) < 2)
+    got = rows.select("t", old.alias("want"), _bad(F.col("t")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got] and {r.want for r in got} == {True, False, None}
+
+
 def test_distances_of_blocks():
     """Equal to the table of each pair, for strings in any order, of any letters, and in more parts than one."""
     def distance(a, b):
