@@ -59,7 +59,7 @@ def _bad(text: Column) -> Column:
 
 
 def _cased(word: str) -> list[str]:
-    """The word in every case of its letters: equal to it in lower case, which costs more than all the other work on a short text."""
+    """The word in every case of its letters: what is equal to it in lower case, without changing each text."""
     return ["".join(x) for x in product(*((c.lower(), c.upper()) for c in word))]
 
 
